@@ -13,6 +13,8 @@ nothing is added; equal rows get equal spans; a NULL id is kept.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +40,17 @@ ALPHABETS = {
     "base64": LOWER.upper() + LOWER + DIGITS + "+/-_",
 }
 BINS = 100
+#: What a text must hold for a pattern to match at all; spares most texts the pattern.
+NEEDS = {"assign": (":", "="), "access": ("AKIA",), "hex": ()}
+
+
+def greedy(run: str) -> str:
+    """The same matches of a run pattern [..]{n,}, without trying again inside a run that is too short."""
+    return f"(?<!{run[: run.index(']') + 1]}){run}+"
+
+
+def no_spans() -> Column:
+    return F.array().cast("array<struct<start:int,end:int,kind:int,token:string>>")
 
 
 def found_spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
@@ -47,7 +60,7 @@ def found_spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if least else whole
     gaps = F.split(text, pattern, -1)
     zipped = F.arrays_zip(whole.alias("w"), inner.alias("g"), F.slice(gaps, 1, F.size(whole)).alias("b"))
-    blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,token:string>>").alias("out"))
+    blank = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + F.length(m["b"])
@@ -62,9 +75,11 @@ def found_spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, _t (hash of the text), base spans, token spans. One pass over the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = [found_spans(text, p, k, 8 if kind == "assign" else 0) for k, (kind, p) in enumerate(PATTERNS.items())]
+    holds = lambda kind: functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in NEEDS[kind]], F.lit(not NEEDS[kind]))
+    quick = PATTERNS | {"hex": greedy(PATTERNS["hex"])}
+    base = [F.when(holds(kind), found_spans(text, p, k, 8 if kind == "assign" else 0)).otherwise(no_spans()) for k, (kind, p) in enumerate(quick.items())]
     no_token = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return docs.select("doc_id", F.xxhash64(text).alias("_t"), F.sort_array(no_token(F.concat(*base))).alias("base"), found_spans(text, TOKEN, len(PATTERNS)).alias("tokens"))
+    return docs.select("doc_id", F.xxhash64(text).alias("_t"), F.sort_array(no_token(F.concat(*base))).alias("base"), found_spans(text, greedy(TOKEN), len(PATTERNS)).alias("tokens"))
 
 
 def infer(tokens: DataFrame) -> DataFrame:
@@ -134,6 +149,7 @@ def secret_spans(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     scanned = stash(scan(docs), "secret-scan")
     tokens = scanned.where(F.size("tokens") > 0).select("doc_id", "_t", "base", F.explode("tokens").alias("s"))
     tested = binned(battery(infer(tokens.select("doc_id", "_t", "base", "s.*"))))
+    tested = stash(tested.select("doc_id", "_t", "base", "start", "end", "kind", "role", "lc", "bin"), "secret-tests")
     cuts = cut_offs(tested, fdr)
     clear = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     added = tested.where((F.col("role") == 1) & clear).join(F.broadcast(cuts), "lc").where(F.col("bin") >= F.col("least"))

@@ -30,12 +30,12 @@ ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 @dataclass(frozen=True)
 class FtrlParams:
     bits: int = 20
-    alpha: float = 0.1
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 2.0
-    l2: float = 1.0
+    l1: float = 10.0
+    l2: float = 0.0
     epochs: int = 4
-    max_rows: int = 8000
+    max_rows: int = 16_000
 
 
 class WordHashes(dict):
