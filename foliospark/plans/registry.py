@@ -1,4 +1,514 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the given tables, and the SQL that another engine can check them with.
 
+Accumulated doubles are rounded to six decimals on both sides, arrays are joined to text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foliospark.operators import allocation, attribution, execution, ledger, regime_model, replay, signals, validation
+from foliospark.sources import feeds
+from foliospark.sources.views import view, with_views
+from foliospark.streaming import state as streams
+
+CASH = 1_000_000.0
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+def r6(*names: str, df: DataFrame) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# ---- sources
+
+TICK_SQL = """SELECT CAST(epoch(ts) AS DOUBLE) AS timestamp, symbol, CAST(price AS DOUBLE) AS price, CAST(amount AS DOUBLE) AS volume FROM ledger WHERE event_type = 'MARKET_TICK'"""
+
+
+def raw_ticks(s, d):
+    t = view(s, d, "ledger").where("event_type = 'MARKET_TICK'")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return t.select(seconds.cast("string").alias("timestamp"), "symbol", F.col("price").cast("string").alias("price"), F.col("amount").cast("string").alias("volume"), "event_id")
+
+
+@query(TICK_SQL)
+def normalize_ticks(s, d):
+    return feeds.normalize_ticks(raw_ticks(s, d))
+
+
+@query(f"SELECT 'MARKET_TICK' AS event_type, timestamp, symbol, price, volume AS volume_24h, CAST(0 AS BIGINT) AS sequence FROM ({TICK_SQL}) t")
+def tick_events(s, d):
+    return feeds.tick_events(feeds.normalize_ticks(raw_ticks(s, d)))
+
+
+@query("SELECT portfolio_id, event_id, event_type, symbol, side, units, CAST(CASE WHEN event_type = 'ORDER_EXECUTED' AND side IS NULL THEN 0 ELSE 1 END AS BIGINT) AS valid FROM ledger")
+def event_log(s, d):
+    log = view(s, d, "ledger")
+    parts = [log.where(F.col("event_type") == k) for k in feeds.EVENT_TYPES]
+    good, bad = feeds.event_log(*parts)
+    keep = lambda x, v: x.select("portfolio_id", "event_id", "event_type", "symbol", "side", "units", F.lit(v).cast("long").alias("valid"))
+    return keep(good, 1).unionByName(keep(bad, 0))
+
+
+@query("""WITH m AS (SELECT book_id, (max(price) FILTER (side = 'BID') + min(price) FILTER (side = 'ASK')) / 2 AS mid FROM book_levels GROUP BY 1)
+SELECT m.book_id, coalesce(sum(size) FILTER (side = 'BID' AND price >= mid * CAST(0.98 AS DOUBLE)), 0) AS depth_2pct_bid, coalesce(sum(size) FILTER (side = 'ASK' AND price <= mid * CAST(1.02 AS DOUBLE)), 0) AS depth_2pct_ask
+FROM m JOIN book_levels b ON m.book_id = b.book_id GROUP BY 1""")
+def book_depth_2pct(s, d):
+    return feeds.book_depth_2pct(view(s, d, "book_levels"))
+
+
+# ---- rows
+
+DERIV = "event_type = 'DERIVATIVES_METRICS'"
+CVD = "CASE WHEN spot_cvd >= 0 AND perp_cvd >= 0 THEN 'ORGANIC_BULLISH' WHEN spot_cvd >= 0 THEN 'SPOT_ABSORPTION' WHEN perp_cvd >= 0 THEN 'LONG_SQUEEZE_RISK' ELSE 'BROAD_LIQUIDATION' END"
+
+
+@query(f"""SELECT event_id, round(ratio, 6) AS margin_ratio, ratio > 50 AS alert FROM (SELECT event_id, CASE WHEN crypto_margined_oi + cash_margined_oi > 0 THEN crypto_margined_oi / (crypto_margined_oi + cash_margined_oi) * 100 ELSE 0 END AS ratio FROM ledger WHERE {DERIV}) x""")
+def margin_ratio(s, d):
+    return r6("margin_ratio", df=signals.margin_ratio(view(s, d, "ledger").where(DERIV)).select("event_id", "margin_ratio", "alert"))
+
+
+@query(f"""SELECT event_id, spot_cvd - perp_cvd AS cvd_delta, cvd_regime, CASE cvd_regime WHEN 'ORGANIC_BULLISH' THEN '{signals.ACTIONS[0]}' WHEN 'SPOT_ABSORPTION' THEN '{signals.ACTIONS[1]}' WHEN 'LONG_SQUEEZE_RISK' THEN '{signals.ACTIONS[2]}' ELSE '{signals.ACTIONS[3]}' END AS implied_action
+FROM (SELECT *, {CVD} AS cvd_regime FROM ledger WHERE {DERIV}) x""")
+def cvd_regime(s, d):
+    return signals.cvd_regime(view(s, d, "ledger").where(DERIV)).select("event_id", "cvd_delta", "cvd_regime", "implied_action")
+
+
+BULL = "(nupl > CAST(0.6 AS DOUBLE) OR (roc_30d > CAST(0.15 AS DOUBLE) AND cvd_delta > 0))"
+BEAR = "(nupl < CAST(0.2 AS DOUBLE) OR roc_30d < CAST(-0.15 AS DOUBLE))"
+
+
+@query(f"""SELECT obs, CASE WHEN {BULL} THEN 'BULL' WHEN {BEAR} THEN 'BEAR' ELSE 'CONSOLIDATION' END AS regime,
+CAST(CASE WHEN {BULL} THEN 0.80 WHEN {BEAR} THEN 0.05 ELSE 0.20 END AS DOUBLE) AS p_bull, CAST(CASE WHEN {BULL} THEN 0.05 WHEN {BEAR} THEN 0.80 ELSE 0.20 END AS DOUBLE) AS p_bear,
+CAST(CASE WHEN {BULL} THEN 0.15 WHEN {BEAR} THEN 0.15 ELSE 0.60 END AS DOUBLE) AS p_consolidation, CAST(CASE WHEN {BULL} THEN 1 WHEN {BEAR} THEN 3 ELSE 2 END AS DOUBLE) AS gamma
+FROM (SELECT obs, coalesce(cvd_delta, 0) AS cvd_delta, coalesce(CASE WHEN obs % 7 > 0 THEN nupl END, 0.5) AS nupl, coalesce(CASE WHEN obs % 5 > 0 THEN roc_30d END, 0) AS roc_30d FROM regime_features) x""")
+def regime_rules(s, d):
+    rows = view(s, d, "regime_features").withColumns({"nupl": F.when(F.col("obs") % 7 > 0, F.col("nupl")), "roc_30d": F.when(F.col("obs") % 5 > 0, F.col("roc_30d"))})
+    return signals.regime_rules(rows).select("obs", "regime", "p_bull", "p_bear", "p_consolidation", "gamma")
+
+
+TRADES = "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN -l_extendedprice WHEN l_linenumber = 7 THEN 0 ELSE l_extendedprice END AS notional, CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE 1000 * l_quantity END AS depth_2pct, l_tax * l_extendedprice / 20 AS ter FROM lineitem"
+COST = """SELECT *, CAST(abs(notional) * CAST(0.00025 AS DOUBLE) AS DOUBLE) AS spread_cost, CAST(abs(notional) * CAST(0.0005 AS DOUBLE) AS DOUBLE) AS fee_cost,
+CASE WHEN notional = 0 THEN 0 WHEN depth_2pct > 0 THEN 0.5 * sqrt(abs(notional) / depth_2pct) * abs(notional) * CAST(0.00025 AS DOUBLE) ELSE abs(notional) * CAST(0.01 AS DOUBLE) END AS impact_cost"""
+
+
+@query(f"""WITH t AS ({TRADES}), c AS ({COST} FROM t), e AS (SELECT *, spread_cost + fee_cost + impact_cost AS total_cost FROM c)
+SELECT l_orderkey, l_linenumber, notional, round(spread_cost, 8) AS spread_cost, round(fee_cost, 8) AS fee_cost, round(impact_cost, 8) AS impact_cost, round(total_cost, 8) AS total_cost,
+round(CASE WHEN notional = 0 THEN 0 ELSE total_cost / abs(notional) END, 8) AS cost_pct, notional = 0 OR ter <= 0 OR ter > total_cost AS effective FROM e""")
+def trade_cost(s, d):
+    rows = s.sql(TRADES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=s.read.parquet(f"{d}/lineitem.parquet"))
+    costs = ("spread_cost", "fee_cost", "impact_cost", "total_cost", "cost_pct")
+    return execution.trade_cost(rows).drop("depth_2pct", "ter").withColumns({c: F.round(c, 8) for c in costs})
+
+
+@query("SELECT portfolio_id, symbol, round(weight * 1000000 * coalesce(apy, CAST(0.045 AS DOUBLE)) / 365, 6) AS daily_yield FROM current_weights LEFT JOIN assets USING (symbol)")
+def daily_yield(s, d):
+    rows = view(s, d, "current_weights").join(view(s, d, "assets").select("symbol", "apy"), "symbol", "left").withColumn("notional", F.col("weight") * 1_000_000)
+    return r6("daily_yield", df=allocation.daily_yield(rows).select("portfolio_id", "symbol", "daily_yield"))
+
+
+# ---- joins
+
+DRIFT = f"""p AS (SELECT portfolio_id, symbol, coalesce(c.weight, 0) AS cw, coalesce(t.weight, 0) AS tw FROM current_weights c FULL JOIN target_weights t USING (portfolio_id, symbol)),
+q AS (SELECT p.*, equity, category, (tw - cw) * equity AS notional, coalesce(depth_2pct, 100000) AS depth_2pct, abs(cw - tw) AS drift, 0.5 * abs(cw - tw) * abs(cw - tw) * equity AS ter FROM p JOIN equities USING (portfolio_id) LEFT JOIN assets USING (symbol)),
+c AS ({COST}, drift > CASE WHEN category = 'CORE' THEN CAST(0.05 AS DOUBLE) ELSE CAST(0.10 AS DOUBLE) END AS breached FROM q),
+e AS (SELECT *, spread_cost + fee_cost + impact_cost AS total_cost FROM c),
+dr AS (SELECT *, breached AND (notional = 0 OR ter <= 0 OR ter > total_cost) AS approved FROM e)"""
+
+
+def drifts(s, d):
+    return execution.weight_drift(view(s, d, "current_weights"), view(s, d, "target_weights"), view(s, d, "equities"), view(s, d, "assets"))
+
+
+@query(f"""WITH {DRIFT} SELECT portfolio_id, symbol, round(cw, 6) AS current_weight, round(tw, 6) AS target_weight, round(drift, 6) AS drift, breached, round(notional, 4) AS notional, round(total_cost, 4) AS total_cost, approved,
+CASE WHEN NOT breached THEN 'band' WHEN NOT approved THEN 'cost' END AS reason FROM dr""")
+def weight_drift(s, d):
+    reason = F.when(F.col("rejection_reason").startswith("Drift"), "band").when(F.col("rejection_reason").startswith("Execution"), "cost").alias("reason")
+    x = r6("current_weight", "target_weight", "drift", df=drifts(s, d))
+    return x.select("portfolio_id", "symbol", "current_weight", "target_weight", "drift", "breached", F.round("notional", 4).alias("notional"), F.round("total_cost", 4).alias("total_cost"), "approved", reason)
+
+
+@query("""SELECT a.event_id, round(p.price, 6) AS latest_price, round(v.spot_cvd, 6) AS latest_spot_cvd, round(v.perp_cvd, 6) AS latest_perp_cvd FROM (SELECT *, epoch_us(ts) * 1000000 + event_id AS k FROM ledger) a
+ASOF LEFT JOIN (SELECT symbol, price, epoch_us(ts) * 1000000 + event_id AS k FROM ledger WHERE event_type = 'MARKET_TICK') p ON a.symbol = p.symbol AND a.k >= p.k
+ASOF LEFT JOIN (SELECT symbol, spot_cvd, perp_cvd, epoch_us(ts) * 1000000 + event_id AS k FROM ledger WHERE event_type = 'DERIVATIVES_METRICS') v ON a.symbol = v.symbol AND a.k >= v.k""".replace("epoch_us(ts) * 1000000 + event_id", "epoch_us(ts)::HUGEINT * 1000000000 + event_id"))
+def asof_market(s, d):
+    return r6("latest_price", "latest_spot_cvd", "latest_perp_cvd", df=signals.asof_market(view(s, d, "ledger")).select("event_id", "latest_price", "latest_spot_cvd", "latest_perp_cvd"))
+
+
+RETURNS = "r90 AS (SELECT p.symbol, p.day, CASE WHEN o.close > 0 THEN p.close / o.close - 1 END AS ret FROM prices_daily p ASOF LEFT JOIN prices_daily o ON p.symbol = o.symbol AND p.day - INTERVAL 90 DAY >= o.day)"
+
+
+@query(f"WITH {RETURNS} SELECT symbol, day, round(ret, 6) AS ret FROM r90")
+def returns_90d(s, d):
+    return r6("ret", df=signals.trailing_return(view(s, d, "prices_daily")).select("symbol", "day", "ret"))
+
+
+@query("""SELECT day, o_custkey AS asset_id, round(market_cap, 4) AS market_cap, cap_rank FROM (SELECT day, o_custkey, market_cap, row_number() OVER (PARTITION BY day ORDER BY market_cap DESC, o_custkey) AS cap_rank
+FROM (SELECT CAST(o_orderdate AS DATE) AS day, o_custkey, sum(o_totalprice) AS market_cap FROM orders WHERE o_custkey <> 1 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3) GROUP BY 1, 2) x) y WHERE cap_rank <= 5""")
+def asset_universe(s, d):
+    caps = s.read.parquet(f"{d}/orders.parquet").groupBy(F.to_date("o_orderdate").alias("day"), F.col("o_custkey").alias("asset_id")).agg(F.sum("o_totalprice").alias("market_cap"))
+    excluded = s.read.parquet(f"{d}/customer.parquet").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("asset_id"))
+    return signals.asset_universe(caps, excluded, 1, 5).select("day", "asset_id", F.round("market_cap", 4).alias("market_cap"), "cap_rank")
+
+
+RETS = "pr AS (SELECT portfolio_id, equity / 10000000 - CAST(0.1 AS DOUBLE) AS total_return, CAST(0.15 AS DOUBLE) AS benchmark_return FROM equities)"
+
+
+@query(f"""WITH {RETS}, x AS (SELECT portfolio_id, sum(CASE WHEN apy IS NULL THEN weight * coalesce(beta, 1) ELSE 0 END) AS b, sum(weight * coalesce(funding, 0)) AS carry, sum(CASE WHEN apy IS NOT NULL THEN weight * apy ELSE 0 END) AS rwa
+FROM current_weights LEFT JOIN assets USING (symbol) GROUP BY 1), y AS (SELECT x.*, total_return, b * benchmark_return AS factor, total_return - (b * benchmark_return + carry + rwa) AS residual FROM x JOIN pr USING (portfolio_id))
+SELECT portfolio_id, round(factor, 6) AS factor, round(carry, 6) AS carry, round(rwa, 6) AS rwa, round(residual, 6) AS residual, round(CASE WHEN abs(total_return) > 1e-6 THEN abs(residual) / abs(total_return) * 100 ELSE 0 END, 4) AS error_pct FROM y""")
+def pnl_attribution(s, d):
+    rets = view(s, d, "equities").select("portfolio_id", (F.col("equity") / 10_000_000 - 0.1).alias("total_return"), F.lit(0.15).alias("benchmark_return"))
+    return r6("factor", "carry", "rwa", "residual", df=attribution.pnl_attribution(view(s, d, "current_weights"), view(s, d, "assets"), rets)).withColumn("error_pct", F.round("error_pct", 4))
+
+
+# ---- aggregations
+
+
+@query("""SELECT p.asset_id, p.day, round(CASE WHEN p.market_cap > 0 THEN (p.market_cap - p.realized_cap) / p.market_cap ELSE 0 END, 6) AS nupl,
+round(CASE WHEN o.realized_cap > 0 THEN (p.realized_cap - o.realized_cap) / o.realized_cap ELSE 0 END * 100, 4) AS realized_change_pct, round(CASE WHEN p.market_cap > 0 THEN p.hot_capital / p.market_cap ELSE 0 END, 6) AS hot_share
+FROM onchain_daily p ASOF LEFT JOIN onchain_daily o ON p.asset_id = o.asset_id AND p.day - INTERVAL 30 DAY >= o.day""")
+def onchain_metrics(s, d):
+    x = signals.onchain_metrics(view(s, d, "onchain_daily")).select("asset_id", "day", "nupl", "realized_change_pct", "hot_share")
+    return r6("nupl", "hot_share", df=x).withColumn("realized_change_pct", F.round("realized_change_pct", 4))
+
+
+@query(f"""WITH {RETURNS}, m AS (SELECT day, ret AS mark FROM r90 WHERE symbol = 'A0'), x AS (SELECT r.day, count(*) FILTER (ret > mark) AS outperforming, count(*) AS total FROM r90 r JOIN m ON r.day = m.day WHERE symbol <> 'A0' AND ret IS NOT NULL GROUP BY 1),
+y AS (SELECT sp.day, coalesce(outperforming, 0) AS outperforming, coalesce(total, 0) AS total FROM (SELECT DISTINCT day FROM prices_daily) sp LEFT JOIN x ON sp.day = x.day), z AS (SELECT *, CASE WHEN total > 0 THEN outperforming / total * 100 ELSE 0 END AS score FROM y)
+SELECT day, outperforming, total, round(score, 6) AS score, CASE WHEN score < 25 THEN 'BITCOIN_DOMINANCE' WHEN score <= 75 THEN 'TRANSITIONAL_ROTATION' ELSE 'ALTSEASON' END AS season FROM z""")
+def altcoin_season_index(s, d):
+    prices = view(s, d, "prices_daily")
+    return r6("score", df=signals.altcoin_season_index(prices.select("day").distinct(), signals.trailing_return(prices), "A0").select("day", "outperforming", "total", "score", "season"))
+
+
+COLLATERAL = """co AS (SELECT portfolio_id, equity / 10 + coalesce(v, 0) AS collateral, equity FROM equities LEFT JOIN (SELECT portfolio_id, sum(weight * 100000 * (1 - CAST(CASE category WHEN 'CASH' THEN 0 WHEN 'RWA_YIELD' THEN 0.01 WHEN 'CORE' THEN 0.15 ELSE 0.40 END AS DOUBLE))) AS v
+FROM current_weights LEFT JOIN assets USING (symbol) GROUP BY 1) x USING (portfolio_id))"""
+
+
+def collateral_of(s, d):
+    held = view(s, d, "current_weights").withColumn("notional", F.col("weight") * 100_000)
+    return execution.effective_collateral(held, view(s, d, "equities").select("portfolio_id", (F.col("equity") / 10).alias("cash")), view(s, d, "assets"))
+
+
+@query(f"WITH {COLLATERAL} SELECT portfolio_id, round(collateral, 4) AS collateral FROM co")
+def effective_collateral(s, d):
+    return collateral_of(s, d).withColumn("collateral", F.round("collateral", 4))
+
+
+@query(f"""WITH {COLLATERAL}, w AS (SELECT portfolio_id, sum(weight) AS tw, count(*) FILTER (coalesce(category, 'SATELLITE') = 'SATELLITE' AND weight > CAST(0.15 AS DOUBLE)) AS n_caps
+FROM (SELECT portfolio_id, symbol, weight * (CASE WHEN portfolio_id % 3 = 0 THEN CAST(0.9 AS DOUBLE) ELSE 1 END) AS weight FROM target_weights) t LEFT JOIN assets USING (symbol) GROUP BY 1),
+x AS (SELECT portfolio_id, tw, n_caps, collateral, CASE WHEN portfolio_id % 4 = 0 THEN 0 ELSE equity / 11 END AS need FROM w JOIN co USING (portfolio_id)),
+y AS (SELECT *, abs(tw - 1) > CAST(0.0001 AS DOUBLE) AND tw > 0 AS off_sum, need > 0 AND collateral / need < CAST(1.25 AS DOUBLE) AS thin_margin FROM x)
+SELECT portfolio_id, n_caps, off_sum, thin_margin, n_caps = 0 AND NOT off_sum AND NOT thin_margin AS passed, need = 0 AS unbounded FROM y""")
+def pretrade_check(s, d):
+    proposed = view(s, d, "target_weights").withColumn("weight", F.col("weight") * F.when(F.col("portfolio_id") % 3 == 0, 0.9).otherwise(1.0))
+    need = F.when(F.col("portfolio_id") % 4 == 0, 0.0).otherwise(F.col("equity") / 11)
+    margins = collateral_of(s, d).join(view(s, d, "equities").select("portfolio_id", need.alias("required_margin")), "portfolio_id")
+    out = execution.pretrade_check(proposed, view(s, d, "assets"), margins)
+    return out.select("portfolio_id", F.col("n_caps").cast("long").alias("n_caps"), "off_sum", "thin_margin", "passed", (F.col("coverage") == float("inf")).alias("unbounded"))
+
+
+@query(f"""WITH {DRIFT} SELECT portfolio_id, bool_or(breached) AND bool_or(approved) AS should_rebalance, coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (breached), '') AS triggered, round(sum(CASE WHEN approved THEN total_cost ELSE 0 END), 4) AS total_cost FROM dr GROUP BY 1""")
+def rebalance_decision(s, d):
+    return execution.rebalance_decision(drifts(s, d)).withColumns({"triggered": F.array_join("triggered", ","), "total_cost": F.round("total_cost", 4)})
+
+
+LAST_PRICE = "lp AS (SELECT symbol, arg_max(close, day) AS price FROM prices_daily WHERE symbol <> 'A5' GROUP BY 1)"
+
+
+@query(f"""WITH {DRIFT}, {LAST_PRICE} SELECT portfolio_id, symbol, round(abs(notional) / price, 6) AS units, CASE WHEN notional > 0 THEN 'BUY' ELSE 'SELL' END AS side, round(fee_cost + spread_cost, 6) AS fee FROM dr JOIN lp USING (symbol) WHERE approved AND price > 0 AND abs(notional) >= 1""")
+def executable_orders(s, d):
+    prices = view(s, d, "prices_daily").where("symbol <> 'A5'").groupBy("symbol").agg(F.max_by("close", "day").alias("price"))
+    return r6("units", "fee", df=execution.executable_orders(drifts(s, d), prices).select("portfolio_id", "symbol", "units", "side", "fee"))
+
+
+@query("""WITH c AS (SELECT portfolio_id AS plan_id, symbol, weight * 100000 AS depth_2pct FROM current_weights WHERE symbol <> 'A0'), n AS (SELECT plan_id, count(*) AS n, count(*) FILTER (depth_2pct >= 10000) AS ok FROM c GROUP BY 1)
+SELECT plan_id, 'BTC' AS symbol, CAST(0.4 AS DOUBLE) AS weight FROM n UNION ALL SELECT plan_id, 'ETH', CAST(0.2 AS DOUBLE) FROM n UNION ALL SELECT plan_id, symbol, round(CAST(0.3 AS DOUBLE) / n, 6) FROM c JOIN n USING (plan_id) WHERE depth_2pct >= 10000
+UNION ALL SELECT plan_id, 'BUIDL', round(CAST(0.1 AS DOUBLE) + (CAST(0.3 AS DOUBLE) - ok * CAST(0.3 AS DOUBLE) / n), 6) FROM n""")
+def allocation_plan(s, d):
+    c = view(s, d, "current_weights").where("symbol <> 'A0'").select(F.col("portfolio_id").alias("plan_id"), "symbol", (F.col("weight") * 100_000).alias("depth_2pct"))
+    return r6("weight", df=allocation.allocation_plan(c))
+
+
+VOLS = "vo AS (SELECT symbol, stddev_samp(ret) AS realized_vol FROM (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM prices_daily WHERE symbol <> 'A7') x GROUP BY 1), pv AS (SELECT portfolio_id, sum(weight * realized_vol * 20) AS vol FROM current_weights JOIN vo USING (symbol) GROUP BY 1)"
+
+
+def vols_of(s, d):
+    from pyspark.sql import Window as W
+
+    p = view(s, d, "prices_daily").where("symbol <> 'A7'")
+    ret = F.col("close") / F.lag("close").over(W.partitionBy("symbol").orderBy("day")) - 1
+    return p.withColumn("ret", ret).groupBy("symbol").agg((F.stddev_samp("ret") * 20).alias("realized_vol"))
+
+
+@query(f"WITH {VOLS} SELECT portfolio_id, round(vol, 6) AS vol FROM pv")
+def portfolio_vol(s, d):
+    return r6("vol", df=allocation.portfolio_vol(view(s, d, "current_weights"), vols_of(s, d)))
+
+
+@query(f"""WITH {VOLS}, sc AS (SELECT portfolio_id, symbol, weight * CASE WHEN coalesce(vol, 0) <= 0 THEN 1 ELSE least(1, CAST(0.25 AS DOUBLE) / vol) END AS w FROM current_weights LEFT JOIN pv USING (portfolio_id))
+SELECT portfolio_id, symbol, round(w, 6) AS weight FROM sc WHERE symbol <> 'A2' UNION ALL SELECT portfolio_id, 'A2', round(greatest(0, 1 - coalesce(sum(w) FILTER (symbol <> 'A2'), 0)), 6) FROM sc GROUP BY 1""")
+def vol_target_weights(s, d):
+    base = view(s, d, "current_weights")
+    return r6("weight", df=allocation.vol_target_weights(base, allocation.portfolio_vol(base, vols_of(s, d)), "A2"))
+
+
+@query(f"""WITH k AS (SELECT event_id AS key, {CVD} AS reg FROM ledger WHERE {DERIV} AND symbol = 'BTC'), b AS (SELECT * FROM (VALUES ('BTC', 0.4), ('ETH', 0.2), ('SOL', 0.15), ('AVAX', 0.15), ('BUIDL', 0.1)) v(symbol, w))
+SELECT key, symbol, round(CAST(CASE WHEN reg <> 'BROAD_LIQUIDATION' THEN w WHEN symbol = 'BUIDL' THEN 0.55 ELSE w / 2 END AS DOUBLE), 6) AS weight FROM k CROSS JOIN b""")
+def regime_adjusted_weights(s, d):
+    events = signals.asof_market(view(s, d, "ledger")).where(f"{DERIV} AND symbol = 'BTC'")
+    now = events.select(F.col("event_id").alias("key"), F.col("latest_spot_cvd").alias("spot_cvd"), F.col("latest_perp_cvd").alias("perp_cvd"))
+    ruled = signals.regime_rules(signals.cvd_regime(now).withColumns({"nupl": F.lit(0.5), "roc_30d": F.lit(0.0)}))
+    deep = now.select(F.col("key").alias("plan_id"), F.explode(F.array(F.lit("SOL"), F.lit("AVAX"))).alias("symbol"), F.lit(1e6).alias("depth_2pct"))
+    plan = allocation.allocation_plan(deep).withColumnRenamed("plan_id", "key")
+    return r6("weight", df=allocation.regime_adjusted_weights(plan, ruled))
+
+
+COV = "cv AS (SELECT a.grp, a.asset AS i, b.asset AS j, covar_samp(a.ret, b.ret) AS cov FROM asset_vectors a JOIN asset_vectors b ON a.grp = b.grp AND a.obs = b.obs GROUP BY 1, 2, 3)"
+
+
+def covariance(s, d):
+    return allocation.returns_covariance(view(s, d, "asset_vectors"))
+
+
+@query(f"WITH {COV} SELECT CAST(grp AS BIGINT) AS grp, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(cov, 6) AS cov FROM cv WHERE i <= j")
+def returns_covariance(s, d):
+    return r6("cov", df=covariance(s, d)).select(*[F.col(c).cast("long").alias(c) for c in ("grp", "i", "j")], "cov")
+
+
+@query(f"""WITH {COV}, m AS (SELECT grp, i, sum(cov * (j + 1) / CAST(10 AS DOUBLE)) AS m FROM cv GROUP BY 1, 2), q AS (SELECT grp, sqrt(sum(m * (i + 1) / CAST(10 AS DOUBLE))) AS v FROM m GROUP BY 1)
+SELECT CAST(grp AS BIGINT) AS grp, CAST(i AS BIGINT) AS asset, round(m / v, 6) AS mcr, round((i + 1) / CAST(10 AS DOUBLE) * m / v, 6) AS rc FROM m JOIN q USING (grp)""")
+def risk_contributions(s, d):
+    weights = view(s, d, "asset_vectors").select("grp", "asset").distinct().withColumn("weight", (F.col("asset") + 1) / 10)
+    out = r6("mcr", "rc", df=allocation.risk_contributions(weights, covariance(s, d)))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("grp", "asset")})
+
+
+@query()
+def risk_parity_weights(s, d):
+    return allocation.risk_parity_weights(covariance(s, d))
+
+
+# ---- validation
+
+SHARPE = "CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret) / stddev_samp(ret) * sqrt(365) ELSE 0 END"
+TRIALS = f"tr AS (SELECT strategy_id, family_id, {SHARPE} AS sharpe FROM strategy_returns GROUP BY 1, 2), ts AS (SELECT family_id, count(*) AS n_trials, coalesce(var_samp(sharpe), 0) AS variance FROM tr GROUP BY 1)"
+
+
+@query(f"""WITH {TRIALS} SELECT family_id, n_trials, round(variance, 6) AS variance, round(least(CAST(0.999999 AS DOUBLE), greatest(1e-6, 1 - 1 / CAST(n_trials AS DOUBLE))), 6) AS q1, round(least(CAST(0.999999 AS DOUBLE), greatest(1e-6, 1 - 1 / (n_trials * exp(1)))), 6) AS q2 FROM ts""")
+def trial_sharpe_star(s, d):
+    trials = validation.moments_of(view(s, d, "strategy_returns"))
+    return r6("variance", "q1", "q2", df=validation.trial_sharpe_star(trials).drop("sharpe_star"))
+
+
+@query()
+def trial_sharpe_star_value(s, d):
+    return validation.trial_sharpe_star(validation.moments_of(view(s, d, "strategy_returns"))).select("family_id", "sharpe_star")
+
+
+@query("""WITH m AS (SELECT strategy_id, count(*) AS t, avg(ret) AS m, var_pop(ret) AS v, stddev_samp(ret) AS sd FROM strategy_returns GROUP BY 1),
+x AS (SELECT r.strategy_id, any_value(t) AS t, any_value(CASE WHEN sd > 1e-12 THEN m / sd * sqrt(365) ELSE 0 END) AS sharpe, avg((ret - m) ** 3) / any_value(v) ** 1.5 AS skew, avg((ret - m) ** 4) / any_value(v) ** 2 AS kurt FROM strategy_returns r JOIN m ON r.strategy_id = m.strategy_id GROUP BY 1)
+SELECT strategy_id, t, round(sharpe, 6) AS sharpe, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(greatest(1e-12, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe), 6) AS spread FROM x""")
+def deflated_sharpe(s, d):
+    x = validation.deflated_sharpe(view(s, d, "strategy_returns"))
+    spread = F.greatest(F.lit(1e-12), 1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) / 4 * F.col("sharpe") * F.col("sharpe"))
+    return r6("sharpe", "skew", "kurt", "spread", df=x.withColumn("spread", spread).select("strategy_id", "t", "sharpe", "skew", "kurt", "spread"))
+
+
+@query()
+def deflated_sharpe_score(s, d):
+    return validation.deflated_sharpe(view(s, d, "strategy_returns")).select("strategy_id", "z", "dsr", "pbo", "is_valid")
+
+
+BLOCKS = "bl AS (SELECT strategy_id, idx, ret, n, CASE WHEN n // 6 = 0 THEN 5 ELSE least(idx // (n // 6), 5) END AS block FROM (SELECT *, count(*) OVER (PARTITION BY strategy_id) AS n FROM strategy_returns) x)"
+COMBOS = "cb AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS split_id, a, b FROM range(6) x(a), range(6) y(b) WHERE a < b)"
+
+
+@query(f"WITH {BLOCKS} SELECT strategy_id, idx, CAST(block AS BIGINT) AS block FROM bl")
+def cpcv_blocks(s, d):
+    return validation.cpcv_blocks(view(s, d, "strategy_returns")).select("strategy_id", "idx", "block")
+
+
+@query(f"""WITH {BLOCKS}, {COMBOS}, bd AS (SELECT strategy_id, block, min(idx) AS s, max(idx) + 1 AS e FROM bl GROUP BY 1, 2),
+m AS (SELECT bl.strategy_id, cb.split_id, idx, CASE WHEN bl.block IN (a, b) THEN 'test' WHEN (idx >= x.s - 5 AND idx < x.s) OR (idx >= y.s - 5 AND idx < y.s) THEN 'purged'
+  WHEN (idx >= x.e AND idx < x.e + 5) OR (idx >= y.e AND idx < y.e + 5) THEN 'embargoed' ELSE 'train' END AS role
+  FROM bl CROSS JOIN cb LEFT JOIN bd x ON x.strategy_id = bl.strategy_id AND x.block = a LEFT JOIN bd y ON y.strategy_id = bl.strategy_id AND y.block = b)
+SELECT strategy_id, split_id, role, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM m GROUP BY 1, 2, 3""")
+def cpcv_splits(s, d):
+    x = validation.cpcv_splits(view(s, d, "strategy_returns"))
+    return x.groupBy("strategy_id", "split_id", "role").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+
+
+PATHS = f"{BLOCKS}, {COMBOS}, pa AS (SELECT strategy_id, split_id, CASE WHEN stddev_samp(ret) > 1e-6 THEN avg(ret) / stddev_samp(ret) * sqrt(365) ELSE 0 END AS sharpe FROM bl JOIN cb ON block IN (a, b) GROUP BY 1, 2 HAVING count(*) > 5)"
+
+
+@query(f"WITH {PATHS} SELECT strategy_id, split_id, round(sharpe, 6) AS sharpe FROM pa")
+def cpcv_path_sharpe(s, d):
+    return r6("sharpe", df=validation.cpcv_path_sharpe(view(s, d, "strategy_returns")))
+
+
+@query(f"WITH {PATHS} SELECT strategy_id, round(avg(CASE WHEN sharpe <= 0 THEN 1.0 ELSE 0 END), 6) AS pbo FROM pa GROUP BY 1")
+def path_pbo(s, d):
+    return r6("pbo", df=validation.path_pbo(validation.cpcv_path_sharpe(view(s, d, "strategy_returns"))))
+
+
+@query(f"""WITH {PATHS}, p AS (SELECT strategy_id, avg(CASE WHEN sharpe <= 0 THEN 1.0 ELSE 0 END) AS pbo FROM pa GROUP BY 1), g AS (SELECT strategy_id, pbo, 1 - pbo * CAST(0.5 AS DOUBLE) AS dsr FROM p)
+SELECT strategy_id, round(pbo, 6) AS pbo, printf('Strategy failed overfitting verification gate: PBO=%.4f (must be < 0.10), DSR=%.4f (must be >= 0.95).', pbo, dsr) AS message FROM g WHERE pbo >= CAST(0.1 AS DOUBLE) OR dsr < CAST(0.95 AS DOUBLE)""")
+def overfit_gate(s, d):
+    records = validation.path_pbo(validation.cpcv_path_sharpe(view(s, d, "strategy_returns"))).withColumn("dsr", 1 - F.col("pbo") * 0.5)
+    return r6("pbo", df=validation.overfit_gate(records).select("strategy_id", "pbo", "message"))
+
+
+# ---- ledger
+
+KEEP = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+SIGNED = "CASE WHEN event_type = 'ORDER_EXECUTED' THEN CASE WHEN side = 'BUY' THEN units ELSE -units END ELSE 0 END"
+LEDGER = f"""h AS (SELECT *, {SIGNED} AS su, max(CASE WHEN event_type = 'ORDER_EXECUTED' THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio_id, symbol ORDER BY ts, event_id {KEEP}) AS has FROM ledger),
+u AS (SELECT *, sum(su) OVER w AS pu, coalesce(last_value(CASE WHEN event_type = 'ORDER_EXECUTED' OR (event_type = 'MARKET_TICK' AND has = 1) THEN price END IGNORE NULLS) OVER w, 0) AS pp,
+  sum(CASE WHEN event_type = 'YIELD_ACCRUED' AND has = 1 THEN amount ELSE 0 END) OVER w AS ay FROM h WINDOW w AS (PARTITION BY portfolio_id, symbol ORDER BY ts, event_id {KEEP})),
+v AS (SELECT *, CASE WHEN has = 1 THEN pu * pp ELSE 0 END AS notional, CASE event_type WHEN 'ORDER_EXECUTED' THEN -su * price - fee WHEN 'YIELD_ACCRUED' THEN amount ELSE 0 END AS dc FROM u),
+vv AS (SELECT *, notional - coalesce(lag(notional) OVER (PARTITION BY portfolio_id, symbol ORDER BY ts, event_id), 0) AS dn FROM v),
+st AS (SELECT *, {CASH} + sum(dc) OVER p AS cash, {CASH} + sum(dc + dn) OVER p AS equity, sum(CASE WHEN sequence > 0 THEN 1 ELSE 0 END) OVER p AS g FROM vv WINDOW p AS (PARTITION BY portfolio_id ORDER BY ts, event_id {KEEP})),
+ss AS (SELECT *, CASE WHEN g > 0 THEN first_value(sequence) OVER q + row_number() OVER q - 1 ELSE row_number() OVER q END AS event_sequence FROM st WINDOW q AS (PARTITION BY portfolio_id, g ORDER BY ts, event_id))"""
+
+
+@query(f"WITH {LEDGER} SELECT portfolio_id, event_id, symbol, round(pu, 6) AS position_units, round(pp, 6) AS position_price, round(ay, 6) AS accrued_yield, round(notional, 6) AS notional FROM v WHERE has = 1 AND event_type <> 'DERIVATIVES_METRICS'")
+def position_ledger(s, d):
+    names = ("position_units", "position_price", "accrued_yield", "notional")
+    return r6(*names, df=ledger.position_ledger(view(s, d, "ledger")).select("portfolio_id", "event_id", "symbol", *names))
+
+
+def states(s, d):
+    return ledger.portfolio_state(view(s, d, "ledger"), CASH)
+
+
+@query(f"WITH {LEDGER} SELECT portfolio_id, event_id, round(cash, 6) AS cash, round(equity, 6) AS equity, CAST(event_sequence AS BIGINT) AS event_sequence FROM ss")
+def portfolio_state(s, d):
+    return states(s, d).select("portfolio_id", "event_id", F.round("cash", 6).alias("cash"), F.round("equity", 6).alias("equity"), "event_sequence")
+
+
+FINAL = f"""{LEDGER}, lastp AS (SELECT portfolio_id, symbol, arg_max(pu, struct_pack(ts := ts, e := event_id)) AS units, arg_max(pp, struct_pack(ts := ts, e := event_id)) AS price, arg_max(ay, struct_pack(ts := ts, e := event_id)) AS ay, max(has) AS has FROM v GROUP BY 1, 2),
+mk AS (SELECT portfolio_id, max(struct_pack(ts := ts, e := event_id)) FILTER (event_type IN ('MARKET_TICK', 'ORDER_EXECUTED')) AS m FROM v GROUP BY 1), me AS (SELECT st.portfolio_id, equity AS marked FROM st JOIN mk ON st.portfolio_id = mk.portfolio_id AND st.ts = mk.m.ts AND st.event_id = mk.m.e),
+ps AS (SELECT l.portfolio_id, symbol, units, price, ay, units * price AS notional, marked FROM lastp l JOIN me ON l.portfolio_id = me.portfolio_id WHERE has = 1)"""
+
+
+@query(f"WITH {FINAL} SELECT portfolio_id, symbol, round(units, 6) AS units, round(price, 6) AS price, round(ay, 6) AS accrued_yield, round(notional, 4) AS notional FROM ps")
+def state_at(s, d):
+    x = r6("units", "price", "accrued_yield", df=ledger.state_at(view(s, d, "ledger"), CASH))
+    return x.select("portfolio_id", "symbol", "units", "price", "accrued_yield", F.round("notional", 4).alias("notional"))
+
+
+@query(f"WITH {FINAL} SELECT portfolio_id, symbol, round(notional, 4) AS notional, round(CASE WHEN marked > 0 THEN notional / marked ELSE 0 END, 8) AS weight FROM ps")
+def position_weights(s, d):
+    x = ledger.position_weights(view(s, d, "ledger"), CASH)
+    return x.select("portfolio_id", "symbol", F.round("notional", 4).alias("notional"), F.round("weight", 8).alias("weight"))
+
+
+@query(f"""WITH t AS (SELECT *, price / lag(price) OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1 AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS n FROM ledger WHERE event_type = 'MARKET_TICK')
+SELECT symbol, event_id, round(CASE WHEN n > 5 THEN stddev_samp(r) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN 28 PRECEDING AND CURRENT ROW) * sqrt(365) ELSE CAST(0.3 AS DOUBLE) END, 6) AS realized_vol FROM t""")
+def realized_vol_30(s, d):
+    return r6("realized_vol", df=signals.realized_vol_30(view(s, d, "ledger").where("event_type = 'MARKET_TICK'")).select("symbol", "event_id", "realized_vol"))
+
+
+DAILY = f"""{LEDGER}, nn AS (SELECT *, count(*) OVER (PARTITION BY portfolio_id) AS n FROM st), dl AS (SELECT portfolio_id, CAST(row_number() OVER (PARTITION BY portfolio_id ORDER BY ts, event_id) AS BIGINT) AS snapshot, equity FROM nn WHERE sequence % 6 = 5 OR sequence = n - 1
+UNION ALL SELECT DISTINCT portfolio_id, CAST(0 AS BIGINT), CAST({CASH} AS DOUBLE) FROM st), dr2 AS (SELECT *, equity / nullif(lag(equity) OVER (PARTITION BY portfolio_id ORDER BY snapshot), 0) - 1 AS ret FROM dl)"""
+
+
+@query(f"WITH {DAILY} SELECT portfolio_id, snapshot, round(equity, 6) AS equity FROM dl")
+def daily_equity(s, d):
+    return ledger.daily_equity(states(s, d), CASH).withColumn("equity", F.round("equity", 6))
+
+
+@query(f"WITH {DAILY} SELECT portfolio_id, snapshot, CASE WHEN ret = 0 THEN 0 ELSE round(ret, 8) END AS ret FROM dr2 WHERE ret IS NOT NULL")
+def daily_returns(s, d):
+    return ledger.daily_returns(ledger.daily_equity(states(s, d), CASH)).select("portfolio_id", "snapshot", F.when(F.col("ret") == 0, 0.0).otherwise(F.round("ret", 8)).alias("ret"))
+
+
+DRAW = f"{DAILY}, pk AS (SELECT *, greatest({CASH}, max(equity) OVER (PARTITION BY portfolio_id ORDER BY ts, event_id {KEEP})) AS peak FROM st)"
+
+
+@query(f"WITH {DRAW} SELECT portfolio_id, event_id, CASE WHEN equity = peak THEN 0 ELSE round((equity - peak) / peak, 8) END AS drawdown FROM pk")
+def drawdown(s, d):
+    return ledger.drawdown(states(s, d), CASH).select("portfolio_id", "event_id", F.when(F.col("drawdown") == 0, 0.0).otherwise(F.round("drawdown", 8)).alias("drawdown"))
+
+
+@query(f"""WITH {DRAW}, a AS (SELECT portfolio_id, count(*) AS n_events, arg_max(equity, struct_pack(ts := ts, e := event_id)) AS fe, epoch(max(ts)) - epoch(min(ts)) AS secs, least(0, min((equity - peak) / peak)) AS dd FROM pk GROUP BY 1),
+b AS (SELECT portfolio_id, coalesce(stddev_samp(ret) * sqrt(365), 0) AS vol FROM dr2 GROUP BY 1), c AS (SELECT a.*, vol, (fe - {CASH}) / {CASH} AS tot FROM a JOIN b USING (portfolio_id)),
+f AS (SELECT *, CASE WHEN tot > -1 THEN (1 + tot) ** (365 / greatest(1, secs / 86400)) - 1 ELSE -1 END AS ann FROM c)
+SELECT portfolio_id, n_events, round(fe, 6) AS final_equity, round(tot * 100, 6) AS total_return_pct, round(ann * 100, 6) AS annualized_return_pct, round(vol * 100, 6) AS annualized_volatility_pct, round(CASE WHEN vol > 1e-6 THEN ann / vol ELSE 0 END, 6) AS sharpe_ratio, round(dd * 100, 6) AS max_drawdown_pct FROM f""")
+def backtest_summary(s, d):
+    x = ledger.backtest_summary(states(s, d), CASH)
+    return r6("total_return_pct", "annualized_return_pct", "annualized_volatility_pct", "sharpe_ratio", "max_drawdown_pct", df=x).withColumn("final_equity", F.round("final_equity", 6))
+
+
+# ---- grouped maps, learning, streams
+
+
+@query()
+def strategy_replay(s, d):
+    policies = [replay.Policy(0, rebalance=False), *[replay.Policy(i, target_vol=0.05 * i) for i in range(1, 5)]]
+    return replay.strategy_replay(view(s, d, "ledger"), policies, CASH)
+
+
+@query(f"WITH {LEDGER} SELECT portfolio_id, round(arg_max(equity, struct_pack(ts := ts, e := event_id)), 6) AS final_equity, count(*) AS n_events FROM st GROUP BY 1")
+def strategy_replay_idle(s, d):
+    """Policies that never trade end where portfolio_state does."""
+    x = replay.strategy_replay(view(s, d, "ledger"), [replay.Policy(0, rebalance=False)], CASH)
+    return x.select("portfolio_id", F.round("final_equity", 6).alias("final_equity"), "n_events")
+
+
+@query()
+def regime_model_scores(s, d):
+    rows = view(s, d, "regime_features")
+    return regime_model.classify(rows, regime_model.train(rows)).select("obs", "regime", "p_bull", "p_bear", "p_consolidation", "gamma")
+
+
+QUERIES["regime_model"] = QUERIES.pop("regime_model_scores")
+
+
+def streamed(s, d, make, key: str) -> DataFrame:
+    """Runs a stream over the event log to its end and returns the last state of each key."""
+    import uuid
+
+    from foliospark.sources.views import VIEWS
+
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="spark-")
+    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    source = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    log = s.sql(VIEWS["ledger"], events=source).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.withColumn("_batch", F.lit(n)).write.mode("append").parquet(f"{place}/out")
+
+    make(log).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    out = s.read.parquet(f"{place}/out")
+    rest = [c for c in out.columns if c not in (key, "_batch")]
+    return out.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("x")).select(key, "x.*")
+
+
+@query(f"WITH {LEDGER} SELECT portfolio_id, round(arg_max(cash, struct_pack(ts := ts, e := event_id)), 6) AS cash, round(arg_max(equity, struct_pack(ts := ts, e := event_id)), 6) AS equity, count(*) AS n_events FROM st GROUP BY 1")
+def stream_portfolio_state(s, d):
+    x = streamed(s, d, lambda log: streams.stream_portfolio_state(log, CASH), "portfolio_id")
+    return x.select("portfolio_id", F.round("cash", 6).alias("cash"), F.round("equity", 6).alias("equity"), "n_events")
+
+
+@query()
+def stream_market_cache(s, d):
+    return streamed(s, d, streams.stream_market_cache, "symbol")
