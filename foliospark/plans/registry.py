@@ -431,17 +431,17 @@ def daily_equity(s, d):
     return ledger.daily_equity(states(s, d), CASH).withColumn("equity", F.round("equity", 6))
 
 
-@query(f"WITH {DAILY} SELECT portfolio_id, snapshot, CASE WHEN ret = 0 THEN 0 ELSE round(ret, 8) END AS ret FROM dr2 WHERE ret IS NOT NULL")
+@query(f"WITH {DAILY} SELECT portfolio_id, snapshot, CASE WHEN abs(ret) < 1e-8 THEN 0 ELSE round(ret, 8) END AS ret FROM dr2 WHERE ret IS NOT NULL")
 def daily_returns(s, d):
-    return ledger.daily_returns(ledger.daily_equity(states(s, d), CASH)).select("portfolio_id", "snapshot", F.when(F.col("ret") == 0, 0.0).otherwise(F.round("ret", 8)).alias("ret"))
+    return ledger.daily_returns(ledger.daily_equity(states(s, d), CASH)).select("portfolio_id", "snapshot", F.when(F.abs("ret") < 1e-8, 0.0).otherwise(F.round("ret", 8)).alias("ret"))
 
 
 DRAW = f"{DAILY}, pk AS (SELECT *, greatest({CASH}, max(equity) OVER (PARTITION BY portfolio_id ORDER BY ts, event_id {KEEP})) AS peak FROM st)"
 
 
-@query(f"WITH {DRAW} SELECT portfolio_id, event_id, CASE WHEN equity = peak THEN 0 ELSE round((equity - peak) / peak, 8) END AS drawdown FROM pk")
+@query(f"WITH {DRAW} SELECT portfolio_id, event_id, CASE WHEN abs(equity - peak) < 1e-8 * peak THEN 0 ELSE round((equity - peak) / peak, 8) END AS drawdown FROM pk")
 def drawdown(s, d):
-    return ledger.drawdown(states(s, d), CASH).select("portfolio_id", "event_id", F.when(F.col("drawdown") == 0, 0.0).otherwise(F.round("drawdown", 8)).alias("drawdown"))
+    return ledger.drawdown(states(s, d), CASH).select("portfolio_id", "event_id", F.when(F.abs("drawdown") < 1e-8, 0.0).otherwise(F.round("drawdown", 8)).alias("drawdown"))
 
 
 @query(f"""WITH {DRAW}, a AS (SELECT portfolio_id, count(*) AS n_events, arg_max(equity, struct_pack(ts := ts, e := event_id)) AS fe, epoch(max(ts)) - epoch(min(ts)) AS secs, least(0, min((equity - peak) / peak)) AS dd FROM pk GROUP BY 1),
