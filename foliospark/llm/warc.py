@@ -42,6 +42,13 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.when(path == "", F.lit("/")).otherwise(path))
 
 
+def base32(hexadecimal: Column) -> Column:
+    """Base32 of 40 hexadecimal digits: eight letters for every five bytes."""
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    groups = [F.conv(F.substring(hexadecimal, 10 * g + 1, 10), 16, 10).cast("long") for g in range(4)]
+    return F.concat(*[F.substring(letters, F.shiftright(x, 35 - 5 * k).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for x in groups for k in range(8)])
+
+
 def record_id(page_id: int | None) -> str:
     h = f"{NULL_ID if page_id is None else page_id & ((1 << 64) - 1):032x}"
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
@@ -52,13 +59,13 @@ def page_of(rid: str) -> int | None:
     return None if n == NULL_ID else n - (1 << 64) if n >> 63 else n
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    body = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}"]
+def record(page_id: int | None, url: str | None, digest: str, size: int, payload: bytes | None, refers_to: int | None = None) -> bytes:
+    """A response with its payload, or, if payload is None, a revisit of the record that it refers to."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    body = http + (payload or b"")
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: {record_id(page_id)}"]
     head += [f"WARC-Target-URI: {''.join(c if c > ' ' else '%20' for c in url or '')}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
-    if revisit:
+    if payload is None:
         head += [f"WARC-Refers-To: {record_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
@@ -69,6 +76,23 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def responses(pages: DataFrame) -> DataFrame:
+    """(key, page_id, url, html) -> key, page_id, url, digest, size and the response record, deflated: what
+    travels from here on is a fraction of the html."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, sizes, members = [], [], []
+            for i, url, html in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                payload = html.as_py().encode()
+                digests.append(base64.b32encode(hashlib.sha1(payload).digest()).decode())
+                sizes.append(len(payload))
+                members.append(member(record(i, url, digests[-1], len(payload), payload)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary())], ["key", "page_id", "url", "digest", "size", "member"])
+
+    return pages.select("key", "page_id", "url", "html").mapInArrow(run, "key string, page_id long, url string, digest string, size long, member binary")
+
+
 def headers(block: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in block.decode().split("\r\n")[1:])}
 
@@ -94,11 +118,13 @@ def write_archives(pages: DataFrame) -> DataFrame:
     folder = new_path(spark, "warc")
     fs, root = shared_file(folder)
     fs.create_dir(root, recursive=True)
-    payload = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    hashed = payload.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    repeated = hashed.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = hashed.join(repeated, "digest", "left").withColumn("key", url_key(F.col("url")))
-    ordered = known.select("key", "page_id", "url", "html", "response").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    made = responses(pages.select(url_key(F.col("url")).alias("key"), "page_id", "url", F.coalesce("html", F.lit("")).alias("html")))
+    digests = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha1"))
+    # which payloads repeat is found on the digests alone
+    repeated = digests.groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select(base32(F.col("sha1")).alias("digest"), "response")
+    known = made.join(repeated, "digest", "left").withColumn("revisit", F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")))
+    known = known.withColumn("member", F.when(~F.col("revisit"), F.col("member")))
+    ordered = known.select("key", "page_id", "url", "digest", "size", "member", "response").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -116,9 +142,9 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
         with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             for b in batches:
-                for key, i, url, html, response in zip(*(c.to_pylist() for c in b.columns)):
-                    revisit = response is not None and i != response
-                    data = member(record(i, url, html.encode(), response, revisit))
+                for key, i, url, digest, size, data, response in zip(*(c.to_pylist() for c in b.columns)):
+                    if data is None:
+                        data = member(record(i, url, digest, size, None, response))
                     out.write(data)
                     lines.append((key.replace("\t", "%09").replace("\n", "%0A"), i, at, len(data)))
                     at += len(data)
