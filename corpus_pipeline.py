@@ -19,10 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; lines found in ten or more go. n_chars follows the text."""
-    done = linededup.line_dedup(docs).withColumn("text", F.when(F.col("text").isNotNull(), linededup.kept_text()))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast("long"))
-    return done.select(*docs.columns)
+    text = F.when(F.col("doc.text").isNotNull(), linededup.kept_text())
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return linededup.line_dedup(docs).select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,27 +87,29 @@ class LineRuns:
                 discard(gone)
 
 
-def drop_frequent_lines(docs: DataFrame, frequent: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `_lines`, `_drop` (positions of frequent lines, NULL for none).
+def drop_frequent_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """docs (doc_id, text, any others) -> doc (the whole row as a struct, so no name can clash) and drop (the
+    positions of its frequent lines, NULL for none).
 
     Only (row key, position, hash) travels to the frequent lines; the texts are shuffled once, to meet the
     positions of their row. The row key is the id and a hash of the text, so equal rows share one result.
     """
-    keyed = docs.withColumn("_row", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64(F.lit(2), text).alias("t")))
-    hashes = F.transform(lines_of(F.col(text)), lambda x: hash_pair(line_key(x)))
-    at = keyed.select("_row", F.posexplode(hashes).alias("pos", "h")).select("_row", "pos", "h.h1", "h.h2")
-    drops = at.join(frequent, ["h1", "h2"], "left_semi").groupBy("_row").agg(F.collect_set("pos").alias("_drop"))
-    return keyed.join(drops, "_row", "left").drop("_row")
+    key = F.struct(F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64(F.lit(2), "doc.text").alias("t"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("row", key)
+    hashes = F.transform(lines_of(F.col("doc.text")), lambda x: hash_pair(line_key(x)))
+    at = keyed.select("row", F.posexplode(hashes).alias("pos", "h")).select("row", "pos", "h.h1", "h.h2")
+    drops = at.join(frequent, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_set("pos").alias("drop"))
+    return keyed.join(drops, "row", "left").drop("row")
 
 
-def kept_text(text: str = "text") -> Column:
-    lines = lines_of(F.col(text))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_drop", i))
-    return F.when(F.col("_drop").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n"))
+def kept_text() -> Column:
+    """The text of a row of line_dedup() without its frequent lines."""
+    kept = F.filter(lines_of(F.col("doc.text")), lambda x, i: ~F.array_contains("drop", i))
+    return F.when(F.col("drop").isNull(), F.coalesce(F.col("doc.text"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
 
 
 def line_dedup(docs: DataFrame, batches: int = 3, min_docs: int = 10, min_chars: int = 1, fanout: int = 2) -> DataFrame:
-    """Feeds docs to the runs in batches and returns them with _drop and kept_text's inputs."""
+    """Feeds docs to the runs in batches; returns what drop_frequent_lines() does."""
     runs = LineRuns(docs.sparkSession, min_docs, min_chars, fanout)
     for k in range(batches):
         runs.add(docs.where(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(batches)), F.lit(0)) == k))
@@ -117,9 +119,9 @@ def line_dedup(docs: DataFrame, batches: int = 3, min_docs: int = 10, min_chars:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
-        "doc_id",
-        F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        "doc.doc_id",
+        F.size(lines_of(F.col("doc.text"))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.sha2(kept_text().cast("binary"), 256).alias("kept_sha256"),
     )
 

@@ -127,18 +127,16 @@ def _few(sources: DataFrame, limit: int = 2000) -> bool:
 def mixed_rows(docs: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: a document appears once per whole pass, and once more, cut to its picked words, if
     the partial pass takes some. Columns as those of docs; n_chars, if there, follows the text."""
-    names = docs.columns
-    keyed = docs.withColumn("_t", F.xxhash64(F.lit(seed), "text"))
-    own = plan.where("taken > 0").select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u"), F.col("source").alias("_src"), "shard", "n_blocks", "picked", "block", "_from", "size", "passes", "partial")
-    own = own.dropDuplicates(["_d", "_u", "_src"])
-    both = keyed.join(own, keyed["doc_id"].eqNullSafe(own["_d"]) & (keyed["_t"] == own["_u"]) & keyed["source"].eqNullSafe(own["_src"]))
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("_u", F.xxhash64(F.lit(seed), "doc.text"))
+    rule = F.min(F.struct("_from", "shard", "n_blocks", "picked", "block", "size", "passes", "partial")).alias("p")  # repeated rows share one
+    own = plan.where("taken > 0").groupBy("doc_id", "_t", "source").agg(rule).select("doc_id", "_t", "source", "p.*")
+    both = keyed.join(own, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_u") == F.col("_t")) & F.col("doc.source").eqNullSafe(F.col("source")))
+    words = F.regexp_extract_all("doc.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.filter(words, lambda x, i: block_picked(F.floor((F.col("_from") + i) / F.col("block")), seed)), "")
-    copies = F.concat(F.array_repeat(F.col("text"), F.col("passes").cast("int")), F.when(F.col("partial") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    out = both.withColumn("text", F.explode(copies))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*names)
+    copies = F.concat(F.array_repeat(F.col("doc.text"), F.col("passes").cast("int")), F.when(F.col("partial") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
+    out = both.select("doc", F.explode(copies).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
