@@ -59,7 +59,7 @@ def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int
     spark = vectors.sparkSession
     index = stash(top_ids(vectors, k + 1), "mih-codes")
     n = index.count()
-    m = m or max(2, round(bits / max(8.0, math.log2(max(n, 2)))))
+    m = m or max(2, int(bits / max(8.0, math.log2(max(n, 2)))))  # segments of log2 n bits or more: about one code per value
     entries = stash(index.select("code", F.explode(segments(F.col("code"), bits, m)).alias("s")).select("s.seg", "s.value", "code"), "mih-index")
     open_ = stash(queries.select("code").distinct(), "mih-open")
     found, done = None, []
