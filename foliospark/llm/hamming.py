@@ -60,7 +60,7 @@ def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int
     index = stash(top_ids(vectors, k + 1), "mih-codes")
     n = index.count()
     m = m or max(2, int(bits / max(8.0, math.log2(max(n, 2)))))  # segments of log2 n bits or more: about one code per value
-    entries = stash(index.select("code", F.explode(segments(F.col("code"), bits, m)).alias("s")).select("s.seg", "s.value", "code"), "mih-index")
+    entries = stash(index.select("code", F.get("ids", F.lit(0)).alias("first"), F.explode(segments(F.col("code"), bits, m)).alias("s")).select("s.seg", "s.value", "code", "first"), "mih-index")
     open_ = stash(queries.select("code").distinct(), "mih-open")
     found, done = None, []
     for radius in range(max(width for _, width in cuts(bits, m)) + 1):
@@ -70,10 +70,11 @@ def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int
             .join(F.broadcast(flips).withColumnRenamed("seg", "_g"), F.col("s.seg") == F.col("_g"))  # at most m C(width, radius) rows
             .select("q", F.col("s.seg").alias("seg"), F.col("s.value").bitwiseXOR(F.col("mask")).alias("value"))
         )
-        hits = probes.join(entries, ["seg", "value"]).select("q", "code").distinct().withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("long"))
-        # of the verified codes only those that can be among the best k + 1 rows stay
+        hits = probes.join(entries, ["seg", "value"]).select("q", "code", "first").distinct().withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("long"))
+        # the best k + 1 rows are rows of the k + 1 codes with the smallest (distance, first id): however many
+        # codes tie, no more stay, and each task drops the rest before the shuffle
         every = hits if found is None else hits.unionByName(found).distinct()
-        nearest = every.withColumn("_r", F.rank().over(W.partitionBy("q").orderBy("distance"))).where(F.col("_r") <= k + 1).drop("_r")
+        nearest = every.withColumn("_r", F.row_number().over(W.partitionBy("q").orderBy("distance", "first"))).where(F.col("_r") <= k + 1).drop("_r")
         best = stash(nearest, f"mih-found-{radius}")
         covered = m * (radius + 1) - 1
         rows = best.join(index.select("code", F.size("ids").alias("rows")), "code").groupBy("q").agg(F.sum(F.when(F.col("distance") <= covered, F.col("rows")).otherwise(0)).alias("sure"), F.count("*").alias("codes"))
