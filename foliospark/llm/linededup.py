@@ -96,7 +96,7 @@ def drop_frequent_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """
     key = F.struct(F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64(F.lit(2), "doc.text").alias("t"))
     keyed = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("row", key)
-    hashes = F.transform(lines_of(F.col("doc.text")), lambda x: hash_pair(line_key(x)))
+    hashes = F.transform(F.transform(lines_of(F.col("doc.text")), line_key), hash_pair)
     at = keyed.select("row", F.posexplode(hashes).alias("pos", "h")).select("row", "pos", "h.h1", "h.h2")
     drops = at.join(frequent, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_set("pos").alias("drop"))
     return keyed.join(drops, "row", "left").drop("row")
