@@ -378,6 +378,30 @@ def test_damaged_record_is_noticed():
         warc.parse(data[:-4])
 
 
+def test_neighbours_are_found_across_partitions(spark):
+    """Pairs of like texts, far apart in files and partitions, are laid side by side, whatever the layout."""
+    r = np.random.default_rng(4)
+    bases = [r.integers(0, 10**6, 150) for _ in range(40)]
+    text = lambda i: " ".join(f"q{x}" for x in np.append(bases[i % 40], r.integers(0, 10**6, 15)))
+    rows = [(i, text(i)) for i in range(80)]
+    results = []
+    for order, parts in ((rows, 4), (rows[::-1], 7)):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartitionByRange(parts, "doc_id")
+        results.append(sorted(map(tuple, packing.pack_documents(docs).collect())))
+    assert results[0] == results[1]
+    starts = sorted((p[5], p[6], p[0]) for p in results[0] if p[1] == 0)
+    order = [d for _, _, d in starts]
+    assert sum(a % 40 == b % 40 for a, b in zip(order, order[1:])) >= 30
+
+
+def test_every_term_is_scored():
+    """A query with more than 12 heavy ids of its own still finds the document that shares its light ones."""
+    docs = [np.array(d, "<u2") for d in ([*range(100, 120), 7, 8, 0], [9, 10, 0], [7, 8, 0])]
+    idf = np.zeros(1 << 16)
+    idf[100:120], idf[7:11] = 9.0, 1.0
+    assert packing.Bm25(docs, idf, 10).nearest_unused(0, np.array([False, True, True])) == 2
+
+
 # ---- pipeline
 
 
