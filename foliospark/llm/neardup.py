@@ -1,6 +1,6 @@
 """Near-duplicate documents: MinHash bands propose, odd sketches screen, full shingle sets confirm.
 
-A document is its set of distinct 4-word shingles (64-bit hashes). Equal sets are one node, so copies are never
+A document is its set of distinct shingles (64-bit hashes) of `words` words: 4 in op3, 5 where copies are removed. Equal sets are one node, so copies are never
 paired. 200 MinHash values give 40 bands of 5, which miss a pair at similarity 0.8 with a chance of 1e-7; their
 parities, folded into a bitmap of 512 bits, make an odd sketch. The XOR population count of two sketches
 estimates high similarities closely: a pair is dropped only beyond `SCREEN`, five standard deviations past
@@ -12,8 +12,8 @@ Links are found in two steps, so that no group of n members makes n * n rows:
    in blocks of `BLOCK` members, a pair of blocks per task. A block task works from the closest pair on, skips
    what it has already joined and returns at most one link per member. Nothing is capped.
 
-Defined results: NULL, empty or blank text has no shingles and is its own component; up to three words are one
-shingle; repeated rows and equal sets share a component; a NULL id is never a component's name.
+Defined results: NULL, empty or blank text has no shingles and is its own component; fewer words than a shingle
+holds are one shingle; repeated rows and equal sets share a component; a NULL id is never a component's name.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import discard, read, stash
 
-WORDS, BANDS, ROWS = 4, 40, 5
+WORDS, STAGE_WORDS, BANDS, ROWS = 4, 5, 40, 5
 HASHES = BANDS * ROWS
 SKETCH = 512
 SCREEN = 120
@@ -89,7 +89,7 @@ def bands(low: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def profile(docs: DataFrame) -> DataFrame:
+def profile(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, set_hash, sketch, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def profile(docs: DataFrame) -> DataFrame:
         for b in batches:
             n, key, sketch, band = [], [], [], []
             for t in b.column(1):
-                s = shingles(t.as_py(), hashes)
+                s = shingles(t.as_py(), hashes, words)
                 n.append(len(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 low = signature(s) if len(s) else None
@@ -109,13 +109,13 @@ def profile(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sketch array<long>, bands array<long>")
 
 
-def shingle_rows(docs: DataFrame) -> DataFrame:
+def shingle_rows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(id, text) -> id, s: the full sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sets = [shingles(t.as_py(), hashes).view(np.int64) for t in b.column(1)]
+            sets = [shingles(t.as_py(), hashes, words).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, s array<long>")
@@ -204,9 +204,9 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("band", "_i", "_j").applyInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
-    profiles = stash(profile(docs), "nd-profiles")
+    profiles = stash(profile(docs, words), "nd-profiles")
     nodes = profiles.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("node"))
     nodes = stash(nodes, "nd-nodes")
     ids = nodes.select(F.col("node").alias("id")).distinct()
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     members = stash(placed.join(buckets, "band"), "nd-members")
     candidates = members.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(candidates, "id", "left_semi")
-    sets = stash(shingle_rows(texts), "nd-sets", "snappy")
+    sets = stash(shingle_rows(texts, words), "nd-sets", "snappy")
     marks = stash(reps.join(candidates, "id", "left_semi"), "nd-marks")
     sketches = marks.select("id", "sketch")
 
@@ -243,15 +243,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """docs without the near copies: of each component the row with its smallest id stays (repeated rows of
     that id are one document and stay as they are). All columns pass through."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, words=words).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents"), words=4)
 
 
 #: Plain form: every pair that shares a shingle, then the transitive closure.

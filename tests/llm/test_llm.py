@@ -422,6 +422,17 @@ def test_pipeline_stages(spark):
     check_pieces(corpus_pipeline.pack_windows(spark, mixed, SF).collect(), mixed.count())
 
 
+def test_near_copies_stage_takes_five_words(spark, monkeypatch):
+    """Documents that reach 0.8 with four words but not with five stay."""
+    texts = [" ".join(f"w{x}" for x in range(100))] + [" ".join(f"x{x}" if x in cut else f"w{x}" for x in range(100)) for cut in ((20, 60), (50,))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + variants(60, 120, 6, 8))], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    four = {i for i, (_, c) in brute_components(rows).items() if i == c}
+    monkeypatch.setitem(globals(), "sets", lambda t: {tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)} or ({tuple(words(t))} if words(t) else set()))
+    assert kept == {i for i, (_, c) in brute_components(rows).items() if i == c} != four
+
+
 def test_pipeline_stages_on_odd_and_empty_rows(spark):
     for docs in (odd_docs(spark), empty(spark)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
