@@ -3,17 +3,24 @@
 Base spans are the matches of three patterns. Beyond them, every token of `MIN_TOKEN` or more characters of the
 base64 family gets an inferred encoding and three tests: chi-squared uniformity over that alphabet, runs above
 and below the alphabet's middle, and lag-1 serial correlation, joined into one p-value of "looks uniformly
-random". Tokens of letters only are decoys: they are words. For each length class, the cut-off is the least
-p-value at which the expected share of false finds, estimated from the decoys of that class and the shorter
-ones, is at most `fdr`. Counts cover all rows; only a table of (length class, p-value bin) is broadcast.
-
-Defined results: NULL or empty text has no spans (the digest of the empty list); without decoys or candidates
-nothing is added; equal rows get equal spans; a NULL id is kept.
+random". The false finds to control are structured tokens: words, names, paths, numbers. Their null is a fixed
+character model (letter frequencies, runs of one class of characters), so no decoys are needed in the table: the
+likelihood of a token under its uniform alphabet over that under the model is an e-value, whose mean is at most 1
+for what follows the model. The e-values of all tokens go through the e-BH rule, which holds the expected
+share of false finds under `fdr` whatever the dependence. Counts cover all rows; only the cut-off is broadcast.
+
+Limits: tokens under `MIN_TOKEN` characters are not tested; digits alone are as likely under the model as at random,
+and random words of one letter case take more characters to stand out than mixed ones.
+
+Defined results: NULL or empty text has no spans (the digest of the empty list); equal rows get equal spans; a
+NULL id is kept. SQL below states the earlier cut-off, from decoys; the two agree on the given tables, where
+no token outside the patterns is random.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,6 +46,12 @@ ALPHABETS = {
     "base62": DIGITS + LOWER.upper() + LOWER,
     "base64": LOWER.upper() + LOWER + DIGITS + "+/-_",
 }
+#: Letters alone have alphabets of their own, before the others.
+INFERRED = {"lower": LOWER, "upper": LOWER.upper()} | {k: ALPHABETS[k] for k in ("hex", "HEX", "base32", "base36")} | {"letters": LOWER.upper() + LOWER} | {k: ALPHABETS[k] for k in ("base62", "base64")}
+#: The model of structured tokens. Rounded percent of letters a to z in western European prose; the chance
+#: of each class (upper, lower, digit, other) after each.
+LETTERS = (7.8, 1.5, 3.0, 4.2, 13.5, 1.6, 1.8, 3.5, 7.3, 0.4, 0.7, 4.2, 2.6, 7.6, 6.1, 2.3, 0.4, 6.6, 6.8, 7.4, 3.6, 1.2, 1.2, 0.4, 1.2, 0.7)
+AFTER = ((0.50, 0.44, 0.03, 0.03), (0.06, 0.86, 0.04, 0.04), (0.05, 0.05, 0.80, 0.10), (0.20, 0.50, 0.20, 0.10))
 BINS = 100
 #: What a text must hold for a pattern to match at all; spares most texts the pattern.
 NEEDS = {"assign": (":", "="), "access": ("AKIA",), "hex": ()}
@@ -83,18 +96,29 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def infer(tokens: DataFrame) -> DataFrame:
-    """Adds bare (no padding), alphabet, role (1 candidate, 0 decoy; others go) and n."""
+    """Adds bare (no padding), alphabet and n. Every token with an alphabet is tested."""
     bare = F.rtrim(F.col("token"), F.lit("="))
     alphabet = F.lit(None).cast("string")
-    for letters in reversed(list(ALPHABETS.values())):
+    for letters in reversed(list(INFERRED.values())):
         alphabet = F.when(F.translate("bare", letters, "") == "", F.lit(letters)).otherwise(alphabet)
-    word = F.col("bare").rlike("^[A-Za-z]?[a-z]+$") | F.col("bare").rlike("^[A-Z]+$")
-    mixed = F.col("bare").rlike("[0-9]") & F.col("bare").rlike("[A-Za-z]")
-    out = tokens.withColumn("bare", bare).withColumn("alphabet", alphabet).withColumn("role", F.when(word, 0).when(mixed, 1))
-    out = out.where("role IS NOT NULL AND alphabet IS NOT NULL").withColumn("n", F.length("bare").cast("double")).where(F.col("n") >= MIN_TOKEN)
-    # a decoy is measured as what it would have to pass for
-    out = out.withColumn("alphabet", F.when(F.col("role") == 0, F.lit(ALPHABETS["base36"])).otherwise(F.col("alphabet")))
-    return out.withColumn("bare", F.when(F.col("role") == 0, F.lower("bare")).otherwise(F.col("bare")))
+    out = tokens.withColumn("bare", bare).withColumn("alphabet", alphabet).where("alphabet IS NOT NULL")
+    return out.withColumn("n", F.length("bare").cast("double")).where(F.col("n") >= MIN_TOKEN)
+
+
+def evidence(tokens: DataFrame) -> DataFrame:
+    """Adds e: log of the token's likelihood over its alphabet at random, over that under the model."""
+    signs = ALPHABETS["base64"]
+    share = [x / sum(LETTERS) for x in LETTERS]
+    cost = [-math.log(x) for x in share + share + [0.1] * 10 + [0.25] * 4]
+    costs = F.array(*[F.lit(x) for x in cost])
+    steps = F.array(*[F.lit(-math.log(x)) for row in AFTER for x in row])
+    at = F.transform(F.filter(F.split("bare", ""), lambda c: c != ""), lambda c: F.instr(F.lit(signs), c))
+    kind = lambda v: F.when(v <= 26, 0).when(v <= 52, 1).when(v <= 62, 2).otherwise(3)
+    t = tokens.withColumn("at", at).withColumn("kinds", F.transform("at", kind))
+    t = t.withColumn("moves", F.zip_with(F.slice("kinds", 1, F.size("kinds") - 1), F.slice("kinds", 2, F.size("kinds") - 1), lambda a, b: 4 * a + b))
+    total = lambda arr, of: F.aggregate(arr, F.lit(0.0), lambda s, v: s + F.get(of, v))
+    model = total(F.transform("at", lambda v: v - 1), costs) + total(F.col("moves"), steps) + math.log(4)
+    return t.withColumn("e", model - F.col("n") * F.log(F.length("alphabet").cast("double"))).drop("at", "kinds", "moves")
 
 
 def battery(tokens: DataFrame) -> DataFrame:
@@ -124,23 +148,13 @@ def battery(tokens: DataFrame) -> DataFrame:
     return t.withColumn("p", 1 / (1 + F.exp(F.least(F.lit(60.0), 1.5976 * u + 0.07056 * u * u * u))))
 
 
-def binned(tested: DataFrame) -> DataFrame:
-    length_class = F.least(F.lit(12), F.floor(2 * F.log2(F.col("n") / MIN_TOKEN))).cast("int")
-    return tested.withColumn("lc", length_class).withColumn("bin", F.floor(F.col("p") * BINS).cast("int"))
-
-
-def cut_offs(tested: DataFrame, fdr: float) -> DataFrame:
-    """(length class, least bin) from counts over all tokens; at most 13 rows."""
-    counts = tested.groupBy("lc", "bin").agg(F.sum("role").alias("c"), F.sum(1 - F.col("role")).alias("d"))
-    finds = counts.where("c > 0").select("lc", "bin", "c")
-    shorter = counts.select(F.col("lc").alias("l2"), F.col("bin").alias("b2"), "d")  # at most 13 x 101 rows
-    decoys = finds.join(F.broadcast(shorter), F.col("l2") <= F.col("lc"), "left").groupBy("lc", "bin", "c").agg(
-        F.sum(F.when(F.col("b2") >= F.col("bin"), F.col("d")).otherwise(0)).alias("d_at"), F.sum("d").alias("d_all")
-    )
-    down = W.partitionBy("lc").orderBy(F.desc("bin"))
-    every = W.partitionBy("lc")
-    rate = (F.col("d_at") + 1) / (F.col("d_all") + 1) * F.sum("c").over(every) / F.sum("c").over(down)
-    return decoys.withColumn("rate", rate).where((F.col("rate") <= fdr) & (F.col("bin") >= 1)).groupBy("lc").agg(F.min("bin").alias("least"))
+def cut_off(tested: DataFrame, fdr: float) -> DataFrame:
+    """least: the least whole e at which the e-BH rule holds, from counts over all tokens; one row, NULL if none.
+    Values are rounded down to whole e and bounded, so there are at most 301 bins."""
+    counts = tested.groupBy("bin").agg(F.count("*").alias("c"))
+    down = counts.withColumn("k", F.sum("c").over(W.orderBy(F.desc("bin")))).withColumn("m", F.sum("c").over(W.partitionBy()))
+    holds = F.col("bin") + F.log(F.col("k").cast("double")) >= F.log(F.col("m") / fdr)
+    return down.agg(F.min(F.when(holds, F.col("bin"))).alias("least"))
 
 
 def secret_spans(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
@@ -148,11 +162,12 @@ def secret_spans(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     it for spans that the battery adds where no base span lies."""
     scanned = stash(scan(docs), "secret-scan")
     tokens = scanned.where(F.size("tokens") > 0).select("doc_id", "_t", "base", F.explode("tokens").alias("s"))
-    tested = binned(battery(infer(tokens.select("doc_id", "_t", "base", "s.*"))))
-    tested = stash(tested.select("doc_id", "_t", "base", "start", "end", "kind", "role", "lc", "bin"), "secret-tests")
-    cuts = cut_offs(tested, fdr)
+    tested = evidence(battery(infer(tokens.select("doc_id", "_t", "base", "s.*"))))
+    bin_ = F.floor(F.least(F.greatest("e", F.lit(0.0)), F.lit(300.0))).cast("int").alias("bin")
+    tested = stash(tested.select("doc_id", "_t", "base", "start", "end", "kind", "p", bin_), "secret-tests")
+    cut = cut_off(tested, fdr)
     clear = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    added = tested.where((F.col("role") == 1) & clear).join(F.broadcast(cuts), "lc").where(F.col("bin") >= F.col("least"))
+    added = tested.where((F.col("p") * BINS >= 1) & clear).join(F.broadcast(cut), F.col("bin") >= F.col("least"))
     added = added.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_u")).agg(F.collect_set(F.struct("start", "end", "kind")).alias("added"))
     both = scanned.join(added, scanned["doc_id"].eqNullSafe(added["_d"]) & (scanned["_t"] == added["_u"]), "left")
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")

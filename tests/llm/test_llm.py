@@ -231,6 +231,21 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
     assert not any(got[i] for i in got if i >= 100)
 
 
+def test_random_tokens_are_found_without_decoys(spark):
+    """In a few documents and with no letters-only word; letters alone, or with + and /, count as well."""
+    r = np.random.default_rng(6)
+    token = lambda a, n: "".join(r.choice(list(a), n))
+    upper_lower = secrets.LOWER + secrets.LOWER.upper()
+    kinds = [secrets.ALPHABETS["base62"], upper_lower, upper_lower + "+/"]
+    rows = [(i, f"key {token(kinds[i % 3], 44)} end") for i in range(12)]
+    plain = ["getUserNameFromTheDatabaseTable", "/usr/local/lib/python3/site-packages", "2024-01-01-2024-12-31-0001", "Donaudampfschifffahrtsgesellschaft", "internationalisation-und-lokalisierung", "1" * 30]
+    rows += [(100 + i, f"word {t} word") for i, t in enumerate(plain)]
+    got = {x.doc_id: x.spans for x in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(bool(got[i]) for i in range(12)) >= 11 and not any(got[i] for i in got if i >= 100)
+    one = secrets.secret_spans(spark.createDataFrame(rows[:1], "doc_id long, text string")).first()
+    assert [(s.start, s.end) for s in one.spans] == [(4, 48)]
+
+
 def test_secrets_of_odd_rows(spark):
     assert secrets.secret_spans(odd_docs(spark)).count() == odd_docs(spark).count()
     assert secrets.secret_spans(empty(spark)).count() == 0
