@@ -13,8 +13,7 @@ Limits: tokens under `MIN_TOKEN` characters are not tested; digits alone are as
 and random words of one letter case take more characters to stand out than mixed ones.
 
 Defined results: NULL or empty text has no spans (the digest of the empty list); equal rows get equal spans; a
-NULL id is kept. SQL below states the earlier cut-off, from decoys; the two agree on the given tables, where
-no token outside the patterns is random.
+NULL id is kept. Spans cost time in proportion to a text's length, however many it holds.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import read, stash
+from foliospark.llm.common import let, read, stash
 
 #: The patterns of the base kinds, in the order in which ties are listed.
 PATTERNS = {
@@ -53,6 +52,7 @@ INFERRED = {"lower": LOWER, "upper": LOWER.upper()} | {k: ALPHABETS[k] for k in
 LETTERS = (7.8, 1.5, 3.0, 4.2, 13.5, 1.6, 1.8, 3.5, 7.3, 0.4, 0.7, 4.2, 2.6, 7.6, 6.1, 2.3, 0.4, 6.6, 6.8, 7.4, 3.6, 1.2, 1.2, 0.4, 1.2, 0.7)
 AFTER = ((0.50, 0.44, 0.03, 0.03), (0.06, 0.86, 0.04, 0.04), (0.05, 0.05, 0.80, 0.10), (0.20, 0.50, 0.20, 0.10))
 BINS = 100
+SUMS = 256
 #: What a text must hold for a pattern to match at all; spares most texts the pattern.
 NEEDS = {"assign": (":", "="), "access": ("AKIA",), "hex": ()}
 
@@ -66,6 +66,15 @@ def no_spans() -> Column:
     return F.array().cast("array<struct<start:int,end:int,kind:int,token:string>>")
 
 
+def running_sums(x: Column) -> Column:
+    """Running sums of an array of integers, in blocks, so that a long array costs no more than `SUMS` steps an entry."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, v: s + v)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / SUMS).cast("int")), lambda b: total(F.slice(x, b * SUMS + 1, F.lit(SUMS))))
+    before = lambda t: F.transform(t, lambda _, b: total(F.slice(t, F.lit(1), b)))
+    own = lambda i: total(F.slice(x, i - i % SUMS + 1, i % SUMS + 1))
+    return let(let(blocks, before), lambda t: F.transform(x, lambda _, i: F.get(t, F.floor(i / SUMS).cast("int")) + own(i)))
+
+
 def found_spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
     """Spans (start, end, kind, token) of a pattern's matches, in code points. What lies between matches gives
     their places. least: characters that group 1 needs."""
@@ -73,16 +82,16 @@ def found_spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if least else whole
     gaps = F.split(text, pattern, -1)
     zipped = F.arrays_zip(whole.alias("w"), inner.alias("g"), F.slice(gaps, 1, F.size(whole)).alias("b"))
-    blank = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["b"])
-        end = start + F.length(m["w"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), m["w"].alias("token"))
-        add = F.when(F.length(m["g"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), add.alias("out"))
+    def spans(m: Column) -> Column:
+        """m: the matches and the end of each."""
+        one = lambda x, i: F.struct((F.get(m["ends"], i) - F.length(x["w"])).alias("start"), F.get(m["ends"], i).alias("end"), F.lit(kind).alias("kind"), x["w"].alias("token"))
+        every = F.transform(m["z"], lambda x, i: F.struct(one(x, i).alias("s"), F.length(x["g"]).alias("g")))
+        return F.transform(F.filter(every, lambda x: x["g"] >= least), lambda x: x["s"])
 
-    return F.when(F.size(whole) > 0, F.aggregate(zipped, blank, step, lambda acc: acc["out"])).otherwise(blank["out"])
+    ends = lambda z: let(F.transform(z, lambda x: F.length(x["b"]) + F.length(x["w"])), running_sums)
+    found = let(zipped, lambda z: let(F.struct(z.alias("z"), ends(z).alias("ends")), spans))
+    return F.when(F.size(whole) > 0, found).otherwise(no_spans())
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -105,13 +114,16 @@ def infer(tokens: DataFrame) -> DataFrame:
     return out.withColumn("n", F.length("bare").cast("double")).where(F.col("n") >= MIN_TOKEN)
 
 
+#: -log of the model's chance of each sign of ALPHABETS["base64"], and of each step from class to class.
+_SHARE = [x / sum(LETTERS) for x in LETTERS]
+COSTS = [-math.log(x) for x in _SHARE + _SHARE + [0.1] * 10 + [0.25] * 4]
+STEPS = [-math.log(x) for row in AFTER for x in row]
+
+
 def evidence(tokens: DataFrame) -> DataFrame:
     """Adds e: log of the token's likelihood over its alphabet at random, over that under the model."""
     signs = ALPHABETS["base64"]
-    share = [x / sum(LETTERS) for x in LETTERS]
-    cost = [-math.log(x) for x in share + share + [0.1] * 10 + [0.25] * 4]
-    costs = F.array(*[F.lit(x) for x in cost])
-    steps = F.array(*[F.lit(-math.log(x)) for row in AFTER for x in row])
+    costs, steps = F.array(*map(F.lit, COSTS)), F.array(*map(F.lit, STEPS))
     at = F.transform(F.filter(F.split("bare", ""), lambda c: c != ""), lambda c: F.instr(F.lit(signs), c))
     kind = lambda v: F.when(v <= 26, 0).when(v <= 52, 1).when(v <= 62, 2).otherwise(3)
     t = tokens.withColumn("at", at).withColumn("kinds", F.transform("at", kind))
@@ -157,18 +169,30 @@ def cut_off(tested: DataFrame, fdr: float) -> DataFrame:
     return down.agg(F.min(F.when(holds, F.col("bin"))).alias("least"))
 
 
+def clear_of_base(found: DataFrame, scanned: DataFrame) -> DataFrame:
+    """The found spans that no base span of their text overlaps: in the order of places, a span is overlapped if a base
+    span that starts before its end reaches past its start."""
+    row = ["doc_id", "_t"]
+    texts = found.select(*[F.col(c).alias(f"_{c}") for c in row]).distinct()
+    own = scanned.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_t") == F.col("__t")), "left_semi")
+    base = own.select(*row, F.explode("base").alias("s")).select(*row, F.col("s.start").alias("_at"), F.lit(1).alias("_base"), "s.start", "s.end", "s.kind")
+    both = found.select(*row, F.col("end").alias("_at"), F.lit(0).alias("_base"), "start", "end", "kind").unionByName(base)
+    before = W.partitionBy(*row).orderBy("_at", "_base").rowsBetween(W.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("_base") == 1, F.col("end"))).over(before)
+    return both.withColumn("_reach", reach).where((F.col("_base") == 0) & (F.coalesce("_reach", F.lit(0)) <= F.col("start"))).select(*row, "start", "end", "kind")
+
+
 def secret_spans(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     """doc_id, base and spans: arrays of (start, end, kind); kind is a place in PATTERNS, or one past
     it for spans that the battery adds where no base span lies."""
     scanned = stash(scan(docs), "secret-scan")
-    tokens = scanned.where(F.size("tokens") > 0).select("doc_id", "_t", "base", F.explode("tokens").alias("s"))
-    tested = evidence(battery(infer(tokens.select("doc_id", "_t", "base", "s.*"))))
+    tokens = scanned.where(F.size("tokens") > 0).select("doc_id", "_t", F.explode("tokens").alias("s"))
+    tested = evidence(battery(infer(tokens.select("doc_id", "_t", "s.*"))))
     bin_ = F.floor(F.least(F.greatest("e", F.lit(0.0)), F.lit(300.0))).cast("int").alias("bin")
-    tested = stash(tested.select("doc_id", "_t", "base", "start", "end", "kind", "p", bin_), "secret-tests")
+    tested = stash(tested.select("doc_id", "_t", "start", "end", "kind", "p", bin_), "secret-tests")
     cut = cut_off(tested, fdr)
-    clear = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    added = tested.where((F.col("p") * BINS >= 1) & clear).join(F.broadcast(cut), F.col("bin") >= F.col("least"))
-    added = added.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_u")).agg(F.collect_set(F.struct("start", "end", "kind")).alias("added"))
+    random = tested.where(F.col("p") * BINS >= 1).join(F.broadcast(cut), F.col("bin") >= F.col("least")).select("doc_id", "_t", "start", "end", "kind")
+    added = clear_of_base(stash(random, "secret-finds"), scanned).groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_u")).agg(F.collect_set(F.struct("start", "end", "kind")).alias("added"))
     both = scanned.join(added, scanned["doc_id"].eqNullSafe(added["_d"]) & (scanned["_t"] == added["_u"]), "left")
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
     by_start = F.transform(F.concat("base", F.coalesce("added", none)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
@@ -196,45 +220,39 @@ def _places(pattern: str, kind: int, group: int = 0, least: int = 0) -> str:
 
 
 _KINDS = "['assign', 'access', 'hex', 'random']"
-_ALPHABET = "CASE " + " ".join(f"WHEN translate(bare, '{a}', '') = '' THEN '{a}'" for a in ALPHABETS.values()) + " END"
+_ALPHABET = "CASE " + " ".join(f"WHEN translate(bare, '{a}', '') = '' THEN '{a}'" for a in INFERRED.values()) + " END"
+_COSTS, _STEPS = (f"[{', '.join(f'{x!r}::DOUBLE' for x in xs)}]" for xs in (COSTS, STEPS))
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 b AS (
   SELECT doc_id, unnest(list_concat({_places(PATTERNS["assign"], 0, 1, 8)}, list_concat({_places(PATTERNS["access"], 1)}, {_places(PATTERNS["hex"], 2)}))) AS s FROM d
 ), base AS (SELECT doc_id, s.start AS a, s.start + length(s.token) AS z, s.kind AS kind FROM b),
 t0 AS (SELECT doc_id, unnest({_places(TOKEN, 3)}) AS s FROM d),
-t1 AS (SELECT doc_id, s.start AS a, s.start + length(s.token) AS z, rtrim(s.token, '=') AS bare0 FROM t0),
-t2 AS (
-  SELECT *, CASE WHEN regexp_matches(bare0, '^[A-Za-z]?[a-z]+$') OR regexp_matches(bare0, '^[A-Z]+$') THEN 0
-                 WHEN regexp_matches(bare0, '[0-9]') AND regexp_matches(bare0, '[A-Za-z]') THEN 1 END AS role
-  FROM t1 WHERE length(bare0) >= {MIN_TOKEN}
-), t3 AS (SELECT *, CASE WHEN role = 0 THEN lower(bare0) ELSE bare0 END AS bare FROM t2 WHERE role IS NOT NULL),
-t4 AS (SELECT *, CASE WHEN role = 0 THEN '{ALPHABETS["base36"]}' ELSE {_ALPHABET} END AS alphabet, length(bare)::DOUBLE AS n FROM t3),
-t5 AS (SELECT *, length(alphabet)::DOUBLE AS k, list_transform(string_split(bare, ''), lambda c: instr(alphabet, c)::DOUBLE) AS x FROM t4 WHERE alphabet IS NOT NULL),
-t6 AS (
-  SELECT *, list_sum(list_transform(list_distinct(x), lambda v: len(list_filter(x, lambda y: y = v))::DOUBLE ** 2)) AS squares,
-         list_transform(x, lambda v: (v > k / 2)::INT) AS above, list_sum(x) / n AS mean FROM t5
-), t7 AS (
+t1 AS (SELECT doc_id, s.start AS a, s.start + length(s.token) AS z, rtrim(s.token, '=') AS bare FROM t0),
+t2 AS (SELECT *, {_ALPHABET} AS alphabet, length(bare)::DOUBLE AS n FROM t1 WHERE length(bare) >= {MIN_TOKEN}),
+t3 AS (
+  SELECT *, length(alphabet)::DOUBLE AS k, list_transform(string_split(bare, ''), lambda c: instr(alphabet, c)::DOUBLE) AS x,
+         list_transform(string_split(bare, ''), lambda c: instr('{ALPHABETS["base64"]}', c)) AS signs FROM t2 WHERE alphabet IS NOT NULL
+), t4 AS (SELECT *, list_transform(signs, lambda v: CASE WHEN v <= 26 THEN 0 WHEN v <= 52 THEN 1 WHEN v <= 62 THEN 2 ELSE 3 END) AS kinds FROM t3),
+t5 AS (
+  SELECT *, list_sum(list_transform(signs, lambda v: {_COSTS}[v])) + list_sum(list_transform(generate_series(2, len(kinds)), lambda i: {_STEPS}[4 * kinds[i-1] + kinds[i] + 1])) + ln(4) - n * ln(k) AS e,
+         list_sum(list_transform(list_distinct(x), lambda v: len(list_filter(x, lambda y: y = v))::DOUBLE ** 2)) AS squares,
+         list_transform(x, lambda v: (v > k / 2)::INT) AS above, list_sum(x) / n AS mean FROM t4
+), t6 AS (
   SELECT *, list_sum(above)::DOUBLE AS n1, 1 + list_sum(list_transform(generate_series(2, len(x)), lambda i: (above[i] <> above[i-1])::INT))::DOUBLE AS runs,
          list_sum(list_transform(x, lambda v: (v - mean) ** 2)) AS var,
-         list_sum(list_transform(generate_series(2, len(x)), lambda i: (x[i] - mean) * (x[i-1] - mean))) AS cov FROM t6
-), t8 AS (
+         list_sum(list_transform(generate_series(2, len(x)), lambda i: (x[i] - mean) * (x[i-1] - mean))) AS cov FROM t5
+), t7 AS (
   SELECT *, (cbrt((k / n * squares - n) / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z1,
-         2 * n1 * (n - n1) AS twice, CASE WHEN var > 0 THEN (cov / var + 1 / n) * sqrt(n) ELSE sqrt(n) END AS z3 FROM t7
-), t9 AS (
-  SELECT *, CASE WHEN twice * (twice - n) > 0 THEN (runs - twice / n - 1) / sqrt(twice * (twice - n) / (n * n * (n - 1))) ELSE sqrt(n) END AS z2 FROM t8
-), u AS (SELECT *, (cbrt((greatest(z1, 0) ** 2 + z2 ** 2 + z3 ** 2) / 3) - (1 - 2.0::DOUBLE / 27)) / sqrt(2.0::DOUBLE / 27) AS u FROM t9),
-p AS (
-  SELECT *, least(12, floor(2 * log2(n / {MIN_TOKEN})))::INT AS lc, floor(100 / (1 + exp(least(60, 1.5976::DOUBLE * u + 0.07056::DOUBLE * u * u * u))))::INT AS bin FROM u
-), c AS (SELECT lc, bin, sum(role) AS c, sum(1 - role) AS d FROM p GROUP BY lc, bin),
-f AS (
-  SELECT c.lc, c.bin, c.c, sum(s.d) FILTER (s.bin >= c.bin) AS d_at, sum(s.d) AS d_all
-  FROM c JOIN c s ON s.lc <= c.lc WHERE c.c > 0 GROUP BY c.lc, c.bin, c.c
-), r AS (
-  SELECT lc, bin, (coalesce(d_at, 0) + 1) / (d_all + 1)::DOUBLE * sum(c) OVER (PARTITION BY lc) / sum(c) OVER (PARTITION BY lc ORDER BY bin DESC) AS rate FROM f
-), cut AS (SELECT lc, min(bin) AS least FROM r WHERE rate <= 0.05 AND bin >= 1 GROUP BY lc),
+         2 * n1 * (n - n1) AS twice, CASE WHEN var > 0 THEN (cov / var + 1 / n) * sqrt(n) ELSE sqrt(n) END AS z3 FROM t6
+), t8 AS (
+  SELECT *, CASE WHEN twice * (twice - n) > 0 THEN (runs - twice / n - 1) / sqrt(twice * (twice - n) / (n * n * (n - 1))) ELSE sqrt(n) END AS z2 FROM t7
+), u AS (SELECT *, (cbrt((greatest(z1, 0) ** 2 + z2 ** 2 + z3 ** 2) / 3) - (1 - 2.0::DOUBLE / 27)) / sqrt(2.0::DOUBLE / 27) AS u FROM t8),
+p AS (SELECT *, 1 / (1 + exp(least(60, 1.5976::DOUBLE * u + 0.07056::DOUBLE * u * u * u))) AS p, floor(least(greatest(e, 0), 300))::INT AS bin FROM u),
+c AS (SELECT bin, sum(count(*)) OVER (ORDER BY bin DESC) AS k, sum(count(*)) OVER () AS m FROM p GROUP BY bin),
+cut AS (SELECT min(bin) AS least FROM c WHERE bin + ln(k) >= ln(m / 0.05)),
 added AS (
-  SELECT p.doc_id, p.a, p.z, 3 AS kind FROM p JOIN cut USING (lc) WHERE p.role = 1 AND p.bin >= cut.least
+  SELECT p.doc_id, p.a, p.z, 3 AS kind FROM p JOIN cut ON p.bin >= cut.least WHERE p.p * {BINS} >= 1
   AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = p.doc_id AND base.a < p.z AND base.z > p.a)
 ), one AS (
   SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
