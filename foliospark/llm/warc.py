@@ -1,10 +1,11 @@
 """WARC archives with a two-level capture index.
 
-Captures are range-partitioned and sorted by reversed-host URL key, so an archive's records lie in the order of
-its index. A task writes one archive, a gzip member per record, into the shared folder, and returns its index:
-lines of (key, page_id, offset, length), deflated in blocks. The stashed table of blocks has the sparse
-directory (first key, archive) beside the blocks. A lookup binary-searches the archives' first keys, then the
-directory of one archive, inflates one block and reads one byte range.
+Captures are laid in the order of reversed-host URL keys: the upper level of the index cuts the keys into ranges,
+one for each archive, found on the keys alone; a task then sorts the captures of its range, writes them as one
+archive in the shared folder, a gzip member per record, and returns its index: lines of (key, page_id, offset,
+length), deflated in blocks. The stashed table of blocks has the sparse directory (first and last key, archive, byte
+range) beside the blocks. A lookup binary-searches the ranges, then the directory of a range, inflates the blocks
+found and reads their byte ranges; every read of the query goes that way.
 
 An archive's name carries the task attempt; only the returned rows name archives, so what a lost attempt wrote
 is never read.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +31,12 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import new_path, read, stash
 
 BLOCK_LINES = 256
+#: Ranges of the upper level at most, whatever the input: beyond, archives grow.
+MAX_RANGES = 65_536
+#: Wanted keys sent to a block at once.
+KEYS = 1024
 NULL_ID = 1 << 127
-INDEX = "first_key string, last_key string, archive string, start long, stop long, lines long, block binary"
+INDEX = "part int, first_key string, last_key string, archive string, start long, stop long, lines long, block binary"
 
 
 def url_key(url: Column) -> Column:
@@ -76,21 +81,47 @@ def member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def responses(pages: DataFrame) -> DataFrame:
-    """(key, page_id, url, html) -> key, page_id, url, digest, size and the response record, deflated: what
-    travels from here on is a fraction of the html."""
+def lines_key(url: Column) -> Column:
+    """The key as the lines of the index hold it."""
+    return F.replace(F.replace(url_key(url), F.lit("\t"), F.lit("%09")), F.lit("\n"), F.lit("%0A"))
+
+
+def ranges(keyed: DataFrame, most: int = MAX_RANGES) -> list[tuple[str, int]]:
+    """First (key, page_id) of each range, in order: bounded, found by range-partitioning the keys alone."""
+    n = min(most, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = keyed.select("key", F.coalesce("page_id", F.lit(-(1 << 63))).alias("i")).repartitionByRange(n, "key", "i")
+    return sorted(map(tuple, dealt.groupBy(F.spark_partition_id()).agg(F.min(F.struct("key", "i")).alias("s")).select("s.*").collect()))
+
+
+def records(pages: DataFrame, bounds: list[tuple[str, int]]) -> DataFrame:
+    """(key, page_id, url, html) -> part (the range), key, page_id, url, digest, size and the response record, deflated:
+    what travels from here on is a fraction of the html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, sizes, members = [], [], []
-            for i, url, html in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            parts, digests, sizes, members = [], [], [], []
+            for key, i, url, html in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3)):
                 payload = html.as_py().encode()
+                parts.append(max(0, bisect_right(bounds, (key, -(1 << 63) if i is None else i)) - 1))
                 digests.append(base64.b32encode(hashlib.sha1(payload).digest()).decode())
                 sizes.append(len(payload))
                 members.append(member(record(i, url, digests[-1], len(payload), payload)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary())], ["key", "page_id", "url", "digest", "size", "member"])
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *b.columns[:3], pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary())], ["part", "key", "page_id", "url", "digest", "size", "member"])
+
+    return pages.select("key", "page_id", "url", "html").mapInArrow(run, "part int, key string, page_id long, url string, digest string, size long, member binary")
 
-    return pages.select("key", "page_id", "url", "html").mapInArrow(run, "key string, page_id long, url string, digest string, size long, member binary")
+
+def marks(keyed: DataFrame, bounds: list[tuple[str, int]]) -> DataFrame:
+    """part, key, page_id, digest, response: the records that are revisits, found on digests alone."""
+    repeated = keyed.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 AND response IS NOT NULL")
+    again = keyed.join(repeated, "digest").where(~F.col("page_id").eqNullSafe(F.col("response"))).select("key", "page_id", "digest", "response").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [max(0, bisect_right(bounds, (key, -(1 << 63) if i is None else i)) - 1) for key, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *b.columns], ["part", "key", "page_id", "digest", "response"])
+
+    return again.mapInArrow(run, "part int, key string, page_id long, digest string, response long")
 
 
 def headers(block: bytes) -> dict[str, str]:
@@ -113,47 +144,63 @@ def shared_file(folder: str) -> tuple[FileSystem, str]:
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> the index of the archives written: a row for each block of lines."""
+    """(page_id, url, html) -> the index of the archives written: a row for each block of lines. The records are
+    shuffled once; a record's mark, sorted before it, says that it is a revisit."""
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     fs, root = shared_file(folder)
     fs.create_dir(root, recursive=True)
-    made = responses(pages.select(url_key(F.col("url")).alias("key"), "page_id", "url", F.coalesce("html", F.lit("")).alias("html")))
-    digests = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha1"))
-    # which payloads repeat is found on the digests alone
-    repeated = digests.groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select(base32(F.col("sha1")).alias("digest"), "response")
-    known = made.join(repeated, "digest", "left").withColumn("revisit", F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")))
-    known = known.withColumn("member", F.when(~F.col("revisit"), F.col("member")))
-    ordered = known.select("key", "page_id", "url", "digest", "size", "member", "response").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    html = F.coalesce("html", F.lit(""))
+    keyed = stash(pages.select(lines_key(F.col("url")).alias("key"), "page_id", base32(F.sha1(html.cast("binary"))).alias("digest")), "warc-keys")
+    bounds = ranges(keyed)
+    made = records(pages.select(lines_key(F.col("url")).alias("key"), "page_id", "url", html.alias("html")), bounds).withColumn("response", F.lit(None).cast("long"))
+    both = made.unionByName(marks(keyed, bounds), allowMissingColumns=True)
+    dealt = both.repartitionById(max(1, len(bounds)), "part").sortWithinPartitions("part", "key", "page_id", F.col("member").isNotNull())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz"
+        attempt = TaskContext.get().taskAttemptId()
         fs, root = shared_file(folder)
         lines: list[tuple] = []
-        at = 0
+        out, now, at, name, mark, marked = None, -1, 0, "", None, {}
         names = [x.split()[0] for x in INDEX.split(", ")]
+        kinds = [pa.int32(), *[pa.string()] * 3, *[pa.int64()] * 3, pa.binary()]
 
         def block() -> pa.RecordBatch:
             text = "\n".join(f"{k}\t{'' if i is None else i}\t{o}\t{n}" for k, i, o, n in lines)
-            row = [lines[0][0], lines[-1][0], name, lines[0][2], at, len(lines), zlib.compress(text.encode())]
+            row = [now, lines[0][0], lines[-1][0], name, lines[0][2], at, len(lines), zlib.compress(text.encode())]
             lines.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names)
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
-        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+        try:
             for b in batches:
-                for key, i, url, digest, size, data, response in zip(*(c.to_pylist() for c in b.columns)):
+                for part, key, i, url, digest, size, data, response in zip(*(c.to_pylist() for c in b.columns)):
+                    if part != now:
+                        if lines:
+                            yield block()
+                        if out:
+                            out.close()
+                        now, at, name = part, 0, f"part-{part:05d}-{attempt}.warc.gz"
+                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                    if mark != (key, i):
+                        mark, marked = (key, i), {}
                     if data is None:
-                        data = member(record(i, url, digest, size, None, response))
+                        marked[digest] = response
+                        continue
+                    if digest in marked:
+                        data = member(record(i, url, digest, size, None, marked[digest]))
                     out.write(data)
-                    lines.append((key.replace("\t", "%09").replace("\n", "%0A"), i, at, len(data)))
+                    lines.append((key, i, at, len(data)))
                     at += len(data)
                     if len(lines) >= BLOCK_LINES:
                         yield block()
             if lines:
                 yield block()
+        finally:
+            if out:
+                out.close()
 
-    return stash(ordered.mapInArrow(write, INDEX).withColumn("folder", F.lit(folder)), "capture-index")
+    columns = ("part", "key", "page_id", "url", "digest", "size", "member", "response")
+    return stash(dealt.select(*columns).mapInArrow(write, INDEX).withColumn("folder", F.lit(folder)), "capture-index")
 
 
 def lines_of(block: bytes) -> list[tuple[str, int | None, int, int]]:
@@ -203,49 +250,71 @@ def read_archives(index: DataFrame, bodies: bool = False) -> DataFrame:
     return index.select("folder", "archive", "start", "stop", "block").mapInArrow(run, CAPTURE)
 
 
-def look_up(index: DataFrame, urls: DataFrame, max_archives: int = 100_000) -> DataFrame:
-    """Captures of the given urls. The upper level, a first key per archive, is read by the driver, up to
-    max_archives; each archive's directory is searched where its blocks are."""
-    firsts = sorted((r[0], r[1]) for r in index.groupBy("archive").agg(F.min("first_key").alias("k")).select("k", "archive").limit(max_archives + 1).collect())
-    if len(firsts) > max_archives:
-        raise ValueError("too many archives for one upper level")
-    lasts = {r[0]: r[1] for r in index.groupBy("archive").agg(F.max("last_key")).collect()}
-    keys = [k for k, _ in firsts]
+def look_up(index: DataFrame, urls: DataFrame, bodies: bool = True, max_ranges: int = MAX_RANGES) -> DataFrame:
+    """Captures of the given urls, each once however often its url is asked for.
+
+    The upper level has at most max_ranges entries, for ranges of one archive or of several that follow each other; it
+    goes to every task. A range's directory is searched where its rows are. Then each block found is inflated and the
+    records of its wanted keys are read, in one range read if they are all wanted."""
+    last = index.agg(F.max("part")).first()[0]
+    width = -(-((last or 0) + 1) // max_ranges)
+    piece = F.floor(F.col("part") / width).cast("int")
+    upper = sorted(map(tuple, index.groupBy(piece.alias("g")).agg(F.min("first_key"), F.max("last_key")).collect()))  # at most max_ranges rows
+    firsts, lasts, pieces = [u[1] for u in upper], [u[2] for u in upper], [u[0] for u in upper]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            keys, to = [], []
             for key in b.column(0).to_pylist():
-                at = max(0, bisect_right(keys, key) - 1)
-                while at > 0 and lasts[firsts[at - 1][1]] >= key:  # captures of one key can lie in several archives
-                    at -= 1
-                while at < len(firsts) and keys[at] <= key:
-                    out.append({"key": key, "archive": firsts[at][1]})
-                    at += 1
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("archive", pa.string())]))
-
-    def fetch(_: tuple, wanted: pa.Table, blocks: pa.Table) -> pa.Table:
-        blocks = blocks.sort_by("start").to_pylist()
-        rows = []
-        if blocks:
-            fs, root = shared_file(blocks[0]["folder"])
-            directory = [x["first_key"] for x in blocks]
-            with fs.open_input_file(f"{root}/{blocks[0]['archive']}") as f:
-                for key in sorted(set(wanted.column("key").to_pylist())):
-                    at = max(0, bisect_right(directory, key) - 1)
-                    while at > 0 and blocks[at - 1]["last_key"] >= key:
-                        at -= 1
-                    while at < len(blocks) and directory[at] <= key:
-                        rows += [capture(f.read_at(n, o)) for k, _, o, n in lines_of(blocks[at]["block"]) if k == key]
-                        at += 1
-        return pa.Table.from_pylist(rows, schema=ARROW)
-
-    wanted = urls.select(url_key(F.col("url")).alias("key")).distinct().mapInArrow(route, "key string, archive string")
-    return wanted.groupBy("archive").cogroup(index.groupBy("archive")).applyInArrow(fetch, CAPTURE)
+                # ranges are in order of first and last keys; captures of one key can lie in several
+                for at in range(bisect_left(lasts, key), bisect_right(firsts, key)):
+                    keys.append(key)
+                    to.append(pieces[at])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(to, pa.int32())], ["key", "g"])
+
+    def search(_: tuple, wanted: pa.Table, directory: pa.Table) -> pa.Table:
+        rows = directory.sort_by([("part", "ascending"), ("start", "ascending")])
+        first, end = rows.column("first_key").to_pylist(), rows.column("last_key").to_pylist()
+        found: dict[int, list[str]] = {}
+        for key in wanted.column("key").to_pylist():
+            for at in range(bisect_left(end, key), bisect_right(first, key)):
+                found.setdefault(at, []).append(key)
+        asked = [(at, keys[k : k + KEYS]) for at, keys in sorted(found.items()) for k in range(0, len(keys), KEYS)]
+        located = rows.select(["folder", "archive", "start", "stop", "block"]).take(pa.array([at for at, _ in asked], pa.int64()))
+        return located.append_column("keys", pa.array([keys for _, keys in asked], pa.list_(pa.string())))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = (None, None)
+        for b in batches:
+            for folder, archive, start, stop, block, keys in zip(*(c.to_pylist() for c in b.columns)):
+                if held[0] != (folder, archive):
+                    if held[1]:
+                        held[1].close()
+                    fs, root = shared_file(folder)
+                    held = (folder, archive), fs.open_input_file(f"{root}/{archive}")
+                wanted = set(keys)
+                lines = lines_of(block)
+                asked = [(o, n) for k, _, o, n in lines if k in wanted]
+                if len(asked) == len(lines):
+                    data = held[1].read_at(stop - start, start)
+                    raws = (data[o - start : o - start + n] for o, n in asked)
+                else:
+                    raws = (held[1].read_at(n, o) for o, n in asked)
+                rows = [capture(raw) for raw in raws]
+                yield pa.RecordBatch.from_pylist(rows if bodies else [r | {"body": None} for r in rows], schema=ARROW)
+        if held[1]:
+            held[1].close()
+
+    wanted = urls.select(lines_key(F.col("url")).alias("key")).distinct().mapInArrow(route, "key string, g int")
+    directory = index.select(piece.alias("g"), "part", "first_key", "last_key", "folder", "archive", "start", "stop", "block")
+    located = wanted.groupBy("g").cogroup(directory.groupBy("g")).applyInArrow(search, "folder string, archive string, start long, stop long, block binary, keys array<string>")
+    return located.mapInArrow(fetch, CAPTURE)
 
 
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_archives(write_archives(read(spark, sf_dir, "pages"))).drop("url", "body")
+    """Every page's url is looked up in the index of the archives written."""
+    pages = read(spark, sf_dir, "pages")
+    return look_up(write_archives(pages), pages, bodies=False).drop("url", "body")
 
 
 SQL = """
