@@ -9,8 +9,10 @@ what similarity 0.8 gives. What is left is confirmed on the full sets.
 Links are found in two steps, so that no group of n members makes n * n rows:
 1. each bucket's members against its smallest id (linear in the bucket);
 2. only buckets whose members are still in different components: small ones by a join on the bucket, large ones
-   in blocks of `BLOCK` members, a pair of blocks per task. A block task works from the closest pair on, skips
-   what it has already joined and returns at most one link per member. Nothing is capped.
+   in blocks of `BLOCK` members. There the bucket's largest component is never compared within itself: only the strays
+   are compared, with it and with each other, on sketches alone. Full sets follow only for members that a sketch
+   leaves open, and a task then works from the closest pair on, skips what it has already joined and returns at
+   most one link per member. Nothing is capped.
 
 Defined results: NULL, empty or blank text has no shingles and is its own component; fewer words than a shingle
 holds are one shingle; repeated rows and equal sets share a component; a NULL id is never a component's name.
@@ -157,25 +159,62 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def block_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links inside large buckets. members: band, id, component, n (bucket size), sketch, bands, s."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = members.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
+TASK = ["band", "kind", "i", "j"]
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """(band, id, component, and more) -> the same and side, kind, i, j: the block pairs that a member takes part in.
+    Kind 0 sets a block of the bucket's largest component against one of strays, kind 1 two blocks of strays. n members
+    with k strays make about 2 n k / BLOCK rows, n of them for a single stray."""
+    sizes = members.groupBy("band", "component").agg(F.count("*").alias("_c"))
+    largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("_c", "component")).alias("_main"), F.max("_c").alias("_n"), F.sum("_c").alias("_all"))
+    rows = members.join(largest, "band").withColumn("side", (F.col("component") != F.col("_main")).cast("int"))
+    main, stray = (F.ceil(c / BLOCK).cast("int") for c in (F.col("_n"), F.col("_all") - F.col("_n")))
+    is_stray = F.col("side") == 1
+    rows = rows.withColumns({"_own": F.pmod(F.xxhash64("id"), F.when(is_stray, stray).otherwise(main)).cast("int"), "_stray": stray, "_other": F.when(is_stray, main).otherwise(stray)})
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    own = F.col("_own")
+    across = F.transform(F.sequence(F.lit(0), F.col("_other") - 1), lambda k: F.when(is_stray, task(0, k, own)).otherwise(task(0, own, k)))
+    among = F.transform(F.sequence(F.lit(0), F.col("_stray") - 1), lambda k: task(1, F.least(own, k), F.greatest(own, k)))
+    tasks = F.when(is_stray, F.concat(across, among)).otherwise(across)
+    return rows.withColumn("_t", F.explode(tasks)).select(*members.columns, "side", "_own", "_t.*")
+
+
+def block_sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the two blocks of a task."""
+    kind, i, j = (t.column(c)[0].as_py() for c in TASK[1:])
+    own = t.column("_own" if kind else "side").to_numpy()
+    return np.flatnonzero(own == (i if kind else 0)), np.flatnonzero(own == (j if kind else 1))
+
+
+def open_pairs(t: pa.Table, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """XOR population counts of left and right, and which pairs they leave open."""
+    sketch, comp = np.array(t.column("sketch").to_pylist(), np.int64).view(np.uint64), t.column("component").to_numpy()
+    apart = np.zeros((len(left), len(right)), np.uint16)
+    for k in range(sketch.shape[1]):
+        apart += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None, :])
+    open_ = (apart <= SCREEN) & (comp[left][:, None] != comp[right][None, :])
+    if t.column("kind")[0].as_py() and t.column("i")[0] == t.column("j")[0]:
+        open_ &= left[:, None] < right[None, :]
+    return apart, open_
+
+
+def block_links(members: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside large buckets. members: band, id, component; marks: id, sketch, bands; sets: id, s."""
+
+    def screen(t: pa.Table) -> pa.Table:
+        left, right = block_sides(t)
+        _, open_ = open_pairs(t, left, right)
+        keep = np.zeros(len(t), bool)
+        keep[left[open_.any(axis=1)]] = True
+        keep[right[open_.any(axis=0)]] = True
+        return t.select([*TASK, "id", "component", "side", "_own"]).filter(pa.array(keep))
 
     def link(t: pa.Table) -> pa.Table:
-        matrix = lambda name: np.array(t.column(name).to_pylist(), np.int64)
-        ids, comp, own_block, sketch, band = matrix("id"), matrix("component"), matrix("_own"), matrix("sketch").view(np.uint64), matrix("bands")
-        i, j, this = t.column("_i")[0].as_py(), t.column("_j")[0].as_py(), t.column("band")[0].as_py()
-        sets = [np.array(s.values) for s in t.column("s").combine_chunks()] if len(t) else []
-        left, right = np.flatnonzero(own_block == i), np.flatnonzero(own_block == j)
-        apart = np.zeros((len(left), len(right)), np.uint16)
-        for k in range(sketch.shape[1]):
-            apart += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None, :])
-        open_ = (apart <= SCREEN) & (comp[left][:, None] != comp[right][None, :])
-        if i == j:
-            open_ &= left[:, None] < right[None, :]
+        left, right = block_sides(t)
+        apart, open_ = open_pairs(t, left, right)
+        ids, comp, band = (np.array(t.column(c).to_pylist(), np.int64) for c in ("id", "component", "bands"))
+        sets, this = [np.array(s.values) for s in t.column("s").combine_chunks()], t.column("band")[0].as_py()
         x, y = np.nonzero(open_)
         distance, x, y = apart[x, y], left[x], right[y]
         first = np.concatenate([[*(band[p] == band[q]).argmax(axis=1)] for p, q in zip(np.array_split(x, len(x) // 65536 + 1), np.array_split(y, len(y) // 65536 + 1))]).astype(np.int64)
@@ -201,7 +240,9 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
                 b.append(int(ids[q]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("band", "_i", "_j").applyInArrow(link, "a long, b long")
+    light = dealt(members.join(marks.select("id", "sketch"), "id"))
+    left_open = light.groupBy(*TASK).applyInArrow(screen, "band long, kind int, i int, j int, id long, component long, side int, _own int")
+    return left_open.join(marks, "id").join(sets, "id").groupBy(*TASK).applyInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
@@ -234,8 +275,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     x, y = (small.select("band", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("sketch").alias(f"_{i}")) for i in "ab")
     near = x.join(y, (x["band"] == y["band"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (differing(F.col("_a"), F.col("_b")) <= SCREEN))
     more = confirmed(near.select("a", "b").distinct(), sets, percent)
-    large = rest.where(F.col("n") > SMALL).join(marks.dropDuplicates(["id"]), "id").join(sets.dropDuplicates(["id"]), "id")
-    more = stash(more.unionByName(block_links(large, percent)), "nd-more")
+    large = rest.where(F.col("n") > SMALL).select("band", "id", "component")
+    more = stash(more.unionByName(block_links(large, marks.dropDuplicates(["id"]), sets.dropDuplicates(["id"]), percent)), "nd-more")
     final = components(links.unionByName(more)) if more.take(1) else found
     named = nodes.join(final, nodes["node"] == final["id"], "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     out = profiles.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")

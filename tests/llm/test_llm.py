@@ -142,14 +142,29 @@ def test_components_equal_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs)
 
 
-def test_large_buckets_in_blocks_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("block", [512, 7])
+def test_large_buckets_in_blocks_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     texts = variants(90, 100, 7, 5)
     docs = [(i, t) for i, t in enumerate(texts)]
     got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {k: v[1] for k, v in brute_components(docs).items()}
 
 
+def test_blocks_deal_few_rows(spark):
+    """A bucket of 20,000 members: one stray costs a row a member; all pairs across components meet in one task."""
+    one = spark.range(20_001).select(F.lit(5).cast("long").alias("band"), "id", F.when(F.col("id") == 20_000, 7).otherwise(0).cast("long").alias("component"))
+    assert neardup.dealt(one).count() <= 20_000 + 20_000 / neardup.BLOCK + 2
+    few = neardup.dealt(one.where("id > 19600").withColumn("component", F.col("id") % 3 * F.when(F.col("id") % 7 == 0, 1).otherwise(0))).collect()
+    tasks: dict = {}
+    for r in few:
+        tasks.setdefault((r.kind, r.i, r.j), set()).add((r.id, r.component))
+    met = {frozenset((a, b)) for rows in tasks.values() for a, c in rows for b, d in rows if c != d}
+    rows = {(r.id, r.component) for r in few}
+    assert met == {frozenset((a, b)) for a, c in rows for b, d in rows if c != d}
+
+
 def test_odd_sketch_estimates_similarity():
     h = neardup.WordHashes()
     a, b = (neardup.shingles(" ".join(f"w{i}" for i in range(s, s + 1000)), h) for s in (0, 60))
