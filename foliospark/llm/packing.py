@@ -1,24 +1,25 @@
 """Lexical retrieval packing into windows of a fixed number of tokens.
 
 Texts are tokenized once into a stashed table of ids; document frequencies of the token ids are counted over
-all documents (the vocabulary bounds that table, so every task gets it). Neighbours are sought over the whole
-corpus: in each of `ROUNDS` rounds every distinct text goes to a lexical bucket named by ids drawn from it in
-proportion to their weight, so texts that share heavy ids meet wherever they lie; within runs of a bucket all
-terms are scored and the best neighbour of each text is merged over the rounds. Texts linked by best
-neighbours form groups, and groups go whole to a shard. There a BM25 inverted index is built; a seed document
-opens a window, its best unused neighbours fill it, the last one is cut at the window's end and its rest opens
-the next window. So only a shard's last window can need padding; that one gets the next power of two. Nothing
-depends on how the rows lie in files or partitions. The search is not exact: two texts meet in a round
-with a chance that falls with their similarity.
+all documents (the vocabulary bounds that table, so every task gets it). A document's lexical key is a few of its ids,
+drawn in proportion to their weight by the same draws in all documents, so two documents draw the same one with a
+chance of their weighted similarity. Keys are ranked over the whole corpus and documents go to shards of `SHARD`
+in that order, so texts alike meet wherever they lie, and a group of any size is cut into shards. Each shard has a
+BM25 inverted index: a seed document opens a window, its best unused neighbours, by all terms, fill it, the last one is
+cut at the window's end and its rest opens the next window. So only a shard's last window can need padding; that one
+gets the next power of two. Nothing depends on how the rows lie in files or partitions. The neighbour search is not
+exact over the corpus: it is exact within a shard.
 
 Defined results: NULL or empty text is one end id, in one piece; repeated rows are packed each as a document of its
-own; ids are never dropped.
+own; ids are never dropped; the string of an added token of the vocabulary is that token.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,29 +31,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import read, stash
-from foliospark.llm.neardup import components
 
 WINDOW, END = 1024, 0
-#: Rounds of the neighbour search, texts scored together in one, documents of a shard on average.
-ROUNDS, RUN, SHARD = 2, 512, 1024
+#: Documents of a shard, ids of a lexical key, shards' parts at most (beyond, parts hold more shards), tokens of a shard.
+SHARD, DRAWN, MAX_PARTS, SHARD_TOKENS = 1024, 3, 65_536, 4_000_000
 
 
-def encoder(path: str) -> tiktoken.Encoding:
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings and ids of the added tokens of a .json vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def encoder(path: str, added: dict[str, int]) -> tiktoken.Encoding:
     """The byte-level BPE of a .tiktoken file. Its ids are those of the .json file of the same vocabulary; it
     encodes some five times as fast."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def tokenize(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str | None = None, added: str | None = None) -> DataFrame:
     """(doc_id, text) -> doc_id, ids: 16-bit little-endian ids, the end id last."""
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    special = added_tokens(added or public_tokenizers.path("byte_bpe_50k.json"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e, allowed = encoder(path, special), set(special)
         for b in batches:
-            ids = [np.array([*e.encode_ordinary(t.as_py() or ""), END], "<u2").tobytes() for t in b.column(1)]
+            ids = [np.append(e.encode_to_numpy(t.as_py() or "", allowed_special=allowed), END).astype("<u2").tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
@@ -89,38 +96,42 @@ def weights(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, sizes: np.ndarray
     return idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / max(mean, 1e-9)))
 
 
-class Postings:
-    """Inverted index: postings of each id with BM25 weights. doc, term: sorted distinct pairs; a document's
-    query is all of its ids."""
-
-    def __init__(self, n: int, doc: np.ndarray, term: np.ndarray, weight: np.ndarray):
-        self.n, self.term, self.at = n, term, np.searchsorted(doc, np.arange(n + 1))
-        by_term = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[by_term], weight[by_term]
-        self.bounds = np.searchsorted(term[by_term], np.arange((1 << 16) + 1))
+class Bm25:
+    """Inverted index over the documents of a shard: postings of each id with BM25 weights, from the frequencies over all
+    documents. A document's query is all of its ids. When half of the indexed documents are used, they leave it."""
 
-    def scores(self, i: int) -> np.ndarray:
-        """Score of every document for the query of document i."""
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
+        sizes = np.array([len(d) for d in docs])
+        keys, tf = np.unique(np.repeat(np.arange(len(docs)), sizes) << 16 | np.concatenate(docs).astype(np.int64), return_counts=True)
+        doc, self.term = keys >> 16, keys & 0xFFFF
+        self.n, self.at = len(docs), np.searchsorted(doc, np.arange(len(docs) + 1))
+        by_term = np.argsort(self.term, kind="stable")
+        self.doc, self.by = doc[by_term], self.term[by_term]
+        self.weight = weights(doc, self.term, tf, sizes, idf, mean)[by_term].astype(np.float64)
+        self.indexed, self.asked = self.n, (-1, np.zeros(0))
+        self._bound()
+
+    def _bound(self) -> None:
+        self.bounds = np.searchsorted(self.by, np.arange((1 << 16) + 1))
+
+    def scores(self, i: int, unused: np.ndarray) -> np.ndarray:
+        """Score of every unused document for the query of document i."""
+        left = int(unused.sum())
+        if 2 * left < self.indexed:
+            keep = unused[self.doc]
+            self.doc, self.by, self.weight, self.indexed = self.doc[keep], self.by[keep], self.weight[keep], left
+            self._bound()
         q = self.term[self.at[i] : self.at[i + 1]]
         first, sizes = self.bounds[q], self.bounds[q + 1] - self.bounds[q]
         ends = np.cumsum(sizes)
         where = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
         return np.bincount(self.doc[where], self.weight[where], minlength=self.n)
 
-
-class Bm25:
-    """Postings over the documents of a shard, with weights from the frequencies over all documents."""
-
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        sizes = np.array([len(d) for d in docs])
-        flat = np.concatenate(docs).astype(np.int64)
-        keys, tf = np.unique(np.repeat(np.arange(len(docs)), sizes) << 16 | flat, return_counts=True)
-        doc, term = keys >> 16, keys & 0xFFFF
-        self.postings = Postings(len(docs), doc, term, weights(doc, term, tf, sizes, idf, mean))
-
     def nearest_unused(self, i: int, unused: np.ndarray) -> int:
         """The unused document with the highest score; the first unused one if none shares an id."""
-        score = self.postings.scores(i) * unused
+        if self.asked[0] != i:
+            self.asked = i, self.scores(i, unused)
+        score = self.asked[1] * unused
         best = int(score.argmax())
         return best if score[best] > 0 else int(unused.argmax())
 
@@ -142,102 +153,71 @@ def chain(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> list[int]:
             seed = at
 
 
-def named(tokens: DataFrame) -> DataFrame:
-    """doc_id, ids -> node (hash of the ids), doc_id, raw (ids, compressed), size."""
+KEY = [*(f"k{i}" for i in range(DRAWN)), "node", "id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [x.as_py() for x in b.column(1)]
-            node = np.array([xxhash.xxh3_64_intdigest(x) for x in ids], np.uint64).view(np.int64)
-            raw = [pa.compress(x, "zstd", asbytes=True) for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(node), b.column(0), pa.array(raw, pa.binary()), pa.array(map(len, ids), pa.int64())], ["node", "doc_id", "raw", "size"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "node long, doc_id long, raw binary, size long")
+def lexical_key(ids: np.ndarray, raw: bytes, doc_id: int | None, draws: np.ndarray) -> tuple[int, ...]:
+    """The ids drawn first, a hash of all ids and the document's: an order of the whole corpus."""
+    x = np.unique(ids)
+    d = draws[x]
+    first = np.argpartition(d, DRAWN)[:DRAWN] if len(x) > DRAWN else np.arange(len(x))
+    drawn = x[first[np.argsort(d[first], kind="stable")]].tolist()
+    node = int(np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64))
+    return (*drawn, *[0] * (DRAWN - len(drawn)), node, -(1 << 63) if doc_id is None else doc_id)
+
 
+def lexical_draws(idf: np.ndarray, df: np.ndarray) -> np.ndarray:
+    draws = np.random.default_rng(8_011).exponential(size=1 << 16) / np.maximum(idf, 1e-9)
+    return np.where(df > 1, draws, draws * 1e6).astype(np.float32)  # what no other document holds comes last
 
-def lexical_rows(tokens: DataFrame, idf: np.ndarray, df: np.ndarray, n_buckets: int) -> DataFrame:
-    """A row for each document and round: round, bucket, a, b (the two ids drawn), node, n (length), m, vector
-    (distinct ids and their counts). Ids are drawn in proportion to idf, by the same draws in all documents,
-    so a pair draws the same one with a chance of its weighted similarity."""
-    draws = np.random.default_rng(8_011).exponential(size=(ROUNDS, 1 << 16)) / np.maximum(idf, 1e-9)
-    draws = np.where(df > 1, draws, draws * 1e6).astype(np.float32)  # what no other document holds comes last
+
+def part_bounds(tokens: DataFrame, draws: np.ndarray) -> list[tuple[int, ...]]:
+    """The first key of each part: parts are runs of whole shards in the order of all keys, some four for each shuffle
+    partition. Only keys are sorted; the driver gets a row for each part and partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["round", "bucket", "a", "b", "node", "n", "m", "vector"]
-        for batch in batches:
-            rows = []
-            for ids in batch.column(0):
-                raw = ids.as_py()
-                x, tf = np.unique(np.frombuffer(raw, "<u2"), return_counts=True)
-                node = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64)))
-                vector = pa.compress(np.concatenate([x.astype("<u4"), tf.astype("<u4")]).tobytes(), "zstd", asbytes=True)
-                for r in range(ROUNDS):
-                    d = draws[r, x]
-                    two = np.argpartition(d, 1)[:2] if len(x) > 1 else np.zeros(2, np.int64)
-                    a, b = x[two[np.argsort(d[two], kind="stable")]].tolist()
-                    bucket = xxhash.xxh3_64_intdigest(a.to_bytes(2, "little")) % n_buckets
-                    rows.append((r, bucket, a, b, node, len(raw) // 2, len(x), vector))
-            if rows:
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:-1]] + [pa.array(columns[-1], pa.binary())], names)
-
-    return tokens.select("ids").mapInArrow(run, "round long, bucket long, a long, b long, node long, n long, m long, vector binary")
-
-
-def best_neighbours(rows: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
-    """node, bucket (of the first round), other, score: the best neighbour in each run, by all terms."""
-
-    def link(held: list) -> pa.RecordBatch:
-        sizes = np.array([h[5] for h in held])
-        pairs = [np.frombuffer(pa.decompress(h[7], 8 * h[6], "zstd"), "<u4").reshape(2, -1) for h in held]
-        doc = np.repeat(np.arange(len(held)), [p.shape[1] for p in pairs])
-        term, tf = np.concatenate(pairs, axis=1).astype(np.int64)
-        index = Postings(len(held), doc, term, weights(doc, term, tf, sizes, idf, mean))
-        other, best = [], []
-        for i in range(len(held)):
-            score = index.scores(i)
-            score[i] = 0
-            at = int(score.argmax())
-            other.append(held[at][4] if score[at] > 0 else None)
-            best.append(float(score[at]))
-        columns = [[h[4] for h in held], [None if h[0] else h[1] for h in held], other]
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(best, pa.float64())], ["node", "bucket", "other", "score"])
+        for b in batches:
+            keys = [lexical_key(np.frombuffer(x.as_py(), "<u2"), x.as_py(), i, draws) for i, x in zip(b.column(0).to_pylist(), b.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keys)] if keys else [pa.array([], pa.int64())] * len(KEY), KEY)
+
+    spark = tokens.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = stash(tokens.select("doc_id", "ids").mapInArrow(run, ", ".join(f"{k} long" for k in KEY)), "pack-keys")
+    ranked = keys.repartitionByRange(partitions, *KEY).sortWithinPartitions(*KEY).withColumn("_m", F.monotonically_increasing_id())
+    ranked = stash(ranked.withColumns({"_p": F.shiftright("_m", 33), "_r": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))}), "pack-ranks")
+    counts = sorted(map(tuple, ranked.groupBy("_p").count().collect()))
+    total = sum(c for _, c in counts)
+    step = SHARD * max(1, total // (SHARD * min(4 * partitions, MAX_PARTS)))
+    before, offsets = 0, []
+    for p, c in counts:
+        offsets.append((p, before))
+        before += c
+    at = ranked.join(F.broadcast(spark.createDataFrame(offsets, "_p long, _o long")), "_p").where((F.col("_o") + F.col("_r")) % step == 0)
+    return sorted(map(tuple, at.select(*KEY).collect()))
+
+
+def placed(tokens: DataFrame, draws: np.ndarray, bounds: list[tuple[int, ...]]) -> DataFrame:
+    """doc_id, ids -> part, the key, doc_id, raw (ids, compressed), size."""
+    names = ["part", *KEY, "doc_id", "raw", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and row[4] == held[-1][4] and row[:2] == held[-1][:2]:
-                    continue  # equal texts are one node
-                if held and (len(held) == RUN or row[:2] != held[-1][:2]):
-                    yield link(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield link(held)
-
-    dealt = rows.repartition("round", "bucket").sortWithinPartitions("round", "bucket", "a", "b", "node")
-    return dealt.mapInArrow(run, "node long, bucket long, other long, score double")
-
-
-def shards(found: DataFrame, large: int = 1500) -> DataFrame:
-    """node, shard, component. A component of linked texts goes whole to the bucket of its smallest node; the
-    members of one larger than a shard go to their own."""
-    links = found.where("other IS NOT NULL").groupBy("node").agg(F.max_by("other", F.struct("score", "other")).alias("b"))
-    groups = components(links.select(F.col("node").alias("a"), "b"))
-    own = found.where("bucket IS NOT NULL").groupBy("node").agg(F.min("bucket").alias("bucket"))
-    own = own.join(groups, own["node"] == groups["id"], "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
-    own = stash(own, "pack-groups")
-    homes = own.groupBy("component").agg(F.min_by("bucket", "node").alias("home"), F.count("*").alias("k"))
-    return own.join(homes, "component").select("node", F.when(F.col("k") > large, F.col("bucket")).otherwise(F.col("home")).alias("shard"), "component")
+            ids = [x.as_py() for x in b.column(1)]
+            keys = [lexical_key(np.frombuffer(x, "<u2"), x, i, draws) for i, x in zip(b.column(0).to_pylist(), ids)]
+            parts = [max(0, bisect_right(bounds, k) - 1) for k in keys]
+            columns = list(zip(*keys)) or [()] * len(KEY)
+            raw = [pa.compress(x, "zstd", asbytes=True) for x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array(c, pa.int64()) for c in columns), b.column(0), pa.array(raw, pa.binary()), pa.array(map(len, ids), pa.int64())], names)
+
+    return tokens.select("doc_id", "ids").mapInArrow(run, f"part int, {', '.join(f'{k} long' for k in KEY)}, doc_id long, raw binary, size long")
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 
 
-def pack(placed: DataFrame, idf: np.ndarray, mean: float, window: int = WINDOW, shard_docs: int = 1500, shard_tokens: int = 4_000_000) -> DataFrame:
-    """Pieces of the placed token table (shard, component, node, doc_id, raw, size). A shard of more rows or
-    tokens is indexed in runs. A sequence id is made of the shard and a count in it."""
+def pack(dealt: DataFrame, idf: np.ndarray, mean: float, window: int = WINDOW) -> DataFrame:
+    """Pieces of a table (part, doc_id, raw, size), sorted in its partitions. A sequence id is made of the part and a
+    count in it."""
     idf = idf.astype(np.float32)
 
     def lay(ids: list, docs: list[np.ndarray], sequence: int) -> tuple[list, int]:
@@ -258,33 +238,34 @@ def pack(placed: DataFrame, idf: np.ndarray, mean: float, window: int = WINDOW,
         return rows, sequence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, sequence, ids, docs, held = -1, 0, [], [], 0
+        part, sequence, ids, docs, held = -1, 0, [], [], 0
         names = [x.split()[0] for x in PIECES.split(", ")]
         out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
         for b in batches:
             for this, i, raw, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-                if docs and (this != shard or len(docs) >= shard_docs or held >= shard_tokens):
+                if docs and (this != part or len(docs) >= SHARD or held >= SHARD_TOKENS):
                     rows, sequence = lay(ids, docs, sequence)
                     yield out(rows)
                     ids, docs, held = [], [], 0
-                if this != shard:
-                    shard, sequence = this, this << 32
+                if this != part:
+                    part, sequence = this, this << 40
                 ids.append(i)
                 docs.append(np.frombuffer(pa.decompress(raw.as_py(), size, "zstd"), "<u2"))
                 held += len(docs[-1])
         if docs:
             yield out(lay(ids, docs, sequence)[0])
 
-    dealt = placed.repartition("shard").sortWithinPartitions("shard", "component", "node", "doc_id")
-    return dealt.select("shard", "doc_id", "raw", "size").mapInArrow(run, PIECES)
+    return dealt.select("part", "doc_id", "raw", "size").mapInArrow(run, PIECES)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    tokens = stash(tokenize(docs, vocabulary), "tokens")
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, added: str | None = None) -> DataFrame:
+    tokens = stash(tokenize(docs, vocabulary, added), "tokens")
     df, mean, n = frequencies(tokens)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    found = stash(best_neighbours(lexical_rows(tokens, idf, df, n // SHARD + 1), idf, mean), "pack-neighbours")
-    return pack(named(tokens).join(shards(found), "node"), idf, mean)
+    draws = lexical_draws(idf, df)
+    bounds = part_bounds(tokens, draws)
+    dealt = placed(tokens, draws, bounds).repartitionById(max(1, len(bounds)), "part").sortWithinPartitions("part", *KEY)
+    return pack(dealt, idf, mean)
 
 
 def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,13 +102,13 @@ def test_top_k_of_null_and_short_vectors(spark):
 # ---- near duplicates
 
 
-def sets(t):
+def sets(t, n=4):
     w = [x.translate(str.maketrans(linededup.UPPER, linededup.LOWER)) for x in words(t)]
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
-def brute_components(docs):
-    s = [sets(t) for _, t in docs]
+def brute_components(docs, n=4):
+    s = [sets(t, n) for _, t in docs]
     root = list(range(len(docs)))
 
     def find(i):
@@ -240,8 +241,8 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
     token = lambda a, n: "".join(r.choice(list(a), n))
     b64 = secrets.ALPHABETS["base62"]
     rows = [(i, f"word {token(b64, 44)} word") for i in range(30)] + [(100 + i, "word " + "".join(r.choice(["inter", "nation", "able", "tion", "pre", "com"], 8)) + " word") for i in range(200)]
-    rows += [(400 + i, "aaaaaaaaaaaaaaaaaaaaaaaaaaaa1111111111111111 x") for i in range(5)] + [(500, "Bearer 1234")]
-    got = {x.doc_id: x.spans for x in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows += [(400 + i, "zzzzzzzzzzzzzzzzzzzzzzzzzzzz1111111111111111 x") for i in range(5)] + [(500, "Bearer 1234")]
+    got = {x.doc_id: [s for s in x.spans if s.kind == len(secrets.PATTERNS)] for x in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(bool(got[i]) for i in range(30)) >= 24
     assert not any(got[i] for i in got if i >= 100)
 
@@ -261,6 +262,32 @@ def test_random_tokens_are_found_without_decoys(spark):
     assert [(s.start, s.end) for s in one.spans] == [(4, 48)]
 
 
+def test_battery_equals_its_sql(spark, tmp_path):
+    """Random tokens of every alphabet, beside, inside and across base spans, and repeated rows."""
+    r = np.random.default_rng(7)
+    token = lambda a, n: "".join(r.choice(list(a), n))
+    kinds = list(secrets.INFERRED.values())
+    rows = [(i, f"a {token(kinds[i % len(kinds)], 20 + 3 * i)}= b", "s") for i in range(40)]
+    rows += [(100 + i, f"token={token(kinds[-2], 30)} {token(kinds[-1], 50)} {token('0123456789abcdef', 40)}{token(kinds[-1], 30)}", "s") for i in range(20)]
+    rows += [(200, "words " * 50 + "internationalisation/" * 3, "s"), (201, None, "s"), (202, "", "s")]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{d}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    assert_same(secrets.op5_secret_scan(spark, d), secrets.SQL, con)
+    assert secrets.op5_secret_scan(spark, d).where("spans LIKE '%random%'").count() >= 40
+
+
+def test_spans_of_long_texts(spark):
+    """50,000 tokens, half of them in base spans: places equal Python's."""
+    r = np.random.default_rng(8)
+    hexes = ["".join(r.choice(list("0123456789abcdef"), 33)) for _ in range(500)]
+    text = " ".join(f"{hexes[i % 500]} é{hexes[(i * 7) % 500].upper()}" for i in range(25_000))
+    row = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.start, s.end) for s in row.base] == [m.span() for m in re.finditer("[0-9a-f]{32,}", text)]
+    assert {(s.start, s.end) for s in row.spans if s.kind == 3} <= {m.span() for m in re.finditer("[0-9A-F]{32,}", text)}
+
+
 def test_secrets_of_odd_rows(spark):
     assert secrets.secret_spans(odd_docs(spark)).count() == odd_docs(spark).count()
     assert secrets.secret_spans(empty(spark)).count() == 0
@@ -330,10 +357,33 @@ def test_line_dedup_equals_brute_force(spark):
 def test_runs_stay_few(spark):
     runs = linededup.LineRuns(spark, 2)
     for i in range(5):
-        runs.add(spark.createDataFrame([(f"a\nb{i}",)], "text string"))
+        docs = spark.createDataFrame([(i, f"a\nb{i}\na\n")], "doc_id long, text string").select(F.struct("doc_id", "text").alias("doc"))
+        runs.add(linededup.hashed_lines(docs, 1, 1))
     assert [len(x) for x in runs.levels] == [1, 0, 1] and runs.frequent().count() == 1
 
 
+def test_runs_meet_without_a_shuffle(spark):
+    runs = linededup.LineRuns(spark, 2, fanout=5)
+    for i in range(2):
+        docs = spark.createDataFrame([(1, f"a\n{i}")], "doc_id long, text string").select(F.struct("doc_id", "text").alias("doc"))
+        runs.add(linededup.hashed_lines(docs, 1, 1))
+    plan = runs.frequent()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and runs.frequent().count() == 1
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
+def test_lines_of_very_long_texts(spark):
+    """A line with 80,000 inner blanks; 50,000 lines of which half are frequent."""
+    blank = "x" + " " * 80_000 + "y"
+    docs = [(0, blank)] + [(i, "\n".join(f"{'same' if k % 2 else f'own{i}'} {k % 9000}" for k in range(50_000))) for i in range(1, 11)]
+    done = linededup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).select("doc.doc_id", "drop", linededup.kept_text().alias("t")).collect()
+    got = {r.doc_id: r for r in done}
+    assert got[0].t == blank and got[0]["drop"] is None
+    for i, text in docs[1:]:
+        assert got[i]["drop"] == list(range(1, 50_000, 2)) and got[i].t == "\n".join(x for x in text.split("\n") if x[0] == "o")
+
+
 # ---- packing
 
 
@@ -445,22 +495,21 @@ def test_pipeline_stages(spark):
     lines = common.stash(corpus_pipeline.drop_lines(spark, clean, SF), "t")
     assert lines.columns == names and lines.count() == clean.count()
     kept = common.stash(corpus_pipeline.drop_near_copies(spark, lines, SF), "t")
-    want = brute_components([(r.doc_id, r.text) for r in sorted(lines.collect(), key=lambda r: r.doc_id)])
+    want = brute_components([(r.doc_id, r.text) for r in sorted(lines.collect(), key=lambda r: r.doc_id)], n=5)
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
     mixed = common.stash(corpus_pipeline.mix_sources(spark, kept, SF), "t")
     assert mixed.columns == names
     check_pieces(corpus_pipeline.pack_windows(spark, mixed, SF).collect(), mixed.count())
 
 
-def test_near_copies_stage_takes_five_words(spark, monkeypatch):
+def test_near_copies_stage_takes_five_words(spark):
     """Documents that reach 0.8 with four words but not with five stay."""
     texts = [" ".join(f"w{x}" for x in range(100))] + [" ".join(f"x{x}" if x in cut else f"w{x}" for x in range(100)) for cut in ((20, 60), (50,))]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + variants(60, 120, 6, 8))], "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
     four = {i for i, (_, c) in brute_components(rows).items() if i == c}
-    monkeypatch.setitem(globals(), "sets", lambda t: {tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)} or ({tuple(words(t))} if words(t) else set()))
-    assert kept == {i for i, (_, c) in brute_components(rows).items() if i == c} != four
+    assert kept == {i for i, (_, c) in brute_components(rows, n=5).items() if i == c} != four
 
 
 def test_pipeline_stages_on_odd_and_empty_rows(spark):
