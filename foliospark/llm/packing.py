@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import read, stash
 
 WINDOW, END = 1024, 0
-#: Documents of a shard, ids of a lexical key, shards' parts at most (beyond, parts hold more shards), tokens of a shard.
-SHARD, DRAWN, MAX_PARTS, SHARD_TOKENS = 1024, 3, 65_536, 4_000_000
+#: Documents of a shard, ids of a lexical key, parts at most (beyond, parts hold more shards), tokens of a shard.
+SHARD, DRAWN, MAX_PARTS, SHARD_TOKENS = 2048, 3, 65_536, 4_000_000
+#: Of the draws of a document, so many smallest are looked at first.
+FEW = 48
 
 
 def added_tokens(path: str) -> dict[str, int]:
@@ -98,34 +100,47 @@ def weights(doc: np.ndarray, term: np.ndarray, tf: np.ndarray, sizes: np.ndarray
 
 class Bm25:
     """Inverted index over the documents of a shard: postings of each id with BM25 weights, from the frequencies over all
-    documents. A document's query is all of its ids. When half of the indexed documents are used, they leave it."""
+    documents; the postings of an id that an eighth of them hold are a row of all documents. A document's query is all
+    of its ids. When half of the indexed documents are used, they leave the index."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         sizes = np.array([len(d) for d in docs])
         keys, tf = np.unique(np.repeat(np.arange(len(docs)), sizes) << 16 | np.concatenate(docs).astype(np.int64), return_counts=True)
-        doc, self.term = keys >> 16, keys & 0xFFFF
-        self.n, self.at = len(docs), np.searchsorted(doc, np.arange(len(docs) + 1))
-        by_term = np.argsort(self.term, kind="stable")
-        self.doc, self.by = doc[by_term], self.term[by_term]
-        self.weight = weights(doc, self.term, tf, sizes, idf, mean)[by_term].astype(np.float64)
-        self.indexed, self.asked = self.n, (-1, np.zeros(0))
-        self._bound()
-
-    def _bound(self) -> None:
-        self.bounds = np.searchsorted(self.by, np.arange((1 << 16) + 1))
+        doc, term = keys >> 16, keys & 0xFFFF
+        self.queries = np.split(term, np.searchsorted(doc, np.arange(1, len(docs))))
+        self.left, self.asked = np.arange(len(docs)), (-1, np.zeros(0))
+        self._post(doc, term, weights(doc, term, tf, sizes, idf, mean).astype(np.float32))
+
+    def _post(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """doc: places in self.left, in order."""
+        self.all = doc, term, weight
+        count = np.bincount(term, minlength=1 << 16)
+        often = 8 * count >= len(self.left)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        in_row = often[term]
+        self.rows = np.zeros((int(often.sum()), len(self.left)), np.float32)
+        self.rows[self.row[term[in_row]], doc[in_row]] = weight[in_row]
+        doc, term, weight = doc[~in_row], term[~in_row], weight[~in_row]
+        by_term = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[by_term], weight[by_term].astype(np.float64)
+        self.first = np.cumsum(np.where(often, 0, count)) - np.where(often, 0, count)
+        self.count = np.where(often, 0, count)
 
     def scores(self, i: int, unused: np.ndarray) -> np.ndarray:
         """Score of every unused document for the query of document i."""
-        left = int(unused.sum())
-        if 2 * left < self.indexed:
-            keep = unused[self.doc]
-            self.doc, self.by, self.weight, self.indexed = self.doc[keep], self.by[keep], self.weight[keep], left
-            self._bound()
-        q = self.term[self.at[i] : self.at[i + 1]]
-        first, sizes = self.bounds[q], self.bounds[q + 1] - self.bounds[q]
+        if 2 * int(unused.sum()) < len(self.left):
+            keep = unused[self.left]
+            doc, term, weight = self.all
+            stay = keep[doc]
+            self.left = self.left[keep]
+            self._post((np.cumsum(keep) - 1)[doc[stay]], term[stay], weight[stay])
+        q = self.queries[i]
+        row, sizes = self.row[q], self.count[q]
         ends = np.cumsum(sizes)
-        where = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
-        return np.bincount(self.doc[where], self.weight[where], minlength=self.n)
+        where = np.repeat(self.first[q] - ends + sizes, sizes) + np.arange(ends[-1])
+        out = np.zeros(len(unused))
+        out[self.left] = np.bincount(self.doc[where], self.weight[where], minlength=len(self.left)) + self.rows[row[row >= 0]].sum(axis=0)
+        return out
 
     def nearest_unused(self, i: int, unused: np.ndarray) -> int:
         """The unused document with the highest score; the first unused one if none shares an id."""
@@ -158,10 +173,11 @@ KEY = [*(f"k{i}" for i in range(DRAWN)), "node", "id"]
 
 def lexical_key(ids: np.ndarray, raw: bytes, doc_id: int | None, draws: np.ndarray) -> tuple[int, ...]:
     """The ids drawn first, a hash of all ids and the document's: an order of the whole corpus."""
-    x = np.unique(ids)
-    d = draws[x]
-    first = np.argpartition(d, DRAWN)[:DRAWN] if len(x) > DRAWN else np.arange(len(x))
-    drawn = x[first[np.argsort(d[first], kind="stable")]].tolist()
+    d = draws[ids]
+    x = np.unique(ids[np.argpartition(d, FEW)[:FEW]]) if len(ids) > FEW else np.unique(ids)
+    if len(x) < DRAWN and len(ids) > FEW:  # one id repeats
+        x = np.unique(ids)
+    drawn = x[np.argsort(draws[x], kind="stable")[:DRAWN]].tolist()
     node = int(np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64))
     return (*drawn, *[0] * (DRAWN - len(drawn)), node, -(1 << 63) if doc_id is None else doc_id)
 
