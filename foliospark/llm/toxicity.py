@@ -1,8 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct hashes of words, word pairs and pairs that skip a word, over the whole text. FTRL
+Features are the distinct hashes of words, of their stems (first `STEMS` letters; inflected and compound forms of a
+word share them), word pairs and pairs that skip a word, over the whole text. FTRL
 keeps a learning rate for each coordinate, and its L1 term leaves most weights at exactly 0, so the model is a
-short list of (index, weight) that goes to every task.
+short list of (index, weight) that goes to every task. The parameters were chosen by cross-validation inside the
+learning rows (README); the held-out fold has no part in them.
 
 It learns from at most `max_rows` labelled rows (documented bound; the first by a hash of the id), which one
 task can hold. Scoring covers every row. Defined results: NULL or empty text scores by the intercept alone;
@@ -14,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import bounded_labels, is_held_out, read
 
+STEMS = (4, 6)
 TOKEN = re.compile(r"[^\W_]+")
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -30,7 +34,7 @@ ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1
 @dataclass(frozen=True)
 class FtrlParams:
     bits: int = 20
-    alpha: float = 3.0
+    alpha: float = 1.0
     beta: float = 1.0
     l1: float = 10.0
     l2: float = 0.0
@@ -48,13 +52,29 @@ class WordHashes(dict):
         return h
 
 
-def features(text: str | None, hashes: WordHashes, bits: int) -> np.ndarray:
+class StemHashes(dict):
+    """word -> hashes of its stems, those that are shorter than the word; emptied like WordHashes."""
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = tuple(xxhash.xxh3_64_intdigest(f"{word[:n]}*".encode()) for n in STEMS if len(word) > n)
+        return h
+
+
+class Hashes:
+    def __init__(self) -> None:
+        self.words, self.stems = WordHashes(), StemHashes()
+
+
+def features(text: str | None, hashes: Hashes, bits: int) -> np.ndarray:
     """Distinct feature indices of a text."""
     words = TOKEN.findall((text or "").lower())
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.words.__getitem__, words), np.uint64, len(words))
+    stems = np.fromiter(chain.from_iterable(map(hashes.stems.__getitem__, set(words))), np.uint64)
     pairs = h[:-1] * ODD[0] + h[1:] * ODD[1]
     skips = h[:-2] * ODD[2] + h[2:] * ODD[3]
-    mixed = np.concatenate((h * ODD[3], pairs, skips))
+    mixed = np.concatenate((h * ODD[3], stems, pairs, skips))
     mixed ^= mixed >> np.uint64(29)
     return np.unique((mixed * ODD[0]) >> np.uint64(64 - bits)).astype(np.int32)
 
@@ -109,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     bits = params.bits
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = Hashes()
         for b in batches:
             xs = [features(t.as_py(), hashes, bits).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, pa.binary())], ["doc_id", "y", "x"])
@@ -127,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     return FtrlModel(np.frombuffer(got["i"], np.int32), np.frombuffer(got["w"]), got["bias"], bits)
 
 
-def scores(texts: pa.Array, model: FtrlModel, hashes: WordHashes, dense: np.ndarray) -> np.ndarray:
+def scores(texts: pa.Array, model: FtrlModel, hashes: Hashes, dense: np.ndarray) -> np.ndarray:
     return np.array([model.score(features(t.as_py(), hashes, model.bits), dense) for t in texts], np.float64)
 
 
@@ -135,7 +155,7 @@ def score_rows(docs: DataFrame, model: FtrlModel) -> DataFrame:
     """(doc_id, text) -> (doc_id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, dense = WordHashes(), model.dense()
+        hashes, dense = Hashes(), model.dense()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1), model, hashes, dense))], ["doc_id", "score"])
 
@@ -147,7 +167,7 @@ def keep_clean(docs: DataFrame, model: FtrlModel, threshold: float = 0.5) -> Dat
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, dense = WordHashes(), model.dense()
+        hashes, dense = Hashes(), model.dense()
         for b in batches:
             yield b.filter(pa.array(scores(b.column(at), model, hashes, dense) < threshold))
 

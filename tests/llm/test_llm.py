@@ -56,12 +56,53 @@ def test_classifiers_on_odd_rows(spark, module, label, modulus, held):
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     truth = spark.read.parquet(f"{d}/labels.parquet")
-    t = toxicity.op1_toxicity(spark, d).where("held_out").join(truth, "doc_id").toPandas()
-    assert (t.predicted == t.toxic).mean() > 0.95 and (t[t.toxic == 0].predicted == 0).mean() > 0.99
+    t = toxicity.op1_toxicity(spark, d).where("held_out").join(truth, "doc_id").where("toxic IS NOT NULL").toPandas()
+    assert t[t.toxic == 1].predicted.mean() > 0.8 and (t[t.toxic == 0].predicted == 0).mean() > 0.99
     q = quality.op9_quality(spark, d).where("held_out").join(truth, "doc_id").toPandas()
     assert (q.predicted == q.quality).mean() > 0.97
 
 
+def test_ftrl_equals_a_plain_loop():
+    """Per-coordinate rates and the L1 proximal step, one coordinate after the other."""
+    r = np.random.default_rng(3)
+    p = toxicity.FtrlParams(bits=6, alpha=0.7, beta=1.3, l1=0.4, l2=0.2, epochs=3)
+    rows = [np.unique(r.integers(0, 60, 8)).astype(np.int32) for _ in range(40)]
+    labels = np.array([int(7 in x or 9 in x) for x in rows])
+    z, n = {}, {}
+
+    def weight(i):
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= p.l1 else -(v - np.sign(v) * p.l1) / ((p.beta + n.get(i, 0.0) ** 0.5) / p.alpha + p.l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(p.epochs):
+        for k in order.permutation(len(rows)):
+            x = [*rows[k].tolist(), 64]
+            g = 1 / (1 + np.exp(-sum(map(weight, x)))) - labels[k]
+            for i, w in [(i, weight(i)) for i in x]:
+                s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / p.alpha
+                z[i], n[i] = z.get(i, 0.0) + g - s * w, n.get(i, 0.0) + g * g
+    m = toxicity.train(rows, labels, p)
+    assert m.dense().tolist() == pytest.approx([weight(i) for i in range(64)]) and m.bias == pytest.approx(weight(64))
+    assert 0 < len(m.index) < 64
+
+
+def test_forms_of_a_word_share_stems():
+    h = toxicity.Hashes()
+    a, b, c = (toxicity.features(x, h, 20) for x in ("Dummkopfes", "dummkopf", "other"))
+    assert len(np.intersect1d(a, b)) == 2 and len(np.intersect1d(a, c)) == 0 and len(toxicity.features(None, h, 20)) == 0
+
+
+def test_statistics_equal_plain_counts():
+    text = "One two two.\nTHREE | four!\nOne two two.\n"
+    s = dict(zip(quality.STATISTICS, quality.statistics(text)))
+    w = text.split()
+    n = len(text.encode())
+    assert s["log_words"] == pytest.approx(np.log1p(len(w))) and s["distinct_words"] == pytest.approx(len(set(w)) / len(w)) and s["most_common"] == pytest.approx(max(map(w.count, w)) / len(w))
+    assert s["pipe"] == pytest.approx(1 / n) and s["exclamation"] == pytest.approx(1 / n) and s["newline"] == pytest.approx(3 / n) and s["upper"] == pytest.approx(sum(map(str.isupper, text)) / n)
+    assert s["upper_words"] == pytest.approx(1 / len(w)) and s["distinct_lines"] == pytest.approx(3 / 4) and s["stop_end"] == 1 and not quality.statistics(None).any()
+
+
 def test_flat_trees_equal_a_walk():
     r = np.random.default_rng(0)
     x = r.normal(size=(300, 4))
@@ -336,6 +377,23 @@ def test_stored_texts(spark):
     assert media.store_texts(empty(spark)).count() == 0
 
 
+def test_op6_rows_equal_their_texts(spark, tmp_path):
+    """Every column of op6 from the text itself, with odd texts and clashing columns."""
+    d = str(tmp_path)
+    odd_docs(spark).withColumn("media", F.lit("x")).withColumn("n_bytes", F.lit("y")).write.parquet(f"{d}/documents.parquet")
+    for table, path in ((spark.read.parquet(f"{SF}/documents.parquet"), SF), (odd_docs(spark), d)):
+        want = []
+        for r in table.select("doc_id", "text").collect():
+            raw = (r.text or "").encode()
+            payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+            data = media.wrap(payload)
+            at, keys = len(data) - len(payload), range(0, len(payload), 192 * 16)
+            feature = f"isom/raw/8000/{len(payload)}/{len(payload) // 192}/" + ",".join(f"{at + k}+192" for k in keys)
+            want.append((r.doc_id, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+        got = [tuple(r) for r in media.op6_iso_media(spark, path).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # ---- lines
 
 
