@@ -10,7 +10,7 @@ Links are found in two steps, so that no group of n members makes n * n rows:
 1. each bucket's members against its smallest id (linear in the bucket);
 2. only buckets whose members are still in different components: small ones by a join on the bucket, large ones
    in blocks of `BLOCK` members. There the bucket's largest component is never compared within itself: only the strays
-   are compared, with it and with each other, on sketches alone. Full sets follow only for members that a sketch
+   are compared, with it and with each other, on sketches and bands. Full sets follow only for members that a sketch
    leaves open, and a task then works from the closest pair on, skips what it has already joined and returns at
    most one link per member. Nothing is capped.
 
@@ -187,39 +187,37 @@ def block_sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(own == (i if kind else 0)), np.flatnonzero(own == (j if kind else 1))
 
 
-def open_pairs(t: pa.Table, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """XOR population counts of left and right, and which pairs they leave open."""
-    sketch, comp = np.array(t.column("sketch").to_pylist(), np.int64).view(np.uint64), t.column("component").to_numpy()
+def open_pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distance and places of the pairs across the two blocks of a task that their sketches leave open, in different
+    components. A pair belongs to its first common bucket alone."""
+    left, right = block_sides(t)
+    sketch, band = (np.array(t.column(c).to_pylist(), np.int64) for c in ("sketch", "bands"))
+    sketch, comp, this = sketch.view(np.uint64), t.column("component").to_numpy(), t.column("band")[0].as_py()
     apart = np.zeros((len(left), len(right)), np.uint16)
     for k in range(sketch.shape[1]):
         apart += np.bitwise_count(sketch[left, k][:, None] ^ sketch[right, k][None, :])
     open_ = (apart <= SCREEN) & (comp[left][:, None] != comp[right][None, :])
     if t.column("kind")[0].as_py() and t.column("i")[0] == t.column("j")[0]:
         open_ &= left[:, None] < right[None, :]
-    return apart, open_
+    x, y = np.nonzero(open_)
+    distance, x, y = apart[x, y], left[x], right[y]
+    first = [(band[p] == band[q]).argmax(axis=1) for p, q in zip(np.array_split(x, len(x) // 65536 + 1), np.array_split(y, len(y) // 65536 + 1))]
+    here = band[x, np.concatenate(first)] == this
+    return distance[here], x[here], y[here]
 
 
 def block_links(members: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links inside large buckets. members: band, id, component; marks: id, sketch, bands; sets: id, s."""
 
     def screen(t: pa.Table) -> pa.Table:
-        left, right = block_sides(t)
-        _, open_ = open_pairs(t, left, right)
-        keep = np.zeros(len(t), bool)
-        keep[left[open_.any(axis=1)]] = True
-        keep[right[open_.any(axis=0)]] = True
-        return t.select([*TASK, "id", "component", "side", "_own"]).filter(pa.array(keep))
+        _, x, y = open_pairs(t)
+        return t.select([*TASK, "id", "component", "side", "_own", "sketch", "bands"]).take(pa.array(np.union1d(x, y)))
 
     def link(t: pa.Table) -> pa.Table:
-        left, right = block_sides(t)
-        apart, open_ = open_pairs(t, left, right)
-        ids, comp, band = (np.array(t.column(c).to_pylist(), np.int64) for c in ("id", "component", "bands"))
-        sets, this = [np.array(s.values) for s in t.column("s").combine_chunks()], t.column("band")[0].as_py()
-        x, y = np.nonzero(open_)
-        distance, x, y = apart[x, y], left[x], right[y]
-        first = np.concatenate([[*(band[p] == band[q]).argmax(axis=1)] for p, q in zip(np.array_split(x, len(x) // 65536 + 1), np.array_split(y, len(y) // 65536 + 1))]).astype(np.int64)
-        here = band[x, first] == this  # the pair's first common bucket does the work
-        order = np.argsort(distance[here], kind="stable")
+        ids, comp = (t.column(c).to_numpy() for c in ("id", "component"))
+        sets = [np.array(s.values) for s in t.column("s").combine_chunks()]
+        distance, x, y = open_pairs(t)
+        order = np.argsort(distance, kind="stable")
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -229,7 +227,7 @@ def block_links(members: DataFrame, marks: DataFrame, sets: DataFrame, percent:
             return c
 
         a, b = [], []
-        for p, q in zip(x[here][order].tolist(), y[here][order].tolist()):
+        for p, q in zip(x[order].tolist(), y[order].tolist()):
             cp, cq = find(int(comp[p])), find(int(comp[q]))
             if cp == cq:
                 continue
@@ -240,9 +238,9 @@ def block_links(members: DataFrame, marks: DataFrame, sets: DataFrame, percent:
                 b.append(int(ids[q]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    light = dealt(members.join(marks.select("id", "sketch"), "id"))
-    left_open = light.groupBy(*TASK).applyInArrow(screen, "band long, kind int, i int, j int, id long, component long, side int, _own int")
-    return left_open.join(marks, "id").join(sets, "id").groupBy(*TASK).applyInArrow(link, "a long, b long")
+    light = dealt(members.join(marks, "id"))
+    kept = light.groupBy(*TASK).applyInArrow(screen, "band long, kind int, i int, j int, id long, component long, side int, _own int, sketch array<long>, bands array<long>")
+    return kept.join(sets, "id").groupBy(*TASK).applyInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
