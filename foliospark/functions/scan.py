@@ -2,28 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Seconds of a time bucket.
+SPAN = 7 * 86400
+
+
+def time_bucket(ts: str, span: int = SPAN) -> Column:
+    """Rises with a timestamp; NULL comes first."""
+    return F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (span * 1_000_000)), F.lit(-(1 << 62))).cast("long")
+
 
-def two_level_scan(df: DataFrame, key: list[str], order: list[str], bucket: Column, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
-    """Running sums, maxima and last non-null values per key: inside (key, bucket), then over one row per bucket,
-    then added up. bucket has to rise with the order."""
-    sums, maxima, lasts = sums or {}, maxima or {}, lasts or {}
+def two_level_scan(
+    df: DataFrame, key: list[str], order: list[str], bucket: Column, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None,
+    lasts: dict[str, Column] | None = None, lags: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Running sums, maxima and last non-null values per key, and the values of the row before: inside (key, bucket), then
+    over one row per bucket, then put together. bucket has to rise with the order; a NULL in a key is a key."""
+    sums, maxima, lasts, lags = sums or {}, maxima or {}, lasts or {}, lags or {}
     rows = df.withColumn("_b", bucket)
-    inner = W.partitionBy(*key, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*key, "_b").orderBy(*order)
     last = lambda c: F.last(c, ignorenulls=True)
     parts = [(sums, F.sum), (maxima, F.max), (lasts, last)]
-    local = rows.withColumns({f"_{n}": f(c).over(inner) for group, f in parts for n, c in group.items()})
+    running = {f"_{n}": f(c).over(inside.rowsBetween(W.unboundedPreceding, 0)) for group, f in parts for n, c in group.items()}
+    number = {"_row": F.row_number().over(inside)} if lags else {}
+    local = rows.withColumns(running | {f"_{n}": F.lag(c).over(inside) for n, c in lags.items()} | number)
+    at = F.struct(*order)
     ends = rows.groupBy(*key, "_b").agg(
         *[F.sum(c).alias(f"_{n}") for n, c in sums.items()], *[F.max(c).alias(f"_{n}") for n, c in maxima.items()],
-        *[F.max_by(c, F.when(c.isNotNull(), F.struct(*order))).alias(f"_{n}") for n, c in lasts.items()],
+        *[F.max_by(c, F.when(c.isNotNull(), at)).alias(f"_{n}") for n, c in lasts.items()], *[F.max_by(c, at).alias(f"_{n}") for n, c in lags.items()],
     )
     before = W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    names = [*sums, *maxima, *lasts]
-    carried = ends.select(*key, "_b", *[f(f"_{n}").over(before).alias(f"_c_{n}") for group, f in parts for n in group])
-    out = local.join(carried, [*key, "_b"])
+    names = [*sums, *maxima, *lasts, *lags]
+    of_bucket = [*key, "_b"]
+    carried = ends.select(*[F.col(c).alias(f"_k_{c}") for c in of_bucket], *[f(f"_{n}").over(before).alias(f"_c_{n}") for group, f in [*parts, (lags, F.last)] for n in group])
+    out = local.join(carried, reduce(lambda a, b: a & b, [local[c].eqNullSafe(carried[f"_k_{c}"]) for c in of_bucket]))
     merged = {n: F.coalesce(F.col(f"_{n}"), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
     merged |= {n: F.greatest(f"_{n}", f"_c_{n}") for n in maxima} | {n: F.coalesce(f"_{n}", f"_c_{n}") for n in lasts}
-    return out.withColumns(merged).drop("_b", *[f"_{n}" for n in names], *[f"_c_{n}" for n in names])
+    merged |= {n: F.when(F.col("_row") == 1, F.col(f"_c_{n}")).otherwise(F.col(f"_{n}")) for n in lags}
+    return out.withColumns(merged).drop("_b", *number, *[f"_{n}" for n in names], *[f"_c_{n}" for n in names], *[f"_k_{c}" for c in of_bucket])

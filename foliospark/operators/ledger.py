@@ -1,107 +1,164 @@
-"""The event log folded into positions, cash and equity by window functions.
+"""The event log folded into positions, cash and equity by running aggregates.
 
 Per symbol, units, price and notional are running aggregates; a portfolio's equity is the running sum of the
-changes in cash and notional, so the work is one row per event, not events times positions.
-Initial positions enter as BUY rows at no cost before the first event (see with_initial).
+changes in cash and notional, so the work is one row per event, not events times positions. Running aggregates go
+through two_level_scan, in time buckets, so a portfolio or symbol with a third of all events is many tasks.
+
+A log may start from a given state: with_initial() adds it as marked rows that come before the first event. They count
+as no event and are in no result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.functions.scan import time_bucket, two_level_scan
+
 ORDER = ("ts", "event_id")
+INITIAL, OPENING = "INITIAL_STATE", "INITIAL_POSITION"
+#: Columns of the marked rows, and the type of each.
+GIVEN = {"_cash0": "double", "_equity0": "double", "_ts0": "timestamp", "_sequence0": "long", "_pnl0": "double", "_margin0": "double", "_weight0": "double"}
+
+
+def is_kind(*kinds: str) -> Column:
+    return F.coalesce(F.col("event_type").isin(*kinds), F.lit(False))
 
 
-def is_kind(kind: str) -> Column:
-    return F.col("event_type") == kind
+def with_initial(log: DataFrame, positions: DataFrame | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """The log with the state before its first event.
+
+    positions: portfolio_id, symbol, units, price and, where given, weight and accrued_yield. starts: portfolio_id, cash
+    and, where given, equity, ts, event_sequence, unrealized_pnl, margin_used. Given equity and weights hold until an
+    event revalues them; equity that is not given is cash and positions. A portfolio without a start has the initial
+    cash of the call, one without events has no rows in results over events."""
+    out = log
+    optional = lambda df, name, of: (F.col(of) if of in df.columns else F.lit(None)).cast(GIVEN[name]).alias(name)
+    if positions is not None:
+        accrued = (F.col("accrued_yield") if "accrued_yield" in positions.columns else F.lit(0.0)).alias("amount")
+        rows = positions.select("portfolio_id", F.lit(OPENING).alias("event_type"), "symbol", "units", "price", accrued, optional(positions, "_weight0", "weight"))
+        out = out.unionByName(rows, allowMissingColumns=True)
+    if starts is not None:
+        names = {"_cash0": "cash", "_equity0": "equity", "_ts0": "ts", "_sequence0": "event_sequence", "_pnl0": "unrealized_pnl", "_margin0": "margin_used"}
+        rows = starts.select("portfolio_id", F.lit(INITIAL).alias("event_type"), *[optional(starts, n, of) for n, of in names.items()])
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def given(log: DataFrame) -> DataFrame:
+    """The log with all columns of the marked rows."""
+    return log.withColumns({n: F.lit(None).cast(kind) for n, kind in GIVEN.items() if n not in log.columns})
 
 
 def signed_units() -> Column:
-    return F.when(is_kind("ORDER_EXECUTED"), F.when(F.col("side") == "BUY", F.col("units")).otherwise(-F.col("units"))).otherwise(0.0)
+    return F.when(is_kind("ORDER_EXECUTED"), F.when(F.col("side") == "BUY", F.col("units")).otherwise(-F.col("units"))).when(is_kind(OPENING), F.col("units")).otherwise(0.0)
+
+
+def cash_change(initial_cash: float) -> Column:
+    order = -signed_units() * F.col("price") - F.coalesce("fee", F.lit(0.0))
+    return F.when(is_kind("ORDER_EXECUTED"), order).when(is_kind("YIELD_ACCRUED"), F.col("amount")).when(is_kind(INITIAL), F.coalesce(F.col("_cash0") - initial_cash, F.lit(0.0))).otherwise(0.0)
+
+
+def held(log: DataFrame, order: tuple[str, ...], bucket: Column) -> DataFrame:
+    """Adds _has (1 once the event's symbol is held), position_units and position_price. The last price is that of an
+    order or tick; once a position exists no earlier tick can be the last of them."""
+    makes = is_kind("ORDER_EXECUTED", OPENING)
+    priced = is_kind("ORDER_EXECUTED", "MARKET_TICK", OPENING)
+    return two_level_scan(
+        log, ["portfolio_id", "symbol"], list(order), bucket, sums={"position_units": signed_units()}, maxima={"_has": makes.cast("int")}, lasts={"position_price": F.when(priced, F.col("price"))}
+    )
 
 
 def position_ledger(log: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Position of each event's symbol after it; only once an order has made the position exist.
-
-    Hashed by portfolio alone, which serves this window and those of portfolio_state with one exchange."""
-    w = W.partitionBy("portfolio_id", "symbol").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    moved = log.where(is_kind("ORDER_EXECUTED") | is_kind("MARKET_TICK") | is_kind("YIELD_ACCRUED")).withColumn("_has", F.max(F.when(is_kind("ORDER_EXECUTED"), 1).otherwise(0)).over(w))
-    has = F.col("_has") == 1
-    moved = moved.withColumns({
-        "position_units": F.sum(signed_units()).over(w),
-        "position_price": F.last(F.when(is_kind("ORDER_EXECUTED") | (is_kind("MARKET_TICK") & has), F.col("price")), ignorenulls=True).over(w),
-        "accrued_yield": F.sum(F.when(is_kind("YIELD_ACCRUED") & has, F.col("amount")).otherwise(0.0)).over(w),
-    })
-    return moved.where(has).drop("_has").withColumn("notional", F.col("position_units") * F.col("position_price"))
+    """Position of each event's symbol after it; only once an order, or the initial state, has made the position."""
+    bucket = time_bucket(order[0])
+    moved = log.where(is_kind("ORDER_EXECUTED", "MARKET_TICK", "YIELD_ACCRUED", OPENING))
+    rows = held(moved, order, bucket)
+    accrues = (is_kind("YIELD_ACCRUED") & (F.col("_has") == 1)) | is_kind(OPENING)
+    rows = two_level_scan(rows, ["portfolio_id", "symbol"], list(order), bucket, sums={"accrued_yield": F.when(accrues, F.col("amount")).otherwise(0.0)})
+    out = rows.where((F.col("_has") == 1) & ~is_kind(OPENING)).drop("_has", *[c for c in GIVEN if c in log.columns])
+    return out.withColumn("notional", F.col("position_units") * F.col("position_price"))
 
 
 def portfolio_state(log: DataFrame, initial_cash: float, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """cash, equity and event_sequence after every event."""
-    symbol = W.partitionBy("portfolio_id", "symbol").orderBy(*order)
-    run = symbol.rowsBetween(W.unboundedPreceding, 0)
-    has = F.max(F.when(is_kind("ORDER_EXECUTED"), 1).otherwise(0)).over(run) == 1
-    units = F.sum(signed_units()).over(run)
-    price = F.last(F.when(is_kind("ORDER_EXECUTED") | (is_kind("MARKET_TICK") & F.col("_has")), F.col("price")), ignorenulls=True).over(run)
-    rows = log.repartition("portfolio_id").withColumn("_has", has)
-    rows = rows.withColumn("_notional", F.when(F.col("_has"), units * price).otherwise(0.0))
-    change = F.col("_notional") - F.coalesce(F.lag("_notional").over(symbol), F.lit(0.0))
-    cash = F.when(is_kind("ORDER_EXECUTED"), -signed_units() * F.col("price") - F.coalesce("fee", F.lit(0.0))).when(is_kind("YIELD_ACCRUED"), F.col("amount")).otherwise(0.0)
-    rows = rows.withColumn("_dn", change).withColumn("_dc", cash)
-    whole = W.partitionBy("portfolio_id").orderBy(*order)
-    running = whole.rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("cash", initial_cash + F.sum("_dc").over(running)).withColumn("equity", initial_cash + F.sum(F.col("_dc") + F.col("_dn")).over(running))
-    rows = rows.withColumn("_g", F.sum(F.when(F.col("sequence") > 0, 1).otherwise(0)).over(running))
-    inside = W.partitionBy("portfolio_id", "_g").orderBy(*order)
-    number = F.first("sequence").over(inside.rowsBetween(W.unboundedPreceding, 0)) + F.row_number().over(inside)
-    rows = rows.withColumn("event_sequence", F.when(F.col("_g") > 0, number - 1).otherwise(F.row_number().over(inside)).cast("long"))
-    return rows.drop("_has", "_notional", "_dn", "_dc", "_g")
+    """After every event: cash, equity, event_sequence, as_of (the largest timestamp so far), unrealized_pnl and margin_used
+    (as they were given), and the initial_equity of the portfolio."""
+    bucket, by = time_bucket(order[0]), list(order)
+    rows = held(given(log), order, bucket).withColumn("_notional", F.when(F.col("_has") == 1, F.col("position_units") * F.col("position_price")).otherwise(0.0))
+    rows = two_level_scan(rows, ["portfolio_id", "symbol"], by, bucket, lags={"_before": F.col("_notional")})
+    rows = rows.withColumns({"_dn": F.col("_notional") - F.coalesce("_before", F.lit(0.0)), "_dc": cash_change(initial_cash)})
+    marked = is_kind(INITIAL, OPENING)
+    both = F.col("_dc") + F.col("_dn")
+    rows = two_level_scan(
+        rows, ["portfolio_id"], by, bucket,
+        sums={"_cash": F.col("_dc"), "_equity": both, "_opened": F.when(marked, both).otherwise(0.0), "_n": F.when(marked, 0).otherwise(1)},
+        maxima={"as_of": F.coalesce("_ts0", order[0]), "_valued": is_kind("ORDER_EXECUTED", "MARKET_TICK", "YIELD_ACCRUED").cast("int")},
+        lasts={"_e0": F.col("_equity0"), "_s0": F.col("_sequence0"), "unrealized_pnl": F.col("_pnl0"), "margin_used": F.col("_margin0")},
+    )
+    rows = two_level_scan(rows, ["portfolio_id"], by, bucket, lasts={"_base": F.when(F.col("sequence") > 0, F.col("sequence") - F.col("_n"))})
+    opened = F.coalesce(F.col("_e0"), initial_cash + F.col("_opened"))
+    rows = rows.withColumns({
+        "cash": initial_cash + F.col("_cash"), "equity": F.when(F.col("_valued") == 1, initial_cash + F.col("_equity")).otherwise(opened), "initial_equity": opened,
+        "event_sequence": (F.coalesce("_base", "_s0", F.lit(0)) + F.col("_n")).cast("long"), "unrealized_pnl": F.coalesce("unrealized_pnl", F.lit(0.0)), "margin_used": F.coalesce("margin_used", F.lit(0.0)),
+    })
+    return rows.where(~marked).select(*log.columns, "cash", "equity", "event_sequence", "as_of", "unrealized_pnl", "margin_used", "initial_equity").drop(*GIVEN)
 
 
 def state_at(log: DataFrame, initial_cash: float, cut=None, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Positions of every portfolio after all events up to the cut, with weights as of the last tick or order
-    (later yields move cash, not weights). Aggregates only; no running window over the log."""
+    (later yields move cash, not weights). Aggregates only; no running window over the log: one grouping by symbol, one
+    of it by portfolio, and one of the yields, the only events that can come after the last tick or order."""
     at = F.struct(*order)
-    rows = log if cut is None else log.where(F.col("ts") <= F.lit(cut))
-    rows = rows.where(is_kind("ORDER_EXECUTED") | is_kind("MARKET_TICK") | is_kind("YIELD_ACCRUED"))
-    first = rows.where(is_kind("ORDER_EXECUTED")).groupBy("portfolio_id", "symbol").agg(F.min(at).alias("_first"))
-    held = rows.join(first, ["portfolio_id", "symbol"])
-    positions = held.groupBy("portfolio_id", "symbol").agg(
-        F.sum(signed_units()).alias("units"), F.max_by(F.when(~is_kind("YIELD_ACCRUED"), F.col("price")), F.when(~is_kind("YIELD_ACCRUED"), at)).alias("price"),
-        F.sum(F.when(is_kind("YIELD_ACCRUED") & (at >= F.col("_first")), F.col("amount")).otherwise(0.0)).alias("accrued_yield"),
-    ).withColumn("notional", F.col("units") * F.col("price"))
-    marks = rows.groupBy("portfolio_id").agg(F.max(F.when(~is_kind("YIELD_ACCRUED"), at)).alias("_mark"))
-    flows = rows.join(marks, "portfolio_id").withColumn("_c", F.when(is_kind("ORDER_EXECUTED"), -signed_units() * F.col("price") - F.coalesce("fee", F.lit(0.0))).when(is_kind("YIELD_ACCRUED"), F.col("amount")).otherwise(0.0))
-    cash = flows.groupBy("portfolio_id").agg((initial_cash + F.sum("_c")).alias("cash"), (initial_cash + F.sum(F.when(at <= F.col("_mark"), F.col("_c")).otherwise(0.0))).alias("_marked"))
-    totals = positions.groupBy("portfolio_id").agg(F.sum("notional").alias("_n"))
-    out = positions.join(cash, "portfolio_id").join(totals, "portfolio_id")
-    equity = F.col("_marked") + F.col("_n")
-    return out.withColumn("weight", F.when(equity > 0, F.col("notional") / equity).otherwise(0.0)).withColumn("equity", F.col("cash") + F.col("_n")).drop("_marked", "_n")
+    rows = given(log)
+    rows = rows if cut is None else rows.where((F.col("ts") <= F.lit(cut)) | is_kind(INITIAL, OPENING))
+    rows = rows.where(is_kind("ORDER_EXECUTED", "MARKET_TICK", "YIELD_ACCRUED", INITIAL, OPENING))
+    makes, marks = is_kind("ORDER_EXECUTED", OPENING), is_kind("ORDER_EXECUTED", "MARKET_TICK")
+    per_symbol = rows.groupBy("portfolio_id", "symbol").agg(
+        F.sum(signed_units()).alias("units"), F.max_by("price", F.when(marks | is_kind(OPENING), at)).alias("price"), F.min(F.when(makes, at)).alias("_first"), F.max(F.when(marks, at)).alias("_mark"),
+        F.sum(cash_change(initial_cash)).alias("_c"), F.max("_weight0").alias("_w0"), F.sum(F.when(is_kind(OPENING), F.col("amount"))).alias("_a0"), F.max("_equity0").alias("_e0"),
+    ).withColumn("notional", F.when(F.col("_first").isNotNull(), F.col("units") * F.col("price")))
+    totals = per_symbol.groupBy("portfolio_id").agg(F.max("_mark").alias("_mark"), (initial_cash + F.sum("_c")).alias("cash"), F.coalesce(F.sum("notional"), F.lit(0.0)).alias("_n"), F.max("_e0").alias("_e0"))
+    paid = rows.where(is_kind("YIELD_ACCRUED")).select("portfolio_id", "symbol", at.alias("_at"), "amount")
+    paid = paid.join(per_symbol.select("portfolio_id", "symbol", "_first"), ["portfolio_id", "symbol"]).join(totals.select("portfolio_id", "_mark"), "portfolio_id")
+    yields = paid.groupBy("portfolio_id", "symbol").agg(F.sum(F.when(F.col("_at") >= F.col("_first"), F.col("amount"))).alias("_y"), F.sum(F.when(F.col("_at") > F.col("_mark"), F.col("amount"))).alias("_late"), F.count("*").alias("_k"))
+    late = yields.groupBy("portfolio_id").agg(F.coalesce(F.sum("_late"), F.lit(0.0)).alias("_late"), F.sum("_k").alias("_k"))
+    out = per_symbol.where("_first IS NOT NULL").select("portfolio_id", "symbol", "units", "price", "notional", "_w0", "_a0").join(yields.select("portfolio_id", "symbol", "_y"), ["portfolio_id", "symbol"], "left")
+    out = out.join(totals, "portfolio_id").join(late, "portfolio_id", "left")
+    marked = F.col("cash") - F.coalesce("_late", F.lit(0.0)) + F.col("_n")
+    weight = F.when(marked > 0, F.col("notional") / marked).otherwise(0.0)
+    untouched = F.col("_mark").isNull()
+    equity = F.when(untouched & F.col("_k").isNull(), F.coalesce(F.col("_e0"), F.col("cash") + F.col("_n"))).otherwise(F.col("cash") + F.col("_n"))
+    out = out.withColumn("accrued_yield", F.coalesce("_a0", F.lit(0.0)) + F.coalesce("_y", F.lit(0.0))).withColumn("weight", F.when(untouched & F.col("_w0").isNotNull(), F.col("_w0")).otherwise(weight))
+    return out.withColumn("equity", equity).select("portfolio_id", "symbol", "units", "price", "accrued_yield", "notional", "cash", "weight", "equity")
 
 
 def position_weights(log: DataFrame, initial_cash: float, cut=None, order: tuple[str, ...] = ORDER) -> DataFrame:
     return state_at(log, initial_cash, cut, order).select("portfolio_id", "symbol", "notional", "weight")
 
 
+def start_of(states: DataFrame, initial_cash: float) -> Column:
+    return F.col("initial_equity") if "initial_equity" in states.columns else F.lit(initial_cash)
+
+
 def daily_equity(states: DataFrame, initial_cash: float, order: tuple[str, ...] = ORDER) -> DataFrame:
     """The initial equity, then the equity at each snapshot: sequence % 6 = 5, or the number of events less 1."""
-    whole = W.partitionBy("portfolio_id")
-    marked = states.withColumn("_n", F.count("*").over(whole)).where((F.col("sequence") % 6 == 5) | (F.col("sequence") == F.col("_n") - 1))
-    place = F.row_number().over(whole.orderBy(*order)).cast("long")
-    start = states.select("portfolio_id").distinct().select("portfolio_id", F.lit(0).cast("long").alias("snapshot"), F.lit(initial_cash).alias("equity"))
-    return start.unionByName(marked.select("portfolio_id", place.alias("snapshot"), "equity"))
+    counts = states.groupBy("portfolio_id").agg(F.count("*").alias("_n"), F.max(start_of(states, initial_cash)).alias("_start"))
+    marked = states.select("portfolio_id", *order, "sequence", "equity").join(counts, "portfolio_id").where((F.col("sequence") % 6 == 5) | (F.col("sequence") == F.col("_n") - 1))
+    numbered = two_level_scan(marked, ["portfolio_id"], list(order), time_bucket(order[0]), sums={"snapshot": F.lit(1).cast("long")})
+    start = counts.select("portfolio_id", F.lit(0).cast("long").alias("snapshot"), F.col("_start").alias("equity"))
+    return start.unionByName(numbered.select("portfolio_id", "snapshot", "equity"))
 
 
 def daily_returns(daily: DataFrame) -> DataFrame:
-    before = F.lag("equity").over(W.partitionBy("portfolio_id").orderBy("snapshot"))
-    out = daily.withColumn("_b", before).withColumn("ret", F.when(F.col("_b") != 0, F.col("equity") / F.col("_b") - 1))
-    return out.where(F.col("ret").isNotNull()).drop("_b")
+    rows = two_level_scan(daily, ["portfolio_id"], ["snapshot"], F.floor(F.col("snapshot") / 4096), lags={"_b0": F.col("equity")})
+    out = rows.withColumn("ret", F.when(F.col("_b0") != 0, F.col("equity") / F.col("_b0") - 1))
+    return out.where(F.col("ret").isNotNull()).drop("_b0")
 
 
 def drawdown(states: DataFrame, initial_cash: float, order: tuple[str, ...] = ORDER) -> DataFrame:
-    peak = F.greatest(F.lit(initial_cash), F.max("equity").over(W.partitionBy("portfolio_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    return states.withColumn("drawdown", (F.col("equity") - peak) / peak)
+    rows = two_level_scan(states, ["portfolio_id"], list(order), time_bucket(order[0]), maxima={"_peak": F.col("equity")})
+    peak = F.greatest(start_of(states, initial_cash), F.col("_peak"))
+    return rows.withColumn("drawdown", (F.col("equity") - peak) / peak).drop("_peak")
 
 
 def backtest_summary(states: DataFrame, initial_cash: float, start_ts: float | None = None, order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -110,11 +167,12 @@ def backtest_summary(states: DataFrame, initial_cash: float, start_ts: float | N
     at = F.struct(*order)
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     curve = drawdown(states, initial_cash, order).groupBy("portfolio_id").agg(
-        F.max_by("equity", at).alias("final_equity"), F.min(seconds).alias("_t0"), F.max(seconds).alias("_t1"), F.least(F.lit(0.0), F.min("drawdown")).alias("_dd"), F.count("*").alias("n_events")
+        F.max_by("equity", at).alias("final_equity"), F.min(seconds).alias("_t0"), F.max(seconds).alias("_t1"), F.least(F.lit(0.0), F.min("drawdown")).alias("_dd"), F.count("*").alias("n_events"),
+        F.max(start_of(states, initial_cash)).alias("_start"),
     )
     vol = daily_returns(daily_equity(states, initial_cash, order)).groupBy("portfolio_id").agg((F.stddev_samp("ret") * F.sqrt(F.lit(365.0))).alias("_vol"))
     rows = curve.join(vol, "portfolio_id", "left").withColumn("_vol", F.coalesce("_vol", F.lit(0.0)))
-    total = (F.col("final_equity") - initial_cash) / initial_cash if initial_cash > 0 else F.lit(0.0)
+    total = F.when(F.col("_start") > 0, (F.col("final_equity") - F.col("_start")) / F.col("_start")).otherwise(0.0)
     first = F.lit(float(start_ts)) if start_ts is not None else F.col("_t0")
     days = F.greatest(F.lit(1.0), (F.col("_t1") - first) / 86400)
     rows = rows.withColumn("_total", total).withColumn("_ann", F.when(F.col("_total") > -1, F.pow(1 + F.col("_total"), 365 / days) - 1).otherwise(-1.0))

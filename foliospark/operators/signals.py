@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.functions.scan import time_bucket, two_level_scan
+
 DAY = 86400
 
 
@@ -45,12 +47,14 @@ def regime_rules(df: DataFrame) -> DataFrame:
 
 
 def asof_market(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Latest price and latest derivatives of an event's symbol, the event itself included. One window over the
-    symbol's events; no range join."""
-    w = W.partitionBy("symbol").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    """Latest price and latest derivatives of an event's symbol, the event itself included. Running last values in time
+    buckets; no range join, and no task holds all events of a symbol."""
     metrics = ("spot_cvd", "perp_cvd", "funding_rate")
-    latest = F.last(F.when(F.col("event_type") == "DERIVATIVES_METRICS", F.struct(*metrics)), ignorenulls=True).over(w)
-    out = events.withColumn("latest_price", F.last(F.when(F.col("event_type") == "MARKET_TICK", F.col("price")), ignorenulls=True).over(w)).withColumn("_d", latest)
+    latest = {
+        "latest_price": F.when(F.col("event_type") == "MARKET_TICK", F.col("price")),
+        "_d": F.when(F.col("event_type") == "DERIVATIVES_METRICS", F.struct(*metrics)),
+    }
+    out = two_level_scan(events, ["symbol"], list(order), time_bucket(order[0]), lasts=latest)
     return out.withColumns({f"latest_{m}": F.col("_d")[m] for m in metrics}).drop("_d")
 
 
@@ -89,10 +93,20 @@ def onchain_metrics(daily: DataFrame) -> DataFrame:
     return out.withColumns({"nupl": share(mc - rc, mc), "realized_change_pct": share(rc - old, old) * 100, "hot_share": share(F.col("hot_capital"), mc)}).drop("_d", "_old")
 
 
-def realized_vol_30(ticks: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), default: float = 0.30) -> DataFrame:
-    """Annualised deviation of the last 29 simple returns; the default until a symbol has six prices."""
-    w = W.partitionBy("symbol").orderBy(*order)
-    before = F.lag("price").over(w)
-    out = ticks.withColumn("_r", F.when(before != 0, F.col("price") / before - 1)).withColumn("_n", F.row_number().over(w))
-    vol = F.stddev_samp("_r").over(w.rowsBetween(-28, 0)) * F.sqrt(F.lit(365.0))
-    return out.withColumn("realized_vol", F.when(F.col("_n") > 5, F.coalesce(vol, F.lit(default))).otherwise(default)).drop("_r", "_n")
+#: Returns in a volatility; prices of a symbol in a window partition.
+RETURNS, CHUNK = 29, 4096
+
+
+def realized_vol_30(ticks: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), default: float = 0.30, chunk: int = CHUNK) -> DataFrame:
+    """Annualised deviation of the last 29 simple returns; the default until a symbol has six prices. Prices are numbered
+    per symbol and cut into chunks, each led in by the last 28 prices of the one before."""
+    rows = two_level_scan(ticks, ["symbol"], list(order), time_bucket(order[0]), sums={"_n": F.lit(1)}, lags={"_p": F.col("price")})
+    rows = rows.withColumn("_r", F.when(F.col("_p") != 0, F.col("price") / F.col("_p") - 1))
+    place = F.col("_n") - 1
+    own = F.floor(place / chunk)
+    leads = F.when(place % chunk >= chunk - (RETURNS - 1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("_lead", F.explode(leads)).withColumn("_chunk", own + F.col("_lead"))
+    w = W.partitionBy("symbol", "_chunk").orderBy("_n").rowsBetween(1 - RETURNS, 0)
+    vol = F.stddev_samp("_r").over(w) * F.sqrt(F.lit(365.0))
+    out = rows.withColumn("realized_vol", F.when(F.col("_n") > 5, F.coalesce(vol, F.lit(default))).otherwise(default))
+    return out.where("_lead = 0").drop("_n", "_p", "_r", "_lead", "_chunk")

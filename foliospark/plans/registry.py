@@ -55,11 +55,7 @@ def tick_events(s, d):
 
 @query("SELECT portfolio_id, event_id, event_type, symbol, side, units, CAST(CASE WHEN event_type = 'ORDER_EXECUTED' AND side IS NULL THEN 0 ELSE 1 END AS BIGINT) AS valid FROM ledger")
 def event_log(s, d):
-    log = view(s, d, "ledger")
-    parts = [log.where(F.col("event_type") == k) for k in feeds.EVENT_TYPES]
-    good, bad = feeds.event_log(*parts)
-    keep = lambda x, v: x.select("portfolio_id", "event_id", "event_type", "symbol", "side", "units", F.lit(v).cast("long").alias("valid"))
-    return keep(good, 1).unionByName(keep(bad, 0))
+    return feeds.checked(view(s, d, "ledger")).select("portfolio_id", "event_id", "event_type", "symbol", "side", "units", F.col("valid").cast("long").alias("valid"))
 
 
 @query("""WITH m AS (SELECT book_id, (max(price) FILTER (side = 'BID') + min(price) FILTER (side = 'ASK')) / 2 AS mid FROM book_levels GROUP BY 1)
@@ -225,30 +221,30 @@ def rebalance_decision(s, d):
     return execution.rebalance_decision(drifts(s, d)).withColumns({"triggered": F.array_join("triggered", ","), "total_cost": F.round("total_cost", 4)})
 
 
-LAST_PRICE = "lp AS (SELECT symbol, arg_max(close, day) AS price FROM prices_daily WHERE symbol <> 'A5' GROUP BY 1)"
+LAST_PRICE = "lp AS (SELECT symbol, arg_max(close, day) AS price FROM prices_daily GROUP BY 1)"
 
 
 @query(f"""WITH {DRIFT}, {LAST_PRICE} SELECT portfolio_id, symbol, round(abs(notional) / price, 6) AS units, CASE WHEN notional > 0 THEN 'BUY' ELSE 'SELL' END AS side, round(fee_cost + spread_cost, 6) AS fee FROM dr JOIN lp USING (symbol) WHERE approved AND price > 0 AND abs(notional) >= 1""")
 def executable_orders(s, d):
-    prices = view(s, d, "prices_daily").where("symbol <> 'A5'").groupBy("symbol").agg(F.max_by("close", "day").alias("price"))
+    prices = view(s, d, "prices_daily").groupBy("symbol").agg(F.max_by("close", "day").alias("price"))
     return r6("units", "fee", df=execution.executable_orders(drifts(s, d), prices).select("portfolio_id", "symbol", "units", "side", "fee"))
 
 
-@query("""WITH c AS (SELECT portfolio_id AS plan_id, symbol, weight * 100000 AS depth_2pct FROM current_weights WHERE symbol <> 'A0'), n AS (SELECT plan_id, count(*) AS n, count(*) FILTER (depth_2pct >= 10000) AS ok FROM c GROUP BY 1)
+@query("""WITH c AS (SELECT portfolio_id AS plan_id, symbol, weight * 100000 AS depth_2pct FROM current_weights), n AS (SELECT plan_id, count(*) AS n, count(*) FILTER (depth_2pct >= 10000) AS ok FROM c GROUP BY 1)
 SELECT plan_id, 'BTC' AS symbol, CAST(0.4 AS DOUBLE) AS weight FROM n UNION ALL SELECT plan_id, 'ETH', CAST(0.2 AS DOUBLE) FROM n UNION ALL SELECT plan_id, symbol, round(CAST(0.3 AS DOUBLE) / n, 6) FROM c JOIN n USING (plan_id) WHERE depth_2pct >= 10000
 UNION ALL SELECT plan_id, 'BUIDL', round(CAST(0.1 AS DOUBLE) + (CAST(0.3 AS DOUBLE) - ok * CAST(0.3 AS DOUBLE) / n), 6) FROM n""")
 def allocation_plan(s, d):
-    c = view(s, d, "current_weights").where("symbol <> 'A0'").select(F.col("portfolio_id").alias("plan_id"), "symbol", (F.col("weight") * 100_000).alias("depth_2pct"))
+    c = view(s, d, "current_weights").select(F.col("portfolio_id").alias("plan_id"), "symbol", (F.col("weight") * 100_000).alias("depth_2pct"))
     return r6("weight", df=allocation.allocation_plan(c))
 
 
-VOLS = "vo AS (SELECT symbol, stddev_samp(ret) AS realized_vol FROM (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM prices_daily WHERE symbol <> 'A7') x GROUP BY 1), pv AS (SELECT portfolio_id, sum(weight * realized_vol * 20) AS vol FROM current_weights JOIN vo USING (symbol) GROUP BY 1)"
+VOLS = "vo AS (SELECT symbol, stddev_samp(ret) AS realized_vol FROM (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM prices_daily) x GROUP BY 1), pv AS (SELECT portfolio_id, sum(weight * realized_vol * 20) AS vol FROM current_weights JOIN vo USING (symbol) GROUP BY 1)"
 
 
 def vols_of(s, d):
     from pyspark.sql import Window as W
 
-    p = view(s, d, "prices_daily").where("symbol <> 'A7'")
+    p = view(s, d, "prices_daily")
     ret = F.col("close") / F.lag("close").over(W.partitionBy("symbol").orderBy("day")) - 1
     return p.withColumn("ret", ret).groupBy("symbol").agg((F.stddev_samp("ret") * 20).alias("realized_vol"))
 
@@ -265,12 +261,15 @@ def vol_target_weights(s, d):
     return r6("weight", df=allocation.vol_target_weights(base, allocation.portfolio_vol(base, vols_of(s, d)), "A2"))
 
 
-@query(f"""WITH k AS (SELECT event_id AS key, {CVD} AS reg FROM ledger WHERE {DERIV} AND symbol = 'BTC'), b AS (SELECT * FROM (VALUES ('BTC', 0.4), ('ETH', 0.2), ('SOL', 0.15), ('AVAX', 0.15), ('BUIDL', 0.1)) v(symbol, w))
-SELECT key, symbol, round(CAST(CASE WHEN reg <> 'BROAD_LIQUIDATION' THEN w WHEN symbol = 'BUIDL' THEN 0.55 ELSE w / 2 END AS DOUBLE), 6) AS weight FROM k CROSS JOIN b""")
+@query(f"""WITH k AS (SELECT event_id AS key, {CVD} AS reg, amount AS nupl, (amount - CAST(0.5 AS DOUBLE)) / 2 AS roc, spot_cvd - perp_cvd AS delta FROM ledger WHERE {DERIV} AND symbol = 'BTC'),
+g AS (SELECT *, CAST(CASE WHEN nupl > CAST(0.6 AS DOUBLE) OR (roc > CAST(0.15 AS DOUBLE) AND delta > 0) THEN 1 WHEN nupl < CAST(0.2 AS DOUBLE) OR roc < CAST(-0.15 AS DOUBLE) THEN 3 ELSE 2 END AS DOUBLE) AS gamma FROM k),
+b AS (SELECT * FROM (VALUES ('BTC', 0.4), ('ETH', 0.2), ('SOL', 0.15), ('AVAX', 0.15), ('BUIDL', 0.1)) v(symbol, w))
+SELECT key, symbol, round(CAST(CASE WHEN reg <> 'BROAD_LIQUIDATION' AND gamma <> 3 THEN w WHEN symbol = 'BUIDL' THEN 1 - CAST(0.9 AS DOUBLE) / gamma ELSE w / gamma END AS DOUBLE), 6) AS weight FROM g CROSS JOIN b""")
 def regime_adjusted_weights(s, d):
+    """Targets at each of BTC's derivatives events, with nupl and roc_30d from the event's amount, so that all regimes occur."""
     events = signals.asof_market(view(s, d, "ledger")).where(f"{DERIV} AND symbol = 'BTC'")
-    now = events.select(F.col("event_id").alias("key"), F.col("latest_spot_cvd").alias("spot_cvd"), F.col("latest_perp_cvd").alias("perp_cvd"))
-    ruled = signals.regime_rules(signals.cvd_regime(now).withColumns({"nupl": F.lit(0.5), "roc_30d": F.lit(0.0)}))
+    now = events.select(F.col("event_id").alias("key"), F.col("latest_spot_cvd").alias("spot_cvd"), F.col("latest_perp_cvd").alias("perp_cvd"), F.col("amount").alias("nupl"), ((F.col("amount") - 0.5) / 2).alias("roc_30d"))
+    ruled = signals.regime_rules(signals.cvd_regime(now))
     deep = now.select(F.col("key").alias("plan_id"), F.explode(F.array(F.lit("SOL"), F.lit("AVAX"))).alias("symbol"), F.lit(1e6).alias("depth_2pct"))
     plan = allocation.allocation_plan(deep).withColumnRenamed("plan_id", "key")
     return r6("weight", df=allocation.regime_adjusted_weights(plan, ruled))
@@ -288,14 +287,35 @@ def returns_covariance(s, d):
     return r6("cov", df=covariance(s, d)).select(*[F.col(c).cast("long").alias(c) for c in ("grp", "i", "j")], "cov")
 
 
+def tenths(s, d):
+    return view(s, d, "asset_vectors").select("grp", "asset").distinct().withColumn("weight", (F.col("asset") + 1) / 10)
+
+
 @query(f"""WITH {COV}, m AS (SELECT grp, i, sum(cov * (j + 1) / CAST(10 AS DOUBLE)) AS m FROM cv GROUP BY 1, 2), q AS (SELECT grp, sqrt(sum(m * (i + 1) / CAST(10 AS DOUBLE))) AS v FROM m GROUP BY 1)
 SELECT CAST(grp AS BIGINT) AS grp, CAST(i AS BIGINT) AS asset, round(m / v, 6) AS mcr, round((i + 1) / CAST(10 AS DOUBLE) * m / v, 6) AS rc FROM m JOIN q USING (grp)""")
 def risk_contributions(s, d):
-    weights = view(s, d, "asset_vectors").select("grp", "asset").distinct().withColumn("weight", (F.col("asset") + 1) / 10)
-    out = r6("mcr", "rc", df=allocation.risk_contributions(weights, covariance(s, d)))
+    out = r6("mcr", "rc", df=allocation.risk_contributions(tenths(s, d), covariance(s, d)))
     return out.withColumns({c: F.col(c).cast("long") for c in ("grp", "asset")})
 
 
+@query(f"WITH {COV} SELECT CAST(grp AS BIGINT) AS grp, round(sqrt(greatest(0, sum(cov * (i + 1) * (j + 1) / CAST(100 AS DOUBLE)))) * sqrt(365), 6) AS vol FROM cv GROUP BY 1")
+def portfolio_vol_covariance(s, d):
+    x = allocation.covariance_vol(tenths(s, d), allocation.both_ways(covariance(s, d)))
+    return r6("vol", df=x).withColumn("grp", F.col("grp").cast("long"))
+
+
+@query(f"""WITH {COV}, va AS (SELECT grp, i, sqrt(cov + 1e-8) AS sd FROM cv WHERE i = j), p AS (SELECT a.grp * 16 + a.i * 4 + b.i AS grp, a.i, b.i AS j, a.sd AS sa, b.sd AS sb FROM va a JOIN va b ON a.grp = b.grp AND a.i < b.i)
+SELECT CAST(grp AS BIGINT) AS grp, CAST(i AS BIGINT) AS asset, round(sb / (sa + sb), 6) AS weight FROM p UNION ALL SELECT CAST(grp AS BIGINT), CAST(j AS BIGINT), round(sa / (sa + sb), 6) FROM p""")
+def risk_parity_pairs(s, d):
+    """Every two assets of a group as a group of their own: equal risk is then inverse volatility, whatever the correlation."""
+    cov = covariance(s, d)
+    pairs = cov.where("i < j").withColumn("pair", F.col("grp") * 16 + F.col("i") * 4 + F.col("j"))
+    own = cov.where("i = j").select("grp", F.col("i").alias("k"), F.col("cov").alias("v"))
+    ends = pairs.select("grp", "pair", F.explode(F.array("i", "j")).alias("k")).join(own, ["grp", "k"]).select(F.col("pair").alias("grp"), F.col("k").alias("i"), F.col("k").alias("j"), F.col("v").alias("cov"))
+    both = ends.unionByName(pairs.select(F.col("pair").alias("grp"), "i", "j", "cov"))
+    return r6("weight", df=allocation.risk_parity_weights(both))
+
+
 @query()
 def risk_parity_weights(s, d):
     return allocation.risk_parity_weights(covariance(s, d))
@@ -371,6 +391,14 @@ def overfit_gate(s, d):
     return r6("pbo", df=validation.overfit_gate(records).select("strategy_id", "pbo", "message"))
 
 
+@query()
+def deflated_gate(s, d):
+    """The gate over deflated Sharpe ratios and the path estimate of overfitting."""
+    returns = view(s, d, "strategy_returns")
+    records = validation.deflated_sharpe(returns).select("strategy_id", "dsr").join(validation.path_pbo(validation.cpcv_path_sharpe(returns)), "strategy_id")
+    return validation.overfit_gate(records).select("strategy_id", "dsr", "pbo", "message")
+
+
 # ---- ledger
 
 KEEP = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -416,6 +444,29 @@ def position_weights(s, d):
     return x.select("portfolio_id", "symbol", F.round("notional", 4).alias("notional"), F.round("weight", 8).alias("weight"))
 
 
+#: The same log after a given state, which the other engine gets as events long before: a payment, then purchases without fee.
+BEGUN = LEDGER.replace("FROM ledger)", "FROM begun)")
+BEGIN = """op AS (SELECT o.*, row_number() OVER (ORDER BY portfolio_id, symbol) AS k FROM openings o), begun AS (SELECT portfolio_id, event_id, ts, sequence, event_type, symbol, price, side, units, fee, amount FROM ledger
+UNION ALL SELECT portfolio_id, k - 1000000, TIMESTAMP '1900-01-02', 0, 'ORDER_EXECUTED', symbol, price, 'BUY', units, 0, NULL FROM op
+UNION ALL SELECT s.portfolio_id, -2000000, TIMESTAMP '1900-01-01', 0, 'YIELD_ACCRUED', NULL, NULL, NULL, NULL, NULL, cash - %s + coalesce(v, 0) FROM starts s LEFT JOIN (SELECT portfolio_id, sum(units * price) AS v FROM op GROUP BY 1) x ON x.portfolio_id = s.portfolio_id)""" % CASH
+
+
+def begun(s, d):
+    return ledger.with_initial(view(s, d, "ledger"), view(s, d, "openings"), view(s, d, "starts"))
+
+
+@query(f"WITH {BEGIN}, {BEGUN} SELECT portfolio_id, event_id, round(cash, 6) AS cash, round(equity, 6) AS equity FROM ss WHERE event_id >= 0")
+def portfolio_state_from_start(s, d):
+    x = ledger.portfolio_state(begun(s, d), CASH)
+    return x.select("portfolio_id", "event_id", F.round("cash", 6).alias("cash"), F.round("equity", 6).alias("equity"))
+
+
+@query(f"WITH {BEGIN}, {FINAL.replace(LEDGER, BEGUN)} SELECT portfolio_id, symbol, round(units, 6) AS units, round(price, 6) AS price, round(ay, 6) AS accrued_yield, round(notional, 4) AS notional, round(CASE WHEN marked > 0 THEN notional / marked ELSE 0 END, 8) AS weight FROM ps")
+def state_at_from_start(s, d):
+    x = r6("units", "price", "accrued_yield", df=ledger.state_at(begun(s, d), CASH))
+    return x.select("portfolio_id", "symbol", "units", "price", "accrued_yield", F.round("notional", 4).alias("notional"), F.round("weight", 8).alias("weight"))
+
+
 @query(f"""WITH t AS (SELECT *, price / lag(price) OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1 AS r, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS n FROM ledger WHERE event_type = 'MARKET_TICK')
 SELECT symbol, event_id, round(CASE WHEN n > 5 THEN stddev_samp(r) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN 28 PRECEDING AND CURRENT ROW) * sqrt(365) ELSE CAST(0.3 AS DOUBLE) END, 6) AS realized_vol FROM t""")
 def realized_vol_30(s, d):
@@ -479,19 +530,13 @@ QUERIES["regime_model"] = QUERIES.pop("regime_model_scores")
 
 
 def streamed(s, d, make, key: str) -> DataFrame:
-    """Runs a stream over the event log to its end and returns the last state of each key."""
-    import uuid
-
+    """Runs a stream over the event log to its end, a file at a time, and returns the last state of each key."""
+    from foliospark.functions.scratch import new_path
     from foliospark.sources.views import VIEWS
 
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-")
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = new_path(s, "stream")
     schema = s.read.parquet(f"{d}/events.parquet").schema
-    source = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    source = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
     log = s.sql(VIEWS["ledger"], events=source).withColumn("ts", F.col("ts").cast("timestamp"))
 
     def put(batch: DataFrame, n: int) -> None:
@@ -509,6 +554,10 @@ def stream_portfolio_state(s, d):
     return x.select("portfolio_id", F.round("cash", 6).alias("cash"), F.round("equity", 6).alias("equity"), "n_events")
 
 
-@query()
+@query("""WITH t AS (SELECT *, price / lag(price) OVER w - 1 AS r, row_number() OVER w AS n FROM ledger WHERE event_type = 'MARKET_TICK' WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id)),
+v AS (SELECT symbol, ts, event_id, price, CASE WHEN n > 5 THEN stddev_samp(r) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN 28 PRECEDING AND CURRENT ROW) * sqrt(365) ELSE CAST(0.3 AS DOUBLE) END AS vol FROM t),
+a AS (SELECT symbol, arg_max(price, struct_pack(t := ts, e := event_id)) AS p, arg_max(vol, struct_pack(t := ts, e := event_id)) AS v, count(*) AS n FROM v GROUP BY 1),
+c AS (SELECT symbol, arg_max(spot_cvd, struct_pack(t := ts, e := event_id)) AS sc, arg_max(perp_cvd, struct_pack(t := ts, e := event_id)) AS pc FROM ledger WHERE event_type = 'DERIVATIVES_METRICS' GROUP BY 1)
+SELECT symbol, round(p, 6) AS latest_price, round(sc, 6) AS spot_cvd, round(pc, 6) AS perp_cvd, round(v, 6) AS realized_vol, coalesce(n, 0) AS n_prices FROM a FULL JOIN c USING (symbol)""")
 def stream_market_cache(s, d):
-    return streamed(s, d, streams.stream_market_cache, "symbol")
+    return r6("latest_price", "spot_cvd", "perp_cvd", "realized_vol", df=streamed(s, d, streams.stream_market_cache, "symbol"))

@@ -25,14 +25,20 @@ def tick_events(ticks: DataFrame) -> DataFrame:
     return ticks.select(F.lit("MARKET_TICK").alias("event_type"), "timestamp", "symbol", "price", number("volume", "double", "volume_24h"), number("sequence", "long", "sequence"))
 
 
+def checked(log: DataFrame) -> DataFrame:
+    """Adds valid: false for an unknown kind, or an order that neither buys nor sells."""
+    known = F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False))
+    sided = (F.col("event_type") != "ORDER_EXECUTED") | F.coalesce(F.col("side").isin("BUY", "SELL"), F.lit(False))
+    return log.withColumn("valid", known & sided)
+
+
 def event_log(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One wide log of the parts, and the rows rejected: an unknown kind, or an order that neither buys nor sells."""
+    """One wide log of the parts, and the rows rejected (see checked)."""
     log = parts[0]
     for p in parts[1:]:
         log = log.unionByName(p, allowMissingColumns=True)
-    known = F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False))
-    sided = (F.col("event_type") != "ORDER_EXECUTED") | F.coalesce(F.col("side").isin("BUY", "SELL"), F.lit(False))
-    return log.where(known & sided), log.where(~(known & sided))
+    rows = checked(log)
+    return rows.where("valid").drop("valid"), rows.where("NOT valid").drop("valid")
 
 
 def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -15,6 +15,9 @@ VIEWS = {
         CAST(CASE event_type WHEN 'purchase' THEN 2 WHEN 'error' THEN 1 END AS DOUBLE) AS units, CAST(0.001 AS DOUBLE) * value AS fee, value / 100 AS amount,
         value - 50 AS spot_cvd, CAST(5 * (event_id % 21) - 50 AS DOUBLE) AS perp_cvd, 10 * value AS crypto_margined_oi,
         CAST(CASE WHEN event_id % 50 = 0 THEN 0 ELSE 500 END AS DOUBLE) AS cash_margined_oi, (value - 50) / 100000 AS funding_rate FROM {{events}}""",
+    "openings": """SELECT c_custkey % 20 AS portfolio_id, CASE c_nationkey % 5 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH' WHEN 2 THEN 'SOL' WHEN 3 THEN 'AVAX' ELSE 'BUIDL' END AS symbol,
+        CAST(count(*) AS DOUBLE) AS units, CAST(90 + floor(avg(c_custkey % 40)) AS DOUBLE) AS price FROM {customer} GROUP BY 1, 2""",
+    "starts": "SELECT c_custkey % 20 AS portfolio_id, 500000 + CAST(count(*) AS DOUBLE) AS cash FROM {customer} GROUP BY 1",
     "prices_daily": """SELECT 'A' || CAST(l_suppkey % 12 AS VARCHAR(9)) AS symbol, CAST(l_shipdate AS DATE) AS day, 100 * (1 + avg(l_discount)) AS close
         FROM {lineitem} GROUP BY 1, 2""",
     "strategy_returns": """SELECT strategy_id, strategy_id % 4 AS family_id, CAST(row_number() OVER (PARTITION BY strategy_id ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS idx,

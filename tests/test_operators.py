@@ -92,6 +92,142 @@ def test_two_level_scan_equals_window(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def opened(spark, events):
+    positions = spark.createDataFrame([(1, "BTC", 1.0, 50_000.0, 0.5, 3.0)], "portfolio_id long, symbol string, units double, price double, weight double, accrued_yield double")
+    starts = spark.createDataFrame([(1, 50_000.0, 100_000.0, dt.datetime(2023, 1, 1), 7, 11.0, 22.0)], "portfolio_id long, cash double, equity double, ts timestamp, event_sequence long, unrealized_pnl double, margin_used double")
+    return ledger.with_initial(events, positions, starts)
+
+
+def test_tick_on_initial_positions(spark):
+    """1 BTC at 50,000 beside as much cash; a tick to 60,000 gives equity 110,000 and weight 60 / 110."""
+    events = opened(spark, log(spark, ("MARKET_TICK", "BTC", 60_000.0, None, None, None, None)))
+    r = ledger.portfolio_state(events, 0.0).collect()
+    assert len(r) == 1 and (r[0].cash, r[0].equity, r[0].event_sequence, r[0].unrealized_pnl, r[0].margin_used, r[0].initial_equity) == (50_000.0, 110_000.0, 8, 11.0, 22.0, 100_000.0)
+    assert r[0].as_of == T0
+    (p,) = ledger.state_at(events, 0.0).collect()
+    assert (p.units, p.price, p.notional, p.accrued_yield, p.cash, p.equity) == (1.0, 60_000.0, 60_000.0, 3.0, 50_000.0, 110_000.0) and p.weight == 60_000 / 110_000
+    (q,) = ledger.position_ledger(events).collect()
+    assert (q.position_units, q.position_price, q.notional, q.accrued_yield) == (1.0, 60_000.0, 60_000.0, 3.0)
+    assert ledger.position_weights(events, 0.0).first().weight == 60_000 / 110_000
+
+
+def test_given_equity_and_weights_hold_until_revalued(spark):
+    """Other events carry them; a yield revalues equity but not weights; a late timestamp stays the largest."""
+    positions = spark.createDataFrame([(1, "BTC", 1.0, 50_000.0, 0.9)], "portfolio_id long, symbol string, units double, price double, weight double")
+    starts = spark.createDataFrame([(1, 50_000.0, 123.0, dt.datetime(2030, 1, 1))], "portfolio_id long, cash double, equity double, ts timestamp")
+    events = ledger.with_initial(log(spark, ("DERIVATIVES_METRICS", "BTC", None, None, None, None, None), ("YIELD_ACCRUED", "BTC", None, None, None, None, 10.0)), positions, starts)
+    a, b = ledger.portfolio_state(events, 0.0).orderBy("event_id").collect()
+    assert (a.equity, b.equity, a.event_sequence, b.event_sequence, a.as_of) == (123.0, 100_010.0, 1, 2, dt.datetime(2030, 1, 1))
+    p = ledger.state_at(events, 0.0).first()
+    assert (p.weight, p.accrued_yield, p.equity) == (0.9, 10.0, 100_010.0)
+    only = ledger.state_at(events.where("event_type <> 'YIELD_ACCRUED'"), 0.0).first()
+    assert (only.weight, only.equity) == (0.9, 123.0)
+    d = {r.snapshot: r.equity for r in ledger.daily_equity(ledger.portfolio_state(events, 0.0), 0.0).collect()}
+    assert d[0] == 123.0 and ledger.backtest_summary(ledger.portfolio_state(events, 0.0), 0.0).first().total_return_pct == pytest.approx((100_010 - 123) / 123 * 100)
+
+
+def test_a_hot_symbol_is_many_tasks(spark):
+    """All events of one portfolio and one symbol, over a year: windows are cut in time, results stay the same."""
+    rows = [(1, i, T0 + dt.timedelta(hours=3 * i), i, "MARKET_TICK" if i % 3 else "ORDER_EXECUTED", "A", 50.0 + (i * 37) % 11, "BUY" if i % 2 else "SELL", 1.0, 0.1, None, None, None) for i in range(3000)]
+    events = spark.createDataFrame(rows, LOG)
+    cash, units, peak = 1000.0, 0.0, 1000.0
+    got = {r.event_id: r for r in ledger.drawdown(ledger.portfolio_state(events, 1000.0), 1000.0).collect()}
+    latest = {r.event_id: r.latest_price for r in signals.asof_market(events).collect()}
+    price = None
+    for _, i, _, _, kind, _, p, side, u, fee, *_ in rows:
+        if kind == "ORDER_EXECUTED":
+            units += u if side == "BUY" else -u
+            cash -= (u if side == "BUY" else -u) * p + fee
+        else:
+            price = p
+        equity = cash + units * p
+        peak = max(peak, equity)
+        assert (got[i].cash, got[i].equity) == (pytest.approx(cash), pytest.approx(equity)) and got[i].drawdown == pytest.approx((equity - peak) / peak) and latest[i] == price
+    # whole-key windows see a row for each bucket only; those over events are cut by _b or _chunk
+    for df in (ledger.portfolio_state(events, 1.0), signals.asof_market(events), signals.realized_vol_30(events)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        over_events = [x for x in plan.splitlines() if "Window [" in x and "unboundedpreceding$(), -1)" not in x]
+        assert over_events and all("_b#" in x or "_chunk#" in x for x in over_events)
+
+
+def test_volatility_over_chunks(spark):
+    rows = [(1, i, T0 + dt.timedelta(minutes=i), 0, "MARKET_TICK", "A" if i % 5 else "B", 50.0 + (i * 37) % 11, None, None, None, None, None, None) for i in range(400)]
+    got = {r.event_id: r.realized_vol for r in signals.realized_vol_30(spark.createDataFrame(rows, LOG), chunk=40).collect()}
+    for s in "AB":
+        own = [r for r in rows if r[5] == s]
+        p = np.array([r[6] for r in own])
+        rets = p[1:] / p[:-1] - 1
+        for k, r in enumerate(own):
+            assert got[r[1]] == pytest.approx(0.3 if k < 5 else rets[max(0, k - 29) : k].std(ddof=1) * 365**0.5)
+
+
+def test_lags_and_null_keys(spark):
+    df = spark.createDataFrame([(None if i % 2 else "k", i, None if i == 4 else float(i)) for i in range(12)], "k string, i long, v double")
+    got = {r.i: (r.n, r.p) for r in two_level_scan(df, ["k"], ["i"], F.floor(F.col("i") / 4), sums={"n": F.lit(1)}, lags={"p": F.col("v")}).collect()}
+    assert got == {i: (i // 2 + 1, None if i < 2 or i == 6 else float(i - 2)) for i in range(12)}
+
+
+def test_deflated_sharpe_by_hand(spark):
+    """z, dsr and the gate against the formula with a normal distribution of the standard library."""
+    from statistics import NormalDist
+
+    r = np.random.default_rng(1)
+    series = {k: r.normal(0.004 * k, 0.01, 200) + 0.002 * r.exponential(size=200) for k in range(4)}
+    df = spark.createDataFrame([(k, 0, i, float(x)) for k, xs in series.items() for i, x in enumerate(xs)], "strategy_id long, family_id long, idx long, ret double")
+    sharpe = {k: x.mean() / x.std(ddof=1) * 365**0.5 for k, x in series.items()}
+    n, var = 4, np.var(list(sharpe.values()), ddof=1)
+    inv = NormalDist().inv_cdf
+    star = var**0.5 * ((1 - validation.EULER_GAMMA) * inv(1 - 1 / n) + validation.EULER_GAMMA * inv(1 - 1 / (n * np.e)))
+    got = {x.strategy_id: x for x in validation.deflated_sharpe(df).collect()}
+    for k, x in series.items():
+        c = x - x.mean()
+        skew, kurt = (c**3).mean() / (c**2).mean() ** 1.5, (c**4).mean() / (c**2).mean() ** 2
+        z = (sharpe[k] - star) / (max(1e-12, 1 - skew * sharpe[k] + (kurt - 1) / 4 * sharpe[k] ** 2) / 199) ** 0.5
+        assert got[k].sharpe_star == pytest.approx(star) and got[k].z == pytest.approx(z) and got[k].dsr == pytest.approx(NormalDist().cdf(z), abs=1e-9)
+        assert got[k].is_valid == (NormalDist().cdf(z) >= 0.95 and np.mean([s <= 0 for s in sharpe.values()]) < 0.1)
+    bad = {x.strategy_id for x in validation.overfit_gate(validation.deflated_sharpe(df)).collect()}
+    assert bad == {k for k in got if got[k].dsr < 0.95} and 0 < len(bad) < 4
+
+
+def test_rejection_texts(spark):
+    current = spark.createDataFrame([(1, "BTC", 0.5), (1, "SOL", 0.3), (1, "ETH", 0.2)], "portfolio_id long, symbol string, weight double")
+    target = spark.createDataFrame([(1, "BTC", 0.51), (1, "SOL", 0.1), (1, "ETH", 0.39)], "portfolio_id long, symbol string, weight double")
+    assets = spark.createDataFrame([("BTC", "CORE", 5e6), ("ETH", "CORE", 1e-6), ("SOL", "SATELLITE", 5e6)], "symbol string, category string, depth_2pct double")
+    equity = spark.createDataFrame([(1, 1e6)], "portfolio_id long, equity double")
+    got = {r.symbol: r.rejection_reason for r in execution.weight_drift(current, target, equity, assets).collect()}
+    assert got["BTC"].startswith("Drift") and got["SOL"] is None and got["ETH"].startswith("Execution")
+
+
+def test_events_round_trip(spark, tmp_path):
+    lines = spark.createDataFrame([('{"event_id":"e1","ts":"2024-01-02T03:04:05Z","event_type":"MARKET_TICK","symbol":"BTC","price":5.5}',), ("broken",)], "value string")
+    parsed = feeds.parse_events(lines)
+    assert [(r.event_type, r.symbol, r.price) for r in parsed.where("event_type IS NOT NULL").collect()] == [("MARKET_TICK", "BTC", 5.5)] and parsed.count() == 2
+    feeds.write_events(parsed.where("event_type IS NOT NULL"), str(tmp_path / "log"))
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert back.count() == 1 and str(back.first().event_date) == "2024-01-02"
+
+
+def test_streams_over_several_files(spark, tmp_path):
+    """State is carried from one micro-batch to the next; the end equals the batch operators."""
+    from foliospark.plans import registry
+    from foliospark.sources.views import view
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    d = str(tmp_path)
+    for k in range(3):  # three files, in order of time
+        lo, hi = events.approxQuantile("event_id", [k / 3, (k + 1) / 3], 0)
+        events.where((F.col("event_id") >= lo if k == 0 else F.col("event_id") > lo) & (F.col("event_id") <= hi)).orderBy("ts", "event_id").coalesce(1).write.mode("append").parquet(f"{d}/events.parquet")
+    log = view(spark, d, "ledger")
+    ordered = log.orderBy("event_id").select("ts").collect()
+    assert [r.ts for r in ordered] == sorted(r.ts for r in ordered)
+    want = {r.portfolio_id: (r.cash, r.equity) for r in ledger.state_at(log, registry.CASH).select("portfolio_id", F.round("cash", 4).alias("cash"), F.round("equity", 4).alias("equity")).distinct().collect()}
+    got = {r.portfolio_id: (r.cash, r.equity) for r in registry.stream_portfolio_state(spark, d).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    vols = {r.symbol: r.realized_vol for r in signals.realized_vol_30(log.where("event_type = 'MARKET_TICK'")).groupBy("symbol").agg(F.max_by("realized_vol", F.struct("ts", "event_id")).alias("realized_vol")).collect()}
+    cache = {r.symbol: r for r in registry.stream_market_cache(spark, d).collect()}
+    assert all(cache[s].realized_vol == pytest.approx(v, abs=1e-6) for s, v in vols.items())
+
+
 def test_stream_step_equals_batch(spark):
     import pandas as pd
 
