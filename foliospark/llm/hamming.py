@@ -2,7 +2,9 @@
 
 A code's bits are cut into m segments; the index holds (segment, value) -> code. Round a looks up every value
 at distance a from a query's segments, so after it all codes within m (a + 1) - 1 bits are verified. A query
-leaves as soon as its kth verified distance is within that bound; the others go on with a larger radius.
+leaves as soon as its kth verified distance is within that bound; the others go on with a larger radius. Values to
+look up are made on the executors. Should a radius have more of them than there are codes, the queries still open are
+verified against all codes, in blocks; with segments of log2 n bits that takes neighbours farther than random ones lie.
 
 Codes are looked up once, however many rows share them: a code carries its k + 1 smallest ids, which is all
 that ties by id can ever need. So a vector that a third of the rows repeat costs one index entry.
@@ -14,7 +16,6 @@ ties go to the smaller id; a row is not its own neighbour, its copies are; fewer
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import discard, read, stash
 
 BITS = 64
+#: Values a query may look up in a round in any case; beyond it, and beyond the number of codes, all codes are verified.
+LARGE, SCAN = 1 << 16, 1024
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -40,12 +43,41 @@ def cuts(bits: int, m: int) -> list[tuple[int, int]]:
 
 
 def segments(code: Column, bits: int, m: int) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("seg"), F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i, (at, width) in enumerate(cuts(bits, m))])
+    return F.array(*[F.struct(F.lit(i).alias("seg"), F.lit(width).alias("width"), F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i, (at, width) in enumerate(cuts(bits, m))])
 
 
-def masks(bits: int, m: int, radius: int) -> list[tuple[int, int]]:
-    """(segment, mask) for the values at exactly `radius` bits from a segment's value."""
-    return [(i, sum(1 << b for b in chosen)) for i, (_, width) in enumerate(cuts(bits, m)) for chosen in combinations(range(width), radius)]
+def probes_at(queries: DataFrame, bits: int, m: int, radius: int) -> DataFrame:
+    """(code) -> q, seg, value: the values at exactly `radius` bits from each segment's own, made where the query is, a bit
+    after the other in rising order."""
+    rows = queries.select(F.col("code").alias("q"), F.explode(segments(F.col("code"), bits, m)).alias("s")).select("q", "s.*", F.lit(-1).alias("bit"))
+    for _ in range(radius):
+        rows = rows.where("bit + 1 < width").withColumn("bit", F.explode(F.sequence(F.col("bit") + 1, F.col("width") - 1)))
+        rows = rows.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, bit)")))
+    return rows.select("q", "seg", "value")
+
+
+def nearest_codes(hits: DataFrame, k: int) -> DataFrame:
+    """The k + 1 codes of each query with the smallest (distance, first id): the best k + 1 rows are rows of these. Each
+    task drops the rest before the shuffle."""
+    return hits.withColumn("_r", F.row_number().over(W.partitionBy("q").orderBy("distance", "first"))).where(F.col("_r") <= k + 1).drop("_r")
+
+
+def distance_of() -> Column:
+    return F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("long")
+
+
+def all_verified(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """Verifies every code for queries whose next radius has more values than there are codes, a block of them at a time:
+    a block of about `SCAN` codes is what every task gets."""
+    blocks = max(1, -(-queries.count() // SCAN))
+    every = index.select("code", F.get("ids", F.lit(0)).alias("first"))
+    out = None
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == b).select(F.col("code").alias("q"))
+        hits = every.crossJoin(F.broadcast(own)).withColumn("distance", distance_of())
+        done = stash(nearest_codes(hits, k), "mih-all").select("q", "code", "first", "distance")
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def top_ids(codes: DataFrame, k: int) -> DataFrame:
@@ -63,19 +95,14 @@ def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int
     entries = stash(index.select("code", F.get("ids", F.lit(0)).alias("first"), F.explode(segments(F.col("code"), bits, m)).alias("s")).select("s.seg", "s.value", "code", "first"), "mih-index")
     open_ = stash(queries.select("code").distinct(), "mih-open")
     found, done = None, []
-    for radius in range(max(width for _, width in cuts(bits, m)) + 1):
-        flips = spark.createDataFrame(masks(bits, m, radius), "seg int, mask long")
-        probes = (
-            open_.select(F.col("code").alias("q"), F.explode(segments(F.col("code"), bits, m)).alias("s"))
-            .join(F.broadcast(flips).withColumnRenamed("seg", "_g"), F.col("s.seg") == F.col("_g"))  # at most m C(width, radius) rows
-            .select("q", F.col("s.seg").alias("seg"), F.col("s.value").bitwiseXOR(F.col("mask")).alias("value"))
-        )
-        hits = probes.join(entries, ["seg", "value"]).select("q", "code", "first").distinct().withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("long"))
-        # the best k + 1 rows are rows of the k + 1 codes with the smallest (distance, first id): however many
-        # codes tie, no more stay, and each task drops the rest before the shuffle
+    widths = [width for _, width in cuts(bits, m)]
+    for radius in range(max(widths) + 1):
+        if sum(math.comb(w, radius) for w in widths) > max(n, LARGE):
+            done.append(all_verified(open_, index, k))
+            break
+        hits = probes_at(open_, bits, m, radius).join(entries, ["seg", "value"]).select("q", "code", "first").distinct().withColumn("distance", distance_of())
         every = hits if found is None else hits.unionByName(found).distinct()
-        nearest = every.withColumn("_r", F.row_number().over(W.partitionBy("q").orderBy("distance", "first"))).where(F.col("_r") <= k + 1).drop("_r")
-        best = stash(nearest, f"mih-found-{radius}")
+        best = stash(nearest_codes(every, k), f"mih-found-{radius}")
         covered = m * (radius + 1) - 1
         rows = best.join(index.select("code", F.size("ids").alias("rows")), "code").groupBy("q").agg(F.sum(F.when(F.col("distance") <= covered, F.col("rows")).otherwise(0)).alias("sure"), F.count("*").alias("codes"))
         closed = rows.where((F.col("sure") > k) | (F.col("codes") == n)).select("q")  # k and the query itself, or all there is

@@ -120,8 +120,33 @@ def test_flat_trees_equal_a_walk():
 # ---- exact top-k
 
 
-@pytest.mark.parametrize("n,k,m", [(200, 5, None), (3, 10, 4), (60, 3, 2)])
-def test_top_k_equals_brute_force(spark, n, k, m):
+def test_probes_are_the_values_at_a_distance(spark):
+    q = spark.createDataFrame([(0b1011_0110_1,)], "code long")
+    for radius in range(5):
+        got = [(r.seg, r.value) for r in hamming.probes_at(q, 9, 2, radius).collect()]
+        want = [(i, v) for i, (at, w) in enumerate(hamming.cuts(9, 2)) for v in range(1 << w) if (v ^ (0b1011_0110_1 >> at & (1 << w) - 1)).bit_count() == radius]
+        assert sorted(got) == sorted(want)
+
+
+def test_top_k_of_the_query_on_odd_tables(spark, tmp_path):
+    """NULL vectors and ids, extra columns with names of its own, and a table whose rows all tie."""
+    r = np.random.default_rng(5)
+    rows = [(i if i % 17 else None, None if i % 13 == 5 else [float(x) for x in r.normal(size=64)], 1, 2) for i in range(320)]
+    tied = [(i, [1.0] * 64, 1, 2) for i in range(120)]
+    for name, table in (("odd", rows), ("tied", tied)):
+        d = str(tmp_path / name)
+        spark.createDataFrame(table, "vec_id long, embedding array<double>, code long, q long").write.parquet(f"{d}/embeddings.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet/*.parquet'")
+        assert_same(hamming.op2_hamming_topk(spark, d), hamming.SQL.replace("AND v.embedding IS NOT NULL", "AND v.embedding IS NOT NULL AND v.vec_id IS NOT NULL"), con)
+
+
+@pytest.mark.parametrize("n,k,m,large", [(200, 5, None, None), (3, 10, 4, None), (60, 3, 2, None), (200, 5, 2, 0), (60, 3, 2, 20)])
+def test_top_k_equals_brute_force(spark, monkeypatch, n, k, m, large):
+    """large: how many values a round may look up before all codes are verified, in blocks of 7."""
+    if large is not None:
+        monkeypatch.setattr(hamming, "LARGE", large)
+        monkeypatch.setattr(hamming, "SCAN", 7)
     r = np.random.default_rng(n)
     codes = [(i, int(r.integers(0, 1 << 12)) if i % 3 else 77) for i in range(n)]  # a third share one code
     df = spark.createDataFrame(codes, "id long, code long")
