@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.functions.scratch import new_path, shared_dir  # noqa: F401
+
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Only where a session has none (tests, a
-    laptop) is a temporary one made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if found:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(found)
-        return found.rstrip("/")
-    set_before = sc._jsc.sc().getCheckpointDir()
-    if set_before.isDefined():
-        return set_before.get().rstrip("/")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stash(df: DataFrame, name: str, codec: str = "zstd", by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage and survives the loss
     of executors."""

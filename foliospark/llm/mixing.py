@@ -73,7 +73,7 @@ def sainte_lague(parties: DataFrame, votes: str, seats: Column, within: list[str
     return ranked.groupBy(*keys, "_base").agg(won.alias("_won")).withColumn("quota", F.col("_base") + F.col("_won")).drop("_base", "_won")
 
 
-def mix(docs: DataFrame, block: int = 128, shard_words: int = 1 << 21, max_repeat: int = 3, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, block: int = 128, shard_words: int = 1 << 21, shard_rows: int = 1 << 17, max_repeat: int = 3, seed: int = 17) -> DataFrame:
     """(doc_id, text, source) -> one row per document: doc_id, source, size, source_size, target, taken,
     and what realises it: passes (whole copies) and the block range and rule of the partial pass."""
     sized = stash(
@@ -85,14 +85,14 @@ def mix(docs: DataFrame, block: int = 128, shard_words: int = 1 << 21, max_repea
         ),
         "mix-sizes",
     )
-    sources = stash(water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size")), max_repeat), "mix-sources")
-    # a large source is dealt to shards in proportion to its size, so that no window holds a whole source
-    s = sources.withColumnRenamed("source", "_s").withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)))
+    sources = stash(water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), max_repeat), "mix-sources")
+    # a large source is dealt to shards by its words and rows, so that no window holds a whole source
+    s = sources.withColumnRenamed("source", "_s").withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("_rows") / shard_rows))).drop("_rows")
     placed = sized.join(F.broadcast(s) if _few(sources) else s, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = placed.withColumn("shard", seeded_long(seed + 1, F.col("doc_id")) % F.col("_shards")).drop("_shards")
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     blocks = F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block).cast("long")
-    source_quota = sainte_lague(sources, "target", blocks, [], "source").select(F.col("source").alias("_s"), F.col("quota").alias("_q"))
+    source_quota = sainte_lague(sources.drop("_rows"), "target", blocks, [], "source").select(F.col("source").alias("_s"), F.col("quota").alias("_q"))
     quotas = sainte_lague(
         shards.join(source_quota, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "shard_size", F.col("_q"), ["source"], "shard"
     ).select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "quota")
@@ -148,7 +148,7 @@ SQL = r"""
 WITH RECURSIVE z AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) AS i
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_rows, (row_number() OVER (ORDER BY source NULLS LAST) - 1) AS i
   FROM z GROUP BY source
 ), w AS (SELECT *, (1 + i % 3)::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM s),
 fill(step, level, n_capped) AS (
@@ -160,7 +160,7 @@ fill(step, level, n_capped) AS (
   WHERE g.n > f.n_capped
 ), t AS (
   SELECT w.*, least(cap, (SELECT level FROM fill ORDER BY step DESC LIMIT 1) * w) AS target,
-         greatest(1, ceil(source_size / 2097152.0))::BIGINT AS shards FROM w
+         greatest(1, ceil(source_size / 2097152.0), ceil(n_rows / 131072.0))::BIGINT AS shards FROM w
 ), b AS (SELECT round(sum(target) / 128)::BIGINT AS blocks FROM t),
 q AS (
   SELECT i, count(*) AS quota FROM (

@@ -275,6 +275,12 @@ def test_water_fill(spark):
     assert {s: r.target for s, r in got.items()} == pytest.approx(target)
 
 
+def test_blank_documents_are_many_shards(spark):
+    docs = spark.createDataFrame([(i, " " if i else "a b c", "s") for i in range(200)], "doc_id long, text string, source string")
+    plan = mixing.mix(docs, block=1, shard_rows=16)
+    assert plan.select("shard").distinct().count() >= 10 and plan.agg(F.sum("taken")).first()[0] == 3
+
+
 def test_mix_of_odd_rows_and_its_rows(spark):
     docs = odd_docs(spark)
     plan = mixing.mix(docs, block=16)
@@ -503,6 +509,11 @@ def test_packing_ids_equal_the_tokenizer(spark):
         assert np.frombuffer(r.ids, "<u2").tolist() == [*t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0]
 
 
+def test_packing_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", 1, "n", "i", "r") for i in range(20)], "doc_id long, text string, part int, node string, ids string, raw string")
+    check_pieces(packing.pack_documents(docs).collect(), 20)
+
+
 def test_neighbours_are_lexical():
     r = np.random.default_rng(3)
     docs = [np.append(r.integers(100 * (i % 3) + 1, 100 * (i % 3) + 60, 200), 0).astype("<u2") for i in range(30)]
@@ -533,6 +544,21 @@ def test_archives_round_trip_and_lookup(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_lookup_reads_through_any_upper_level(spark):
+    """Repeated page ids and rows, clashing columns, one hot url over several archives, few ranges for many archives."""
+    rows = [(i % 250, "http://hot.org/same" if i % 3 == 0 else f"http://h{i % 40}.net/{i}", f"<p>{i % 90}</p>", 1, "d", "m") for i in range(900)] + [(7, "http://x.org/", "<p>7</p>", 1, "d", "m")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, part int, digest string, member string")
+    index = warc.write_archives(pages)
+    assert index.select("part").distinct().count() > 2
+    want = sorted(map(str, warc.read_archives(index).collect()))
+    assert len(want) == 902
+    for most in (1, 3, 1000):
+        got = warc.look_up(index, pages.unionByName(pages.withColumn("url", F.lit("http://none.org/"))), bodies=False, max_ranges=most).collect()
+        assert sorted(map(str, got)) == want
+    hot = warc.look_up(index, spark.createDataFrame([("http://hot.org/same",)], "url string"), bodies=False)
+    assert hot.count() == 300
+
+
 def test_damaged_record_is_noticed():
     data = warc.record(1, "http://a", "X" * 32, 3, b"abc")
     with pytest.raises(ValueError):
