@@ -42,7 +42,12 @@ def event_log(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
-    return lines.select(F.from_json(column, EVENT_LOG).alias("e")).select("e.*")
+    """JSON lines as columns of the event log; NULL where a line or field can't be read. Prices of book levels, which JSON
+    has as text, become numbers; a level without a number as price is left out."""
+    read = lines.select(F.from_json(column, EVENT_LOG.replace("map<double,double>", "map<string,double>")).alias("e")).select("e.*")
+    number = lambda k: k.try_cast("double")
+    levels = lambda c: F.transform_keys(F.map_filter(c, lambda k, _: number(k).isNotNull()), lambda k, _: number(k))
+    return read.withColumns({c: levels(c) for c in ("bids", "asks")})
 
 
 def write_events(log: DataFrame, path: str) -> None:

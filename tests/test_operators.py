@@ -132,6 +132,7 @@ def test_a_hot_symbol_is_many_tasks(spark):
     events = spark.createDataFrame(rows, LOG)
     cash, units, peak = 1000.0, 0.0, 1000.0
     got = {r.event_id: r for r in ledger.drawdown(ledger.portfolio_state(events, 1000.0), 1000.0).collect()}
+    events = events.withColumn("funding_rate", F.lit(0.0))
     latest = {r.event_id: r.latest_price for r in signals.asof_market(events).collect()}
     price = None
     for _, i, _, _, kind, _, p, side, u, fee, *_ in rows:
@@ -199,8 +200,9 @@ def test_rejection_texts(spark):
 
 
 def test_events_round_trip(spark, tmp_path):
-    lines = spark.createDataFrame([('{"event_id":"e1","ts":"2024-01-02T03:04:05Z","event_type":"MARKET_TICK","symbol":"BTC","price":5.5}',), ("broken",)], "value string")
+    lines = spark.createDataFrame([('{"event_id":"e1","ts":"2024-01-02T03:04:05Z","event_type":"MARKET_TICK","symbol":"BTC","price":5.5,"bids":{"50.5":1,"x":2}}',), ("broken",)], "value string")
     parsed = feeds.parse_events(lines)
+    assert parsed.where("symbol = 'BTC'").first().bids == {50.5: 1.0}
     assert [(r.event_type, r.symbol, r.price) for r in parsed.where("event_type IS NOT NULL").collect()] == [("MARKET_TICK", "BTC", 5.5)] and parsed.count() == 2
     feeds.write_events(parsed.where("event_type IS NOT NULL"), str(tmp_path / "log"))
     back = spark.read.parquet(str(tmp_path / "log"))
