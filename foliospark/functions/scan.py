@@ -19,29 +19,45 @@ def time_bucket(ts: str, span: int = SPAN) -> Column:
 
 def two_level_scan(
     df: DataFrame, key: list[str], order: list[str], bucket: Column, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None,
-    lasts: dict[str, Column] | None = None, lags: dict[str, Column] | None = None,
+    lasts: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, since: dict[str, Column] | None = None, step: Column | None = None, before: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Running sums, maxima and last non-null values per key, and the values of the row before: inside (key, bucket), then
-    over one row per bucket, then put together. bucket has to rise with the order; a NULL in a key is a key."""
-    sums, maxima, lasts, lags = sums or {}, maxima or {}, lasts or {}, lags or {}
-    rows = df.withColumn("_b", bucket)
+    """Running sums, maxima and last non-null values per key, the values of the row before (lags), and the last non-null
+    value plus the steps since (since, step: 1 a row by default): inside (key, bucket), then over one row per bucket, then
+    put together. Sums, maxima and lasts named in `before` come with their value before the row too, as `<name>_before`.
+    bucket has to rise with the order; a NULL in a key is a key. df is read twice, so write it before scans of scans."""
+    sums, maxima, lasts, lags, since = sums or {}, maxima or {}, lasts or {}, lags or {}, since or {}
     inside = W.partitionBy(*key, "_b").orderBy(*order)
+    running, prior = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(W.unboundedPreceding, -1)
     last = lambda c: F.last(c, ignorenulls=True)
     parts = [(sums, F.sum), (maxima, F.max), (lasts, last)]
-    running = {f"_{n}": f(c).over(inside.rowsBetween(W.unboundedPreceding, 0)) for group, f in parts for n, c in group.items()}
-    number = {"_row": F.row_number().over(inside)} if lags else {}
-    local = rows.withColumns(running | {f"_{n}": F.lag(c).over(inside) for n, c in lags.items()} | number)
+    rows = df.withColumn("_b", bucket)
+    if since:
+        rows = rows.withColumn("_step", F.sum(step if step is not None else F.lit(1)).over(running))
+    bases = {n: c - F.col("_step") for n, c in since.items()}
+    local = {f"_{n}": f(c).over(running) for group, f in [*parts, (bases, last)] for n, c in group.items()} | {f"_{n}": F.lag(c).over(inside) for n, c in lags.items()}
+    local |= {f"_{n}_before": f(c).over(prior) for group, f in parts for n, c in group.items() if n in before}
     at = F.struct(*order)
     ends = rows.groupBy(*key, "_b").agg(
         *[F.sum(c).alias(f"_{n}") for n, c in sums.items()], *[F.max(c).alias(f"_{n}") for n, c in maxima.items()],
-        *[F.max_by(c, F.when(c.isNotNull(), at)).alias(f"_{n}") for n, c in lasts.items()], *[F.max_by(c, at).alias(f"_{n}") for n, c in lags.items()],
+        *[F.max_by(c, F.when(c.isNotNull(), at)).alias(f"_{n}") for n, c in (lasts | bases).items()], *[F.max_by(c, at).alias(f"_{n}") for n, c in lags.items()],
+        *[F.max("_step").alias("_steps")] * bool(since), F.count("*").alias("_all"),
     )
-    before = W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    names = [*sums, *maxima, *lasts, *lags]
+    earlier = W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    if since:
+        ends = ends.withColumn("_c_steps", F.coalesce(F.sum("_steps").over(earlier), F.lit(0))).withColumns({f"_{n}": F.col(f"_{n}") - F.col("_c_steps") for n in since})
     of_bucket = [*key, "_b"]
-    carried = ends.select(*[F.col(c).alias(f"_k_{c}") for c in of_bucket], *[f(f"_{n}").over(before).alias(f"_c_{n}") for group, f in [*parts, (lags, F.last)] for n in group])
-    out = local.join(carried, reduce(lambda a, b: a & b, [local[c].eqNullSafe(carried[f"_k_{c}"]) for c in of_bucket]))
-    merged = {n: F.coalesce(F.col(f"_{n}"), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
-    merged |= {n: F.greatest(f"_{n}", f"_c_{n}") for n in maxima} | {n: F.coalesce(f"_{n}", f"_c_{n}") for n in lasts}
+    carry = [f(f"_{n}").over(earlier).alias(f"_c_{n}") for group, f in [*parts, (bases, last), (lags, F.last)] for n in group]
+    carried = ends.select(*[F.col(c).alias(f"_k_{c}") for c in of_bucket], *["_c_steps"] * bool(since), *carry)
+    joined = rows.withColumns(local | ({"_row": F.row_number().over(inside)} if lags else {}))
+    out = joined.join(carried, reduce(lambda a, b: a & b, [joined[c].eqNullSafe(carried[f"_k_{c}"]) for c in of_bucket]))
+
+    def put(n: str, own: str) -> Column:
+        if n in sums:
+            return F.coalesce(F.col(own), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))
+        return F.greatest(own, f"_c_{n}") if n in maxima else F.coalesce(own, f"_c_{n}")
+
+    merged = {n: put(n, f"_{n}") for n in (*sums, *maxima, *lasts)} | {f"{n}_before": put(n, f"_{n}_before") for n in before}
     merged |= {n: F.when(F.col("_row") == 1, F.col(f"_c_{n}")).otherwise(F.col(f"_{n}")) for n in lags}
-    return out.withColumns(merged).drop("_b", *number, *[f"_{n}" for n in names], *[f"_c_{n}" for n in names], *[f"_k_{c}" for c in of_bucket])
+    merged |= {n: F.coalesce(F.col(f"_{n}"), F.col(f"_c_{n}") + F.col("_c_steps")) + F.col("_step") for n in since}
+    names = [*sums, *maxima, *lasts, *lags, *since]
+    return out.withColumns(merged).drop("_b", "_row", "_step", "_c_steps", *[f"_{n}" for n in names], *[f"_{n}_before" for n in before], *[f"_c_{n}" for n in names], *[f"_k_{c}" for c in of_bucket])

@@ -60,13 +60,14 @@ def cash_change(initial_cash: float) -> Column:
 
 
 def held(log: DataFrame, order: tuple[str, ...], bucket: Column) -> DataFrame:
-    """Adds _has (1 once the event's symbol is held), position_units and position_price. The last price is that of an
+    """Adds _has (1 once the event's symbol is held), position_units and position_price, and each before the event. The last price is that of an
     order or tick; once a position exists no earlier tick can be the last of them."""
     makes = is_kind("ORDER_EXECUTED", OPENING)
     priced = is_kind("ORDER_EXECUTED", "MARKET_TICK", OPENING)
     return two_level_scan(
-        log, ["portfolio_id", "symbol"], list(order), bucket, sums={"position_units": signed_units()}, maxima={"_has": makes.cast("int")}, lasts={"position_price": F.when(priced, F.col("price"))}
-    )
+        log, ["portfolio_id", "symbol"], list(order), bucket, sums={"position_units": signed_units()}, maxima={"_has": makes.cast("int")}, lasts={"position_price": F.when(priced, F.col("price"))},
+        before=("_has", "position_units", "position_price"),
+    )
 
 
 def position_ledger(log: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -76,7 +77,7 @@ def position_ledger(log: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame
     rows = held(moved, order, bucket)
     accrues = (is_kind("YIELD_ACCRUED") & (F.col("_has") == 1)) | is_kind(OPENING)
     rows = two_level_scan(rows, ["portfolio_id", "symbol"], list(order), bucket, sums={"accrued_yield": F.when(accrues, F.col("amount")).otherwise(0.0)})
-    out = rows.where((F.col("_has") == 1) & ~is_kind(OPENING)).drop("_has", *[c for c in GIVEN if c in log.columns])
+    out = rows.where((F.col("_has") == 1) & ~is_kind(OPENING)).drop("_has", "_has_before", "position_units_before", "position_price_before", *[c for c in GIVEN if c in log.columns])
     return out.withColumn("notional", F.col("position_units") * F.col("position_price"))
 
 
@@ -84,22 +85,22 @@ def portfolio_state(log: DataFrame, initial_cash: float, order: tuple[str, ...]
     """After every event: cash, equity, event_sequence, as_of (the largest timestamp so far), unrealized_pnl and margin_used
     (as they were given), and the initial_equity of the portfolio."""
     bucket, by = time_bucket(order[0]), list(order)
-    rows = held(given(log), order, bucket).withColumn("_notional", F.when(F.col("_has") == 1, F.col("position_units") * F.col("position_price")).otherwise(0.0))
-    rows = two_level_scan(rows, ["portfolio_id", "symbol"], by, bucket, lags={"_before": F.col("_notional")})
-    rows = rows.withColumns({"_dn": F.col("_notional") - F.coalesce("_before", F.lit(0.0)), "_dc": cash_change(initial_cash)})
+    notional = lambda x: F.when(F.col(f"_has{x}") == 1, F.col(f"position_units{x}") * F.col(f"position_price{x}")).otherwise(0.0)
+    rows = held(given(log), order, bucket)
+    rows = rows.withColumns({"_dn": notional("") - notional("_before"), "_dc": cash_change(initial_cash)})
     marked = is_kind(INITIAL, OPENING)
-    both = F.col("_dc") + F.col("_dn")
+    both, counted = F.col("_dc") + F.col("_dn"), F.when(marked, 0).otherwise(1)
     rows = two_level_scan(
         rows, ["portfolio_id"], by, bucket,
-        sums={"_cash": F.col("_dc"), "_equity": both, "_opened": F.when(marked, both).otherwise(0.0), "_n": F.when(marked, 0).otherwise(1)},
+        sums={"_cash": F.col("_dc"), "_equity": both, "_opened": F.when(marked, both).otherwise(0.0), "_n": counted},
         maxima={"as_of": F.coalesce("_ts0", order[0]), "_valued": is_kind("ORDER_EXECUTED", "MARKET_TICK", "YIELD_ACCRUED").cast("int")},
         lasts={"_e0": F.col("_equity0"), "_s0": F.col("_sequence0"), "unrealized_pnl": F.col("_pnl0"), "margin_used": F.col("_margin0")},
+        since={"_sequence": F.when(F.col("sequence") > 0, F.col("sequence"))}, step=counted,
     )
-    rows = two_level_scan(rows, ["portfolio_id"], by, bucket, lasts={"_base": F.when(F.col("sequence") > 0, F.col("sequence") - F.col("_n"))})
     opened = F.coalesce(F.col("_e0"), initial_cash + F.col("_opened"))
     rows = rows.withColumns({
         "cash": initial_cash + F.col("_cash"), "equity": F.when(F.col("_valued") == 1, initial_cash + F.col("_equity")).otherwise(opened), "initial_equity": opened,
-        "event_sequence": (F.coalesce("_base", "_s0", F.lit(0)) + F.col("_n")).cast("long"), "unrealized_pnl": F.coalesce("unrealized_pnl", F.lit(0.0)), "margin_used": F.coalesce("margin_used", F.lit(0.0)),
+        "event_sequence": F.coalesce(F.col("_sequence"), F.coalesce("_s0", F.lit(0)) + F.col("_n")).cast("long"), "unrealized_pnl": F.coalesce("unrealized_pnl", F.lit(0.0)), "margin_used": F.coalesce("margin_used", F.lit(0.0)),
     })
     return rows.where(~marked).select(*log.columns, "cash", "equity", "event_sequence", "as_of", "unrealized_pnl", "margin_used", "initial_equity").drop(*GIVEN)
 

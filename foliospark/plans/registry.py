@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.scratch import new_path, stash
 from foliospark.operators import allocation, attribution, execution, ledger, regime_model, replay, signals, validation
 from foliospark.sources import feeds
-from foliospark.sources.views import view, with_views
+from foliospark.sources.views import VIEWS, view, with_views
 from foliospark.streaming import state as streams
 
 CASH = 1_000_000.0
@@ -419,12 +420,13 @@ def position_ledger(s, d):
 
 
 def states(s, d):
-    return ledger.portfolio_state(view(s, d, "ledger"), CASH)
+    """The states, written once to the shared folder: what follows reads them several times."""
+    return stash(ledger.portfolio_state(view(s, d, "ledger"), CASH).select("portfolio_id", *ledger.ORDER, "sequence", "equity", "initial_equity"), "states")
 
 
 @query(f"WITH {LEDGER} SELECT portfolio_id, event_id, round(cash, 6) AS cash, round(equity, 6) AS equity, CAST(event_sequence AS BIGINT) AS event_sequence FROM ss")
 def portfolio_state(s, d):
-    return states(s, d).select("portfolio_id", "event_id", F.round("cash", 6).alias("cash"), F.round("equity", 6).alias("equity"), "event_sequence")
+    return ledger.portfolio_state(view(s, d, "ledger"), CASH).select("portfolio_id", "event_id", F.round("cash", 6).alias("cash"), F.round("equity", 6).alias("equity"), "event_sequence")
 
 
 FINAL = f"""{LEDGER}, lastp AS (SELECT portfolio_id, symbol, arg_max(pu, struct_pack(ts := ts, e := event_id)) AS units, arg_max(pp, struct_pack(ts := ts, e := event_id)) AS price, arg_max(ay, struct_pack(ts := ts, e := event_id)) AS ay, max(has) AS has FROM v GROUP BY 1, 2),
@@ -532,9 +534,6 @@ QUERIES["regime_model"] = QUERIES.pop("regime_model_scores")
 
 def streamed(s, d, make, key: str) -> DataFrame:
     """Runs a stream over the event log to its end, a file at a time, and returns the last state of each key."""
-    from foliospark.functions.scratch import new_path
-    from foliospark.sources.views import VIEWS
-
     place = new_path(s, "stream")
     schema = s.read.parquet(f"{d}/events.parquet").schema
     source = s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
