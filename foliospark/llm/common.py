@@ -7,22 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.scratch import new_path, shared_dir  # noqa: F401
+from foliospark.functions.scratch import new_path, stash  # noqa: F401
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stash(df: DataFrame, name: str, codec: str = "zstd", by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage and survives the loss
-    of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    writer = df.write.option("compression", codec)
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files of a stashed table that nothing reads any more."""
     spark = df.sparkSession

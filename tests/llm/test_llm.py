@@ -58,10 +58,28 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{d}/labels.parquet")
     t = toxicity.op1_toxicity(spark, d).where("held_out").join(truth, "doc_id").where("toxic IS NOT NULL").toPandas()
     assert t[t.toxic == 1].predicted.mean() > 0.8 and (t[t.toxic == 0].predicted == 0).mean() > 0.99
+    print(f"toxic rows {len(t[t.toxic == 1])}, recall {t[t.toxic == 1].predicted.mean():.3f}; clean rows {len(t[t.toxic == 0])}, rejected {t[t.toxic == 0].predicted.sum()}")
     q = quality.op9_quality(spark, d).where("held_out").join(truth, "doc_id").toPandas()
+    print(f"quality rows {len(q)}, accuracy {(q.predicted == q.quality).mean():.4f}")
     assert (q.predicted == q.quality).mean() > 0.97
 
 
+@pytest.mark.parametrize("query,label,modulus,held", [(toxicity.op1_toxicity, "toxic", 5, 0), (quality.op9_quality, "quality", 3, 1)])
+def test_scores_do_not_depend_on_held_out_labels(spark, tmp_path, query, label, modulus, held):
+    """A row per document with its fold; turning the labels of the held-out fold changes nothing, others do."""
+    d = str(tmp_path)
+    docs, truth = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = {}
+    for name, turned in (("as they are", F.lit(False)), ("held out", common.is_held_out(modulus, held)), ("learned", ~common.is_held_out(modulus, held))):
+        docs.withColumn("lang", F.lit(name)).withColumn("source", F.lit(name)).write.mode("overwrite").parquet(f"{d}/{name}/documents.parquet")
+        truth.withColumn(label, F.when(turned, 1 - F.col(label)).otherwise(F.col(label))).write.mode("overwrite").parquet(f"{d}/{name}/labels.parquet")
+        got[name] = {r.doc_id: r for r in query(spark, f"{d}/{name}").collect()}
+    rows = got["as they are"]
+    assert rows.keys() == {r.doc_id for r in docs.collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % modulus == held) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for i, r in rows.items())
+    assert {i: r.score for i, r in rows.items()} == {i: r.score for i, r in got["held out"].items()} != {i: r.score for i, r in got["learned"].items()}
+
+
 def test_ftrl_equals_a_plain_loop():
     """Per-coordinate rates and the L1 proximal step, one coordinate after the other."""
     r = np.random.default_rng(3)
@@ -603,12 +621,32 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - rejected
     lines = common.stash(corpus_pipeline.drop_lines(spark, clean, SF), "t")
     assert lines.columns == names and lines.count() == clean.count()
+    key = lambda x: x.strip(" \t\n\r\x0b\x0c").translate(str.maketrans(linededup.UPPER, linededup.LOWER))
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    seen: dict = {}
+    for x in texts.values():
+        for k in {key(y) for y in (x or "").split("\n")} - {""}:
+            seen[k] = seen.get(k, 0) + 1
+    short = {i: None if x is None else "\n".join(y for y in x.split("\n") if seen.get(key(y), 0) < 10) for i, x in texts.items()}
+    assert {r.doc_id: (r.text, r.n_chars) for r in lines.collect()} == {i: (x, None if x is None else len(x)) for i, x in short.items()} and short != texts
     kept = common.stash(corpus_pipeline.drop_near_copies(spark, lines, SF), "t")
     want = brute_components([(r.doc_id, r.text) for r in sorted(lines.collect(), key=lambda r: r.doc_id)], n=5)
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
     mixed = common.stash(corpus_pipeline.mix_sources(spark, kept, SF), "t")
     assert mixed.columns == names
-    check_pieces(corpus_pipeline.pack_windows(spark, mixed, SF).collect(), mixed.count())
+    plan = {r.doc_id: (r["size"], r.taken) for r in mixing.mix(kept).collect()}
+    full = {r.doc_id: words(r.text) for r in kept.collect()}
+    parts: dict = {}
+    for r in mixed.collect():
+        parts.setdefault(r.doc_id, []).append(words(r.text))
+    assert {i: sum(map(len, p)) for i, p in parts.items()} == {i: n for i, (_, n) in plan.items() if n}
+    for i, copies in parts.items():  # whole copies, and one cut to picked words
+        whole = [p for p in copies if p == full[i]]
+        assert len(copies) - len(whole) <= 1 and all(set(p) <= set(full[i]) for p in copies)
+    pieces = corpus_pipeline.pack_windows(spark, mixed, SF).collect()
+    check_pieces(pieces, mixed.count())
+    tokens = sum(len(np.frombuffer(r.ids, "<u2")) for r in packing.tokenize(mixed).collect())
+    assert sum(p.length for p in pieces) == tokens
 
 
 def test_near_copies_stage_takes_five_words(spark):
