@@ -168,6 +168,7 @@ def dealt(members: DataFrame) -> DataFrame:
     with k strays make about 2 n k / BLOCK rows, n of them for a single stray."""
     sizes = members.groupBy("band", "component").agg(F.count("*").alias("_c"))
     largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("_c", "component")).alias("_main"), F.max("_c").alias("_n"), F.sum("_c").alias("_all"))
+    largest = stash(largest, "nd-largest")  # a row for each bucket; apart from its grouping, the join below can split a hot bucket
     rows = members.join(largest, "band").withColumn("side", (F.col("component") != F.col("_main")).cast("int"))
     main, stray = (F.ceil(c / BLOCK).cast("int") for c in (F.col("_n"), F.col("_all") - F.col("_n")))
     is_stray = F.col("side") == 1
