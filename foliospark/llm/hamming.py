@@ -100,7 +100,8 @@ def hamming_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int
         if sum(math.comb(w, radius) for w in widths) > max(n, LARGE):
             done.append(all_verified(open_, index, k))
             break
-        hits = probes_at(open_, bits, m, radius).join(entries, ["seg", "value"]).select("q", "code", "first").distinct().withColumn("distance", distance_of())
+        # merged by a hint: the planner sees the few queries, not the many values that they become, and would broadcast them
+        hits = probes_at(open_, bits, m, radius).hint("merge").join(entries, ["seg", "value"]).select("q", "code", "first").distinct().withColumn("distance", distance_of())
         every = hits if found is None else hits.unionByName(found).distinct()
         best = stash(nearest_codes(every, k), f"mih-found-{radius}")
         covered = m * (radius + 1) - 1
