@@ -467,6 +467,7 @@ def test_runs_stay_few(spark):
         docs = spark.createDataFrame([(i, f"a\nb{i}\na\n")], "doc_id long, text string").select(F.struct("doc_id", "text").alias("doc"))
         runs.add(linededup.hashed_lines(docs, 1, 1))
     assert [len(x) for x in runs.levels] == [1, 0, 1] and runs.frequent().count() == 1
+    runs.close()
 
 
 def test_runs_meet_without_a_shuffle(spark):
@@ -521,10 +522,69 @@ def test_packing_ids_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = {i: x for i, x in enumerate(x for x in ODD)} | {50: "it's  we'll  \nx 12³ <|endoftext|> ½\r\n"}
-    for r in packing.tokenize(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
-        assert np.frombuffer(r.ids, "<u2").tolist() == [*t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0]
+    texts = {-1 - i: x for i, x in enumerate(ODD)} | {-50: "it's  we'll  \nx 12³ <|endoftext|> ½\r\n", -51: "a <|endoftext|><|endoftext|>b<|endoftext|", -52: "<|endoftext|>"}
+    texts |= {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = packing.tokenize(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = t.encode_batch([texts[r.doc_id] or "" for r in got], add_special_tokens=False)
+    assert len(got) == len(texts) and all(np.frombuffer(r.ids, "<u2").tolist() == [*w.ids, 0] for r, w in zip(got, want))
+    assert 50256 in t.encode(texts[-50], add_special_tokens=False).ids
+
+
+def test_pieces_equal_their_ids(spark):
+    """op8's rows against the tokenizer: every id in one piece, its checksum, and padding only at a power of two."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for i, x in texts.items()}
+    pieces = packing.op8_bm25_packing(spark, SF).collect()
+    check_pieces(pieces, len(texts))
+    for p in pieces:
+        assert p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes())
+    filled: dict = {}
+    for p in pieces:
+        filled[p.sequence_id] = filled.get(p.sequence_id, 0) + p.length
+        assert p.padded == 1024 or p.padded.bit_count() == 1
+    assert all(n <= p.padded < 2 * n for p in pieces for n in [filled[p.sequence_id]]) and sum(n < 1024 for n in filled.values()) <= 1
+    covered: dict = {}
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == covered.get(p.doc_id, 0)
+        covered[p.doc_id] = p.start + p.length
+    assert covered == {i: len(x) for i, x in ids.items()}
+
+
+def test_scores_equal_plain_bm25(spark):
+    """The inverted index against the formula, with documents leaving it."""
+    r = np.random.default_rng(12)
+    docs = [np.append(r.zipf(1.4, int(r.integers(1, 200))) % 500 + 1, 0).astype("<u2") for _ in range(60)]
+    df = np.zeros(1 << 16)
+    for d in docs:
+        df[np.unique(d)] += 1
+    idf, mean = np.log(1 + (60 - df + 0.5) / (df + 0.5)), float(np.mean([len(d) for d in docs]))
+
+    def bm25(q, d):
+        terms = set(q.tolist()) & set(d.tolist())
+        return sum(idf[k] * (d == k).sum() * 2.2 / ((d == k).sum() + 1.2 * (0.25 + 0.75 * len(d) / mean)) for k in terms)
+
+    index, unused = packing.Bm25(docs, idf, mean), np.ones(60, bool)
+    for i in r.permutation(60)[:55]:
+        want = [bm25(docs[i], d) if u else 0 for d, u in zip(docs, unused)]
+        assert index.scores(int(i), unused) * unused == pytest.approx(want, rel=1e-4)
+        best = index.nearest_unused(int(i), unused)
+        assert want[best] == pytest.approx(max(want), rel=1e-4)
+        unused[best] = False
+
+
+def test_groups_of_copies_are_cut_into_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 16)
+    docs = spark.createDataFrame([(i, "the same words again" if i % 3 else f"other text {i}") for i in range(300)] + [(None, None)], "doc_id long, text string")
+    tokens = common.stash(packing.tokenize(docs), "t")
+    df, mean, n = packing.frequencies(tokens)
+    draws = packing.lexical_draws(np.log(1 + (n - df + 0.5) / (df + 0.5)), df)
+    bounds = packing.part_bounds(tokens, draws)
+    sizes = [r["count"] for r in packing.placed(tokens, draws, bounds).groupBy("part").count().collect()]
+    assert sum(sizes) == 301 and max(sizes) <= 16 and len(sizes) == len(bounds)
 
 
 def test_packing_with_clashing_columns(spark):
