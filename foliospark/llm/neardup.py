@@ -43,10 +43,10 @@ FOLD = _RNG.integers(1, 2**63, max(WORDS, ROWS) + 1, np.uint64) * U(2) + U(1)
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered; emptied when a million words are in it."""
+    """word -> 64-bit hash, remembered; emptied when 200,000 words are in it."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -43,10 +43,10 @@ class FtrlParams:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered; emptied when a million words are in it."""
+    """word -> 64-bit hash, remembered; emptied when 200,000 words are in it."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode())
         return h
@@ -56,7 +56,7 @@ class StemHashes(dict):
     """word -> hashes of its stems, those that are shorter than the word; emptied like WordHashes."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = tuple(xxhash.xxh3_64_intdigest(f"{word[:n]}*".encode()) for n in STEMS if len(word) > n)
         return h
