@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import hamming, linededup, media, mixing, neardup, packing, quality, secrets, toxicity, warc
+from foliospark.llm import fim, hamming, linededup, media, mixing, neardup, packing, pieces, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_bm25_packing": packing.op8_bm25_packing,
     "op9_quality": quality.op9_quality,
     "op10_warc_index": warc.op10_warc_index,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
 ORACLE = {
@@ -24,4 +26,5 @@ ORACLE = {
     "op5_secret_scan": secrets.SQL,
     "op7_line_dedup": linededup.SQL,
     "op10_warc_index": warc.SQL,
+    "op11_fill_in_middle": fim.SQL,
 }
