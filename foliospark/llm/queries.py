@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.llm import fim, hamming, linededup, media, mixing, neardup, packing, pieces, quality, secrets, toxicity, warc
+from foliospark.llm import collocations, fim, hamming, linededup, media, mixing, neardup, packing, pieces, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_warc_index": warc.op10_warc_index,
     "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_collocations": collocations.op12_collocations,
     "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 
@@ -27,4 +28,5 @@ ORACLE = {
     "op7_line_dedup": linededup.SQL,
     "op10_warc_index": warc.SQL,
     "op11_fill_in_middle": fim.SQL,
+    "op12_collocations": collocations.SQL,
 }

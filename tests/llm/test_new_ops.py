@@ -1,13 +1,15 @@
-"""Fill-in-middle and SentencePiece encoding against plain code, on odd rows, and on given tables."""
+"""Fill-in-middle, SentencePiece encoding and collocations against plain code, on odd rows, and on given tables."""
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from foliospark.llm import fim, pieces
+from foliospark.llm import collocations, fim, pieces
 from tests.llm.test_llm import ODD, SF, empty, odd_docs
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -165,3 +167,94 @@ def test_remembered_runs_are_bounded(model, monkeypatch):
         fresh[f"▁w{k}"]
     assert len(fresh) <= 51 and len(fresh.old) <= 51
     assert fresh["▁w0"] == model.encode_run("▁w0")
+
+
+# ---- collocations
+
+
+def plain_collocations(rows, least, longest=4, top=2000, share=80):
+    """The contract by plain loops over (lang, text)."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for k in range(1, longest + 1):
+                f.update((lang, tuple(words[i : i + k])) for i in range(len(words) - k + 1))
+    candidates = {key: a for key, a in f.items() if a >= least and len(key[1]) > 1}
+    out = {}
+    for (lang, w), a in candidates.items():
+        longer = [b for (g, v), b in candidates.items() if g == lang and len(v) > len(w) and any(v[i : i + len(w)] == w for i in range(len(v)))]
+        if any(100 * b >= share * a for b in longer):
+            continue
+        cuts = [(2_000_000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k) for k in range(1, len(w))]
+        score, k = min(cuts)
+        out.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+    return sorted((lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for lang, found in out.items() for i, (s, a, p, l, r) in enumerate(sorted(found)[:top]))
+
+
+def collocation_rows(df):
+    return sorted(map(tuple, df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()))
+
+
+def random_rows(seed, n=120):
+    draw = random.Random(seed)
+    vocabulary = ["a", "b", "c", "dd", "É", "Ünïcode", "x\x0by", "A", "\x1f", "中", "a b"]
+    ends = [" ", " ", " ", "  ", "\t", ". ", ",", "\n", "\r\n", "?", "\x0c"]
+    return [(draw.choice(["en", "fr", None, "und"]), "".join(draw.choice(vocabulary) + draw.choice(ends) for _ in range(draw.randrange(60))) if draw.random() > 0.1 else None) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed,least", [(1, 4), (2, 12), (3, 30)])
+def test_collocations_equal_plain_loops(spark, seed, least):
+    rows = random_rows(seed)
+    docs = spark.createDataFrame([(r[0], r[1], "clash", 1) for r in rows], "lang string, text string, word string, a long").repartition(5)
+    want = plain_collocations(rows, least)
+    assert want and collocation_rows(collocations.top_collocations(docs, least)) == want
+
+
+def test_collocations_of_one_word_overlap(spark):
+    """One phrase in a third of all rows, and a word that repeats: every overlapping occurrence counts."""
+    rows = [("en", "w w w w w")] * 40 + [("en", "w w w. w")] * 5 + [("fr", None), (None, ""), ("de", "one two")]
+    got = collocation_rows(collocations.top_collocations(spark.createDataFrame(rows, "lang string, text string"), 30))
+    assert got == plain_collocations(rows, 30) and ("en", 1) == got[0][:2]
+    assert {r[2]: r[3] for r in got if r[0] == "en"} == {"w w w w": 80, "w w w": 125, "w w": 170}
+
+
+def test_collocations_limit_and_ties(spark):
+    rows = [("en", f"k{i} v{i}") for i in range(40) for _ in range(3)]
+    got = collocation_rows(collocations.top_collocations(spark.createDataFrame(rows, "lang string, text string"), 3, top=7))
+    assert got == plain_collocations(rows, 3, top=7) and [r[2] for r in got] == sorted(f"k{i} v{i}" for i in range(40))[:7]
+
+
+def test_colliding_keys_are_counted_again(spark):
+    """Keys of few bits collide under some seeds; results stay exact."""
+    rows = random_rows(9)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    tried = [collocations.word_counts(docs, seed, 9).groupBy("key").count().where("count > 1").count() for seed in range(2)]
+    assert tried[0] > 0
+    assert collocation_rows(collocations.top_collocations(docs, 4, bits=9)) == plain_collocations(rows, 4)
+
+
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "SMALL", 2)
+    rows = random_rows(4)
+    assert collocation_rows(collocations.top_collocations(spark.createDataFrame(rows, "lang string, text string"), 5)) == plain_collocations(rows, 5)
+
+
+def test_collocations_on_odd_rows(spark):
+    docs = odd_docs(spark)
+    rows = [(r.lang, r.text) for r in docs.collect()]
+    assert collocation_rows(collocations.top_collocations(docs, 6)) == plain_collocations(rows, 6)
+    assert collocations.top_collocations(empty(spark)).collect() == []
+
+
+def test_relations_meet_without_an_exchange(spark):
+    rows = spark.range(4000).selectExpr("id % 50 as row", "id div 50 as at", "id % 7 as g").repartition(3, "row")
+    name = collocations.keep(rows, 3)
+    with collocations.merged_by_bucket(spark):
+        plan = collocations.adjacent(spark.table(name))._jdf.queryExecution().executedPlan().toString()
+    collocations.drop(spark, name)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
