@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment; DataFrame functions only.
 
-Water-filling gives each source a target of at most `max_repeat` times its size. Blocks of `block` words
-are apportioned to sources, and inside a source to its shards, by highest Sainte-Lague quotients. A shard
+Water-filling gives each source a target of at most `max_repeat` times its size. Blocks of equal size
+are apportioned to sources, and inside a source to its shards, by highest Sainte-Lague quotients. Their size is a
+`FINE`-th of the smallest target, of 1 to `block` words, so that a seat more or less is little to any source. A shard
 then takes whole passes over its documents and, for the rest of its quota, blocks of its word stream that a
-seeded permutation picks.
+seeded permutation picks, each a `FINE`-th of its source's target or `block` words.
 
-Defined results: NULL or blank text has size 0 and takes 0; a NULL source is a source of its own, the last;
+A source so gets its target but for 2 % or one word. Defined results: NULL or blank text has size 0 and takes 0; a NULL source is a source of its own, the last;
 equal rows are interchangeable; an empty table gives an empty result.
 """
 
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import WORD, read, stash
 
 
+#: Blocks that a target is divided into at least, where words allow.
+FINE = 128
+
+
 def seeded(seed: int, *cols: Column) -> Column:
     """A seeded hash as hexadecimal text; md5, so that any SQL engine can follow it. NULL hashes as ''."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]).cast("binary"))
@@ -85,14 +90,18 @@ def mix(docs: DataFrame, block: int = 128, shard_words: int = 1 << 21, shard_row
         ),
         "mix-sizes",
     )
-    sources = stash(water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), max_repeat), "mix-sources")
+    whole = W.partitionBy(F.lit(0))
+    grain = lambda target: F.greatest(F.lit(1), F.least(F.lit(block), F.floor(target / FINE))).cast("long")
+    filled = water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")), max_repeat)
+    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(whole)
+    sources = stash(filled.withColumns({"_unit": grain(smallest), "block": grain(F.col("target"))}), "mix-sources")
     # a large source is dealt to shards by its words and rows, so that no window holds a whole source
     s = sources.withColumnRenamed("source", "_s").withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("_rows") / shard_rows))).drop("_rows")
     placed = sized.join(F.broadcast(s) if _few(sources) else s, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = placed.withColumn("shard", seeded_long(seed + 1, F.col("doc_id")) % F.col("_shards")).drop("_shards")
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
-    blocks = F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block).cast("long")
-    source_quota = sainte_lague(sources.drop("_rows"), "target", blocks, [], "source").select(F.col("source").alias("_s"), F.col("quota").alias("_q"))
+    blocks = F.round(F.sum("target").over(whole) / F.col("_unit")).cast("long")
+    source_quota = sainte_lague(sources.drop("_rows", "block"), "target", blocks, [], "source").select(F.col("source").alias("_s"), F.col("quota").alias("_q"))
     quotas = sainte_lague(
         shards.join(source_quota, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "shard_size", F.col("_q"), ["source"], "shard"
     ).select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "quota")
@@ -100,15 +109,15 @@ def mix(docs: DataFrame, block: int = 128, shard_words: int = 1 << 21, shard_row
     stream = W.partitionBy("source", "shard").orderBy("_order", "doc_id", "size", "_t").rowsBetween(W.unboundedPreceding, -1)
     laid = placed.withColumn("_from", F.coalesce(F.sum("size").over(stream), F.lit(0)))
     laid = laid.join(quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h"))).drop("_s", "_h")
-    n_blocks = F.ceil(F.col("shard_size") / block)
-    passes = F.least(F.lit(max_repeat), F.floor(F.col("quota") * block / F.greatest(F.col("shard_size"), F.lit(1)))).cast("long")
-    laid = laid.withColumn("n_blocks", n_blocks.cast("long")).withColumn("passes", passes)
-    left = F.least(F.col("n_blocks"), F.col("quota") - F.round(F.col("passes") * F.col("shard_size") / block).cast("long"))
+    block, words = F.col("block"), F.col("quota") * F.col("_unit")
+    passes = F.least(F.lit(max_repeat), F.floor(words / F.greatest(F.col("shard_size"), F.lit(1)))).cast("long")
+    laid = laid.withColumn("n_blocks", F.ceil(F.col("shard_size") / block).cast("long")).withColumn("passes", passes)
+    left = F.least(F.col("n_blocks"), F.round((words - F.col("passes") * F.col("shard_size")) / block).cast("long"))
     laid = laid.withColumn("picked", F.when(F.col("passes") >= max_repeat, 0).otherwise(F.greatest(F.lit(0), left)))
     first, last = F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("size") - 1) / block)
     inside = lambda j: F.least(F.col("_from") + F.col("size"), (j + 1) * block) - F.greatest(F.col("_from"), j * block)
     partial = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, j: acc + F.when(block_picked(j, seed), inside(j)).otherwise(0))
-    return laid.withColumn("block", F.lit(block)).withColumn("partial", F.when((F.col("size") > 0) & (F.col("picked") > 0), partial).otherwise(0)).withColumn("taken", F.col("passes") * F.col("size") + F.col("partial"))
+    return laid.withColumn("partial", F.when((F.col("size") > 0) & (F.col("picked") > 0), partial).otherwise(0)).withColumn("taken", F.col("passes") * F.col("size") + F.col("partial"))
 
 
 def block_picked(j: Column, seed: int) -> Column:
@@ -161,30 +170,31 @@ fill(step, level, n_capped) AS (
 ), t AS (
   SELECT w.*, least(cap, (SELECT level FROM fill ORDER BY step DESC LIMIT 1) * w) AS target,
          greatest(1, ceil(source_size / 2097152.0), ceil(n_rows / 131072.0))::BIGINT AS shards FROM w
-), b AS (SELECT round(sum(target) / 128)::BIGINT AS blocks FROM t),
+), u AS (SELECT greatest(1, least(128, floor(min(target) FILTER (target > 0) / 128)))::BIGINT AS unit FROM t),
+b AS (SELECT round(sum(target) / any_value(unit))::BIGINT AS blocks FROM t, u),
 q AS (
   SELECT i, count(*) AS quota FROM (
     SELECT i, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, source, k) AS r
     FROM t, LATERAL (SELECT unnest(generate_series(1, (SELECT blocks FROM b))) AS k) WHERE target > 0)
   WHERE r <= (SELECT blocks FROM b) GROUP BY i
 ), d AS (
-  SELECT z.doc_id, z.size, t.i, t.source, t.source_size, t.target, coalesce(q.quota, 0) AS source_quota,
+  SELECT z.doc_id, z.size, t.i, t.source, t.source_size, t.target, greatest(1, least(128, floor(t.target / 128)))::BIGINT AS block, coalesce(q.quota, 0) AS source_quota,
          md5('17:' || coalesce(z.doc_id::VARCHAR, '')) AS ord,
          ('0x' || substr(md5('18:' || coalesce(z.doc_id::VARCHAR, '')), 1, 8))::BIGINT % t.shards AS shard
   FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source LEFT JOIN q USING (i)
 ), h AS (
-  SELECT i, shard, any_value(source) AS source, any_value(source_quota) AS source_quota, sum(size)::BIGINT AS shard_size FROM d GROUP BY i, shard
+  SELECT i, shard, any_value(source) AS source, any_value(source_quota) AS source_quota, any_value(block) AS block, sum(size)::BIGINT AS shard_size FROM d GROUP BY i, shard
 ), hq AS (
   SELECT i, shard, count(*) AS quota FROM (
     SELECT i, shard, source_quota, row_number() OVER (PARTITION BY i ORDER BY shard_size::DOUBLE / (2 * k - 1) DESC, shard, k) AS r
     FROM h, LATERAL (SELECT unnest(generate_series(1, source_quota)) AS k) WHERE shard_size > 0)
   WHERE r <= source_quota GROUP BY i, shard
 ), p AS (
-  SELECT h.*, coalesce(hq.quota, 0) AS quota, ceil(shard_size / 128.0)::BIGINT AS n_blocks,
-         least(3, floor(coalesce(hq.quota, 0) * 128 / greatest(shard_size, 1)::DOUBLE))::BIGINT AS passes
+  SELECT h.*, coalesce(hq.quota, 0) * (SELECT unit FROM u) AS words, ceil(shard_size / block::DOUBLE)::BIGINT AS n_blocks,
+         least(3, floor(coalesce(hq.quota, 0) * (SELECT unit FROM u) / greatest(shard_size, 1)::DOUBLE))::BIGINT AS passes
   FROM h LEFT JOIN hq USING (i, shard)
 ), p2 AS (
-  SELECT *, CASE WHEN passes >= 3 THEN 0 ELSE greatest(0, least(n_blocks, quota - round(passes * shard_size / 128.0)::BIGINT)) END AS picked,
+  SELECT *, CASE WHEN passes >= 3 THEN 0 ELSE greatest(0, least(n_blocks, round((words - passes * shard_size) / block::DOUBLE)::BIGINT)) END AS picked,
          ('0x' || substr(md5('19:' || coalesce(source, '') || ':' || shard::VARCHAR), 1, 8))::BIGINT AS shift
   FROM p
 ), laid AS (
@@ -192,8 +202,8 @@ q AS (
          coalesce(sum(d.size) OVER (PARTITION BY d.i, d.shard ORDER BY d.ord, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS from_word
   FROM d JOIN p2 USING (i, shard)
 ), part AS (
-  SELECT doc_id, sum(least(from_word + size, (j + 1) * 128) - greatest(from_word, j * 128)) AS partial
-  FROM laid, LATERAL (SELECT unnest(generate_series(from_word // 128, (from_word + size - 1) // 128)) AS j)
+  SELECT doc_id, sum(least(from_word + size, (j + 1) * block) - greatest(from_word, j * block)) AS partial
+  FROM laid, LATERAL (SELECT unnest(generate_series(from_word // block, (from_word + size - 1) // block)) AS j)
   WHERE size > 0 AND (j * (CASE WHEN n_blocks % 1000003 <> 0 THEN 1000003 ELSE 1000033 END) + shift % n_blocks) % n_blocks < picked
   GROUP BY doc_id
 )

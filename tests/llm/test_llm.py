@@ -299,6 +299,51 @@ def test_blank_documents_are_many_shards(spark):
     assert plan.select("shard").distinct().count() >= 10 and plan.agg(F.sum("taken")).first()[0] == 3
 
 
+def words_text(n, start=0):
+    return " ".join(f"w{i}" for i in range(start, start + n))
+
+
+MIXES = {
+    "three small": {"a": [20], "b": [20], "c": [20]},
+    "one word each": {"a": [1], "b": [1], "c": [1]},
+    "a large one and tiny ones": {"a": [20_000], "b": [15], "c": [20], "d": [2, 3], "e": [200, 50]},
+    "large ones and one of a word": {"a": [9_000, 8_000, 30], "b": [30_000], None: [1]},
+    "many tiny ones": {f"s{i:03}": [1 + i % 7, i % 5] for i in range(90)},
+    "most words in one": {"a": [5] * 40, "b": [40_000, 100, 7]},
+}
+
+
+@pytest.mark.parametrize("name", MIXES)
+def test_each_source_gets_its_target(spark, name):
+    """The contract alone, with production parameters: targets by water-filling in plain code, words taken within 2 % or a word."""
+    rows = [(i, words_text(n), s) for i, (s, n) in enumerate((s, n) for s, sizes in MIXES[name].items() for n in sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = common.stash(mixing.mix(docs), "t")
+    got = plan.collect()
+    sizes = {s: sum(n) for s, n in MIXES[name].items()}
+    weight = {s: 1 + i % 3 for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    target, free, left = {}, set(sizes), sum(sizes.values())
+    while True:
+        level = left / sum(weight[s] for s in free) if free else 0
+        full = {s for s in free if level * weight[s] > 3 * sizes[s]}
+        if not full:
+            break
+        target |= {s: 3 * sizes[s] for s in full}
+        left, free = left - sum(3 * sizes[s] for s in full), free - full
+    target |= {s: level * weight[s] for s in free}
+    for s in sizes:
+        of = [r for r in got if r.source == s]
+        taken = sum(r.taken for r in of)
+        assert all(r.target == pytest.approx(target[s]) for r in of)
+        assert abs(taken - target[s]) <= max(1, 0.02 * target[s]), (s, taken, target[s])
+        assert taken > 0 or target[s] < 1
+        assert all(0 <= r.taken <= 3 * r["size"] for r in of)
+    mixed = mixing.mixed_rows(docs, plan).collect()
+    for r in got:
+        assert sum(len(words(m.text)) for m in mixed if m.doc_id == r.doc_id) == r.taken
+
+
+
 def test_mix_of_odd_rows_and_its_rows(spark):
     docs = odd_docs(spark)
     plan = mixing.mix(docs, block=16)
