@@ -9,7 +9,9 @@ likelihood of a token under its uniform alphabet over that under the model is an
 for what follows the model. The e-values of all tokens go through the e-BH rule, which holds the expected
 share of false finds under `fdr` whatever the dependence. Counts cover all rows; only the cut-off is broadcast.
 
-Limits: tokens under `MIN_TOKEN` characters are not tested; digits alone are as likely under the model as at random,
+A token is a run of the family's characters with up to two signs of padding; `=` before it ends another token, so what
+follows `key=` is tested by itself. Limits: tokens under `MIN_TOKEN` characters, and what is joined to other text by a
+character of the family (`/`, `-`, `_`, `+`), are not tested by themselves; digits alone are as likely under the model as at random,
 and random words of one letter case take more characters to stand out than mixed ones.
 
 Defined results: NULL or empty text has no spans (the digest of the empty list); equal rows get equal spans; a
@@ -34,7 +36,7 @@ PATTERNS = {
     "hex": r"[0-9a-f]{32,}",
 }
 MIN_TOKEN = 20
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN, PADDING = r"[A-Za-z0-9+/_-]{20,}", "={0,2}"
 #: Alphabets of encodings, from the narrowest; a token gets the first that holds all its characters.
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = {
@@ -101,7 +103,7 @@ def scan(docs: DataFrame) -> DataFrame:
     quick = PATTERNS | {"hex": greedy(PATTERNS["hex"])}
     base = [F.when(holds(kind), found_spans(text, p, k, 8 if kind == "assign" else 0)).otherwise(no_spans()) for k, (kind, p) in enumerate(quick.items())]
     no_token = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return docs.select("doc_id", F.xxhash64(text).alias("_t"), F.sort_array(no_token(F.concat(*base))).alias("base"), found_spans(text, greedy(TOKEN), len(PATTERNS)).alias("tokens"))
+    return docs.select("doc_id", F.xxhash64(text).alias("_t"), F.sort_array(no_token(F.concat(*base))).alias("base"), found_spans(text, greedy(TOKEN) + PADDING, len(PATTERNS)).alias("tokens"))
 
 
 def infer(tokens: DataFrame) -> DataFrame:
@@ -227,7 +229,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 b AS (
   SELECT doc_id, unnest(list_concat({_places(PATTERNS["assign"], 0, 1, 8)}, list_concat({_places(PATTERNS["access"], 1)}, {_places(PATTERNS["hex"], 2)}))) AS s FROM d
 ), base AS (SELECT doc_id, s.start AS a, s.start + length(s.token) AS z, s.kind AS kind FROM b),
-t0 AS (SELECT doc_id, unnest({_places(TOKEN, 3)}) AS s FROM d),
+t0 AS (SELECT doc_id, unnest({_places(TOKEN + PADDING, 3)}) AS s FROM d),
 t1 AS (SELECT doc_id, s.start AS a, s.start + length(s.token) AS z, rtrim(s.token, '=') AS bare FROM t0),
 t2 AS (SELECT *, {_ALPHABET} AS alphabet, length(bare)::DOUBLE AS n FROM t1 WHERE length(bare) >= {MIN_TOKEN}),
 t3 AS (

@@ -382,6 +382,34 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
     assert not any(got[i] for i in got if i >= 100)
 
 
+PLANTED = {
+    "?key={}": ("base62", 40), "&sig={}=": ("base62", 43), "KEY={}": ("HEX", 40), "key={}": ("base64", 44), "k={}==": ("base62", 22 + 20), "a=b={}": ("base62", 40),
+    "'{}'": ("base62", 40), "x: {}": ("HEX", 40), "<{}>": ("base32", 48),
+}
+
+
+def test_random_tokens_are_found_after_what_keys_end_with(spark):
+    """Planted by context, with the contract alone: 95 of 100 random tokens, none of the plain ones in the same places."""
+    r = np.random.default_rng(8)
+    token = lambda a, n: "".join(r.choice(list(a), n))
+    rows, where, plain = [], {}, []
+    for form, (alphabet, n) in PLANTED.items():
+        for _ in range(100):
+            t = token(secrets.ALPHABETS[alphabet], n)
+            text = f"see https://host/a{form.format(t)} there"
+            where[len(rows)] = (form, text.index(t), text.index(t) + len(t))
+            rows.append((len(rows), text))
+    for value in ("configuration_of_the_application", "averylongwordwithoutanybreaks", "path/to/some/ordinary/resource", "2024-01-31-2024-02-29-2024-03-31"):
+        plain.append(len(rows))
+        rows.append((len(rows), f"see https://host/a?key={value}&x={value}= there"))
+    got = {x.doc_id: [s for s in x.spans] for x in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {form: 0 for form in PLANTED}
+    for i, (form, a, z) in where.items():
+        found[form] += any(s.start == a and s.end in (z, z + 1, z + 2) for s in got[i])
+    assert all(n >= 95 for n in found.values()), found
+    assert not any(got[i] for i in plain)
+
+
 def test_random_tokens_are_found_without_decoys(spark):
     """In a few documents and with no letters-only word; letters alone, or with + and /, count as well."""
     r = np.random.default_rng(6)
