@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliospark.functions.scratch import new_path, stash  # noqa: F401
@@ -49,6 +50,22 @@ def bounded_labels(labels: DataFrame, label: str, modulus: int, held_out: int, m
     )
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, y, text: one row for each id of a bounded sample, so as many rows at most, however often an id repeats. Of
+    rows of one id that with the smallest hash of its text, found inside the tasks first."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", "y", "t.text")
+
+
+def within(rows: DataFrame, size: str, most: int) -> DataFrame:
+    """The rows, in the order of a hash of the id, whose sizes together reach at most `most`. rows: bounded in number, as
+    only ids and sizes meet in one window."""
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id")
+    kept = rows.select("doc_id", F.sum(size).over(order).alias("_s")).where(F.col("_s") <= most).select("doc_id")
+    return rows.join(F.broadcast(kept), "doc_id", "left_semi")
+
+
 def is_held_out(modulus: int, held_out: int) -> Column:
     """A NULL id is in no fold: not held out (and never learned from)."""
     return F.coalesce(id_bucket("doc_id", modulus) == held_out, F.lit(False))

@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Each text gives some twenty numbers. The trees are fitted on at most `max_rows` labelled rows (documented
-bound; the first by a hash of the id), their inputs binned at quantiles, and flattened into arrays (feature,
+bound; the first by a hash of the id, one row each), their inputs binned at quantiles, and flattened into arrays (feature,
 threshold, leaf) of complete binary trees, which score a whole batch by numpy indexing, level by level.
 
 Defined results: NULL or empty text has statistics 0 and is scored as such; with no labelled rows every
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import bounded_labels, is_held_out, read
+from foliospark.llm.common import bounded_labels, is_held_out, labelled_texts, read
 
 STATISTICS = (
     "log_words", "log_bytes", "mean_word", "distinct_words", "repeated_next", "most_common", "lower", "upper", "digit", "space", "newline",
@@ -133,23 +133,28 @@ def train(x: np.ndarray, y: np.ndarray, p: TreeParams) -> Trees:
     return Trees(np.array(out_f), np.array(out_t), np.array(out_l), start)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held_out: int = 1, params: TreeParams = TreeParams()) -> Trees:
-    """Statistics are computed where the rows are; the bounded sample of them is fitted in one task."""
-    sample = bounded_labels(labels, label, modulus, held_out, params.max_rows)
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, params: TreeParams) -> DataFrame:
+    """doc_id, y, x (statistics): the bounded rows that are fitted, measured where they are."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             xs = [statistics(t.as_py()).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, pa.binary())], ["doc_id", "y", "x"])
 
+    sample = bounded_labels(labels, label, modulus, held_out, params.max_rows)
+    return labelled_texts(docs, sample).mapInArrow(measure, "doc_id long, y int, x binary")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 3, held_out: int = 1, params: TreeParams = TreeParams()) -> Trees:
+    """The bounded sample of labelled rows is fitted in one task."""
+
     def fit_one(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("x", "ascending")])
         m = train(np.array([np.frombuffer(x.as_py()) for x in t.column("x")]), t.column("y").to_numpy(), params)
         return pa.table({"f": [m.feature.tobytes()], "t": [m.threshold.tobytes()], "l": [m.leaf.tobytes()], "start": [m.start]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
-    measured = rows.mapInArrow(measure, "doc_id long, y int, x binary")
-    got = measured.groupBy(F.lit(0).alias("_all")).applyInArrow(fit_one, "f binary, t binary, l binary, start double").first()
+    rows = training_rows(docs, labels, label, modulus, held_out, params)
+    got = rows.groupBy(F.lit(0).alias("_all")).applyInArrow(fit_one, "f binary, t binary, l binary, start double").first()
     if got is None:
         return train(np.zeros((0, 1)), np.zeros(0), params)
     inner = (1 << params.depth) - 1

@@ -6,8 +6,8 @@ keeps a learning rate for each coordinate, and its L1 term leaves most weights a
 short list of (index, weight) that goes to every task. The parameters were chosen by cross-validation inside the
 learning rows (README); the held-out fold has no part in them.
 
-It learns from at most `max_rows` labelled rows (documented bound; the first by a hash of the id), which one
-task can hold. Scoring covers every row. Defined results: NULL or empty text scores by the intercept alone;
+It learns from at most `max_rows` labelled rows (documented bound; the first by a hash of the id, one row each) of at most
+`max_features` features together (128 MB), which one task can hold. Scoring covers every row. Defined results: NULL or empty text scores by the intercept alone;
 with no labelled rows every score is 0; a NULL id is scored but never learned from.
 """
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import bounded_labels, is_held_out, read
+from foliospark.llm.common import bounded_labels, is_held_out, labelled_texts, read, stash, within
 
 STEMS = (4, 6)
 TOKEN = re.compile(r"[^\W_]+")
@@ -40,6 +40,7 @@ class FtrlParams:
     l2: float = 0.0
     epochs: int = 4
     max_rows: int = 16_000
+    max_features: int = 32_000_000
 
 
 class WordHashes(dict):
@@ -123,28 +124,35 @@ def train(rows: list[np.ndarray], labels: np.ndarray, p: FtrlParams) -> FtrlMode
     return FtrlModel(keep, every[keep], float(every[bias]), p.bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, params: FtrlParams = FtrlParams()) -> FtrlModel:
-    """Features are hashed where the rows are; the bounded sample of them is fitted in one task."""
-    sample = bounded_labels(labels, label, modulus, held_out, params.max_rows)
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, params: FtrlParams) -> DataFrame:
+    """doc_id, y, x (feature indices), n (their number): the bounded rows that are fitted, hashed where they are."""
     bits = params.bits
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            xs = [features(t.as_py(), hashes, bits).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, pa.binary())], ["doc_id", "y", "x"])
+            xs = [features(t.as_py(), hashes, bits) for t in b.column(2)]
+            sizes = pa.array(map(len, xs), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in xs], pa.binary()), sizes], ["doc_id", "y", "x", "n"])
+
+    sample = bounded_labels(labels, label, modulus, held_out, params.max_rows)
+    hashed = labelled_texts(docs, sample).mapInArrow(hash_rows, "doc_id long, y int, x binary, n long")
+    return within(stash(hashed, "labelled-features"), "n", params.max_features)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held_out: int = 0, params: FtrlParams = FtrlParams()) -> FtrlModel:
+    """The bounded sample of labelled rows is fitted in one task."""
 
     def fit_one(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("x", "ascending")])
         m = train([np.frombuffer(x.as_py(), np.int32) for x in t.column("x")], t.column("y").to_numpy(), params)
         return pa.table({"i": [m.index.tobytes()], "w": [m.weight.tobytes()], "bias": pa.array([m.bias], pa.float64())})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
-    hashed = rows.mapInArrow(hash_rows, "doc_id long, y int, x binary")
-    got = hashed.groupBy(F.lit(0).alias("_all")).applyInArrow(fit_one, "i binary, w binary, bias double").first()
+    rows = training_rows(docs, labels, label, modulus, held_out, params).select("doc_id", "y", "x")
+    got = rows.groupBy(F.lit(0).alias("_all")).applyInArrow(fit_one, "i binary, w binary, bias double").first()
     if got is None:
         return train([], np.zeros(0), params)
-    return FtrlModel(np.frombuffer(got["i"], np.int32), np.frombuffer(got["w"]), got["bias"], bits)
+    return FtrlModel(np.frombuffer(got["i"], np.int32), np.frombuffer(got["w"]), got["bias"], params.bits)
 
 
 def scores(texts: pa.Array, model: FtrlModel, hashes: Hashes, dense: np.ndarray) -> np.ndarray:
