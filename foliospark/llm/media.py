@@ -4,7 +4,9 @@ parse() walks the nested boxes of a file and decodes its sample tables into code
 sample count and the byte ranges of key frames; payload bytes are never decoded. wrap() writes the smallest
 such file: one audio track of 8-bit samples in frames of fixed size.
 
-Defined results: a malformed, empty or NULL file gives NULL columns and `error`; NULL text is empty text.
+Counts in a file are held against the box and the file they are in before anything is read or made of them, so a
+file costs no more than its size. Defined results: a malformed, contradictory, empty or NULL file gives NULL columns and
+`error`, so does one in movie fragments, which are not decoded; NULL text is empty text.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foliospark.llm.common import read, stash
 
 FRAME, TIMESCALE, KEY_EVERY = 192, 8000, 16
+DEEPEST = 16
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf"}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -85,6 +88,8 @@ def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]
 
 
 def leaves(data: bytes, start: int, end: int, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
+    if len(path) > DEEPEST:
+        raise ValueError("boxes nested too deep")
     for kind, a, b in boxes(data, start, end):
         if kind in NESTED:
             if kind == b"trak":
@@ -94,27 +99,57 @@ def leaves(data: bytes, start: int, end: int, path: tuple = ()) -> Iterator[tupl
             yield (*path, kind), a, b
 
 
-def table(data: bytes, at: int, form: str, skip: int = 4) -> list[tuple]:
-    """The rows of a table: version and flags, then (after skip bytes) a count, then rows of a form."""
+def table(data: bytes, box: tuple[int, int], form: str, skip: int = 4) -> Iterator[tuple]:
+    """The rows of a table: version and flags, then (after skip bytes) a count, then rows of a form, all inside its box."""
+    at, end = box
+    if end - at < skip + 4:
+        raise ValueError("table cut off")
     n = struct.unpack_from(">I", data, at + skip)[0]
-    size = struct.calcsize(form)
-    return list(struct.iter_unpack(form, data[at + skip + 4 : at + skip + 4 + n * size]))
-
-
-def sample_ranges(data: bytes, t: dict[bytes, int]) -> list[tuple[int, int]]:
-    """(offset, length) of each sample, from the size, chunk and offset tables."""
-    fixed, n = struct.unpack_from(">2I", data, t[b"stsz"] + 4)
-    sizes = [fixed] * n if fixed else [x[0] for x in table(data, t[b"stsz"], ">I", 8)]
-    chunks = [x[0] for x in (table(data, t[b"stco"], ">I") if b"stco" in t else table(data, t[b"co64"], ">Q"))]
-    runs = table(data, t[b"stsc"], ">3I")
+    first, size = at + skip + 4, struct.calcsize(form)
+    if first + n * size > end:
+        raise ValueError("table longer than its box")
+    return struct.iter_unpack(form, data[first : first + n * size])
+
+
+def sample_sizes(data: bytes, t: dict[bytes, tuple[int, int]]) -> list[int]:
+    """The size of each sample, from a table of full, equal or compact sizes."""
+    if b"stsz" in t:
+        at, end = t[b"stsz"]
+        fixed, n = struct.unpack_from(">2I", data, at + 4) if end - at >= 12 else (0, 0)
+        if not fixed:
+            return [x for (x,) in table(data, t[b"stsz"], ">I", 8)]
+        if fixed * n > len(data):
+            raise ValueError("samples larger than the file")
+        return [fixed] * n
+    at, end = t[b"stz2"]
+    if end - at < 12:
+        raise ValueError("table cut off")
+    width, n = struct.unpack_from(">BI", data, at + 7)
+    raw = data[at + 12 : at + 12 + (n * width + 7) // 8]
+    if width not in (4, 8, 16) or at + 12 + (n * width + 7) // 8 > end:
+        raise ValueError("table longer than its box")
+    if width == 4:
+        return [x for b in raw for x in (b >> 4, b & 15)][:n]
+    return [x for (x,) in struct.iter_unpack(">B" if width == 8 else ">H", raw)]
+
+
+def sample_ranges(data: bytes, t: dict[bytes, tuple[int, int]]) -> list[tuple[int, int]]:
+    """(offset, length) of each sample, from the size, chunk and offset tables, which have to agree."""
+    sizes = sample_sizes(data, t)
+    chunks = [x for (x,) in (table(data, t[b"stco"], ">I") if b"stco" in t else table(data, t[b"co64"], ">Q"))]
+    runs = list(table(data, t[b"stsc"], ">3I"))
     out: list[tuple[int, int]] = []
     for k, (first, per_chunk, _) in enumerate(runs):
         last = runs[k + 1][0] - 1 if k + 1 < len(runs) else len(chunks)
+        if not 1 <= first <= last + 1 <= len(chunks) + 1 or (last - first + 1) * per_chunk > len(sizes) - len(out):
+            raise ValueError("chunks do not hold the samples")
         for chunk in range(first - 1, last):
             at = chunks[chunk]
             for size in sizes[len(out) : len(out) + per_chunk]:
                 out.append((at, size))
                 at += size
+    if len(out) < len(sizes):
+        raise ValueError("chunks do not hold the samples")
     return out
 
 
@@ -125,24 +160,36 @@ def parse(data: bytes | None) -> dict:
     if not data:
         return none | {"error": "empty"}
     try:
-        brand, tracks = None, []
-        for path, a, _ in leaves(data, 0, len(data)):
+        brand, tracks, fragments = None, [], False
+        for path, a, b in leaves(data, 0, len(data)):
             if path == (b"ftyp",):
-                brand = data[a : a + 4].decode("latin-1")
+                brand = data[a : min(a + 4, b)].decode("latin-1")
+            elif path[-1] in (b"moof", b"mvex"):
+                fragments = True
             elif path[-1] == b"trak":
                 tracks.append({})
             elif path[:2] == (b"moov", b"trak"):
-                tracks[-1][path[-1]] = a
-        t = next((t for t in tracks if {b"stsd", b"stts", b"stsc", b"stsz", b"mdhd"} <= t.keys()), None)
+                tracks[-1][path[-1]] = (a, b)
+        if fragments:
+            return none | {"brand": brand, "error": "movie fragments are not decoded"}
+        t = next((t for t in tracks if {b"stsd", b"stts", b"stsc", b"mdhd"} <= t.keys() and (b"stsz" in t or b"stz2" in t)), None)
         if t is None:
             return none | {"brand": brand, "error": "no track"}
-        long = data[t[b"mdhd"]] == 1
-        timescale, _ = struct.unpack_from(">IQ" if long else ">II", data, t[b"mdhd"] + (20 if long else 12))
+        at, end = t[b"mdhd"]
+        long = data[at] == 1
+        if end - at < (36 if long else 24) or t[b"stsd"][1] - t[b"stsd"][0] < 16:
+            raise ValueError("header cut off")
+        timescale, _ = struct.unpack_from(">IQ" if long else ">II", data, at + (20 if long else 12))
         ranges = sample_ranges(data, t)
-        duration = sum(n * d for n, d in table(data, t[b"stts"], ">2I"))
-        keys = [ranges[k - 1] for (k,) in table(data, t[b"stss"], ">I")] if b"stss" in t else ranges
-        codec = data[t[b"stsd"] + 12 : t[b"stsd"] + 16].decode("latin-1")
-        return dict(brand=brand, codec=codec, timescale=timescale, duration=duration, n_samples=len(ranges), keyframes=keys, samples=ranges, error=None)
+        times = list(table(data, t[b"stts"], ">2I"))
+        if sum(n for n, _ in times) != len(ranges):
+            raise ValueError("times of other samples than there are")
+        keys = [k for (k,) in table(data, t[b"stss"], ">I")] if b"stss" in t else range(1, len(ranges) + 1)
+        if any(not 1 <= k <= len(ranges) for k in keys):
+            raise ValueError("key frame that is no sample")
+        codec = data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16].decode("latin-1")
+        duration = sum(n * d for n, d in times)
+        return dict(brand=brand, codec=codec, timescale=timescale, duration=duration, n_samples=len(ranges), keyframes=[ranges[k - 1] for k in keys], samples=ranges, error=None)
     except (ValueError, KeyError, IndexError, struct.error) as e:
         return none | {"error": f"{type(e).__name__}: {e}"[:200]}
 
