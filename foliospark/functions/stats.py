@@ -1,24 +1,10 @@
-"""Normal distribution on aggregated rows, and the risk-parity solver."""
+"""The risk-parity solver."""
 
 from __future__ import annotations
 
-from math import erfc, sqrt
-from statistics import NormalDist
+from math import sqrt
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-@F.pandas_udf(T.DoubleType())
-def norm_cdf(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: None if pd.isna(x) else 0.5 * erfc(-x / sqrt(2)))
-
-
-@F.pandas_udf(T.DoubleType())
-def norm_ppf(q: pd.Series) -> pd.Series:
-    return q.map(lambda x: None if pd.isna(x) else NormalDist().inv_cdf(x))
 
 
 def risk_parity(cov: np.ndarray, sweeps: int = 200, tol: float = 1e-12) -> np.ndarray:

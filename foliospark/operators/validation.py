@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliospark.functions.stats import norm_cdf, norm_ppf
+from foliospark.functions.normal import normal_cdf, normal_ppf
 
 YEAR = 365.0
 EULER_GAMMA = 0.57721566490153286
@@ -80,7 +80,7 @@ def trial_sharpe_star(trials: DataFrame) -> DataFrame:
     clip = lambda q: F.least(F.lit(0.999999), F.greatest(F.lit(1e-6), q))
     n = F.greatest(F.lit(1), F.col("n_trials")).cast("double")
     g = g.withColumn("q1", clip(1 - 1 / n)).withColumn("q2", clip(1 - 1 / (n * e)))
-    best = F.sqrt("variance") * ((1 - EULER_GAMMA) * norm_ppf("q1") + EULER_GAMMA * norm_ppf("q2"))
+    best = F.sqrt("variance") * ((1 - EULER_GAMMA) * normal_ppf("q1") + EULER_GAMMA * normal_ppf("q2"))
     return g.withColumn("sharpe_star", F.when((F.col("n_trials") <= 1) | (F.col("variance") <= 1e-12), 0.0).otherwise(best))
 
 
@@ -94,7 +94,7 @@ def deflated_sharpe(returns: DataFrame) -> DataFrame:
     rows = own.join(star, "family_id").join(losing, "family_id")
     spread = F.greatest(F.lit(1e-12), 1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) / 4 * F.col("sharpe") * F.col("sharpe"))
     z = (F.col("sharpe") - F.col("sharpe_star")) / F.sqrt(spread / F.greatest(F.lit(1), F.col("t") - 1))
-    rows = rows.withColumn("z", F.when(F.col("skew").isNotNull() & F.col("kurt").isNotNull(), z)).withColumn("dsr", norm_cdf("z"))
+    rows = rows.withColumn("z", F.when(F.col("skew").isNotNull() & F.col("kurt").isNotNull(), z)).withColumn("dsr", normal_cdf("z"))
     short = F.col("t") < 4
     rows = rows.withColumns({c: F.when(short, F.lit(v)).otherwise(F.col(c)) for c, v in {"dsr": 0.0, "pbo": 1.0, "sharpe": 0.0, "sharpe_star": 0.0, "skew": 0.0, "kurt": 3.0}.items()})
     return rows.withColumn("is_valid", F.coalesce((F.col("dsr") >= 0.95) & (F.col("pbo") < 0.10), F.lit(False)))

@@ -334,13 +334,30 @@ def trial_sharpe_star(s, d):
     return r6("variance", "q1", "q2", df=validation.trial_sharpe_star(trials).drop("sharpe_star"))
 
 
-@query()
+def integral(z: str) -> str:
+    """SQL for the normal distribution by Simpson's rule, and so by other means than the query's."""
+    x = f"least(abs({z}), 9)"
+    return f"(0.5::DOUBLE + sign({z}) * {x} / 6000 / sqrt(2 * pi()) * list_sum(list_transform(generate_series(0, 2000), lambda i: CASE WHEN i % 2000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5::DOUBLE * (i * {x} / 2000) ** 2))))"
+
+
+#: The star of each family; quantiles by halving intervals.
+STAR = f"""{TRIALS}, ends AS (SELECT family_id, 1 AS k, least(CAST(0.999999 AS DOUBLE), greatest(1e-6, 1 - 1 / CAST(n_trials AS DOUBLE))) AS q FROM ts UNION ALL SELECT family_id, 2, least(CAST(0.999999 AS DOUBLE), greatest(1e-6, 1 - 1 / (n_trials * exp(1)))) FROM ts),
+halved(family_id, k, q, lo, hi, step) AS (SELECT family_id, k, q, CAST(-6 AS DOUBLE), CAST(6 AS DOUBLE), 0 FROM ends UNION ALL
+  SELECT family_id, k, q, CASE WHEN p < q THEN mid ELSE lo END, CASE WHEN p < q THEN hi ELSE mid END, step + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, {integral("((lo + hi) / 2)")} AS p FROM halved WHERE step < 45) h),
+star AS (SELECT ts.family_id, CASE WHEN n_trials <= 1 OR variance <= 1e-12 THEN 0 ELSE sqrt(variance) * sum(lo * CASE k WHEN 1 THEN 1 - CAST({validation.EULER_GAMMA} AS DOUBLE) ELSE CAST({validation.EULER_GAMMA} AS DOUBLE) END) END AS sharpe_star
+  FROM ts JOIN halved h ON h.family_id = ts.family_id AND step = 45 GROUP BY ts.family_id, n_trials, variance)"""
+
+
+@query(f"WITH RECURSIVE {STAR} SELECT family_id, round(sharpe_star, 6) AS sharpe_star FROM star")
 def trial_sharpe_star_value(s, d):
-    return validation.trial_sharpe_star(validation.moments_of(view(s, d, "strategy_returns"))).select("family_id", "sharpe_star")
+    return r6("sharpe_star", df=validation.trial_sharpe_star(validation.moments_of(view(s, d, "strategy_returns"))).select("family_id", "sharpe_star"))
+
 
+MOMENTS = """m AS (SELECT strategy_id, count(*) AS t, avg(ret) AS m, var_pop(ret) AS v, stddev_samp(ret) AS sd FROM strategy_returns GROUP BY 1),
+x AS (SELECT r.strategy_id, any_value(r.family_id) AS family_id, any_value(t) AS t, any_value(CASE WHEN sd > 1e-12 THEN m / sd * sqrt(365) ELSE 0 END) AS sharpe, avg((ret - m) ** 3) / any_value(v) ** 1.5 AS skew, avg((ret - m) ** 4) / any_value(v) ** 2 AS kurt FROM strategy_returns r JOIN m ON r.strategy_id = m.strategy_id GROUP BY 1)"""
 
-@query("""WITH m AS (SELECT strategy_id, count(*) AS t, avg(ret) AS m, var_pop(ret) AS v, stddev_samp(ret) AS sd FROM strategy_returns GROUP BY 1),
-x AS (SELECT r.strategy_id, any_value(t) AS t, any_value(CASE WHEN sd > 1e-12 THEN m / sd * sqrt(365) ELSE 0 END) AS sharpe, avg((ret - m) ** 3) / any_value(v) ** 1.5 AS skew, avg((ret - m) ** 4) / any_value(v) ** 2 AS kurt FROM strategy_returns r JOIN m ON r.strategy_id = m.strategy_id GROUP BY 1)
+
+@query(f"""WITH {MOMENTS}
 SELECT strategy_id, t, round(sharpe, 6) AS sharpe, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(greatest(1e-12, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe), 6) AS spread FROM x""")
 def deflated_sharpe(s, d):
     x = validation.deflated_sharpe(view(s, d, "strategy_returns"))
@@ -348,9 +365,14 @@ def deflated_sharpe(s, d):
     return r6("sharpe", "skew", "kurt", "spread", df=x.withColumn("spread", spread).select("strategy_id", "t", "sharpe", "skew", "kurt", "spread"))
 
 
-@query()
+DEFLATED = f"""{STAR}, {MOMENTS}, lo AS (SELECT family_id, avg(CASE WHEN sharpe <= 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS pbo FROM tr GROUP BY 1),
+zz AS (SELECT strategy_id, t, pbo, (sharpe - sharpe_star) / sqrt(greatest(1e-12, 1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) / greatest(1, t - 1)) AS z FROM x JOIN star USING (family_id) JOIN lo USING (family_id)),
+ds AS (SELECT strategy_id, z, CASE WHEN t < 4 THEN 0 ELSE {integral("z")} END AS dsr, CASE WHEN t < 4 THEN 1 ELSE pbo END AS pbo FROM zz)"""
+
+
+@query(f"WITH RECURSIVE {DEFLATED} SELECT strategy_id, round(z, 6) AS z, round(dsr, 6) AS dsr, round(pbo, 6) AS pbo, dsr >= CAST(0.95 AS DOUBLE) AND pbo < CAST(0.1 AS DOUBLE) AS is_valid FROM ds")
 def deflated_sharpe_score(s, d):
-    return validation.deflated_sharpe(view(s, d, "strategy_returns")).select("strategy_id", "z", "dsr", "pbo", "is_valid")
+    return r6("z", "dsr", "pbo", df=validation.deflated_sharpe(view(s, d, "strategy_returns")).select("strategy_id", "z", "dsr", "pbo", "is_valid"))
 
 
 BLOCKS = "bl AS (SELECT strategy_id, idx, ret, n, CASE WHEN n // 6 = 0 THEN 5 ELSE least(idx // (n // 6), 5) END AS block FROM (SELECT *, count(*) OVER (PARTITION BY strategy_id) AS n FROM strategy_returns) x)"
@@ -392,12 +414,14 @@ def overfit_gate(s, d):
     return r6("pbo", df=validation.overfit_gate(records).select("strategy_id", "pbo", "message"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DEFLATED}, {PATHS}, pp AS (SELECT strategy_id, avg(CASE WHEN sharpe <= 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS path_pbo FROM pa GROUP BY 1)
+SELECT strategy_id, round(dsr, 6) AS dsr, round(path_pbo, 6) AS pbo, printf('Strategy failed overfitting verification gate: PBO=%.4f (must be < 0.10), DSR=%.4f (must be >= 0.95).', path_pbo, dsr) AS message
+FROM ds JOIN pp USING (strategy_id) WHERE path_pbo >= CAST(0.1 AS DOUBLE) OR dsr < CAST(0.95 AS DOUBLE)""")
 def deflated_gate(s, d):
     """The gate over deflated Sharpe ratios and the path estimate of overfitting."""
     returns = view(s, d, "strategy_returns")
     records = validation.deflated_sharpe(returns).select("strategy_id", "dsr").join(validation.path_pbo(validation.cpcv_path_sharpe(returns)), "strategy_id")
-    return validation.overfit_gate(records).select("strategy_id", "dsr", "pbo", "message")
+    return r6("dsr", "pbo", df=validation.overfit_gate(records).select("strategy_id", "dsr", "pbo", "message"))
 
 
 # ---- ledger

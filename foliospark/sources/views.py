@@ -60,4 +60,7 @@ def with_views(sql: str) -> str:
     head = ", ".join(f"{n} AS ({s})" for n, s in filled.items())
     if not head:
         return body
-    return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{head}, {body[len(start) :]}"
+    return f"WITH {head} {body}"
