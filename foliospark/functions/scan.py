@@ -1,20 +1,112 @@
-"""Running aggregates of keys too large for one window partition."""
+"""Running aggregates, also of keys too large for one window partition.
+
+Most keys take a plain window. Keys of more than `HOT_ROWS` rows are found by a count, and cut at quantiles of their first
+order column, whatever its spread: into pieces of about as many rows each, which two_level_scan() puts together.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from foliospark.functions.scratch import stash
+
+#: Rows of a key that one window partition takes; pieces of a key at most; keys of a table that is broadcast.
+HOT_ROWS, MOST_PIECES, SMALL = 1 << 20, 4096, 100_000
+
+
+def rising(df: DataFrame, name: str) -> Column:
+    """A number that never falls where the column rises: times in microseconds, of text the first six bytes. NULL stays."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(kind, T.IntegralType):
+        return c.cast("long")
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
+    return F.when(c.isNotNull(), F.lit(0).cast("long"))
+
+
+def hot_keys(df: DataFrame, order: list[str], *keys: list[str], limit: int | None = None) -> list[DataFrame | None]:
+    """For each of the keys (the first the finest, each next a part of the one before): key columns named `_h_<name>` and
+    `_cuts`, the places to cut the key at, for keys of more than `limit` rows; None if there is none. The counts are one job
+    over the key columns; only the rows of hot keys are read again."""
+    limit = limit or HOT_ROWS
+    level = df.groupBy(*keys[0]).agg(F.count("*").alias("_n")).withColumn("_m0", F.col("_n"))
+    for k, key in enumerate(keys[1:], 1):
+        level = level.groupBy(*key).agg(F.sum("_n").alias("_n"), *[F.max(f"_m{i}").alias(f"_m{i}") for i in range(k)]).withColumn(f"_m{k}", F.col("_n"))
+    tops = level.agg(*[F.max(f"_m{k}") for k in range(len(keys))]).first()
+    return [cut_points(df, order, key, limit, top) if (top or 0) > limit else None for key, top in zip(keys, tops)]
+
+
+def same_key(df: DataFrame, hot: DataFrame, key: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [df[c].eqNullSafe(hot[f"_h_{c}"]) for c in key])
+
 
-#: Seconds of a time bucket.
-SPAN = 7 * 86400
+def marked(hot: DataFrame) -> DataFrame:
+    """For broadcast if few, as counted; there is at most one hot key for each `limit` rows."""
+    return F.broadcast(hot) if hot.limit(SMALL + 1).count() <= SMALL else hot
 
 
-def time_bucket(ts: str, span: int = SPAN) -> Column:
-    """Rises with a timestamp; NULL comes first."""
-    return F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (span * 1_000_000)), F.lit(-(1 << 62))).cast("long")
+def cut_points(df: DataFrame, order: list[str], key: list[str], limit: int, top: int) -> DataFrame:
+    heavy = stash(df.groupBy(*[F.col(c).alias(f"_h_{c}") for c in key]).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).drop("_n"), "hot-keys")
+    pieces = min(MOST_PIECES, ceil(2 * top / limit))
+    places = [i / pieces for i in range(1, pieces)]
+    rows = df.withColumn("_v", rising(df, order[0]))
+    rows = rows.join(marked(heavy), same_key(rows, heavy, key))
+    names = [f"_h_{c}" for c in key]
+    cuts = F.array_distinct(F.percentile_approx("_v", places, F.lit(max(10_000, 8 * pieces))))
+    return stash(rows.groupBy(*names).agg(F.coalesce(cuts, F.array().cast("array<double>")).alias("_cuts")), "hot-cuts")
+
+
+def scan(df: DataFrame, key: list[str], order: list[str], hot: DataFrame | None, **parts) -> DataFrame:
+    """The aggregates of two_level_scan(), by plain windows for all keys but the hot ones. Without hot keys df is read once."""
+    if hot is None:
+        return plain_scan(df, key, order, **parts)
+    rows = in_pieces(df, key, order, hot)
+    warm = two_level_scan(rows.where("_piece IS NOT NULL"), key, order, F.col("_piece"), **parts)
+    return plain_scan(rows.where("_piece IS NULL"), key, order, **parts).unionByName(warm).drop("_piece")
+
+
+def in_pieces(df: DataFrame, key: list[str], order: list[str], hot: DataFrame) -> DataFrame:
+    """Adds _piece, which rises with the order, to the rows of hot keys; NULL for others. Rows of equal first order column are
+    in one piece, NULLs in the first."""
+    tagged = df.join(marked(hot), same_key(df, hot, key), "left").drop(*[f"_h_{c}" for c in key])
+    value = rising(df, order[0])
+    piece = F.size(F.filter("_cuts", lambda c: c <= value)).cast("long")
+    return tagged.withColumn("_piece", F.when(F.col("_cuts").isNotNull(), piece)).drop("_cuts")
+
+
+def plain_scan(
+    df: DataFrame, key: list[str], order: list[str], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None,
+    lasts: dict[str, Column] | None = None, lags: dict[str, Column] | None = None, since: dict[str, Column] | None = None, step: Column | None = None, before: tuple[str, ...] = (),
+) -> DataFrame:
+    """two_level_scan() by one window over each key."""
+    w = W.partitionBy(*key).orderBy(*order)
+    now, prior = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    last = lambda c: F.last(c, ignorenulls=True)
+    out = {}
+    for group, f in ((sums or {}, lambda c: F.sum(c)), (maxima or {}, F.max), (lasts or {}, last)):
+        for n, c in group.items():
+            whole = (lambda x: F.coalesce(x, F.lit(0))) if f not in (F.max, last) else (lambda x: x)
+            out[n] = whole(f(c).over(now))
+            if n in before:
+                out[f"{n}_before"] = whole(f(c).over(prior))
+    out |= {n: F.lag(c).over(w) for n, c in (lags or {}).items()}
+    rows = df.withColumns(out)
+    if since:
+        rows = rows.withColumn("_step", F.sum(step if step is not None else F.lit(1)).over(now))
+        rows = rows.withColumns({n: last(c - F.col("_step")).over(now) + F.col("_step") for n, c in since.items()}).drop("_step")
+    return rows
 
 
 def two_level_scan(

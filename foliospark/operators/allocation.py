@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliospark.functions.scan import hot_keys, scan
 from foliospark.functions.stats import risk_parity
 
 #: The plan's targets and symbols.
@@ -72,6 +74,36 @@ def returns_covariance(returns: DataFrame) -> DataFrame:
     return a.join(b, ["grp", "obs"]).where("i <= j").groupBy("grp", "i", "j").agg(F.covar_samp("ri", "rj").alias("cov"))
 
 
+def rolling_covariance(returns: DataFrame, window: int, step: int = 1, min_obs: int = 2) -> DataFrame:
+    """(grp, obs, asset, ret) -> grp, as_of, i, j, n, cov, i <= j: the covariance of each two assets over the last `window`
+    observations of their group, every `step` observations; n counts those that both have (under min_obs: NULL).
+
+    Observations are numbered in their group and cut into buckets of `step`; each bucket has one small table of sums and
+    products for each pair. A window's sums are a difference of two running sums over the buckets, so no row is read once for
+    each window it is in. Returns are taken from their asset's mean first, which keeps the differences exact. window has to be
+    a multiple of step; the last bucket may be shorter. NULL returns are no observations."""
+    if window % step or window < step:
+        raise ValueError("the window has to be a multiple of the step")
+    from_mean = returns.groupBy("grp", "asset").agg(F.avg("ret").alias("_mean"))
+    seen = returns.select("grp", "obs").distinct()
+    # numbers of a group's observations: one row for each, not one for each asset
+    (hot,) = hot_keys(seen, ["obs"], ["grp"])
+    numbered = scan(seen, ["grp"], ["obs"], hot, sums={"_t": F.lit(1).cast("long")}).withColumn("_b", F.floor((F.col("_t") - 1) / step)).drop("_t")
+    rows = returns.where(F.col("ret").isNotNull()).join(numbered, ["grp", "obs"]).join(from_mean, ["grp", "asset"]).withColumn("_x", F.col("ret") - F.col("_mean"))
+    a, b = (rows.select("grp", "obs", "_b", F.col("asset").alias(k), F.col("_x").alias(f"x{k}")) for k in "ij")
+    pairs = a.join(b.drop("_b"), ["grp", "obs"]).where("i <= j")
+    sums = pairs.groupBy("grp", "_b", "i", "j").agg(F.count("*").alias("n"), F.sum("xi").alias("x"), F.sum("xj").alias("y"), F.sum(F.col("xi") * F.col("xj")).alias("xy"))
+    ends = numbered.groupBy("grp", "_b").agg(F.max("obs").alias("as_of"))
+    every = ends.join(sums.select("grp", "i", "j").distinct(), "grp")  # as many rows as the result has
+    known = every.join(sums, ["grp", "_b", "i", "j"], "left")
+    w = W.partitionBy("grp", "i", "j").orderBy("_b")
+    now, before = w.rangeBetween(W.unboundedPreceding, 0), w.rangeBetween(W.unboundedPreceding, -(window // step))
+    inside = {c: F.coalesce(F.sum(c).over(now), F.lit(0)) - F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "x", "y", "xy")}
+    out = known.select("grp", "as_of", "i", "j", *[v.alias(c) for c, v in inside.items()])
+    cov = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1)
+    return out.where("n > 0").select("grp", "as_of", "i", "j", "n", F.when(F.col("n") >= max(2, min_obs), cov).alias("cov"))
+
+
 def gram_covariance(vectors: DataFrame, n_assets: int) -> DataFrame:
     """The same for wide universes: (grp, x array) -> each task adds up X'X and the sums, and sends N^2 numbers per
     group once, not for each observation."""

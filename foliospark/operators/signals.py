@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliospark.functions.scan import time_bucket, two_level_scan
+from foliospark.functions.scan import hot_keys, scan
 
 DAY = 86400
 
@@ -47,17 +47,54 @@ def regime_rules(df: DataFrame) -> DataFrame:
 
 
 def asof_market(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Latest price and latest derivatives of an event's symbol, the event itself included. Running last values in time
-    buckets; no range join, and no task holds all events of a symbol."""
+    """Latest price and latest derivatives of an event's symbol, the event itself included. Running last values, hot symbols
+    in pieces; no range join, and no task holds all events of a hot symbol."""
     metrics = ("spot_cvd", "perp_cvd", "funding_rate")
     latest = {
         "latest_price": F.when(F.col("event_type") == "MARKET_TICK", F.col("price")),
         "_d": F.when(F.col("event_type") == "DERIVATIVES_METRICS", F.struct(*metrics)),
     }
-    out = two_level_scan(events, ["symbol"], list(order), time_bucket(order[0]), lasts=latest)
+    out = scan(events, ["symbol"], list(order), *hot_keys(events, list(order), ["symbol"]), lasts=latest)
     return out.withColumns({f"latest_{m}": F.col("_d")[m] for m in metrics}).drop("_d")
 
 
+def asof_join(
+    left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], ties: tuple[str, ...] = (), tolerance: float | None = None, exact: bool = True, prefix: str = "",
+) -> DataFrame:
+    """Every row of left with the values of the last right row of its key that is not later: a left join in time.
+
+    by: equal columns of both; left_on, right_on: columns of one kind, a time, date or number; ties: columns of right that order
+    its rows of one time, the last of which counts (by default the values themselves). tolerance: the oldest that counts, in seconds
+    for times, days for dates; exact: whether a right row of the very time counts. Values get the prefix, and `matched_<right_on>`
+    is the time of the row found. NULL in a key or time matches nothing. Both sides are one tagged table and a running last value,
+    so there is one shuffle, no range join, and hot keys are cut in pieces."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    tie = [f"_o{i}" for i in range(len(ties) or len(values))]
+    side = {"left": 1, "right": 0} if exact else {"left": 0, "right": 1}
+    a = left.select(F.struct(*left.columns).alias("_l"), *[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(left_on).alias("_t"), F.lit(side["left"]).alias("_side"))
+    found = F.struct(F.col(right_on).alias("t"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)])
+    known = right.where(F.col(right_on).isNotNull())
+    b = known.select(found.alias("_r"), *[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(right_on).alias("_t"), F.lit(side["right"]).alias("_side"), *[F.col(c).alias(o) for c, o in zip(ties or values, tie)])
+    both = a.unionByName(b, allowMissingColumns=True)
+    order = ["_t", "_side", *tie]
+    rows = scan(both, keys, order, *hot_keys(both, order, keys), lasts={"_last": F.col("_r")}).where("_l IS NOT NULL")
+    ok = F.col("_t").isNotNull()
+    for k in keys:
+        ok = ok & F.col(k).isNotNull()
+    if tolerance is not None:
+        ok = ok & (distance(both, "_t", F.col("_last.t")) <= tolerance)
+    hit = F.when(ok, F.col("_last"))
+    return rows.select(*[F.col(f"_l.`{c}`").alias(c) for c in left.columns], hit["t"].alias(f"matched_{right_on}"), *[hit[f"v{i}"].alias(f"{prefix}{c}") for i, c in enumerate(values)])
+
+
+def distance(df: DataFrame, name: str, earlier: Column) -> Column:
+    """From an earlier value to a column: seconds of times, days of dates, the difference of numbers."""
+    kind = df.schema[name].dataType.simpleString()
+    if kind.startswith("timestamp"):
+        return (F.unix_micros(F.col(name).cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 1e6
+    return F.datediff(F.col(name), earlier) if kind == "date" else F.col(name) - earlier
+
+
 def trailing_return(prices: DataFrame, days: int = 90) -> DataFrame:
     """close over the last close at least `days` days old, less one; NULL while the history is short."""
     w = W.partitionBy("symbol").orderBy("_d").rangeBetween(W.unboundedPreceding, -days)
@@ -100,7 +137,7 @@ RETURNS, CHUNK = 29, 4096
 def realized_vol_30(ticks: DataFrame, order: tuple[str, ...] = ("ts", "event_id"), default: float = 0.30, chunk: int = CHUNK) -> DataFrame:
     """Annualised deviation of the last 29 simple returns; the default until a symbol has six prices. Prices are numbered
     per symbol and cut into chunks, each led in by the last 28 prices of the one before."""
-    rows = two_level_scan(ticks, ["symbol"], list(order), time_bucket(order[0]), sums={"_n": F.lit(1)}, lags={"_p": F.col("price")})
+    rows = scan(ticks, ["symbol"], list(order), *hot_keys(ticks, list(order), ["symbol"]), sums={"_n": F.lit(1)}, lags={"_p": F.col("price")})
     rows = rows.withColumn("_r", F.when(F.col("_p") != 0, F.col("price") / F.col("_p") - 1))
     place = F.col("_n") - 1
     own = F.floor(place / chunk)

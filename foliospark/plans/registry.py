@@ -5,6 +5,8 @@ Accumulated doubles are rounded to six decimals on both sides, arrays are joined
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,6 +146,31 @@ def asof_market(s, d):
     return r6("latest_price", "latest_spot_cvd", "latest_perp_cvd", df=signals.asof_market(view(s, d, "ledger")).select("event_id", "latest_price", "latest_spot_cvd", "latest_perp_cvd"))
 
 
+#: Trades of orders and quotes of shipped lines: separate tables, some trades without a quote of the last two days.
+TRADED = "trades AS (SELECT o_orderkey AS trade_id, 'A' || CAST(o_custkey % 14 AS VARCHAR(9)) AS symbol, CAST(o_orderdate AS DATE) AS day, o_totalprice AS notional FROM orders)"
+
+
+def trades(s, d):
+    return s.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey AS trade_id", "'A' || CAST(o_custkey % 14 AS VARCHAR(9)) AS symbol", "CAST(o_orderdate AS DATE) AS day", "o_totalprice AS notional")
+
+
+@query(f"""WITH {TRADED}, j AS (SELECT t.*, q.day AS quoted, q.close FROM trades t ASOF LEFT JOIN prices_daily q ON t.symbol = q.symbol AND t.day >= q.day)
+SELECT trade_id, symbol, day, CASE WHEN day - quoted <= 2 THEN quoted END AS matched_day, CASE WHEN day - quoted <= 2 THEN round(close, 6) END AS close FROM j""")
+def asof_trades_quotes(s, d):
+    x = signals.asof_join(trades(s, d), view(s, d, "prices_daily"), ["symbol"], "day", "day", ["close"], tolerance=2)
+    return r6("close", df=x.select("trade_id", "symbol", "day", "matched_day", "close"))
+
+
+#: Derivatives events as a feed of their own against ticks as another, strictly earlier.
+@query("""SELECT a.event_id, p.event_id AS tick_id, round(p.price, 6) AS tick_price FROM (SELECT * FROM ledger WHERE event_type = 'DERIVATIVES_METRICS') a
+ASOF LEFT JOIN (SELECT symbol, ts, max(event_id) AS event_id, arg_max(price, event_id) AS price FROM ledger WHERE event_type = 'MARKET_TICK' GROUP BY 1, 2) p ON a.symbol = p.symbol AND a.ts > p.ts""")
+def asof_derivatives_ticks(s, d):
+    log = view(s, d, "ledger")
+    ticks = log.where("event_type = 'MARKET_TICK'").select("symbol", "ts", "event_id", "price")
+    x = signals.asof_join(log.where("event_type = 'DERIVATIVES_METRICS'").select("event_id", "symbol", "ts"), ticks, ["symbol"], "ts", "ts", ["event_id", "price"], ties=("event_id",), exact=False, prefix="tick_")
+    return r6("tick_price", df=x.select("event_id", F.col("tick_event_id").alias("tick_id"), "tick_price"))
+
+
 RETURNS = "r90 AS (SELECT p.symbol, p.day, CASE WHEN o.close > 0 THEN p.close / o.close - 1 END AS ret FROM prices_daily p ASOF LEFT JOIN prices_daily o ON p.symbol = o.symbol AND p.day - INTERVAL 90 DAY >= o.day)"
 
 
@@ -288,6 +315,18 @@ def returns_covariance(s, d):
     return r6("cov", df=covariance(s, d)).select(*[F.col(c).cast("long").alias(c) for c in ("grp", "i", "j")], "cov")
 
 
+@query("""WITH dr AS (SELECT symbol, day, close / lag(close) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret FROM prices_daily), b AS (SELECT day, (row_number() OVER (ORDER BY day) - 1) // 30 AS b FROM (SELECT DISTINCT day FROM prices_daily) x),
+e AS (SELECT b, max(day) AS as_of FROM b GROUP BY 1), r AS (SELECT dr.*, b.b FROM dr JOIN b USING (day) WHERE ret IS NOT NULL)
+SELECT as_of, x.symbol AS i, y.symbol AS j, count(*) AS n, round(CASE WHEN count(*) >= 2 THEN covar_samp(x.ret, y.ret) END * 1000000, 4) AS cov_ppm FROM e JOIN r x ON x.b BETWEEN e.b - 2 AND e.b JOIN r y ON x.day = y.day AND x.symbol <= y.symbol GROUP BY 1, 2, 3""")
+def rolling_covariance(s, d):
+    """Covariances of the daily returns of all symbols over the last 90 days with prices, every 30 days."""
+    from pyspark.sql import Window as W
+
+    ret = F.col("close") / F.lag("close").over(W.partitionBy("symbol").orderBy("day")) - 1
+    returns = view(s, d, "prices_daily").select(F.lit(0).alias("grp"), F.col("day").alias("obs"), F.col("symbol").alias("asset"), ret.alias("ret"))
+    return allocation.rolling_covariance(returns, 90, 30).select("as_of", "i", "j", "n", F.round(F.col("cov") * 1_000_000, 4).alias("cov_ppm"))
+
+
 def tenths(s, d):
     return view(s, d, "asset_vectors").select("grp", "asset").distinct().withColumn("weight", (F.col("asset") + 1) / 10)
 
@@ -470,6 +509,39 @@ def position_weights(s, d):
     return x.select("portfolio_id", "symbol", F.round("notional", 4).alias("notional"), F.round("weight", 8).alias("weight"))
 
 
+#: A hundred instants over the time of the log, one before it.
+INSTANTS = """ins AS (SELECT min(ts) + to_microseconds(CAST((epoch_us(max(ts)) - epoch_us(min(ts))) // 98 AS BIGINT) * (k - 1)) AS inst FROM ledger, range(100) r(k) GROUP BY k)"""
+KEYED = "epoch_us(ts)::HUGEINT * 1000000000 + event_id"
+
+
+def instants_of(s, d) -> list:
+    first, last = view(s, d, "ledger").agg(F.min("ts"), F.max("ts")).first()
+    step = ((last - first) // dt.timedelta(microseconds=1)) // 98
+    return [first + dt.timedelta(microseconds=step * (k - 1)) for k in range(100)]
+
+
+@query(f"""WITH {LEDGER}, {INSTANTS}, vk AS (SELECT *, {KEYED} AS k FROM v), sk AS (SELECT *, {KEYED} AS k FROM st WHERE event_type <> 'DERIVATIVES_METRICS'), mk AS (SELECT * FROM sk WHERE event_type IN ('MARKET_TICK', 'ORDER_EXECUTED')),
+q AS (SELECT p.portfolio_id, p.symbol, inst, epoch_us(inst)::HUGEINT * 1000000000 + 999999999 AS k FROM (SELECT DISTINCT portfolio_id, symbol FROM ledger) p, ins),
+z AS (SELECT q.portfolio_id, q.symbol, inst AS as_of, vk.has, vk.pu, vk.pp, vk.ay, sk.cash, sk.equity, mk.equity AS marked FROM q ASOF JOIN vk ON q.portfolio_id = vk.portfolio_id AND q.symbol = vk.symbol AND q.k >= vk.k
+  ASOF JOIN sk ON q.portfolio_id = sk.portfolio_id AND q.k >= sk.k ASOF LEFT JOIN mk ON q.portfolio_id = mk.portfolio_id AND q.k >= mk.k)
+SELECT portfolio_id, symbol, CAST(epoch_us(as_of) AS BIGINT) AS as_of_us, round(pu, 6) AS units, round(pp, 6) AS price, round(ay, 6) AS accrued_yield, round(cash, 4) AS cash, round(equity, 4) AS equity, round(CASE WHEN marked > 0 THEN pu * pp / marked ELSE 0 END, 8) AS weight FROM z WHERE has = 1""")
+def states_at_instants(s, d):
+    """Positions and weights of every portfolio at a hundred instants, from one pass over the log."""
+    x = r6("units", "price", "accrued_yield", df=ledger.states_at(view(s, d, "ledger"), CASH, instants_of(s, d)))
+    at = F.unix_micros(F.col("as_of").cast("timestamp")).alias("as_of_us")
+    return x.select("portfolio_id", "symbol", at, "units", "price", "accrued_yield", F.round("cash", 4).alias("cash"), F.round("equity", 4).alias("equity"), F.round("weight", 8).alias("weight"))
+
+
+@query(f"WITH {FINAL} SELECT portfolio_id, symbol, round(units, 6) AS units, round(price, 6) AS price, round(ay, 6) AS accrued_yield, round(notional, 4) AS notional, round(CASE WHEN marked > 0 THEN notional / marked ELSE 0 END, 8) AS weight FROM ps")
+def state_from_snapshot(s, d):
+    """The last state from a snapshot half way and the events after it; the events before are read for the snapshot only."""
+    log, half = view(s, d, "ledger"), instants_of(s, d)[50]
+    positions, starts = ledger.snapshot(log, CASH, half)
+    later = ledger.with_initial(log.where(F.col("ts") > F.lit(half).cast(log.schema["ts"].dataType)), positions, starts)
+    x = r6("units", "price", "accrued_yield", df=ledger.state_at(later, CASH))
+    return x.select("portfolio_id", "symbol", "units", "price", "accrued_yield", F.round("notional", 4).alias("notional"), F.round("weight", 8).alias("weight"))
+
+
 #: The same log after a given state, which the other engine gets as events long before: a payment, then purchases without fee.
 BEGUN = LEDGER.replace("FROM ledger)", "FROM begun)")
 BEGIN = """op AS (SELECT o.*, row_number() OVER (ORDER BY portfolio_id, symbol) AS k FROM openings o), begun AS (SELECT portfolio_id, event_id, ts, sequence, event_type, symbol, price, side, units, fee, amount FROM ledger
