@@ -12,7 +12,11 @@ Links are found in two steps, so that no group of n members makes n * n rows:
    in blocks of `BLOCK` members. There the bucket's largest component is never compared within itself: only the strays
    are compared, with it and with each other, on sketches and bands. Full sets follow only for members that a sketch
    leaves open, and a task then works from the closest pair on, skips what it has already joined and returns at
-   most one link per member. Nothing is capped.
+   most one link per member;
+3. buckets with more than `CROWD` strays, as pages of one template below the similarity make them, are left for a prefix
+   filter, which is exact: with its shingles ordered from the rare on, a member's first ninth or fifth (at 0.8, as the smaller
+   or larger of a pair) has to hold one of the other's. What pages share with all others comes last in that order,
+   so pages of a template make no buckets there, and the work follows their number. Nothing is capped.
 
 Defined results: NULL, empty or blank text has no shingles and is its own component; fewer words than a shingle
 holds are one shingle; repeated rows and equal sets share a component; a NULL id is never a component's name.
@@ -34,7 +38,9 @@ WORDS, STAGE_WORDS, BANDS, ROWS = 4, 5, 40, 5
 HASHES = BANDS * ROWS
 SKETCH = 512
 SCREEN = 120
-SMALL, BLOCK = 48, 512
+SMALL, BLOCK, CROWD = 48, 512, 64
+#: Counters of shingles for the order of the prefix filter, as a power of two. Any order is right, a rough count separates templates.
+SLOTS = 18
 U = np.uint64
 _RNG = np.random.default_rng(20_011)
 MULTIPLY = _RNG.integers(1, 2**63, HASHES, np.uint64) * U(2) + U(1)
@@ -162,25 +168,80 @@ def components(links: DataFrame) -> DataFrame:
 TASK = ["band", "kind", "i", "j"]
 
 
+def largest_components(members: DataFrame) -> DataFrame:
+    """band, _main (the largest component), _n (its members), _all, and _m, how many rows are marked as first, where that is a column."""
+    first = F.sum(F.col("first").cast("int")) if "first" in members.columns else F.sum(F.lit(1))
+    sizes = members.groupBy("band", "component").agg(F.count("*").alias("_c"), first.alias("_f"))
+    return sizes.groupBy("band").agg(F.max_by("component", F.struct("_c", "component")).alias("_main"), F.max("_c").alias("_n"), F.sum("_c").alias("_all"), F.sum("_f").alias("_m"))
+
+
 def dealt(members: DataFrame) -> DataFrame:
     """(band, id, component, and more) -> the same and side, kind, i, j: the block pairs that a member takes part in.
     Kind 0 sets a block of the bucket's largest component against one of strays, kind 1 two blocks of strays. n members
-    with k strays make about 2 n k / BLOCK rows, n of them for a single stray."""
-    sizes = members.groupBy("band", "component").agg(F.count("*").alias("_c"))
-    largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("_c", "component")).alias("_main"), F.max("_c").alias("_n"), F.sum("_c").alias("_all"))
-    largest = stash(largest, "nd-largest")  # a row for each bucket; apart from its grouping, the join below can split a hot bucket
-    rows = members.join(largest, "band").withColumn("side", (F.col("component") != F.col("_main")).cast("int"))
-    main, stray = (F.ceil(c / BLOCK).cast("int") for c in (F.col("_n"), F.col("_all") - F.col("_n")))
+    with k strays make about 2 n k / BLOCK rows, n of them for a single stray. With a column `first`, a pair needs a row so
+    marked; where fewer are marked than are strays, they take the strays' part."""
+    largest = stash(largest_components(members), "nd-largest")  # a row for each bucket; apart from its grouping, the join below can split a hot bucket
+    rows = members.join(largest, "band")
+    k, other = F.col("_all") - F.col("_n"), F.col("component") != F.col("_main")
+    few, other = (F.least(k, "_m"), F.when(F.col("_m") < k, F.col("first")).otherwise(other)) if "first" in members.columns else (k, other)
+    rows = rows.withColumn("side", other.cast("int"))
+    main, stray = (F.ceil(c / BLOCK).cast("int") for c in (F.col("_all") - few, few))
     is_stray = F.col("side") == 1
     rows = rows.withColumns({"_own": F.pmod(F.xxhash64("id"), F.when(is_stray, stray).otherwise(main)).cast("int"), "_stray": stray, "_other": F.when(is_stray, main).otherwise(stray)})
     task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda k: k < n)
     own = F.col("_own")
-    across = F.transform(F.sequence(F.lit(0), F.col("_other") - 1), lambda k: F.when(is_stray, task(0, k, own)).otherwise(task(0, own, k)))
-    among = F.transform(F.sequence(F.lit(0), F.col("_stray") - 1), lambda k: task(1, F.least(own, k), F.greatest(own, k)))
+    across = F.transform(upto(F.col("_other")), lambda k: F.when(is_stray, task(0, k, own)).otherwise(task(0, own, k)))
+    among = F.transform(upto(F.col("_stray")), lambda k: task(1, F.least(own, k), F.greatest(own, k)))
     tasks = F.when(is_stray, F.concat(across, among)).otherwise(across)
     return rows.withColumn("_t", F.explode(tasks)).select(*members.columns, "side", "_own", "_t.*")
 
 
+def slot_of(s: np.ndarray) -> np.ndarray:
+    return (s.view(np.uint64) >> U(64 - SLOTS)).astype(np.int64)
+
+
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many members hold a shingle, by 2^SLOTS hashed counters. A task sends one row for each counter in use at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOTS, np.int64)
+        for b in batches:
+            for s in b.column(0):
+                counts += np.bincount(slot_of(np.array(s.values)), minlength=1 << SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
+
+    out = np.zeros(1 << SLOTS, np.int64)
+    for slot, n in sets.select("s").mapInArrow(count, "slot long, n long").groupBy("slot").sum("n").collect():  # 2^SLOTS rows at most
+        out[slot] = n
+    return out
+
+
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """Of n shingles, how many of the rarest have to meet another's: as the smaller of a pair, and as the larger."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(id, component, s) -> band (a shingle), id, component, first: the member's rarest shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bands, sizes, first = [np.zeros(0, np.int64)], [], []
+            for s in b.column(2):
+                x = np.array(s.values)
+                small, large = prefix_lengths(len(x), percent)
+                bands.append(x[np.lexsort((x, counts[slot_of(x)]))[:large]])
+                sizes.append(large)
+                first.append(np.arange(large) < small)
+            of = np.repeat(np.arange(b.num_rows), sizes)
+            marked = np.concatenate(first) if first else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands)), b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(marked)], ["band", "id", "component", "first"])
+
+    return sets.select("id", "component", "s").mapInArrow(run, "band long, id long, component long, first boolean")
+
+
 def block_sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The rows of the two blocks of a task."""
     kind, i, j = (t.column(c)[0].as_py() for c in TASK[1:])
@@ -202,6 +263,8 @@ def open_pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         open_ &= left[:, None] < right[None, :]
     x, y = np.nonzero(open_)
     distance, x, y = apart[x, y], left[x], right[y]
+    if not band.size:  # buckets of a prefix filter: a pair may be seen in several
+        return distance, x, y
     first = [(band[p] == band[q]).argmax(axis=1) for p, q in zip(np.array_split(x, len(x) // 65536 + 1), np.array_split(y, len(y) // 65536 + 1))]
     here = band[x, np.concatenate(first)] == this
     return distance[here], x[here], y[here]
@@ -244,6 +307,28 @@ def block_links(members: DataFrame, marks: DataFrame, sets: DataFrame, percent:
     return kept.join(sets, "id").groupBy(*TASK).applyInArrow(link, "a long, b long")
 
 
+def small_links(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside small buckets: all pairs of different components that the sketches leave open. With a column `first`, a pair
+    needs a row so marked."""
+    rows = members.join(sketches, "id")
+    marked = "first" in members.columns
+    x, y = (rows.select("band", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("sketch").alias(f"_{i}"), *[F.col("first").alias(f"f{i}")] * marked) for i in "ab")
+    near = x.join(y, (x["band"] == y["band"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("fa") | F.col("fb") if marked else F.lit(True)) & (differing(F.col("_a"), F.col("_b")) <= SCREEN))
+    return confirmed(near.select("a", "b").distinct(), sets, percent)
+
+
+def prefix_links(members: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between members (id, component) of different components, by buckets of a prefix filter in place of bands."""
+    own = stash(members.join(sets, "id"), "nd-crowded-sets")
+    rows = prefixes(own, slot_counts(own), percent)
+    split = F.col("first") & (F.col("_a") != F.col("_z"))
+    groups = rows.groupBy("band").agg(F.count("*").alias("n"), F.max("first").alias("first"), F.min("component").alias("_a"), F.max("component").alias("_z")).where((F.col("n") > 1) & split)
+    rest = stash(rows.join(groups.select("band", "n"), "band"), "nd-prefixes")
+    bare = marks.select("id", "sketch", F.array().cast("array<bigint>").alias("bands"))
+    found = small_links(rest.where(F.col("n") <= SMALL).drop("n"), marks.select("id", "sketch"), sets, percent)
+    return found.unionByName(block_links(rest.where(F.col("n") > SMALL).drop("n"), bare, sets, percent))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
     profiles = stash(profile(docs, words), "nd-profiles")
@@ -270,12 +355,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS) -> D
     joined = members.drop("hub").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = joined.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_z")).where("_a <> _z").select("band")
     rest = stash(joined.join(split, "band", "left_semi"), "nd-rest")
-    small = rest.where(F.col("n") <= SMALL).join(sketches, "id")
-    x, y = (small.select("band", F.col("id").alias(i), F.col("component").alias(f"c{i}"), F.col("sketch").alias(f"_{i}")) for i in "ab")
-    near = x.join(y, (x["band"] == y["band"]) & (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (differing(F.col("_a"), F.col("_b")) <= SCREEN))
-    more = confirmed(near.select("a", "b").distinct(), sets, percent)
+    more = small_links(rest.where(F.col("n") <= SMALL).select("band", "id", "component"), sketches, sets, percent)
     large = rest.where(F.col("n") > SMALL).select("band", "id", "component")
-    more = stash(more.unionByName(block_links(large, marks.dropDuplicates(["id"]), sets.dropDuplicates(["id"]), percent)), "nd-more")
+    one_set, one_mark = sets.dropDuplicates(["id"]), marks.dropDuplicates(["id"])
+    crowded = stash(largest_components(large).where(F.col("_all") - F.col("_n") > CROWD).select("band"), "nd-crowded")
+    if crowded.take(1):
+        more = more.unionByName(prefix_links(large.join(crowded, "band", "left_semi").select("id", "component").distinct(), one_mark, one_set, percent))
+        large = large.join(crowded, "band", "left_anti")
+    more = stash(more.unionByName(block_links(large, one_mark, one_set, percent)), "nd-more")
     final = components(links.unionByName(more)) if more.take(1) else found
     named = nodes.join(final, nodes["node"] == final["id"], "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     out = profiles.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
