@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 from math import e
 
@@ -32,24 +33,40 @@ def test_sets(spark, splits: int, k: int) -> DataFrame:
     return spark.createDataFrame(rows, "split_id long, block long")
 
 
+def cpcv_intervals(returns: DataFrame, splits: int = 6, k: int = 2, purge: int = 5, embargo: int = 5) -> DataFrame:
+    """strategy_id, split_id, block, role, first_idx, end_idx: the rows idx from first_idx up to, not with, end_idx have one role in
+    the split: test, purged, embargoed or train, the first that applies. An interval lies in one block. Some splits x blocks rows
+    for each strategy, whatever its length; idx counts from 0 without gaps."""
+    sizes = returns.groupBy("strategy_id").agg(F.count("*").alias("n"))
+    sets = json.dumps([{"split_id": s, "tests": c} for s, c in enumerate(combinations(range(splits), k))])
+    chosen = F.explode(F.from_json(F.lit(sets), "array<struct<split_id:bigint,tests:array<int>>>"))
+    rows = sizes.withColumn("_c", chosen).select("strategy_id", "n", "_c.split_id", "_c.tests")
+    size, n = F.floor(F.col("n") / splits), F.col("n")
+    # with fewer rows than blocks, every block but the last is empty at 0
+    first = lambda b: F.when(size == 0, F.lit(0)).otherwise(b * size).cast("long")
+    last = lambda b: F.when(b == splits - 1, n).when(size == 0, F.lit(0)).otherwise((b + 1) * size).cast("long")
+    every = F.sequence(F.lit(0), F.lit(splits - 1))
+    cuts = F.concat(F.transform(every, first), F.array(n), *[F.transform("tests", at) for at in (last, lambda b: first(b) - purge, lambda b: last(b) + embargo)])
+    rows = rows.withColumn("_p", F.array_sort(F.array_distinct(F.filter(cuts, lambda x: (x >= 0) & (x <= n)))))
+    pairs = F.transform(F.slice("_p", 1, F.size("_p") - 1), lambda x, i: F.struct(x.alias("first_idx"), F.get("_p", i + 1).alias("end_idx")))
+    rows = rows.withColumn("_i", F.explode(pairs)).select("strategy_id", "split_id", "n", "tests", "_i.*")
+    i = F.col("first_idx")
+    within = lambda start, end: F.exists("tests", lambda b: (i >= start(b)) & (i < end(b)))
+    role = F.when(within(first, last), "test").when(within(lambda b: first(b) - purge, first), "purged").when(within(last, lambda b: last(b) + embargo), "embargoed").otherwise("train")
+    return rows.select("strategy_id", "split_id", block_of(i, n, splits).alias("block"), role.alias("role"), "first_idx", "end_idx")
+
+
+def with_roles(returns: DataFrame, intervals: DataFrame, splits: int = 6) -> DataFrame:
+    """The rows of returns, once for each split of the intervals (filter them by split or role first for what is needed): an
+    equal join on strategy and block, then the interval inside it."""
+    inside = (F.col("idx") >= F.col("first_idx")) & (F.col("idx") < F.col("end_idx"))
+    return cpcv_blocks(returns, splits).join(intervals, ["strategy_id", "block"]).where(inside).drop("first_idx", "end_idx")
+
+
 def cpcv_splits(returns: DataFrame, splits: int = 6, k: int = 2, purge: int = 5, embargo: int = 5) -> DataFrame:
     """role of each row in each split: test, purged, embargoed or train. C(splits, k) rows per row, so only for
-    callers that need roles; path Sharpe ratios come from block moments."""
-    blocked = cpcv_blocks(returns, splits)
-    size = F.floor(F.col("n") / splits)
-    sets = [(s, list(c)) for s, c in enumerate(combinations(range(splits), k))]
-    chosen = returns.sparkSession.createDataFrame(sets, "split_id long, tests array<int>")
-    rows = blocked.crossJoin(F.broadcast(chosen))  # C(splits, k) rows, fixed by the parameters
-    start = lambda b: F.when(size > 0, b * size).otherwise(0)
-    end = lambda b: F.when(size == 0, 0 if splits > 1 else F.col("n")).when(b == splits - 1, F.col("n")).otherwise((b + 1) * size)
-    # with fewer rows than blocks, every block but the last is empty at 0
-    first = lambda b: F.when((size == 0) & (b == splits - 1), 0).otherwise(start(b))
-    last = lambda b: F.when((size == 0) & (b == splits - 1), F.col("n")).otherwise(end(b))
-    i = F.col("idx")
-    test = F.exists("tests", lambda b: (i >= first(b)) & (i < last(b)))
-    purged = F.exists("tests", lambda b: (i >= first(b) - purge) & (i < first(b)))
-    held = F.exists("tests", lambda b: (i >= last(b)) & (i < last(b) + embargo))
-    return rows.withColumn("role", F.when(test, "test").when(purged, "purged").when(held, "embargoed").otherwise("train")).drop("tests")
+    callers that need roles of all; path Sharpe ratios come from block moments, sizes and bounds from cpcv_intervals()."""
+    return with_roles(returns, cpcv_intervals(returns, splits, k, purge, embargo), splits)
 
 
 def cpcv_path_sharpe(returns: DataFrame, splits: int = 6, k: int = 2) -> DataFrame:

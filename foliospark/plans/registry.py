@@ -14,6 +14,7 @@ from foliospark.functions.scratch import new_path, stash
 from foliospark.operators import allocation, attribution, execution, ledger, regime_model, replay, signals, validation
 from foliospark.sources import feeds
 from foliospark.sources.views import VIEWS, view, with_views
+from foliospark.streaming import keyed
 from foliospark.streaming import state as streams
 
 CASH = 1_000_000.0
@@ -423,16 +424,26 @@ def cpcv_blocks(s, d):
     return validation.cpcv_blocks(view(s, d, "strategy_returns")).select("strategy_id", "idx", "block")
 
 
-@query(f"""WITH {BLOCKS}, {COMBOS}, bd AS (SELECT strategy_id, block, min(idx) AS s, max(idx) + 1 AS e FROM bl GROUP BY 1, 2),
+ROLES = f"""WITH {BLOCKS}, {COMBOS}, bd AS (SELECT strategy_id, block, min(idx) AS s, max(idx) + 1 AS e FROM bl GROUP BY 1, 2),
 m AS (SELECT bl.strategy_id, cb.split_id, idx, CASE WHEN bl.block IN (a, b) THEN 'test' WHEN (idx >= x.s - 5 AND idx < x.s) OR (idx >= y.s - 5 AND idx < y.s) THEN 'purged'
   WHEN (idx >= x.e AND idx < x.e + 5) OR (idx >= y.e AND idx < y.e + 5) THEN 'embargoed' ELSE 'train' END AS role
   FROM bl CROSS JOIN cb LEFT JOIN bd x ON x.strategy_id = bl.strategy_id AND x.block = a LEFT JOIN bd y ON y.strategy_id = bl.strategy_id AND y.block = b)
-SELECT strategy_id, split_id, role, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM m GROUP BY 1, 2, 3""")
+SELECT strategy_id, split_id, role, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx FROM m GROUP BY 1, 2, 3"""
+
+
+@query(ROLES)
 def cpcv_splits(s, d):
     x = validation.cpcv_splits(view(s, d, "strategy_returns"))
     return x.groupBy("strategy_id", "split_id", "role").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
+@query(ROLES)
+def cpcv_intervals(s, d):
+    """The same from the intervals alone: no row of returns is copied for a split."""
+    x = validation.cpcv_intervals(view(s, d, "strategy_returns"))
+    return x.groupBy("strategy_id", "split_id", "role").agg(F.sum(F.col("end_idx") - F.col("first_idx")).alias("n"), F.min("first_idx").alias("first_idx"), (F.max("end_idx") - 1).alias("last_idx"))
+
+
 PATHS = f"{BLOCKS}, {COMBOS}, pa AS (SELECT strategy_id, split_id, CASE WHEN stddev_samp(ret) > 1e-6 THEN avg(ret) / stddev_samp(ret) * sqrt(365) ELSE 0 END AS sharpe FROM bl JOIN cb ON block IN (a, b) GROUP BY 1, 2 HAVING count(*) > 5)"
 
 
@@ -628,7 +639,7 @@ def regime_model_scores(s, d):
 QUERIES["regime_model"] = QUERIES.pop("regime_model_scores")
 
 
-def streamed(s, d, make, key: str) -> DataFrame:
+def streamed(s, d, make, keys: list[str]) -> DataFrame:
     """Runs a stream over the event log to its end, a file at a time, and returns the last state of each key."""
     place = new_path(s, "stream")
     schema = s.read.parquet(f"{d}/events.parquet").schema
@@ -640,20 +651,30 @@ def streamed(s, d, make, key: str) -> DataFrame:
 
     make(log).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
     out = s.read.parquet(f"{place}/out")
-    rest = [c for c in out.columns if c not in (key, "_batch")]
-    return out.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("x")).select(key, "x.*")
+    rest = [c for c in out.columns if c not in (*keys, "_batch")]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("x")).select(*keys, "x.*")
 
 
 @query(f"WITH {LEDGER} SELECT portfolio_id, round(arg_max(cash, struct_pack(ts := ts, e := event_id)), 6) AS cash, round(arg_max(equity, struct_pack(ts := ts, e := event_id)), 6) AS equity, count(*) AS n_events FROM st GROUP BY 1")
 def stream_portfolio_state(s, d):
-    x = streamed(s, d, lambda log: streams.stream_portfolio_state(log, CASH), "portfolio_id")
+    x = streamed(s, d, lambda log: streams.stream_portfolio_state(log, CASH), ["portfolio_id"])
     return x.select("portfolio_id", F.round("cash", 6).alias("cash"), F.round("equity", 6).alias("equity"), "n_events")
 
 
+@query(f"""WITH {FINAL}, tt AS (SELECT portfolio_id, round(arg_max(cash, struct_pack(ts := ts, e := event_id)), 6) AS cash, round(arg_max(equity, struct_pack(ts := ts, e := event_id)), 6) AS equity, count(*) AS n_events FROM st GROUP BY 1)
+SELECT portfolio_id, symbol, round(units, 6) AS units, round(price, 6) AS price, round(ay, 6) AS accrued_yield, cash, equity, n_events FROM ps JOIN tt USING (portfolio_id)""")
+def stream_positions(s, d):
+    """Positions and totals of a stream with a state row for each symbol of a portfolio."""
+    with keyed.keyed_state(s):
+        x = streamed(s, d, lambda log: keyed.stream_positions(log, CASH), ["portfolio_id", "symbol"])
+    totals = x.where("symbol IS NULL").select("portfolio_id", "cash", "equity", "n_events")
+    return r6("units", "price", "accrued_yield", "cash", "equity", df=x.where("symbol IS NOT NULL").select("portfolio_id", "symbol", "units", "price", "accrued_yield").join(totals, "portfolio_id"))
+
+
 @query("""WITH t AS (SELECT *, price / lag(price) OVER w - 1 AS r, row_number() OVER w AS n FROM ledger WHERE event_type = 'MARKET_TICK' WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id)),
 v AS (SELECT symbol, ts, event_id, price, CASE WHEN n > 5 THEN stddev_samp(r) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN 28 PRECEDING AND CURRENT ROW) * sqrt(365) ELSE CAST(0.3 AS DOUBLE) END AS vol FROM t),
 a AS (SELECT symbol, arg_max(price, struct_pack(t := ts, e := event_id)) AS p, arg_max(vol, struct_pack(t := ts, e := event_id)) AS v, count(*) AS n FROM v GROUP BY 1),
 c AS (SELECT symbol, arg_max(spot_cvd, struct_pack(t := ts, e := event_id)) AS sc, arg_max(perp_cvd, struct_pack(t := ts, e := event_id)) AS pc FROM ledger WHERE event_type = 'DERIVATIVES_METRICS' GROUP BY 1)
 SELECT symbol, round(p, 6) AS latest_price, round(sc, 6) AS spot_cvd, round(pc, 6) AS perp_cvd, round(v, 6) AS realized_vol, coalesce(n, 0) AS n_prices FROM a FULL JOIN c USING (symbol)""")
 def stream_market_cache(s, d):
-    return r6("latest_price", "spot_cvd", "perp_cvd", "realized_vol", df=streamed(s, d, streams.stream_market_cache, "symbol"))
+    return r6("latest_price", "spot_cvd", "perp_cvd", "realized_vol", df=streamed(s, d, streams.stream_market_cache, ["symbol"]))
