@@ -6,13 +6,14 @@ Accumulated doubles are rounded to six decimals on both sides, arrays are joined
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.scratch import new_path, stash
 from foliospark.operators import allocation, attribution, execution, ledger, regime_model, replay, signals, validation
-from foliospark.sources import feeds
+from foliospark.sources import eventlog, feeds
 from foliospark.sources.views import VIEWS, view, with_views
 from foliospark.streaming import keyed
 from foliospark.streaming import state as streams
@@ -62,6 +63,17 @@ def event_log(s, d):
     return feeds.checked(view(s, d, "ledger")).select("portfolio_id", "event_id", "event_type", "symbol", "side", "units", F.col("valid").cast("long").alias("valid"))
 
 
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(price), 4) AS prices FROM ledger WHERE event_type IN ('MARKET_TICK', 'ORDER_EXECUTED') AND CAST(ts AS DATE) >= DATE '2024-01-05' GROUP BY 1, 2")
+def event_log_days(s, d):
+    """Ticks and orders from a day on, out of a log written in three batches, one of them twice."""
+    log, name = view(s, d, "ledger"), f"event_log_{uuid.uuid4().hex}"
+    eventlog.open_log(s, name, new_path(s, "event-log"), log)
+    for k in (0, 1, 2, 1):
+        eventlog.append_batch(log.where(F.col("event_id") % 3 == k), name, k)
+    rows = eventlog.read_log(s, name, ["MARKET_TICK", "ORDER_EXECUTED"], first=dt.date(2024, 1, 5))
+    return rows.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("price"), 4).alias("prices"))
+
+
 @query("""WITH m AS (SELECT book_id, (max(price) FILTER (side = 'BID') + min(price) FILTER (side = 'ASK')) / 2 AS mid FROM book_levels GROUP BY 1)
 SELECT m.book_id, coalesce(sum(size) FILTER (side = 'BID' AND price >= mid * CAST(0.98 AS DOUBLE)), 0) AS depth_2pct_bid, coalesce(sum(size) FILTER (side = 'ASK' AND price <= mid * CAST(1.02 AS DOUBLE)), 0) AS depth_2pct_ask
 FROM m JOIN book_levels b ON m.book_id = b.book_id GROUP BY 1""")
