@@ -33,6 +33,8 @@ from foliospark.llm.common import new_path, read, stash
 BLOCK_LINES = 256
 #: Ranges of the upper level at most, whatever the input: beyond, archives grow.
 MAX_RANGES = 65_536
+#: Pages of a range: what a task searches or merges at once follows it, not the number of shuffle partitions.
+RANGE_ROWS = 131_072
 #: Wanted keys sent to a block at once.
 KEYS = 1024
 NULL_ID = 1 << 127
@@ -87,8 +89,9 @@ def lines_key(url: Column) -> Column:
 
 
 def ranges(keyed: DataFrame, most: int = MAX_RANGES) -> list[tuple[str, int]]:
-    """First (key, page_id) of each range, in order: bounded, found by range-partitioning the keys alone."""
-    n = min(most, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """First (key, page_id) of each range, in order: bounded, found by range-partitioning the keys alone. A range holds some
+    `RANGE_ROWS` pages, fewer where there are fewer pages than that for each shuffle partition."""
+    n = min(most, max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keyed.count() // RANGE_ROWS)))
     dealt = keyed.select("key", F.coalesce("page_id", F.lit(-(1 << 63))).alias("i")).repartitionByRange(n, "key", "i")
     return sorted(map(tuple, dealt.groupBy(F.spark_partition_id()).agg(F.min(F.struct("key", "i")).alias("s")).select("s.*").collect()))
 
