@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -124,6 +125,39 @@ def gram_covariance(vectors: DataFrame, n_assets: int) -> DataFrame:
     return total.select("grp", "i", "j", F.when(F.col("n") > 1, (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
 
 
+def tiled_covariance(vectors: DataFrame, n_assets: int, tile: int = 512, chunk: int = 4096) -> DataFrame:
+    """The same for universes whose N^2 products no task should hold: (grp, obs, x array) -> grp, i, j, cov, i <= j.
+
+    Assets are cut into tiles and a group's observations into chunks; a task multiplies two tiles of one chunk, so it holds
+    2 x chunk x tile values and tile^2 products, whatever the number of assets and observations. A vector travels once for each
+    tile. Sums are of differences from one vector of the group. Vectors that are NULL, of another length or hold a NULL raise."""
+    tiles = -(-n_assets // tile)
+    parts = F.pmod(F.xxhash64("obs"), F.ceil(F.col("_n") / chunk))
+    groups = vectors.groupBy(F.col("grp").alias("_g")).agg(F.count("*").alias("_n"), F.min_by("x", "obs").alias("_from"))
+    rows = vectors.join(groups, F.col("grp").eqNullSafe(F.col("_g"))).withColumn("_c", parts)
+    whole = (F.size("x") == n_assets) & ~F.exists("x", lambda v: v.isNull())
+    centred = F.when(whole, F.zip_with("x", "_from", lambda a, b: a.cast("double") - b.cast("double"))).otherwise(F.raise_error(F.lit("a vector is NULL, incomplete or of another length")))
+    piece = lambda t: F.slice("_x", t * tile + 1, F.lit(tile))
+    pairs = lambda t: F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda u: F.struct(F.least(t, u).alias("a"), F.greatest(t, u).alias("b"), t.alias("own"), piece(t).alias("seg")))
+    sent = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), pairs))
+    dealt = rows.withColumn("_x", centred).select("grp", "_c", "obs", F.explode(sent).alias("s")).select("grp", "_c", "obs", "s.*")
+
+    def multiply(t: pa.Table) -> pa.Table:
+        t = t.sort_by("obs")
+        a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+        own = t.column("own").to_numpy()
+        side = lambda k: (lambda s: np.array(s.values).reshape(len(s), -1))(t.filter(pa.array(own == k)).column("seg").combine_chunks())
+        x = side(a)
+        y = x if a == b else side(b)
+        i, j = np.triu_indices(x.shape[1]) if a == b else (k.ravel() for k in np.indices((x.shape[1], y.shape[1])))
+        out = {"i": i + a * tile, "j": j + b * tile, "xy": (x.T @ y)[i, j], "x": x.sum(0)[i], "y": y.sum(0)[j], "n": np.full(len(i), len(x))}
+        return pa.table({"grp": pa.array([t.column("grp")[0].as_py()] * len(i), pa.int64()), **{k: pa.array(v) for k, v in out.items()}})
+
+    made = dealt.groupBy("grp", "_c", "a", "b").applyInArrow(multiply, "grp long, i long, j long, xy double, x double, y double, n long")
+    total = made.groupBy("grp", "i", "j").agg(*[F.sum(c).alias(c) for c in ("xy", "x", "y", "n")])
+    return total.select("grp", "i", "j", F.when(F.col("n") > 1, (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
+
+
 def both_ways(cov: DataFrame) -> DataFrame:
     return cov.unionByName(cov.where("i < j").select("grp", F.col("j").alias("i"), F.col("i").alias("j"), "cov"))
 

@@ -67,7 +67,7 @@ def event_log(s, d):
 def event_log_days(s, d):
     """Ticks and orders from a day on, out of a log written in three batches, one of them twice."""
     log, name = view(s, d, "ledger"), f"event_log_{uuid.uuid4().hex}"
-    eventlog.open_log(s, name, new_path(s, "event-log"), log)
+    eventlog.open_log(s, name, new_path(s, "event-log"), log, buckets=2)
     for k in (0, 1, 2, 1):
         eventlog.append_batch(log.where(F.col("event_id") % 3 == k), name, k)
     rows = eventlog.read_log(s, name, ["MARKET_TICK", "ORDER_EXECUTED"], first=dt.date(2024, 1, 5))
@@ -340,6 +340,16 @@ def rolling_covariance(s, d):
     return allocation.rolling_covariance(returns, 90, 30).select("as_of", "i", "j", "n", F.round(F.col("cov") * 1_000_000, 4).alias("cov_ppm"))
 
 
+@query("""WITH e AS (SELECT label AS grp, vec_id AS obs, generate_subscripts(embedding, 1) - 1 AS asset, CAST(unnest(embedding) AS DOUBLE) AS ret FROM embeddings)
+SELECT CAST(a.grp AS BIGINT) AS grp, CAST(a.asset AS BIGINT) AS i, CAST(b.asset AS BIGINT) AS j, round(covar_samp(a.ret, b.ret) / 3, 6) + CAST(0 AS DOUBLE) AS third FROM e a JOIN e b ON a.grp = b.grp AND a.obs = b.obs AND a.asset <= b.asset GROUP BY 1, 2, 3""")
+def tiled_covariance(s, d):
+    """A third of the covariances of all 64 elements of the vectors, by tiles of 16: the elements have few digits, so that whole
+    covariances would lie on the border of two roundings."""
+    vectors = s.read.parquet(f"{d}/embeddings.parquet").selectExpr("CAST(label AS BIGINT) AS grp", "vec_id AS obs", "embedding AS x")
+    x = allocation.tiled_covariance(vectors, 64, tile=16, chunk=256)
+    return x.select("grp", "i", "j", (F.round(F.col("cov") / 3, 6) + 0.0).alias("third"))  # no negative zeros
+
+
 def tenths(s, d):
     return view(s, d, "asset_vectors").select("grp", "asset").distinct().withColumn("weight", (F.col("asset") + 1) / 10)
 
@@ -547,12 +557,12 @@ def instants_of(s, d) -> list:
 q AS (SELECT p.portfolio_id, p.symbol, inst, epoch_us(inst)::HUGEINT * 1000000000 + 999999999 AS k FROM (SELECT DISTINCT portfolio_id, symbol FROM ledger) p, ins),
 z AS (SELECT q.portfolio_id, q.symbol, inst AS as_of, vk.has, vk.pu, vk.pp, vk.ay, sk.cash, sk.equity, mk.equity AS marked FROM q ASOF JOIN vk ON q.portfolio_id = vk.portfolio_id AND q.symbol = vk.symbol AND q.k >= vk.k
   ASOF JOIN sk ON q.portfolio_id = sk.portfolio_id AND q.k >= sk.k ASOF LEFT JOIN mk ON q.portfolio_id = mk.portfolio_id AND q.k >= mk.k)
-SELECT portfolio_id, symbol, CAST(epoch_us(as_of) AS BIGINT) AS as_of_us, round(pu, 6) AS units, round(pp, 6) AS price, round(ay, 6) AS accrued_yield, round(cash, 4) AS cash, round(equity, 4) AS equity, round(CASE WHEN marked > 0 THEN pu * pp / marked ELSE 0 END, 8) AS weight FROM z WHERE has = 1""")
+SELECT portfolio_id, symbol, CAST(epoch_us(as_of) AS BIGINT) AS as_of_us, round(pu, 6) AS units, round(pp, 6) AS price, round(ay, 6) AS accrued_yield, round(cash, 6) AS cash, round(equity, 6) AS equity, round(CASE WHEN marked > 0 THEN pu * pp / marked ELSE 0 END, 8) AS weight FROM z WHERE has = 1""")
 def states_at_instants(s, d):
     """Positions and weights of every portfolio at a hundred instants, from one pass over the log."""
-    x = r6("units", "price", "accrued_yield", df=ledger.states_at(view(s, d, "ledger"), CASH, instants_of(s, d)))
+    x = r6("units", "price", "accrued_yield", "cash", "equity", df=ledger.states_at(view(s, d, "ledger"), CASH, instants_of(s, d)))
     at = F.unix_micros(F.col("as_of").cast("timestamp")).alias("as_of_us")
-    return x.select("portfolio_id", "symbol", at, "units", "price", "accrued_yield", F.round("cash", 4).alias("cash"), F.round("equity", 4).alias("equity"), F.round("weight", 8).alias("weight"))
+    return x.select("portfolio_id", "symbol", at, "units", "price", "accrued_yield", "cash", "equity", F.round("weight", 8).alias("weight"))
 
 
 @query(f"WITH {FINAL} SELECT portfolio_id, symbol, round(units, 6) AS units, round(price, 6) AS price, round(ay, 6) AS accrued_yield, round(notional, 4) AS notional, round(CASE WHEN marked > 0 THEN notional / marked ELSE 0 END, 8) AS weight FROM ps")

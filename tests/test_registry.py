@@ -22,7 +22,7 @@ asset_universe pnl_attribution onchain_metrics altcoin_season_index effective_co
 regime_adjusted_weights returns_covariance risk_contributions trial_sharpe_star trial_sharpe_star_value deflated_sharpe deflated_sharpe_score deflated_gate path_pbo backtest_summary position_ledger
 portfolio_state portfolio_state_from_start position_weights state_at state_at_from_start realized_vol_30 daily_equity daily_returns drawdown cpcv_blocks cpcv_splits cpcv_path_sharpe risk_parity_weights
 risk_parity_pairs strategy_replay strategy_replay_idle regime_model stream_portfolio_state stream_market_cache
-states_at_instants state_from_snapshot asof_trades_quotes asof_derivatives_ticks rolling_covariance cpcv_intervals stream_positions event_log_days""".split()
+states_at_instants state_from_snapshot asof_trades_quotes asof_derivatives_ticks rolling_covariance cpcv_intervals stream_positions event_log_days tiled_covariance""".split()
 
 
 def test_all_keys_of_the_inventory_are_there():

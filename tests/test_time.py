@@ -189,3 +189,37 @@ def test_rolling_rows_follow_pairs_not_windows(spark):
     """The sums table has a row for each bucket and pair; the join meets each observation once."""
     df = spark.createDataFrame([(0, d, a, float(d * a)) for d in range(60) for a in range(3)], "grp int, obs int, asset int, ret double")
     assert allocation.rolling_covariance(df, 30, 2).count() == 30 * 6
+
+
+# ---- wide universes
+
+
+@pytest.mark.parametrize("n,tile,chunk,obs", [(37, 8, 10, 60), (8, 8, 1000, 20), (5, 16, 3, 9), (1, 4, 4, 6)])
+def test_tiles_equal_numpy(spark, n, tile, chunk, obs):
+    r = np.random.default_rng(n)
+    x = {g: r.normal(1000.0, 1.0, (obs, n)) for g in (0, 1)}
+    rows = [(g, t, x[g][t].tolist()) for g in x for t in range(obs)]
+    got = {(k.grp, k.i, k.j): k["cov"] for k in allocation.tiled_covariance(spark.createDataFrame(rows, "grp long, obs long, x array<double>").repartition(3), n, tile, chunk).collect()}
+    assert len(got) == 2 * n * (n + 1) // 2
+    for g in x:
+        want = np.atleast_2d(np.cov(x[g].T))
+        for i in range(n):
+            for j in range(i, n):
+                assert got[g, i, j] == pytest.approx(want[i, j], abs=1e-10)
+
+
+def test_5000_assets_by_tiles(spark):
+    n, tile = 5000, 1250
+    rows = spark.range(12).select(F.lit(1).cast("long").alias("grp"), F.col("id").alias("obs"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.sin(F.col("id") * 7919 + k * k)).alias("x"))
+    out = allocation.tiled_covariance(rows, n, tile, chunk=4096)
+    plain = {k.i: k["cov"] for k in out.where("i = j AND i % 500 = 0").collect()}
+    x = np.sin(np.arange(12)[:, None] * 7919.0 + np.arange(n)[None, :].astype(float) ** 2)
+    assert plain == {i: pytest.approx(x[:, i].var(ddof=1)) for i in range(0, n, 500)}
+
+
+def test_incomplete_vectors_raise(spark):
+    for bad in ([1.0], [1.0, None], None):
+        rows = spark.createDataFrame([(1, 1, [1.0, 2.0]), (1, 2, bad)], "grp long, obs long, x array<double>")
+        with pytest.raises(Exception, match="incomplete"):
+            allocation.tiled_covariance(rows, 2).collect()
+    assert allocation.tiled_covariance(spark.createDataFrame([], "grp long, obs long, x array<double>"), 2).count() == 0
