@@ -32,7 +32,7 @@ from foliospark.llm.common import read
 
 SPACE, LETTERS = "▁", "A-Za-zªºÀ-ÖØ-öø-ʯḀ-ỿ"
 #: Runs that a worker remembers at most, twice, and the length of a run that is remembered.
-RUNS, SHORT = 300_000, 48
+RUNS, SHORT = 200_000, 48
 NONE = float("-inf")
 
 
