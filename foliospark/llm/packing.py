@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -35,8 +37,10 @@ from foliospark.llm.common import read, stash
 WINDOW, END = 1024, 0
 #: Documents of a shard, ids of a lexical key, parts at most (beyond, parts hold more shards), tokens of a shard.
 SHARD, DRAWN, MAX_PARTS, SHARD_TOKENS = 2048, 3, 65_536, 4_000_000
-#: Of the draws of a document, so many smallest are looked at first.
-FEW = 48
+#: Documents and bytes of ids (but for a single document) that keys are drawn for together.
+TOGETHER, TOGETHER_BYTES = 128, 4_000_000
+#: The pattern without its lookahead, which only chooses where white space meets white space: no backtracking.
+PLAIN, ADJACENT = public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", ""), re.compile(r"\s\s")
 
 
 def added_tokens(path: str) -> dict[str, int]:
@@ -45,23 +49,37 @@ def added_tokens(path: str) -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
 
-def encoder(path: str, added: dict[str, int]) -> tiktoken.Encoding:
+class Encoder:
     """The byte-level BPE of a .tiktoken file. Its ids are those of the .json file of the same vocabulary; it
-    encodes some five times as fast."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    encodes some five times as fast. Texts without adjacent white space are split by the plain pattern."""
+
+    def __init__(self, path: str, added: dict[str, int]):
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.full, self.plain = (
+            tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added) for pattern in (public_tokenizers.PATTERN, PLAIN)
+        )
+        self.allowed = set(added)
+
+    def encode(self, text: str) -> np.ndarray:
+        return (self.full if ADJACENT.search(text) else self.plain).encode_to_numpy(text, allowed_special=self.allowed)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, added: tuple[tuple[str, int], ...]) -> Encoder:
+    """One vocabulary a worker process."""
+    return Encoder(path, dict(added))
 
 
 def tokenize(docs: DataFrame, vocabulary: str | None = None, added: str | None = None) -> DataFrame:
     """(doc_id, text) -> doc_id, ids: 16-bit little-endian ids, the end id last."""
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    special = added_tokens(added or public_tokenizers.path("byte_bpe_50k.json"))
+    special = tuple(added_tokens(added or public_tokenizers.path("byte_bpe_50k.json")).items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, allowed = encoder(path, special), set(special)
+        e = encoder(path, special)
         for b in batches:
-            ids = [np.append(e.encode_to_numpy(t.as_py() or "", allowed_special=allowed), END).astype("<u2").tobytes() for t in b.column(1)]
+            ids = [np.append(e.encode(t.as_py() or ""), END).astype("<u2").tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
@@ -76,9 +94,7 @@ def frequencies(tokens: DataFrame) -> tuple[np.ndarray, float, int]:
         for b in batches:
             for ids in b.column(0):
                 x = np.frombuffer(ids.as_py(), "<u2")
-                seen = np.zeros(1 << 16, bool)
-                seen[x] = True
-                df += seen
+                df[x] += 1  # once for each id, however often x holds it
                 n += 1
                 length += len(x)
         at = np.flatnonzero(df)
@@ -171,15 +187,35 @@ def chain(docs: list[np.ndarray], idf: np.ndarray, mean: float) -> list[int]:
 KEY = [*(f"k{i}" for i in range(DRAWN)), "node", "id"]
 
 
-def lexical_key(ids: np.ndarray, raw: bytes, doc_id: int | None, draws: np.ndarray) -> tuple[int, ...]:
-    """The ids drawn first, a hash of all ids and the document's: an order of the whole corpus."""
-    d = draws[ids]
-    x = np.unique(ids[np.argpartition(d, FEW)[:FEW]]) if len(ids) > FEW else np.unique(ids)
-    if len(x) < DRAWN and len(ids) > FEW:  # one id repeats
-        x = np.unique(ids)
-    drawn = x[np.argsort(draws[x], kind="stable")[:DRAWN]].tolist()
-    node = int(np.uint64(xxhash.xxh3_64_intdigest(raw)).view(np.int64))
-    return (*drawn, *[0] * (DRAWN - len(drawn)), node, -(1 << 63) if doc_id is None else doc_id)
+def together(ids: pa.Array) -> Iterator[list[bytes]]:
+    group, held = [], 0
+    for x in ids:
+        raw = x.as_py()
+        if group and (len(group) == TOGETHER or held + len(raw) > TOGETHER_BYTES):
+            yield group
+            group, held = [], 0
+        group.append(raw)
+        held += len(raw)
+    if group:
+        yield group
+
+
+def lexical_keys(ids: pa.Array, doc_ids: list[int | None], draws: np.ndarray) -> list[tuple[int, ...]]:
+    """Of each document the ids drawn first, a hash of all ids and the document's: an order of the whole corpus."""
+    by_draw = np.argsort(draws, kind="stable")
+    rank = np.empty(1 << 16, np.int32)
+    rank[by_draw] = np.arange(1 << 16)
+    by_draw = np.append(by_draw, 0)  # of fewer different ids than are drawn, the rest is 0
+    drawn: list[tuple[int, ...]] = []
+    for group in together(ids):
+        sizes = np.array([len(raw) // 2 for raw in group])
+        left, starts, least = rank[np.frombuffer(b"".join(group), "<u2")], np.cumsum(sizes) - sizes, []
+        for _ in range(DRAWN):
+            least.append(np.minimum.reduceat(left, starts))
+            left[left == np.repeat(least[-1], sizes)] = 1 << 16
+        nodes = np.array([xxhash.xxh3_64_intdigest(raw) for raw in group], np.uint64).view(np.int64)
+        drawn += zip(*(by_draw[x].tolist() for x in least), nodes.tolist())
+    return [(*d, -(1 << 63) if i is None else i) for d, i in zip(drawn, doc_ids, strict=True)]
 
 
 def lexical_draws(idf: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -193,7 +229,7 @@ def part_bounds(tokens: DataFrame, draws: np.ndarray) -> list[tuple[int, ...]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [lexical_key(np.frombuffer(x.as_py(), "<u2"), x.as_py(), i, draws) for i, x in zip(b.column(0).to_pylist(), b.column(1))]
+            keys = lexical_keys(b.column(1), b.column(0).to_pylist(), draws)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keys)] if keys else [pa.array([], pa.int64())] * len(KEY), KEY)
 
     spark = tokens.sparkSession
@@ -218,8 +254,8 @@ def placed(tokens: DataFrame, draws: np.ndarray, bounds: list[tuple[int, ...]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [x.as_py() for x in b.column(1)]
-            keys = [lexical_key(np.frombuffer(x, "<u2"), x, i, draws) for i, x in zip(b.column(0).to_pylist(), ids)]
+            ids = b.column(1).to_pylist()
+            keys = lexical_keys(b.column(1), b.column(0).to_pylist(), draws)
             parts = [max(0, bisect_right(bounds, k) - 1) for k in keys]
             columns = list(zip(*keys)) or [()] * len(KEY)
             raw = [pa.compress(x, "zstd", asbytes=True) for x in ids]

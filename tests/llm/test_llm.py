@@ -603,6 +603,43 @@ def test_packing_ids_equal_the_tokenizer(spark):
     assert 50256 in t.encode(texts[-50], add_special_tokens=False).ids
 
 
+def test_plain_texts_are_split_without_lookahead():
+    """Any mix of white space gives the tokenizer's ids; only texts with adjacent white space need the lookahead."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), tuple(packing.added_tokens(path).items()))
+    r = np.random.default_rng(8)
+    atoms = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\u180e", "a", "Wort", "'s", "'", "'LL", "12", "\u00bd", "!?", "\u00e9", "\u4e2d", "<|endoftext|>"]
+    texts = ["", " ", *atoms, *("".join(atoms[k] for k in r.integers(0, len(atoms), r.integers(1, 12))) for _ in range(20_000))]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [e.encode(x).tolist() for x in texts] == want
+    plain = packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.added_tokens(path))
+    plain.full = None
+    alone = [(x, w) for x, w in zip(texts, want) if not packing.ADJACENT.search(x)]
+    assert "(?!" not in packing.PLAIN and 2_000 < len(alone) < 18_000 and all(plain.encode(x).tolist() == w for x, w in alone)
+
+
+def test_keys_drawn_together_equal_keys_one_by_one(monkeypatch):
+    import pyarrow as pa
+    import xxhash
+
+    monkeypatch.setattr(packing, "TOGETHER", 7)
+    monkeypatch.setattr(packing, "TOGETHER_BYTES", 600)
+    r = np.random.default_rng(9)
+    docs = [np.append(r.integers(1, r.choice([2, 3, 50_000]), r.choice([0, 1, 2, 5, 400])), 0).astype("<u2") for _ in range(100)]
+    draws = r.permutation(1 << 16).astype(np.float32)
+    ids = pa.array([b"", *(d.tobytes() for d in docs)], pa.binary())[1:]
+    got = packing.lexical_keys(ids, [None, *range(99)], draws)
+    for i, (d, key) in enumerate(zip(docs, got, strict=True)):
+        first = sorted(set(d.tolist()), key=lambda x: draws[x])[:3]
+        node = int.from_bytes(xxhash.xxh3_64_digest(d.tobytes()), "big", signed=True)
+        assert key == (*first, *[0] * (3 - len(first)), node, i - 1 if i else -(1 << 63))
+    assert max(map(len, packing.together(ids))) == 7 and [x for g in packing.together(ids) for x in g] == ids.to_pylist()
+    assert packing.lexical_keys(ids[:0], [], draws) == []
+
+
 def test_pieces_equal_their_ids(spark):
     """op8's rows against the tokenizer: every id in one piece, its checksum, and padding only at a power of two."""
     import public_tokenizers
