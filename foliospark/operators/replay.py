@@ -1,16 +1,20 @@
 """Auto-rebalancing replays of many (portfolio, policy) pairs.
 
-What does not depend on the portfolio's own path (volatilities, derivatives, targets) is computed by Spark
-beforehand and travels with the events; only the fold over one portfolio's events runs in a grouped map, for all
-policies of a chunk, so events are shuffled once and not once per policy.
+The log's few columns are shuffled once, by portfolio, and sorted. The fold takes an Arrow batch at a time and carries a few
+numbers for each portfolio and policy: what does not depend on the portfolio's own path (volatilities, derivatives, targets) is
+computed for a batch as arrays, the rest event by event. No task holds a portfolio as a whole, neither in Python nor in a window's buffer.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby, islice
+from math import sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +39,8 @@ class Policy:
 
 def with_signals(log: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """Per event of a portfolio's log: each symbol's latest price and volatility and the latest BTC derivatives in
-    that log, the event itself included."""
+    that log, the event itself included. Windows over whole portfolios, for logs of a moderate size; Signals does the same a batch
+    at a time."""
     is_tick = F.col("event_type") == "MARKET_TICK"
     run = W.partitionBy("portfolio_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     per_symbol = W.partitionBy("portfolio_id", "symbol", is_tick).orderBy(*order)
@@ -52,112 +57,265 @@ def with_signals(log: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) ->
     return ruled.withColumn("risk_divisor", F.when(cut, F.col("gamma")).otherwise(1.0)).drop("_r", "_n", "_v", "nupl", "roc_30d")
 
 
-def targets(vols: np.ndarray, divisor: float, target_vol: float) -> np.ndarray:
-    """Plan weights, lowered by the regime, scaled to the target volatility. NaN: the symbol has no volatility."""
-    n_sat = sum(CATEGORY[s] == "SATELLITE" for s in SYMBOLS)
-    base = np.array([allocation.CORE.get(s, allocation.SATELLITE / n_sat if CATEGORY[s] == "SATELLITE" else allocation.RWA) for s in SYMBOLS])
-    if divisor != 1.0:
-        base[:-1] /= divisor
-        base[-1] = max(0.0, 1 - base[:-1].sum())
+N = len(SYMBOLS)
+PLACE = {s: i for i, s in enumerate(SYMBOLS)}
+DEPTHS = [DEPTH[s] for s in SYMBOLS]
+SATELLITES = np.array([CATEGORY[s] == "SATELLITE" for s in SYMBOLS])
+PLAN = np.array([allocation.CORE.get(s, allocation.SATELLITE / SATELLITES.sum() if CATEGORY[s] == "SATELLITE" else allocation.RWA) for s in SYMBOLS])
+KINDS = {"ORDER_EXECUTED": 0, "MARKET_TICK": 1, "YIELD_ACCRUED": 2}
+ORDER, TICK, YIELD, OTHER = range(4)
+#: Returns of a volatility; gamma of signals.regime_rules() for neutral nupl and roc, as with_signals() sets them.
+SPAN, CUT = 29, 2.0
+RESULT = "portfolio_id long, policy_id long, final_equity double, cash double, max_drawdown double, volatility double, n_orders long, fees double, n_events long"
+
+
+def targets(vols: np.ndarray, divisor: np.ndarray, target_vol: float) -> np.ndarray:
+    """For each row the plan weights, lowered by the regime, scaled to the target volatility. NaN: the symbol has no volatility."""
+    out = np.tile(PLAN, (len(vols), 1))
+    rest = lambda: np.fmax(0.0, 1 - out[:, :-1].sum(axis=1))
+    out[:, :-1] /= divisor[:, None]
+    out[:, -1] = np.where(divisor != 1.0, rest(), out[:, -1])
     known = ~np.isnan(vols)
-    if not known.any():
-        return base
-    vol = float((base[known] * vols[known]).sum())
-    base[:-1] *= 1.0 if vol <= 0 else min(1.0, target_vol / vol)
-    base[-1] = max(0.0, 1 - base[:-1].sum())
-    return base
+    vol = np.where(known, out * vols, 0.0).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        scale = np.where(vol <= 0, 1.0, np.fmin(1.0, target_vol / vol))
+    some = known.any(axis=1)
+    out[:, :-1] *= np.where(some, scale, 1.0)[:, None]
+    out[:, -1] = np.where(some, rest(), out[:, -1])
+    return out
+
+
+class Signals:
+    """What with_signals() adds to the events of one portfolio, for batches of them in order."""
+
+    def __init__(self):
+        self.price, self.vol, self.before, self.ticks = [np.nan] * N, [np.nan] * N, [np.nan] * N, [0] * N
+        self.returns = [np.full(SPAN - 1, np.nan)] * N
+        self.spot = self.perp = np.nan
+
+    def add(self, events: pd.DataFrame) -> pd.DataFrame:
+        place = places(events)
+        tick = (events["event_type"] == "MARKET_TICK").to_numpy()
+        price = events["price"].to_numpy(float)
+        rows = [np.flatnonzero(tick & (place == i)) for i in range(N)]
+        spans = []
+        for i, at in enumerate(rows):
+            p = price[at]
+            before = np.concatenate([[self.before[i]], p])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                run = np.concatenate([self.returns[i], np.where(before[:-1] != 0, p / before[:-1] - 1, np.nan)])
+            spans.append(np.lib.stride_tricks.sliding_window_view(run, SPAN) if len(at) else np.empty((0, SPAN)))
+            self.returns[i], self.before[i] = run[len(run) - SPAN + 1 :], before[-1]
+        vols = deviations(np.concatenate(spans)) * sqrt(365.0)
+        vols = np.split(np.where(np.isnan(vols), 0.30, vols), np.cumsum([len(at) for at in rows])[:-1])
+        out = {}
+        for i, (s, at, vol) in enumerate(zip(SYMBOLS, rows, vols)):
+            vol[: max(0, 5 - self.ticks[i])] = 0.30
+            self.ticks[i] += len(at)
+            out[f"px_{s}"] = px = latest(at, price[at], len(events), self.price[i])
+            out[f"vol_{s}"] = v = latest(at, vol, len(events), self.vol[i])
+            self.price[i], self.vol[i] = px[-1], v[-1]
+        btc = np.flatnonzero((events["event_type"] == "DERIVATIVES_METRICS").to_numpy() & (place == PLACE["BTC"]))
+        spot, perp = (latest(btc, events[c].to_numpy(float)[btc], len(events), x) for c, x in (("spot_cvd", self.spot), ("perp_cvd", self.perp)))
+        self.spot, self.perp = spot[-1], perp[-1]
+        out["risk_divisor"] = np.where((spot < 0) & ~(perp >= 0), CUT, 1.0)
+        return events.assign(**out)
+
+
+def places(events: pd.DataFrame) -> np.ndarray:
+    """Each event's place in SYMBOLS, -1 for other symbols."""
+    return events["symbol"].map(PLACE).fillna(-1).to_numpy().astype(int)
+
+
+def latest(at: np.ndarray, values: np.ndarray, n: int, before: float) -> np.ndarray:
+    """For each of n rows the last value at or before it that is not NaN; values are those of the rows `at`."""
+    known = ~np.isnan(values)
+    found = np.zeros(n, int)
+    found[at[known]] = np.arange(1, known.sum() + 1)
+    return np.concatenate([[before], values[known]])[np.maximum.accumulate(found)]
+
+
+def deviations(spans: np.ndarray) -> np.ndarray:
+    """Sample standard deviation of each row, NaN left out, by the steps of Spark's stddev_samp; NaN for fewer than two values."""
+    n, mean, m2 = np.zeros(len(spans)), np.zeros(len(spans)), np.zeros(len(spans))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for x in spans.T:
+            known = ~np.isnan(x)
+            n = n + known
+            delta = x - mean
+            step = delta / n
+            mean, m2 = np.where(known, mean + step, mean), np.where(known, m2 + delta * (delta - step), m2)
+        return np.where(n > 1, np.sqrt(m2 / (n - 1)), np.nan)
+
+
+class Batch:
+    """Events of one portfolio, in order, as columns; shared by all policies."""
+
+    def __init__(self, events: pd.DataFrame, n_events: int):
+        number = lambda c: events[c].to_numpy(float)
+        self.sequence = events["sequence"].to_numpy()
+        self.place = places(events)
+        kind = events["event_type"].map(KINDS).fillna(OTHER).to_numpy().astype(int)
+        self.kind = np.where((self.place < 0) & (kind != YIELD), OTHER, kind)
+        self.price, self.fee, self.amount = number("price"), number("fee"), number("amount")
+        self.signed = np.where((events["side"] == "BUY").to_numpy(), number("units"), -number("units"))
+        self.paid = self.signed * self.price + self.fee
+        self.prices = events[[f"px_{s}" for s in SYMBOLS]].to_numpy(float).copy()
+        self.prices[np.isnan(self.prices[:, -1]), -1] = 1.0
+        self.vols = events[[f"vol_{s}" for s in SYMBOLS]].to_numpy(float)
+        self.divisor = number("risk_divisor")
+        self.all_known = ~np.isnan(self.prices).any(axis=1)
+        self.explicit = (events["event_type"] == "REBALANCE_TRIGGERED").to_numpy()
+        asked = events["target_weights"].to_numpy() if "target_weights" in events else [None] * len(events)
+        self.asked = {k: dict(asked[k]) for k in np.flatnonzero(self.explicit) if asked[k] is not None}
+        self.snapshot = (self.sequence % 6 == 5) | (self.sequence == n_events - 1)
+        self.steps = [x.tolist() for x in (self.kind, self.place, self.signed, self.price, self.fee, self.paid, self.amount)]
+
+    def wanted(self, at: np.ndarray, target_vol: float) -> list:
+        """For each row the target weights to go for, None for rows that are not marked or whose targets break a limit."""
+        rows = np.flatnonzero(at)
+        want = targets(self.vols[rows], self.divisor[rows], target_vol)
+        for k, given in self.asked.items():
+            if given:
+                want[rows == k] = [given.get(s, 0.0) for s in SYMBOLS]
+        total = want.sum(axis=1)
+        bad = (want[:, SATELLITES] > execution.SATELLITE_CAP).any(axis=1) | ((np.abs(total - 1) > execution.WEIGHT_TOLERANCE) & (total > 0))
+        out: list = [None] * len(at)
+        for k, w in zip(rows[~bad].tolist(), want[~bad].tolist()):
+            out[k] = w
+        return out
+
+
+class Path:
+    """The state of one portfolio under one policy; its size does not grow with the events."""
+
+    def __init__(self, p: Policy, cash: float):
+        self.p, self.cash, self.equity, self.weighed, self.fees, self.orders, self.events = p, cash, cash, cash, 0.0, 0, 0
+        self.units, self.values, self.held = [0.0] * N, [0.0] * N, [False] * N
+        self.bands = [p.core_band if CATEGORY[s] == "CORE" else p.satellite_band for s in SYMBOLS]
+        self.peak, self.worst, self.last = cash, 0.0, cash
+        self.n, self.mean, self.m2 = 0, 0.0, 0.0  # of the returns between snapshots
+
+    def add(self, b: Batch) -> None:
+        """The next events. A position's weight is its value over the equity when orders or prices last changed (weighed)."""
+        p = self.p
+        due = b.explicit | (b.sequence % p.every == p.every - 1)
+        wanted: list = [None] * len(due)
+        if p.rebalance:
+            wanted = b.wanted(due if all(self.held) else due | b.all_known, p.target_vol)
+        cash, equity, weighed, fees, orders = self.cash, self.equity, self.weighed, self.fees, self.orders
+        units, values, held = self.units, self.values, self.held
+        curve = []
+        for k, (want, kind, i, signed, price, fee, paid, amount) in enumerate(zip(wanted, *b.steps)):
+            if kind != OTHER:
+                if kind == YIELD:
+                    cash += amount
+                else:
+                    if kind == ORDER:
+                        cash -= paid
+                        fees += fee
+                        units[i] += signed
+                        held[i] = True
+                    if held[i]:
+                        values[i] = units[i] * price
+                total = 0.0
+                for v in values:
+                    total += v
+                equity = cash + total
+                if kind != YIELD:
+                    weighed = equity
+            if want is not None and (due[k] or not all(held)):
+                moved = False
+                for j, px in enumerate(b.prices[k].tolist()):
+                    weight = values[j] / weighed if weighed > 0 else 0.0
+                    change = (want[j] - weight) * equity
+                    size, drift = abs(change), abs(weight - want[j])
+                    if px == px and size >= 1.0 and drift > self.bands[j]:
+                        cost = size * (execution.SPREAD + execution.FEE)
+                        gain = 0.5 * (drift * drift) * equity
+                        if gain <= 0 or gain > cost + execution.IMPACT * sqrt(size / DEPTHS[j]) * size * execution.SPREAD:
+                            moved = True
+                            if px > 0:
+                                bought = change / px
+                                cash -= bought * px + cost
+                                fees += cost
+                                units[j] += bought
+                                values[j], held[j] = units[j] * px, True
+                                orders += 1
+                if moved:
+                    total = 0.0
+                    for v in values:
+                        total += v
+                    equity = weighed = cash + total
+            curve.append(equity)
+        self.cash, self.equity, self.weighed, self.fees, self.orders = cash, equity, weighed, fees, orders
+        self.follow(np.array(curve), b.snapshot)
+
+    def follow(self, curve: np.ndarray, snapshot: np.ndarray) -> None:
+        """Drawdown and the moments of the returns between snapshots, over the next equities."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            peaks = np.fmax.accumulate(np.concatenate([[self.peak], curve]))
+            self.worst = float(np.fmin(self.worst, np.fmin.reduce(curve / peaks[1:] - 1)))
+            points = np.concatenate([[self.last], curve[snapshot]])
+            rets = np.diff(points) / points[:-1]
+            rets = rets[~np.isnan(rets)]
+            if len(rets):
+                n, mean = self.n + len(rets), rets.mean()
+                self.m2 += float(((rets - mean) ** 2).sum() + (mean - self.mean) ** 2 * self.n * len(rets) / n)
+                self.mean += float((mean - self.mean) * len(rets) / n)
+                self.n = n
+        self.peak, self.last = float(peaks[-1]), float(points[-1])
+        self.events += len(curve)
+
+    def result(self) -> dict:
+        vol = sqrt(self.m2 / (self.n - 1)) * sqrt(365) if self.n > 1 else 0.0
+        return dict(policy_id=self.p.policy_id, final_equity=self.equity, cash=self.cash, max_drawdown=self.worst, volatility=vol, n_orders=self.orders, fees=self.fees, n_events=self.events)
 
 
 def replay_policy(events: pd.DataFrame, p: Policy, cash: float) -> dict:
     """The fold of one portfolio under one policy, on columns in event order."""
-    n = len(SYMBOLS)
-    place = {s: i for i, s in enumerate(SYMBOLS)}
-    units, marks, weights = np.zeros(n), np.zeros(n), np.zeros(n)
-    held = np.zeros(n, bool)
-    depth = np.array([DEPTH[s] for s in SYMBOLS])
-    band = np.array([p.core_band if CATEGORY[s] == "CORE" else p.satellite_band for s in SYMBOLS])
-    satellite = np.array([CATEGORY[s] == "SATELLITE" for s in SYMBOLS])
-    prices = events[[f"px_{s}" for s in SYMBOLS]].to_numpy(float).copy()
-    prices[np.isnan(prices[:, -1]), -1] = 1.0
-    vols = events[[f"vol_{s}" for s in SYMBOLS]].to_numpy(float)
-    equity, peak, worst, orders, fees = cash, cash, 0.0, 0, 0.0
-    daily = [cash]
-
-    def fill(i: int, signed: float, price: float, fee: float) -> None:
-        nonlocal cash, fees
-        cash -= signed * price + fee
-        fees += fee
-        units[i] += signed
-        marks[i] = price
-        held[i] = True
-
-    def revalue(weigh: bool) -> None:
-        nonlocal equity
-        equity = cash + float((units * marks).sum())
-        if weigh:
-            weights[:] = units * marks / equity if equity > 0 else 0.0
-
-    columns = ("event_type", "symbol", "side", "units", "price", "fee", "amount", "sequence", "risk_divisor")
-    asked = events["target_weights"].to_numpy() if "target_weights" in events else [None] * len(events)
-    for k, (kind, symbol, side, qty, price, fee, amount, sequence, divisor) in enumerate(zip(*(events[c].to_numpy() for c in columns))):
-        i = place.get(symbol)
-        if kind == "ORDER_EXECUTED" and i is not None:
-            fill(i, qty if side == "BUY" else -qty, price, fee)
-            revalue(True)
-        elif kind == "MARKET_TICK" and i is not None:
-            if held[i]:
-                marks[i] = price
-            revalue(True)
-        elif kind == "YIELD_ACCRUED":
-            cash += amount
-            revalue(False)
-        known = ~np.isnan(prices[k])
-        explicit = kind == "REBALANCE_TRIGGERED"
-        due = explicit or sequence % p.every == p.every - 1 or (held.sum() < n and known.sum() >= n)
-        if p.rebalance and due:
-            given = dict(asked[k]) if explicit and asked[k] is not None else {}
-            want = np.array([given.get(x, 0.0) for x in SYMBOLS]) if given else targets(vols[k], divisor, p.target_vol)
-            total = want.sum()
-            if not (want[satellite] > execution.SATELLITE_CAP).any() and not (abs(total - 1) > execution.WEIGHT_TOLERANCE and total > 0):
-                drift = np.abs(weights - want)
-                change = (want - weights) * equity
-                size = np.abs(change)
-                base_cost = size * (execution.SPREAD + execution.FEE)
-                cost = base_cost + execution.IMPACT * np.sqrt(size / depth) * size * execution.SPREAD
-                gain = 0.5 * drift**2 * equity
-                go = (drift > band) & ((size == 0) | (gain <= 0) | (gain > cost)) & known & (size >= 1.0)
-                for j in np.flatnonzero(go):
-                    if prices[k, j] > 0:
-                        fill(int(j), change[j] / prices[k, j], prices[k, j], base_cost[j])
-                        orders += 1
-                if go.any():
-                    revalue(True)
-        peak = max(peak, equity)
-        worst = min(worst, equity / peak - 1)
-        if sequence % 6 == 5 or sequence == len(events) - 1:
-            daily.append(equity)
-    curve = np.array(daily)
-    rets = np.diff(curve) / curve[:-1]
-    rets = rets[~np.isnan(rets)]
-    vol = float(rets.std(ddof=1) * np.sqrt(365)) if len(rets) > 1 else 0.0
-    return dict(policy_id=p.policy_id, final_equity=equity, cash=cash, max_drawdown=worst, volatility=vol, n_orders=orders, fees=fees, n_events=len(events))
+    path = Path(p, cash)
+    path.add(Batch(events, len(events)))
+    return path.result()
+
+
+def replay_sorted(batches: Iterator[pa.RecordBatch], chunks: list[list[Policy]], initial_cash: float) -> Iterator[dict]:
+    """Results of rows sorted by portfolio, chunk and event, wherever batches begin. The first row of each portfolio and chunk is no
+    event: it holds n_events."""
+    at, known, paths = None, 0, []
+    ends = lambda: [{"portfolio_id": at[0]} | x.result() for x in paths]
+    for batch in batches:
+        place = 0
+        for key, run in groupby(zip(batch["portfolio_id"].to_pylist(), batch["_chunk"].to_pylist())):
+            n = sum(1 for _ in run)
+            rows, place = batch.slice(place, n), place + n
+            if key != at:
+                yield from ends()
+                at, known, found, paths = key, rows["n_events"][0].as_py(), Signals(), [Path(p, initial_cash) for p in chunks[key[1]]]
+                rows = rows.slice(1)
+            if len(rows):
+                events = Batch(found.add(rows.to_pandas()), known)
+                for x in paths:
+                    x.add(events)
+    yield from ends()
 
 
 def strategy_replay(log: DataFrame, policies: list[Policy], initial_cash: float, order: tuple[str, ...] = ("ts", "event_id"), chunk: int = 8) -> DataFrame:
-    """One row per (portfolio, policy). A group is one portfolio's events and a chunk of policies."""
-    needed = ["portfolio_id", *order, "event_type", "symbol", "side", "units", "price", "fee", "amount", "sequence", "risk_divisor", *[f"px_{s}" for s in SYMBOLS], *[f"vol_{s}" for s in SYMBOLS]]
-    rows = with_signals(log, order).select(*needed, *[c for c in ("target_weights",) if c in log.columns])
-    chunks = [[asdict(p) for p in policies[i : i + chunk]] for i in range(0, len(policies), chunk)]
-    if len(chunks) > 1:
-        rows = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1))))
-    else:
-        rows = rows.withColumn("_chunk", F.lit(0))
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(list(order))
-        done = [replay_policy(g, Policy(**p), initial_cash) for p in chunks[int(g["_chunk"].iloc[0])]]
-        return pd.DataFrame(done).assign(portfolio_id=g["portfolio_id"].iloc[0])
-
-    return rows.groupBy("portfolio_id", "_chunk").applyInPandas(
-        fold, "portfolio_id long, policy_id long, final_equity double, cash double, max_drawdown double, volatility double, n_orders long, fees double, n_events long"
-    )
+    """One row per (portfolio, policy). A task folds a portfolio's events, sorted, for a chunk of policies; the log is read twice, as a
+    snapshot is also taken where the sequence meets the number of events, which has to be known before."""
+    needed = ["event_type", "symbol", "side", "units", "price", "fee", "amount", "sequence", "spot_cvd", "perp_cvd", *[c for c in ("target_weights",) if c in log.columns]]
+    counts = log.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n_events"))
+    rows = log.select("portfolio_id", *needed, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]).unionByName(counts, allowMissingColumns=True)
+    chunks = [policies[i : i + chunk] for i in range(0, len(policies), chunk)]
+    rows = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1)))) if len(chunks) > 1 else rows.withColumn("_chunk", F.lit(0))
+    by = [F.col(c).asc_nulls_last() for c in ("n_events", *[f"_o{i}" for i in range(len(order))])]
+    rows = rows.repartition("portfolio_id", "_chunk").sortWithinPartitions("portfolio_id", "_chunk", *by)
+    names = [c.split()[0] for c in RESULT.split(", ")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c, pa.float64() if f"{c} double" in RESULT else pa.int64()) for c in names])
+        found = replay_sorted(batches, chunks, initial_cash)
+        while some := list(islice(found, 1000)):
+            yield pa.RecordBatch.from_pylist(some, schema=schema)
+
+    return rows.select("portfolio_id", "_chunk", "n_events", *needed).mapInArrow(fold, RESULT)
