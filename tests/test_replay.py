@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from foliospark.operators import replay
@@ -48,3 +50,18 @@ def test_replay_takes_batches_and_equals_the_fold_of_a_whole_portfolio(spark, ch
 
 def test_replay_of_no_events(spark):
     assert replay.strategy_replay(spark.createDataFrame([], LOG), POLICIES, 1.0).collect() == []
+
+
+def test_what_a_task_carries_does_not_grow_with_events():
+    """Results of a log ten times as long, fed in batches, come from a state of the same size."""
+    sizes = []
+    for n in (400, 4000):
+        rows = pd.DataFrame(random_log(5, n), columns=[c.split()[0] for c in LOG.split(", ")]).sort_values(["ts", "event_id"])
+        signals, paths = replay.Signals(), [replay.Path(p, 20_000.0) for p in POLICIES]
+        for k in range(0, n, 50):
+            batch = replay.Batch(signals.add(rows[k : k + 50]), n)
+            for x in paths:
+                x.add(batch)
+        assert [x.result()["n_events"] for x in paths] == [n] * len(paths)
+        sizes.append(sum(np.size(v) for x in (signals, *paths) for v in vars(x).values()))
+    assert sizes[0] == sizes[1] < 500
