@@ -66,6 +66,9 @@ KINDS = {"ORDER_EXECUTED": 0, "MARKET_TICK": 1, "YIELD_ACCRUED": 2}
 ORDER, TICK, YIELD, OTHER = range(4)
 #: Returns of a volatility; gamma of signals.regime_rules() for neutral nupl and roc, as with_signals() sets them.
 SPAN, CUT = 29, 2.0
+#: The kinds of events for which a column is used; for others it is not shuffled.
+USED = {c: ("ORDER_EXECUTED",) for c in ("side", "units", "fee")} | {"price": ("ORDER_EXECUTED", "MARKET_TICK"), "amount": ("YIELD_ACCRUED",), "target_weights": ("REBALANCE_TRIGGERED",)}
+USED |= {c: ("DERIVATIVES_METRICS",) for c in ("spot_cvd", "perp_cvd")}
 RESULT = "portfolio_id long, policy_id long, final_equity double, cash double, max_drawdown double, volatility double, n_orders long, fees double, n_events long"
 
 
@@ -186,6 +189,13 @@ class Batch:
         return out
 
 
+def plus(total: float, lost: float, x: float) -> tuple[float, float]:
+    """A compensated sum: millions of payments cancel out, and what rounding takes from each of them would stay."""
+    found = total + x
+    part = found - total
+    return found, lost + ((total - (found - part)) + (x - part))
+
+
 class Path:
     """The state of one portfolio under one policy; its size does not grow with the events."""
 
@@ -193,6 +203,7 @@ class Path:
         self.p, self.cash, self.equity, self.weighed, self.fees, self.orders, self.events = p, cash, cash, cash, 0.0, 0, 0
         self.units, self.values, self.held = [0.0] * N, [0.0] * N, [False] * N
         self.bands = [p.core_band if CATEGORY[s] == "CORE" else p.satellite_band for s in SYMBOLS]
+        self.lost = 0.0  # what rounding has taken from the cash
         self.peak, self.worst, self.last = cash, 0.0, cash
         self.n, self.mean, self.m2 = 0, 0.0, 0.0  # of the returns between snapshots
 
@@ -203,16 +214,16 @@ class Path:
         wanted: list = [None] * len(due)
         if p.rebalance:
             wanted = b.wanted(due if all(self.held) else due | b.all_known, p.target_vol)
-        cash, equity, weighed, fees, orders = self.cash, self.equity, self.weighed, self.fees, self.orders
+        cash, lost, equity, weighed, fees, orders = self.cash, self.lost, self.equity, self.weighed, self.fees, self.orders
         units, values, held = self.units, self.values, self.held
         curve = []
         for k, (want, kind, i, signed, price, fee, paid, amount) in enumerate(zip(wanted, *b.steps)):
             if kind != OTHER:
                 if kind == YIELD:
-                    cash += amount
+                    cash, lost = plus(cash, lost, amount)
                 else:
                     if kind == ORDER:
-                        cash -= paid
+                        cash, lost = plus(cash, lost, -paid)
                         fees += fee
                         units[i] += signed
                         held[i] = True
@@ -221,7 +232,7 @@ class Path:
                 total = 0.0
                 for v in values:
                     total += v
-                equity = cash + total
+                equity = cash + lost + total
                 if kind != YIELD:
                     weighed = equity
             if want is not None and (due[k] or not all(held)):
@@ -237,7 +248,7 @@ class Path:
                             moved = True
                             if px > 0:
                                 bought = change / px
-                                cash -= bought * px + cost
+                                cash, lost = plus(cash, lost, -(bought * px + cost))
                                 fees += cost
                                 units[j] += bought
                                 values[j], held[j] = units[j] * px, True
@@ -246,9 +257,9 @@ class Path:
                     total = 0.0
                     for v in values:
                         total += v
-                    equity = weighed = cash + total
+                    equity = weighed = cash + lost + total
             curve.append(equity)
-        self.cash, self.equity, self.weighed, self.fees, self.orders = cash, equity, weighed, fees, orders
+        self.cash, self.lost, self.equity, self.weighed, self.fees, self.orders = cash, lost, equity, weighed, fees, orders
         self.follow(np.array(curve), b.snapshot)
 
     def follow(self, curve: np.ndarray, snapshot: np.ndarray) -> None:
@@ -269,7 +280,7 @@ class Path:
 
     def result(self) -> dict:
         vol = sqrt(self.m2 / (self.n - 1)) * sqrt(365) if self.n > 1 else 0.0
-        return dict(policy_id=self.p.policy_id, final_equity=self.equity, cash=self.cash, max_drawdown=self.worst, volatility=vol, n_orders=self.orders, fees=self.fees, n_events=self.events)
+        return dict(policy_id=self.p.policy_id, final_equity=self.equity, cash=self.cash + self.lost, max_drawdown=self.worst, volatility=vol, n_orders=self.orders, fees=self.fees, n_events=self.events)
 
 
 def replay_policy(events: pd.DataFrame, p: Policy, cash: float) -> dict:
@@ -303,9 +314,11 @@ def replay_sorted(batches: Iterator[pa.RecordBatch], chunks: list[list[Policy]],
 def strategy_replay(log: DataFrame, policies: list[Policy], initial_cash: float, order: tuple[str, ...] = ("ts", "event_id"), chunk: int = 8) -> DataFrame:
     """One row per (portfolio, policy). A task folds a portfolio's events, sorted, for a chunk of policies; the log is read twice, as a
     snapshot is also taken where the sequence meets the number of events, which has to be known before."""
-    needed = ["event_type", "symbol", "side", "units", "price", "fee", "amount", "sequence", "spot_cvd", "perp_cvd", *[c for c in ("target_weights",) if c in log.columns]]
     counts = log.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n_events"))
-    rows = log.select("portfolio_id", *needed, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]).unionByName(counts, allowMissingColumns=True)
+    values = [F.when(F.col("event_type").isin(*kinds), F.col(c)).alias(c) for c, kinds in USED.items() if c in log.columns]
+    rows = log.select("portfolio_id", "event_type", "symbol", "sequence", *values, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    needed = [c for c in rows.columns if c != "portfolio_id" and not c.startswith("_o")]
+    rows = rows.unionByName(counts, allowMissingColumns=True)
     chunks = [policies[i : i + chunk] for i in range(0, len(policies), chunk)]
     rows = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1)))) if len(chunks) > 1 else rows.withColumn("_chunk", F.lit(0))
     by = [F.col(c).asc_nulls_last() for c in ("n_events", *[f"_o{i}" for i in range(len(order))])]

@@ -65,3 +65,11 @@ def test_what_a_task_carries_does_not_grow_with_events():
         assert [x.result()["n_events"] for x in paths] == [n] * len(paths)
         sizes.append(sum(np.size(v) for x in (signals, *paths) for v in vars(x).values()))
     assert sizes[0] == sizes[1] < 500
+
+
+def test_large_payments_that_cancel_leave_small_ones_whole():
+    amounts = [1e12, *[0.01] * 5000, -1e12]
+    rows = pd.DataFrame({"amount": amounts, "event_type": "YIELD_ACCRUED", "symbol": "BTC", "side": None, "sequence": 0, "risk_divisor": 1.0})
+    rows = rows.assign(**{c: np.nan for c in ("units", "price", "fee", *[f"{x}_{s}" for s in replay.SYMBOLS for x in ("px", "vol")])})
+    got = replay.replay_policy(rows, replay.Policy(0, rebalance=False), 1000.0)
+    assert got["cash"] == got["final_equity"] == pytest.approx(1050.0, abs=1e-9)
